@@ -2,9 +2,10 @@
 
 Spark samples splitters and range-partitions the (normalised) bytes; each task
 sorts its range externally, so that equal texts are neighbours, and neighbours
-are compared in full. A salt behind the bytes lets the splitters cut through a
-text that makes up a large part of the rows; the few first rows of such cuts meet
-by digest and length, one row for each text and salt.
+are compared in full. Splitters are of bounded size, as they pass the driver: the
+first bytes of a text and a salt, which lets them cut through a text, or a
+beginning, that makes up a large part of the rows. The few first rows of such cuts
+meet by digest and length, one row for each text and salt.
 
 Edge cases: a null text counts as empty; equal rows (ties in the id as well) fall
 in one group and all rows with the kept id count as kept; an empty table gives an
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import cut, shuffle_width
 
 
+#: Bytes of a text that a splitter holds.
+SPLITTER_BYTES = 48
+
+
 def dedup_exact(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -40,9 +45,10 @@ def dedup_exact(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("_id"), (normalize(text) if normalize else text).cast("binary").alias("_bytes"))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(2 * parts)).cast("int"))
-    # The range partitioning by (bytes, salt) serves the window: no further exchange of texts.
-    sorted_rows = rows.repartitionByRange(parts, "_bytes", "_salt")
-    run = Window.partitionBy("_bytes", "_salt")
+    rows = rows.withColumn("_head", F.substring("_bytes", 1, SPLITTER_BYTES))
+    # The range partitioning by (head, salt) serves the window: no further exchange of texts.
+    sorted_rows = rows.repartitionByRange(parts, "_head", "_salt")
+    run = Window.partitionBy("_head", "_bytes", "_salt")
     runs = cut(
         sorted_rows.select(
             "_id",
