@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gleanery.shipping import ship_package
+
 #: Most bytes of input that one Arrow batch hands to a Python worker.
 BATCH_BYTES = 16 << 20
 #: Rows an operator gathers before it hands an Arrow batch back.
@@ -54,6 +56,7 @@ def map_rows(
     spark = df.sparkSession
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    ship_package(spark)
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 

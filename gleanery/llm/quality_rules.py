@@ -14,6 +14,7 @@ two named are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,15 +134,18 @@ def judge(text: str | None, rules: Rules = Rules()) -> tuple:
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, navigation_lines long, boilerplate_lines long, unpunctuated_lines long, lost_share double"
 
 
-def quality_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Per row: its id, the counts and verdicts and, if asked for, the cleaned text."""
-    kind = df.schema[id_col].dataType.simpleString()
+def quality_rules(df: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """Per row: its id, the counts and verdicts and, if asked for, the cleaned text, and the columns to ``carry`` along."""
+    kinds = [df.schema[name].dataType.simpleString() for name in (id_col, *carry)]
+    names = ["id", *(f"_carried_{k}" for k in range(len(carry)))]
 
     def start():
-        def one(key, text):
+        def one(key, text, *others):
             found = judge(text, rules)
-            return [(key, *(found if with_text else found[:-1]))]
+            return [(key, *others, *(found if with_text else found[:-1]))]
 
         return one
 
-    return map_rows(df.select(F.col(id_col), F.col(text_col)), f"id {kind}, {COLUMNS}" + ", clean_text string" * with_text, start).withColumnRenamed("id", id_col)
+    schema = ", ".join(f"{name} {kind}" for name, kind in zip(names, kinds)) + f", {COLUMNS}" + ", clean_text string" * with_text
+    judged = map_rows(df.select(F.col(id_col), F.col(text_col), *carry), schema, start)
+    return judged.withColumnsRenamed(dict(zip(names, (id_col, *carry))))

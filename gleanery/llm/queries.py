@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, packing, quality_rules, sentencepiece_codec, url_filter
+from gleanery.llm import exact_dedup, packing, quality_rules, sentencepiece_codec, simhash, url_filter
 from gleanery.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -81,11 +81,16 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(encoded)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_url_filter": OP6_SQL}
