@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, packing, quality_rules, sentencepiece_codec, simhash, url_filter
+from gleanery.llm import exact_dedup, packing, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
 from gleanery.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -34,6 +34,14 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("clean_text").alias("text"), F.length("clean_text").cast("long").alias("n_chars"), "removed_bytes",
+        (F.col("removed_bytes") > 0).alias("has_repeat"), F.array_sort(F.array_distinct(F.col("runs.source_id"))).alias("source_ids"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(read_table(spark, sf_dir, "documents"), vocabulary(WORD_MODEL))
     return packing.pack(pieces)
@@ -87,6 +95,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
