@@ -16,6 +16,7 @@ two named are ignored, whatever their names.
 
 from __future__ import annotations
 
+import string
 import zlib
 
 import numpy as np
@@ -27,7 +28,10 @@ from gleanery.llm.common import cut, map_rows, shuffle_width
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+PUNCTUATION = string.punctuation
+#: Letters before this are lower-cased alike by Python and the library.
+LATIN_END = "\u0250"
 #: The separator that batches unknown words; words that hold it are encoded alone.
 MARK = "~"
 #: Rows of a plan that are sent to every executor; more are joined by a shuffle.
@@ -63,20 +67,38 @@ class WordTokenizer:
         if len(cache) > self.cache_words:
             cache.clear()
             cache[""] = b""
-        new = [word for word in dict.fromkeys(words) if word not in cache]
-        alone = new if self.mark is None else [word for word in new if MARK in word]
-        for word in alone:
-            cache[word] = self._ids(word).tobytes()
-        rest = [word for word in new if word not in cache]
+        need: dict[str, None] = {}
+        joined = []
+        for word in dict.fromkeys(words):
+            if word in cache:
+                continue
+            # Letters, and the ASCII punctuation behind them, are tokenised apart and in lower case.
+            low = word.lower()
+            core = low.rstrip(PUNCTUATION)
+            if core != word and core.isalpha() and max(core) < LATIN_END:
+                tail = low[len(core) :]
+                joined.append((word, core, tail))
+                need[core] = need[tail] = None
+            else:
+                need[word] = None
+        rest = []
+        for word in need:
+            if word not in cache:
+                if self.mark is None or MARK in word:
+                    cache[word] = self._ids(word).tobytes()
+                else:
+                    rest.append(word)
         if rest:
             ids = self._ids(f" {MARK} ".join(rest))
-            stops = np.flatnonzero(ids == self.mark)
-            parts = np.split(ids, stops)
+            parts = np.split(ids, np.flatnonzero(ids == self.mark))
             for k, (word, part) in enumerate(zip(rest, parts, strict=True)):
                 cache[word] = part[k > 0 :].tobytes()
+        for word, core, tail in joined:
+            cache[word] = cache[core] + cache[tail]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.engine.encode(text, add_special_tokens=False).ids, "<u4")
+        (encoding,) = self.engine.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(encoding.ids, "<u4")
 
 
 _tokenizers: dict[int, WordTokenizer] = {}
