@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, packing, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
+from gleanery.llm import exact_dedup, language_id, packing, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
 from gleanery.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -89,6 +89,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(encoded)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+    model = language_id.train(docs, fold != 2)
+    held_out = docs.select(F.col("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text")
+    return language_id.identify(held_out, model, carry=["held_out"])
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -100,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
 SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_url_filter": OP6_SQL}
