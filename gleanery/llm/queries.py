@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact_dedup, language_id, packing, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
+from gleanery.llm import exact_dedup, html_extraction, language_id, licenses, packing, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
 from gleanery.llm.common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def vocabulary(name: str) -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup_exact(read_table(spark, sf_dir, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -84,6 +88,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths: a row's file is its id, in a folder of a thousand ids, under its source."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = F.floor(F.col("doc_id") / 1000).cast("string")
+    files = docs.select("doc_id", F.concat_ws("/", F.col("source"), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    return licenses.scan_licenses(files, id_col="doc_id")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepiece_codec.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary(PIECE_MODEL))
     return sentencepiece_codec.digests(encoded)
@@ -102,11 +114,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_url_filter": op6_url_filter,
+    "op7_license_scan": op7_license_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
