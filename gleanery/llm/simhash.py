@@ -27,7 +27,7 @@ from math import comb, log
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import cut, map_rows
@@ -212,3 +212,51 @@ def near_duplicates(df: DataFrame, radius: int = 4, width: int = 4, distinct: bo
     smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = cut(members.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
     return rows.join(classes, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_sets(df: DataFrame, width: int, id_col: str, text_col: str, carry: str) -> DataFrame:
+    """Per row: id, the column to carry, and the distinct hashes of the text's word shingles."""
+    kinds = [df.schema[name].dataType.simpleString() for name in (id_col, carry)]
+
+    def start():
+        digest = xxhash.xxh64_intdigest
+
+        def one(key, text, carried):
+            words = (text or "").encode().lower().split()
+            found = {digest(b" ".join(words[k : k + width]), SEED) for k in range(max(1, len(words) - width + 1))}
+            return [(key, carried, np.array(sorted(found), "<u8").view("<i8"))]
+
+        return one
+
+    return map_rows(df.select(F.col(id_col), F.col(text_col), F.col(carry)), f"id {kinds[0]}, {carry} {kinds[1]}, shingles array<long>", start)
+
+
+def verified_groups(df: DataFrame, radius: int = 6, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", leaders: int = 8) -> DataFrame:
+    """Per row that has near copies: its id and group_id, the group's smallest id.
+
+    Candidates are components of fingerprints over each text's distinct words; few
+    edits move such a fingerprint by few bits. Members of a component are then
+    compared with a growing number of its members by the Jaccard similarity of
+    their word shingles, until each is like one of them or has been one itself;
+    links of at least ``similarity`` make the groups.
+    """
+    classes = near_duplicates(df, radius, 1, True, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_class"))
+    classes = cut(classes)
+    several = classes.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_class").alias("_several"))
+    members = cut(classes.join(cut(several).hint("merge"), F.col("_class") == F.col("_several")).select("_id", "_class"))
+    texts = df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(members, F.col("_key") == F.col("_id"))
+    pending = cut(shingle_sets(texts, width, "_key", "_text", "_class"))
+    edges = None
+    while not pending.isEmpty():
+        order = Window.partitionBy("_class").orderBy(F.xxhash64("id"), "id")
+        chosen = pending.select("id", "_class").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= leaders).select(F.col("id").alias("leader"))
+        lead = cut(pending.join(chosen, F.col("id") == F.col("leader")).select("leader", F.col("_class").alias("_of"), F.col("shingles").alias("_theirs")))
+        common = F.size(F.array_intersect("shingles", "_theirs"))
+        alike = common >= F.lit(similarity) * (F.size("shingles") + F.size("_theirs") - common)
+        found = cut(pending.join(lead.hint("merge"), (F.col("_class") == F.col("_of")) & alike).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+        edges = found if edges is None else edges.unionByName(found)
+        pending = cut(pending.join(found.select(F.col("a").alias("_done")).distinct(), F.col("id") == F.col("_done"), "left_anti"))
+        leaders *= 4
+    if edges is None:
+        return members.select(F.col("_id").alias(id_col), F.col("_class").alias("group_id"))
+    return components(edges).select(F.col("node").alias(id_col), F.col("root").alias("group_id"))
