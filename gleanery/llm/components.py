@@ -12,14 +12,14 @@ def components(edges: DataFrame) -> DataFrame:
     """For each node of ``edges`` (columns a, b) that isn't a root: node, root (the component's smallest node).
 
     Each round hangs every node's larger neighbours, then its smaller ones, on its
-    smallest neighbour, until nothing changes; rounds follow the logarithm of the
-    longest path. Neighbour sets are never gathered: a minimum is aggregated for
-    each node and joined back, with the minima written first, so that a hub's
-    edges can be split. Each round is cut and its predecessor forgotten.
+    smallest neighbour, until all edges lead to roots; rounds follow the logarithm
+    of the longest path. Neighbour sets are never gathered: a minimum is aggregated
+    for each node and joined back, with the minima written first, so that a hub's
+    edges can be split.
     """
+    spark = edges.sparkSession
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(edges)
-    while state[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -27,12 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        before, state = state, _state(edges)
-        if state == before:
-            break
+        both = low = large = small = None
+        spark._jvm.System.gc()  # what the round has left on disk goes with its objects
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    """A count and a checksum, equal when the edges are."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()

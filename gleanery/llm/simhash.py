@@ -171,8 +171,8 @@ def _long_array(values: list[int]):
     return F.from_json(F.lit(str(values)), "array<bigint>")
 
 
-def links(prints: DataFrame, radius: int, pivots: int = 2) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that connect what links connect."""
+def classes(prints: DataFrame, radius: int, pivots: int = 2) -> DataFrame:
+    """For each of distinct fingerprints (column fp): fp and root, the least fingerprint that links lead to."""
     prints = cut(prints.select("fp"))
     n, both = bit_statistics(prints)
     plan = allocate(n, both, radius)
@@ -199,19 +199,20 @@ def links(prints: DataFrame, radius: int, pivots: int = 2) -> DataFrame:
     for more in flipped[1:]:
         probes = probes.unionByName(more)
     meet = (F.col("part") == F.col("part2")) & (F.col("sig") == F.col("sig2")) & (F.col("fp") < F.col("fp2")) & (F.col("label") != F.col("label2")) & (_far("fp", "fp2") <= radius)
-    pairs = probes.join(index.hint("merge"), meet).select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
-    return stars.unionByName(pairs)
+    # What links components of stars links all of them; only their labels go on.
+    pairs = probes.join(index.hint("merge"), meet).select(F.col("label").alias("a"), F.col("label2").alias("b"))
+    joined = components(pairs)
+    return labelled.join(joined, F.col("label") == F.col("node"), "left").select("fp", F.coalesce("root", "label").alias("root"))
 
 
 def near_duplicates(df: DataFrame, radius: int = 4, width: int = 4, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, fingerprint (16 hexadecimal digits) and component_id, the smallest id it is linked to."""
     rows = cut(fingerprints(df, width, distinct, id_col, text_col))
     first = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(links(first, radius))
-    members = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    members = cut(first.join(classes(first, radius), "fp"))
     smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = cut(members.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    return rows.join(classes, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(members.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    return rows.join(named, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_sets(df: DataFrame, width: int, id_col: str, text_col: str, carry: str) -> DataFrame:
@@ -240,10 +241,9 @@ def verified_groups(df: DataFrame, radius: int = 6, similarity: float = 0.8, wid
     their word shingles, until each is like one of them or has been one itself;
     links of at least ``similarity`` make the groups.
     """
-    classes = near_duplicates(df, radius, 1, True, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_class"))
-    classes = cut(classes)
-    several = classes.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_class").alias("_several"))
-    members = cut(classes.join(cut(several).hint("merge"), F.col("_class") == F.col("_several")).select("_id", "_class"))
+    candidates = cut(near_duplicates(df, radius, 1, True, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_class")))
+    several = candidates.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_class").alias("_several"))
+    members = cut(candidates.join(cut(several).hint("merge"), F.col("_class") == F.col("_several")).select("_id", "_class"))
     texts = df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(members, F.col("_key") == F.col("_id"))
     pending = cut(shingle_sets(texts, width, "_key", "_text", "_class"))
     edges = None
