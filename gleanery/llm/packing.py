@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import string
 import zlib
+from array import array
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -27,21 +30,27 @@ from gleanery.llm.common import cut, map_rows, shuffle_width
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words, and parts of words, whose ids a worker remembers.
+CACHE_WORDS = 1_200_000
 PUNCTUATION = string.punctuation
 #: Letters before this are lower-cased alike by Python and the library.
 LATIN_END = "\u0250"
-#: The separator that batches unknown words; words that hold it are encoded alone.
-MARK = "~"
 #: Rows of a plan that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: its own, or for bytes that aren't printed one from U+0100 on."""
+    printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (x for x in range(256) if x not in printed)
+    return {byte: chr(0x100 + k) for k, byte in enumerate(others)}
+
+
 class WordTokenizer:
     """Ids of a text, word by word, as little-endian unsigned 32-bit integers.
 
-    Only for tokenizers whose pre-tokenizer never joins what white space parts;
+    Only for byte-level BPE tokenizers in lower case whose pre-tokenizer takes runs
+    of letters and of punctuation apart and never joins what white space parts;
     ``tests/llm`` compare it with the library over whole texts.
     """
 
@@ -49,56 +58,48 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.engine = Tokenizer.from_buffer(spec)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
         self.cache_words = cache_words
-        mark = self.engine.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.letters = byte_letters()
 
     def encode(self, text: str) -> bytes:
-        words, cache = text.replace("\n", " ").split(" "), self.cache
+        words = text.replace("\n", " ").split(" ")
+        if len(self.words) > self.cache_words:
+            self.words.clear()
+        found = list(map(self.words.get, words))
         try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(cache.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
-        cache = self.cache
-        if len(cache) > self.cache_words:
-            cache.clear()
-            cache[""] = b""
-        need: dict[str, None] = {}
-        joined = []
-        for word in dict.fromkeys(words):
-            if word in cache:
-                continue
+            return b"".join(found)
+        except TypeError:  # a word isn't known yet
+            self._learn(set(compress(words, map(is_, found, repeat(None)))))
+            return b"".join(map(self.words.__getitem__, words))
+
+    def _learn(self, words: set[str]) -> None:
+        known, parts = self.words, self.parts
+        if len(parts) > self.cache_words:
+            parts.clear()
+            parts[""] = b""
+        for word in words:
             # Letters, and the ASCII punctuation behind them, are tokenised apart and in lower case.
             low = word.lower()
             core = low.rstrip(PUNCTUATION)
-            if core != word and core.isalpha() and max(core) < LATIN_END:
+            if core.isalpha() and max(core) < LATIN_END:
                 tail = low[len(core) :]
-                joined.append((word, core, tail))
-                need[core] = need[tail] = None
+                if core not in parts:
+                    parts[core] = self._letters(core)
+                if tail not in parts:
+                    parts[tail] = self._any(tail)
+                known[word] = parts[core] + parts[tail]
             else:
-                need[word] = None
-        rest = []
-        for word in need:
-            if word not in cache:
-                if self.mark is None or MARK in word:
-                    cache[word] = self._ids(word).tobytes()
-                else:
-                    rest.append(word)
-        if rest:
-            ids = self._ids(f" {MARK} ".join(rest))
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            for k, (word, part) in enumerate(zip(rest, parts, strict=True)):
-                cache[word] = part[k > 0 :].tobytes()
-        for word, core, tail in joined:
-            cache[word] = cache[core] + cache[tail]
-
-    def _ids(self, text: str) -> np.ndarray:
-        (encoding,) = self.engine.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(encoding.ids, "<u4")
+                known[word] = self._any(word)
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of lower-case letters, straight from the model."""
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.engine.model.tokenize(spelled)]).tobytes()
+
+    def _any(self, text: str) -> bytes:
+        return array("I", self.engine.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _tokenizers: dict[int, WordTokenizer] = {}
