@@ -93,6 +93,8 @@ def expand(hits: DataFrame, chunks: DataFrame, nodes: DataFrame, max_chunks: int
         )
 
     admitted = queued.select("query_id", F.posexplode(F.aggregate("options", start, admit, lambda s: s["out"])).alias("_at", "c")).select("query_id", "_at", "c.*")
-    context = admitted.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("query_id", "hit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "chunk_id", "relation", "text"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["relation"].alias("relation"), x["text"].alias("text"))).alias("context"))
+    texts_of = chunks.select(F.col("chunk_id").alias("_chunk"), "text")
+    one = F.transform(F.array_sort(F.collect_list(F.struct("_at", "chunk_id", "relation", "text"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["relation"].alias("relation"), x["text"].alias("text")))
+    context = admitted.join(texts_of, F.col("chunk_id") == F.col("_chunk")).groupBy(F.col("query_id").alias("_query"), F.col("hit_id").alias("_hit")).agg(one.alias("context"))
     nothing = F.array().cast("array<struct<chunk_id:string,relation:string,text:string>>")
-    return hits.join(context, (hits["query_id"] == context["query_id"]) & (hits["chunk_id"] == context["hit_id"]), "left").select(*(hits[c] for c in hits.columns), F.coalesce("context", nothing).alias("context"))
+    return hits.join(context, (F.col("query_id") == F.col("_query")) & (F.col("chunk_id") == F.col("_hit")), "left").select(*hits.columns, F.coalesce("context", nothing).alias("context"))
