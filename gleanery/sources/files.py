@@ -185,7 +185,7 @@ def table_documents(docs: DataFrame) -> DataFrame:
 def read_evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation cases from a JSON array or, by suffix, JSON lines; validated as a whole."""
     reader = spark.read.schema(schemas.EVALUATION_CASE + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record")
-    raw = reader.json(path, multiLine=not path.lower().endswith(".jsonl")).cache()
+    raw = reader.json(path, multiLine=not path.lower().endswith(".jsonl"))
     clean = lambda ids: F.array_distinct(F.filter(F.transform(F.coalesce(ids, F.array().cast("array<string>")), t.trim), lambda x: x != ""))
     cases = raw.select(t.trim(F.col("case_id")).alias("case_id"), t.trim(F.col("query")).alias("query"), clean(F.col("relevant_chunk_ids")).alias("relevant_chunk_ids"), clean(F.col("relevant_document_ids")).alias("relevant_document_ids"), "_corrupt_record")
     problems = cases.agg(
