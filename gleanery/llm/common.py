@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,9 @@ from gleanery.shipping import ship_package
 
 #: Most bytes of input that one Arrow batch hands to a Python worker.
 BATCH_BYTES = 16 << 20
+#: Seconds between collections of the driver's garbage, at least.
+COLLECT_EVERY_S = 3.0
+_collected = [0.0]
 #: Rows an operator gathers before it hands an Arrow batch back.
 OUTPUT_ROWS = 2000
 
@@ -33,7 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if time.monotonic() - _collected[0] > COLLECT_EVERY_S:
+        # Spark deletes the checkpoints, broadcasts and shuffle files of what is forgotten only
+        # once the driver's JVM has collected it; loops of cuts would pile them up.
+        spark._jvm.System.gc()
+        _collected[0] = time.monotonic()
+    return done
 
 
 def shuffle_width(spark: SparkSession) -> int:

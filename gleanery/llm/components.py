@@ -17,7 +17,6 @@ def components(edges: DataFrame) -> DataFrame:
     for each node and joined back, with the minima written first, so that a hub's
     edges can be split.
     """
-    spark = edges.sparkSession
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,8 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        both = low = large = small = None
-        spark._jvm.System.gc()  # what the round has left on disk goes with its objects
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -251,8 +251,11 @@ def verified_groups(df: DataFrame, radius: int = 6, similarity: float = 0.8, wid
         order = Window.partitionBy("_class").orderBy(F.xxhash64("id"), "id")
         chosen = pending.select("id", "_class").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= leaders).select(F.col("id").alias("leader"))
         lead = cut(pending.join(chosen, F.col("id") == F.col("leader")).select("leader", F.col("_class").alias("_of"), F.col("shingles").alias("_theirs")))
+        # Sets of too different sizes can't be alike; only the others are intersected.
+        ours, theirs = F.size("shingles"), F.size("_theirs")
+        near = (ours >= F.lit(similarity) * theirs) & (theirs >= F.lit(similarity) * ours)
         common = F.size(F.array_intersect("shingles", "_theirs"))
-        alike = common >= F.lit(similarity) * (F.size("shingles") + F.size("_theirs") - common)
+        alike = near & (common >= F.lit(similarity) * (ours + theirs - common))
         found = cut(pending.join(lead.hint("merge"), (F.col("_class") == F.col("_of")) & alike).select(F.col("id").alias("a"), F.col("leader").alias("b")))
         edges = found if edges is None else edges.unionByName(found)
         pending = cut(pending.join(found.select(F.col("a").alias("_done")).distinct(), F.col("id") == F.col("_done"), "left_anti"))
