@@ -203,15 +203,22 @@ def calibrate(model: Model, texts: dict[str, list[str]], deviations: float = 4.0
 
 
 def training_rows(df: DataFrame, trains: Column, documents: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Of each language, ``documents`` rows at most, those with the lowest hash of the id.
+    """Of each language, ``documents`` rows at most (lang, rank, text): those with the lowest hash of the id.
 
-    Only ids and hashes are ranked; the rows themselves come by a join with the chosen ids.
+    A language's count tells below which hash about four times as many rows lie; only
+    their ids are ranked, and the rows themselves come by a join with the chosen ids.
     """
-    usable = df.where(trains & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    order = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    keys = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(id_col).alias("_hash"))
-    chosen = keys.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= documents).select("_id", "_rank").distinct()
-    return usable.join(chosen, F.col(id_col) == F.col("_id")).select(F.col(lang_col).alias("lang"), F.col("_rank").alias("rank"), F.col(text_col).alias("text"))
+    named = df.where(trains).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    usable = named.where("_id is not null and lang is not null and text is not null").withColumn("_hash", F.xxhash64("_id"))
+    counts = {row["lang"]: row["count"] for row in usable.groupBy("lang").count().collect()}
+    if not counts:
+        return usable.select("lang", F.lit(0).alias("rank"), "text")
+    highest = {lang: int(-(1 << 63) + min(1.0, 4 * documents / n) * ((1 << 64) - 1024)) for lang, n in counts.items()}
+    limits = F.create_map(*(F.lit(x) for item in highest.items() for x in item))
+    order = Window.partitionBy("lang").orderBy("_hash", "_id")
+    few = usable.select("_id", "lang", "_hash").where(F.col("_hash") <= F.try_element_at(limits, F.col("lang")))
+    chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= documents).select(F.col("_id").alias("_chosen"), F.col("lang").alias("_lang"), "rank").distinct()
+    return usable.join(chosen, (F.col("_id") == F.col("_chosen")) & (F.col("lang") == F.col("_lang"))).select("lang", "rank", "text")
 
 
 def train(df: DataFrame, trains: Column, documents: int = SAMPLE_DOCUMENTS, characters_at_most: int = SAMPLE_CHARACTERS, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
