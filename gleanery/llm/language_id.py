@@ -31,6 +31,8 @@ UNKNOWN = "und"
 #: Documents of a language that are learned from, at most, and characters of all of them together.
 SAMPLE_DOCUMENTS = 400
 SAMPLE_CHARACTERS = 2_000_000
+#: Chosen ids that are sent to every task, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Of these, one in so many calibrates instead.
 CALIBRATION = 5
 #: Characters scored at a time.
@@ -213,11 +215,13 @@ def training_rows(df: DataFrame, trains: Column, documents: int, id_col: str, te
     counts = {row["lang"]: row["count"] for row in usable.groupBy("lang").count().collect()}
     if not counts:
         return usable.select("lang", F.lit(0).alias("rank"), "text")
-    highest = {lang: int(-(1 << 63) + min(1.0, 4 * documents / n) * ((1 << 64) - 1024)) for lang, n in counts.items()}
+    highest = {lang: (int(min(1.0, 4 * documents / n) * (1 << 53)) << 11) - (1 << 63) - 1 for lang, n in counts.items()}
     limits = F.create_map(*(F.lit(x) for item in highest.items() for x in item))
     order = Window.partitionBy("lang").orderBy("_hash", "_id")
     few = usable.select("_id", "lang", "_hash").where(F.col("_hash") <= F.try_element_at(limits, F.col("lang")))
     chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= documents).select(F.col("_id").alias("_chosen"), F.col("lang").alias("_lang"), "rank").distinct()
+    # At most ``documents`` ids a language: few enough to send to every task, unless languages abound.
+    chosen = F.broadcast(chosen) if documents * len(counts) <= BROADCAST_ROWS else chosen
     return usable.join(chosen, (F.col("_id") == F.col("_chosen")) & (F.col("lang") == F.col("_lang"))).select("lang", "rank", "text")
 
 
