@@ -14,10 +14,12 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from gleanery.llm.common import map_rows
 
 SPACE = "▁"
 #: Units of text whose pieces a worker remembers.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_000_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -184,14 +186,15 @@ class Codec:
         if not self.by_word or "  " in text or text[0] == " " or text[-1] == " ":
             return np.array(self.engine.encode(text), np.int32)
         words, cache = text.split(" "), self.cache
+        if len(cache) > self.cache_units:
+            cache.clear()
+        found = list(map(cache.get, words))
         try:
-            return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32)
-        except KeyError:
-            if len(cache) > self.cache_units:
-                cache.clear()
-            new = [word for word in dict.fromkeys(words) if word not in cache]
+            return np.frombuffer(b"".join(found), np.int32)
+        except TypeError:  # a word isn't known yet
+            new = list(set(compress(words, map(is_, found, repeat(None)))))
             for word, ids in zip(new, self.engine.encode(new, num_threads=1)):
-                cache[word] = np.array(ids, np.int32).tobytes()
+                cache[word] = array("i", ids).tobytes()
             return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32)
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
