@@ -38,7 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
     done = df.checkpoint(eager=True)
-    if time.monotonic() - _collected[0] > COLLECT_EVERY_S:
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if time.monotonic() - _collected[0] > COLLECT_EVERY_S or heap.totalMemory() > heap.maxMemory() // 2:
         # Spark deletes the checkpoints, broadcasts and shuffle files of what is forgotten only
         # once the driver's JVM has collected it; loops of cuts would pile them up.
         spark._jvm.System.gc()
