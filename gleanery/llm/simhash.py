@@ -210,8 +210,9 @@ def near_duplicates(df: DataFrame, radius: int = 4, width: int = 4, distinct: bo
     rows = cut(fingerprints(df, width, distinct, id_col, text_col))
     first = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     members = cut(first.join(classes(first, radius), "fp"))
-    smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(members.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    # Written first, so that the join can split a component of very many fingerprints.
+    smallest = cut(members.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("component_id")))
+    named = cut(members.join(smallest.hint("merge"), F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id"))
     return rows.join(named, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
