@@ -15,6 +15,8 @@ from gleanery.shipping import ship_package
 
 #: Most bytes of input that one Arrow batch hands to a Python worker.
 BATCH_BYTES = 16 << 20
+#: Rows of a known small result that one task takes.
+ROWS_A_TASK = 50_000
 #: Seconds between collections of the driver's garbage, at least.
 COLLECT_EVERY_S = 3.0
 _collected = [0.0]
@@ -26,10 +28,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The same rows with their lineage cut, kept in the folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where it is unset
+    ``rows``, where a bound is known, gives small results few tasks and files. The folder is the session's ``spark.checkpoint.dir``; only where it is unset
     (tests on one machine) is a temporary one used.
     """
     spark = df.sparkSession
@@ -37,6 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_TASK + 1)
     done = df.checkpoint(eager=True)
     heap = spark._jvm.java.lang.Runtime.getRuntime()
     if time.monotonic() - _collected[0] > COLLECT_EVERY_S or heap.totalMemory() > heap.maxMemory() // 2:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut
+from gleanery.llm.common import ROWS_A_TASK, cut
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,18 +18,19 @@ def components(edges: DataFrame) -> DataFrame:
     edges can be split.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while not _stars(edges):
+    most = 2 * edges.count()  # rounds make no more edges than there were nodes and edges
+    while not _stars(edges, most):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), most)
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).distinct())
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = cut(large.unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).distinct(), most)
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")), most)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), most)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _stars(edges: DataFrame) -> bool:
+def _stars(edges: DataFrame, most: int) -> bool:
     """Whether every node has one edge down, to a node that has none."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")
-    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").coalesce(most // ROWS_A_TASK + 1).isEmpty()
