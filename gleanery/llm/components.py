@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import cut
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``cut`` that forgets the estimated size as well: joins multiply it, so that each round would double its digits."""
+    done, spark = cut(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """For each node of ``edges`` (columns a, b) that isn't a root: node, root (the component's smallest node).
 
@@ -17,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     for each node and joined back, with the minima written first, so that a hub's
     edges can be split.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = _cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
@@ -25,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large.unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).distinct())
         low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        edges = _cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -233,34 +233,72 @@ def shingle_sets(df: DataFrame, width: int, id_col: str, text_col: str, carry: s
     return map_rows(df.select(F.col(id_col), F.col(text_col), F.col(carry)), f"id {kinds[0]}, {carry} {kinds[1]}, shingles array<long>", start)
 
 
+def _links(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a member and a leader (column leader) of its class that are alike, each leader with itself as well."""
+    lead = cut(members.join(leaders, F.col("id") == F.col("leader")).select("leader", F.col("_class").alias("_of"), F.col("shingles").alias("_theirs")))
+    alike = _alike("shingles", "_theirs", similarity)
+    return cut(members.join(lead.hint("merge"), (F.col("_class") == F.col("_of")) & alike).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+
+
+def _alike(left: str, right: str, similarity: float):
+    # Sets of too different sizes can't be alike; only the others are intersected.
+    ours, theirs = F.size(left), F.size(right)
+    near = (ours >= F.lit(similarity) * theirs) & (theirs >= F.lit(similarity) * ours)
+    common = F.size(F.array_intersect(left, right))
+    return near & (common >= F.lit(similarity) * (ours + theirs - common))
+
+
+def _links_between(members: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of a class that are alike and differ in their label, by a prefix filter on rare shingles.
+
+    Sets of which one has n shingles share at least similarity * n if they are alike. So
+    they meet in the first n - similarity * n + 1 of each, in any order that all sets
+    follow: shingles of one label come first, as no such pair shares them, then rare ones.
+    """
+    spread = cut(members.select("id", "_class", "label", F.size("shingles").alias("_size"), F.explode("shingles").alias("shingle")))
+    shared = spread.groupBy("_class", "shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high")
+    shared = cut(shared.select(F.col("_class").alias("_of"), F.col("shingle").alias("_shared"), "_n"))
+    met = spread.join(shared.hint("merge"), (F.col("_class") == F.col("_of")) & (F.col("shingle") == F.col("_shared")))
+    own = Window.partitionBy("id")
+    met = met.withColumn("_nth", F.row_number().over(own.orderBy("_n", "shingle"))).withColumn("_met", F.count(F.lit(1)).over(own))
+    first = F.col("_size") - F.ceil(F.lit(similarity) * F.col("_size") - F.lit(1e-9)) + 1
+    prefix = cut(met.where(F.col("_size") - F.col("_met") + F.col("_nth") <= first).select("id", "_class", "label", "_size", "shingle"))
+    other = prefix.select(F.col("id").alias("_id2"), F.col("_class").alias("_class2"), F.col("label").alias("_label2"), F.col("_size").alias("_size2"), F.col("shingle").alias("_shingle2"))
+    sizes = (F.col("_size") >= F.lit(similarity) * F.col("_size2")) & (F.col("_size2") >= F.lit(similarity) * F.col("_size"))
+    meet = (F.col("_class") == F.col("_class2")) & (F.col("shingle") == F.col("_shingle2")) & (F.col("label") < F.col("_label2")) & sizes
+    pairs = cut(prefix.join(other.hint("merge"), meet).select(F.col("id").alias("a"), F.col("_id2").alias("b")).distinct())
+    sets = members.select("id", "shingles")
+    left = pairs.join(sets.withColumnsRenamed({"id": "_a", "shingles": "_ours"}).hint("merge"), F.col("a") == F.col("_a"))
+    both = left.join(sets.withColumnsRenamed({"id": "_b", "shingles": "_theirs"}).hint("merge"), F.col("b") == F.col("_b"))
+    return cut(both.where(_alike("_ours", "_theirs", similarity)).select("a", "b"))
+
+
 def verified_groups(df: DataFrame, radius: int = 6, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", leaders: int = 8) -> DataFrame:
     """Per row that has near copies: its id and group_id, the group's smallest id.
 
     Candidates are components of fingerprints over each text's distinct words; few
-    edits move such a fingerprint by few bits. Members of a component are then
-    compared with a growing number of its members by the Jaccard similarity of
-    their word shingles, until each is like one of them or has been one itself;
-    links of at least ``similarity`` make the groups.
+    edits move such a fingerprint by few bits. All links of a component, pairs whose
+    word shingles have a Jaccard similarity of at least ``similarity``, make the
+    groups. Up to ``leaders`` members are compared with all; in larger components
+    those that most leaders are like lead next, and what links different groups of
+    these is found by a join, so that a dense cloud isn't expanded into pairs.
     """
     candidates = cut(near_duplicates(df, radius, 1, True, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_class")))
-    several = candidates.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_class").alias("_several"))
-    members = cut(candidates.join(cut(several).hint("merge"), F.col("_class") == F.col("_several")).select("_id", "_class"))
+    several = cut(candidates.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_class").alias("_several"), (F.col("n") > leaders).alias("_large")))
+    members = cut(candidates.join(several.hint("merge"), F.col("_class") == F.col("_several")).select("_id", "_class", "_large"))
     texts = df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(members, F.col("_key") == F.col("_id"))
-    pending = cut(shingle_sets(texts, width, "_key", "_text", "_class"))
-    edges = None
-    while not pending.isEmpty():
-        order = Window.partitionBy("_class").orderBy(F.xxhash64("id"), "id")
-        chosen = pending.select("id", "_class").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= leaders).select(F.col("id").alias("leader"))
-        lead = cut(pending.join(chosen, F.col("id") == F.col("leader")).select("leader", F.col("_class").alias("_of"), F.col("shingles").alias("_theirs")))
-        # Sets of too different sizes can't be alike; only the others are intersected.
-        ours, theirs = F.size("shingles"), F.size("_theirs")
-        near = (ours >= F.lit(similarity) * theirs) & (theirs >= F.lit(similarity) * ours)
-        common = F.size(F.array_intersect("shingles", "_theirs"))
-        alike = near & (common >= F.lit(similarity) * (ours + theirs - common))
-        found = cut(pending.join(lead.hint("merge"), (F.col("_class") == F.col("_of")) & alike).select(F.col("id").alias("a"), F.col("leader").alias("b")))
-        edges = found if edges is None else edges.unionByName(found)
-        pending = cut(pending.join(found.select(F.col("a").alias("_done")).distinct(), F.col("id") == F.col("_done"), "left_anti"))
-        leaders *= 4
-    if edges is None:
-        return members.select(F.col("_id").alias(id_col), F.col("_class").alias("group_id"))
+    texts = texts.withColumn("_of", F.struct("_class", "_large"))
+    sets = cut(shingle_sets(texts, width, "_key", "_text", "_of").select("id", "_of._class", "_of._large", "shingles"))
+    order = Window.partitionBy("_class").orderBy(F.xxhash64("id"), "id")
+    chosen = sets.select("id", "_class").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= leaders).select(F.col("id").alias("leader"))
+    edges = _links(sets, chosen, similarity)
+    large = sets.where("_large").select("id", "_class", "shingles")
+    if not large.isEmpty():
+        degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("_links")).join(large.select("id", "_class"), F.col("a") == F.col("id")).join(chosen, F.col("a") == F.col("leader"), "left_anti")
+        order = Window.partitionBy("_class").orderBy(F.desc("_links"), F.xxhash64("id"), "id")
+        hubs = degree.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= leaders).select(F.col("id").alias("leader"))
+        edges = edges.unionByName(_links(large, hubs, similarity))
+        roots = components(edges.join(large.select("id"), F.col("a") == F.col("id"), "left_semi"))
+        labelled = large.join(roots, F.col("id") == F.col("node"), "left").select("id", "_class", "shingles", F.coalesce("root", "id").alias("label"))
+        edges = edges.unionByName(_links_between(labelled, similarity))
     return components(edges).select(F.col("node").alias(id_col), F.col("root").alias("group_id"))

@@ -226,6 +226,39 @@ def test_thresholds_keep_the_pigeonhole():
                 assert any((flip & mask).bit_count() <= t for mask, t in plan)
 
 
+def swapped(words, places):
+    """The words with those of some places exchanged with the next: the set of words, so its fingerprint, stays."""
+    words = list(words)
+    for k in places:
+        words[k], words[k + 1] = words[k + 1], words[k]
+    return words
+
+
+def test_verified_groups_finds_all_links(spark):
+    rng = random.Random(28)
+    base = [f"w{k}" for k in range(600)]
+    star = [base] + [swapped(base, rng.sample(range(0, 594, 7), 8)) for _ in range(50)]
+    chain = [[f"x{k}" for k in range(600)]]
+    for _ in range(39):
+        chain.append(swapped(chain[-1], rng.sample(range(0, 594, 7), 8)))
+    texts = [" ".join(words) for words in star + chain]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (texts[k].split() for k in order)]
+    group = list(range(len(sets)))
+    inside = []
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                inside.append((a, b))
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    assert len(set(group)) == 2 and len(inside) < 140  # few pairs hold the star and the chain together
+    found = {r["doc_id"]: r["group_id"] for r in simhash.verified_groups(docs(spark, *(texts[k] for k in order))).collect()}
+    assert found == {k: g for k, g in enumerate(group) if k != g}
+
+
 def test_verified_groups(spark):
     rng = random.Random(13)
     one, two = passage(rng, 300), passage(rng, 300)
