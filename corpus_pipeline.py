@@ -30,8 +30,10 @@ def _with_text(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id stays."""
-    kept = exact_dedup.dedup_exact(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(*docs.columns)
+    dropped = exact_dedup.dedup_exact(docs).where("not kept").select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha")).distinct()
+    # By text as well: rows without an id, or with a repeated one, may differ in it.
+    same = F.col("doc_id").eqNullSafe(F.col("_dropped")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_sha"))
+    return docs.join(dropped, same, "left_anti")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

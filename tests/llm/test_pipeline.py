@@ -81,3 +81,10 @@ def test_stages_by_brute_force(spark, tmp_path):
         assert r["offset"] + r["length"] <= 4096
     assert packed == lengths
     assert corpus_pipeline.run(spark, folder).count() == len(made[4])
+
+
+def test_exact_stage_keeps_unique_texts_without_an_id(spark):
+    rows = [(1, "a"), (2, "a"), (None, "a"), (None, "only here"), (None, None), (3, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.exact(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a"), (None, "only here"), (None, None), (3, "b")], key=str)
