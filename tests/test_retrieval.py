@@ -154,3 +154,15 @@ def test_embedding(spark):
     for bad in ([[1.0], [1.0, 2.0]], [[]], [[True]], [[float("nan")]], [[1.0]]):
         with pytest.raises(embedding.EmbeddingError):
             embedding.checked_vectors(bad, 2 if bad == [[1.0]] else len(bad), None)
+
+
+def test_every_turn_is_expanded(spark, tmp_path):
+    from gleanery.plans import catalog
+
+    rows = [(1, turn, "user", f"text {turn}") for turn in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["chunk_id"]: (r["admitted"], r["relations"]) for r in catalog.ctx_expand(spark, str(tmp_path)).collect()}
+    assert found == {
+        "c1/0": ("c1/1,c1/2", "child,child"), "c1/1": ("c1/0,c1/2", "parent,neighbor"), "c1/2": ("c1/0,c1/1", "parent,neighbor"),
+        "c1/3": ("c1/1,c1/0", "parent,parent"), "c1/4": ("c1/1,c1/0", "parent,parent"),
+    }
