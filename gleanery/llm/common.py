@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -15,9 +16,8 @@ from gleanery.shipping import ship_package
 
 #: Most bytes of input that one Arrow batch hands to a Python worker.
 BATCH_BYTES = 16 << 20
-#: Seconds between collections of the driver's garbage, at least.
-COLLECT_EVERY_S = 3.0
-_collected = [0.0]
+#: Rows, at most, of a table of keys that is sent to every task; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Rows an operator gathers before it hands an Arrow batch back.
 OUTPUT_ROWS = 2000
 
@@ -29,22 +29,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept in the folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where it is unset
-    (tests on one machine) is a temporary one used.
+    The folder is the session's ``spark.checkpoint.dir``. A cluster must set it; on
+    one machine, as in tests, a temporary one is used where it is unset. Spark deletes
+    what is no longer used if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[[^]]*\])?$", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
-    done = df.checkpoint(eager=True)
-    heap = spark._jvm.java.lang.Runtime.getRuntime()
-    if time.monotonic() - _collected[0] > COLLECT_EVERY_S or heap.totalMemory() > heap.maxMemory() // 2:
-        # Spark deletes the checkpoints, broadcasts and shuffle files of what is forgotten only
-        # once the driver's JVM has collected it; loops of cuts would pile them up.
-        spark._jvm.System.gc()
-        _collected[0] = time.monotonic()
-    return done
+    return df.checkpoint(eager=True)
+
+
+def small_or_merged(df: DataFrame) -> DataFrame:
+    """``df``, a written table of keys, with the hint to send it to every task if its size allows that, or else to sort and merge."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def shuffle_width(spark: SparkSession) -> int:

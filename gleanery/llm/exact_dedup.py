@@ -3,28 +3,48 @@
 Spark samples splitters and range-partitions the (normalised) bytes; each task
 sorts its range externally, so that equal texts are neighbours, and neighbours
 are compared in full. Splitters are of bounded size, as they pass the driver: the
-first bytes of a text and a salt, which lets them cut through a text, or a
-beginning, that makes up a large part of the rows. The few first rows of such cuts
-meet by digest and length, one row for each text and salt.
+first bytes of a text, then a number made from all of it, which lets them cut
+through a beginning that very many texts share but never through a text. A text
+that a sample shows to make up a large part of the rows is dealt over several
+ranges; the first rows of its runs, a few for each such text, are then compared in
+full among themselves.
 
 Edge cases: a null text counts as empty; equal rows (ties in the id as well) fall
-in one group and all rows with the kept id count as kept; an empty table gives an
-empty result; null ids never win against others; columns other than the two named
-are ignored, whatever their names.
+in one group, all rows with the kept id count as ``kept`` and just one row of each
+text ``stays``; null ids never win against others; an empty table gives an empty
+result; columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import cut, shuffle_width
 
-
 #: Bytes of a text that a splitter holds.
 SPLITTER_BYTES = 48
+#: Rows that are sampled, about, to find texts that make up a large part of all.
+SAMPLE_ROWS = 200_000
+#: A text is dealt over several ranges if it fills more than this part of one.
+LARGE_SHARE = 0.25
+
+
+def large_texts(rows: DataFrame, parts: int) -> DataFrame:
+    """Hashes of texts that would fill a large part of a range, and the ranges (slots) to deal each over.
+
+    At most parts / LARGE_SHARE rows, from a sample; a text that it misses makes a task larger, not a result wrong.
+    """
+    total = rows.count()
+    hashes = rows.select("_hash")
+    if total > SAMPLE_ROWS:
+        hashes = hashes.sample(False, SAMPLE_ROWS / total, 42)
+    share = F.col("count") / F.lit(min(total, SAMPLE_ROWS) or 1)
+    found = hashes.groupBy("_hash").count().where((share * parts > LARGE_SHARE) & (F.col("count") >= 8))
+    found = found.select("_hash", F.ceil(share * parts / LARGE_SHARE).cast("int").alias("_slots")).orderBy(F.desc("_slots"), "_hash").limit(int(parts / LARGE_SHARE)).collect()
+    return rows.sparkSession.createDataFrame([tuple(row) for row in found], "_large long, _slots int")
 
 
 def dedup_exact(
@@ -33,44 +53,52 @@ def dedup_exact(
     text_col: str = "text",
     keep: str = "smallest",
     normalize: Callable[[Column], Column] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row: its id, keep_id, group_size, kept, text_sha256 (of the normalised text) and n_bytes.
+    """Per row: its id, the columns to ``carry`` along, keep_id, group_size, kept, stays, text_sha256 (of the normalised text) and n_bytes.
 
     ``keep`` names the id that stays of equal texts: ``smallest`` or ``largest``.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be smallest or largest")
-    best = F.min if keep == "smallest" else F.max
     parts = shuffle_width(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("_id"), (normalize(text) if normalize else text).cast("binary").alias("_bytes"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(2 * parts)).cast("int"))
-    rows = rows.withColumn("_head", F.substring("_bytes", 1, SPLITTER_BYTES))
-    # The range partitioning by (head, salt) serves the window: no further exchange of texts.
-    sorted_rows = rows.repartitionByRange(parts, "_head", "_salt")
-    run = Window.partitionBy("_head", "_bytes", "_salt")
-    runs = cut(
-        sorted_rows.select(
-            "_id",
-            "_salt",
-            F.sha2("_bytes", 256).alias("_sha"),
-            F.length("_bytes").cast("long").alias("_size"),
-            best("_id").over(run).alias("_best"),
-            F.count(F.lit(1)).over(run).alias("_count"),
-            F.row_number().over(run.orderBy("_id")).alias("_nth"),
-        )
-    )
-    text_key = Window.partitionBy("_sha", "_size")
-    groups = runs.where("_nth = 1").select(
-        F.col("_sha").alias("_sha2"), F.col("_size").alias("_size2"), F.col("_salt").alias("_salt2"),
-        best("_best").over(text_key).alias("keep_id"), F.sum("_count").over(text_key).alias("group_size"),
+    # A text that is carried unchanged moves once.
+    whole = [k for k, name in enumerate(carry) if name == text_col and normalize is None]
+    moved = [F.col(name).isNull().alias(f"_carried_{k}") if k in whole else F.col(name).alias(f"_carried_{k}") for k, name in enumerate(carry)]
+    rows = df.select(F.col(id_col).alias("_id"), (normalize(text) if normalize else text).cast("binary").alias("_bytes"), *moved)
+    rows = rows.withColumns({"_hash": F.xxhash64("_bytes"), "_head": F.substring("_bytes", 1, SPLITTER_BYTES)})
+    first = F.col("_id").asc_nulls_last() if keep == "smallest" else F.col("_id").desc_nulls_last()
+
+    def runs(some: DataFrame) -> DataFrame:
+        # The range partitioning serves the window, so texts move once. It sorts by whole
+        # texts within a range; rows belong together where neighbours' bytes are equal.
+        ranged = some.withColumn("_deal", F.pmod("_hash", F.lit(2 * parts)).cast("int")).repartitionByRange(parts, "_head", "_deal", "_salt")
+        run = Window.partitionBy("_head", "_deal", "_salt", "_bytes").orderBy(first)
+        all_of_it = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return ranged.withColumns({"_nth": F.row_number().over(run), "keep_id": F.first("_id").over(all_of_it), "group_size": F.count(F.lit(1)).over(all_of_it)})
+
+    def result(some: DataFrame, stays: Column) -> DataFrame:
+        given = [F.when(~F.col(f"_carried_{k}"), F.col("_bytes").cast("string")).alias(name) if k in whole else F.col(f"_carried_{k}").alias(name) for k, name in enumerate(carry)]
+        return some.select(
+            F.col("_id").alias(id_col), *given, "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+            stays.alias("stays"), F.lower(F.sha2("_bytes", 256)).alias("text_sha256"), F.length("_bytes").cast("long").alias("n_bytes"),
+        )
+
+    large = large_texts(rows, parts)
+    if large.isEmpty():
+        return result(runs(rows.withColumn("_salt", F.lit(0))), F.col("_nth") == 1)
+    # Of bounded size: see large_texts.
+    dealt = rows.join(F.broadcast(large), F.col("_hash") == F.col("_large"), "left").drop("_large")
+    light = result(runs(dealt.where("_slots is null").withColumn("_salt", F.lit(0)).drop("_slots")), F.col("_nth") == 1)
+    salted = cut(runs(dealt.where("_slots is not null").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_slots")).cast("int")).drop("_slots")))
+    # One row for each text and slot, compared in full; each has its slot's best id.
+    same = Window.partitionBy("_hash", "_bytes").orderBy(first, "_salt")
+    all_of_them = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = salted.where("_nth = 1").select(
+        F.col("_hash").alias("_hash2"), F.col("_salt").alias("_salt2"), F.col("_bytes").alias("_bytes2"), F.row_number().over(same).alias("_nth2"),
+        F.first("_id").over(all_of_them).alias("_keep2"), F.sum("group_size").over(all_of_them).alias("_size2"),
     )
-    same = (F.col("_sha") == F.col("_sha2")) & (F.col("_size") == F.col("_size2")) & (F.col("_salt") == F.col("_salt2"))
-    return runs.join(groups, same).select(
-        F.col("_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower("_sha").alias("text_sha256"),
-        F.col("_size").alias("n_bytes"),
-    )
+    met = (F.col("_hash") == F.col("_hash2")) & (F.col("_salt") == F.col("_salt2")) & (F.col("_bytes") == F.col("_bytes2"))
+    heavy = salted.join(cut(firsts).hint("merge"), met).withColumns({"keep_id": F.col("_keep2"), "group_size": F.col("_size2")})
+    return light.unionByName(result(heavy, (F.col("_nth") == 1) & (F.col("_nth2") == 1)))

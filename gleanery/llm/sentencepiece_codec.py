@@ -27,7 +27,7 @@ from gleanery.llm.common import map_rows
 
 SPACE = "▁"
 #: Units of text whose pieces a worker remembers.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 200_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:

@@ -22,6 +22,7 @@ result; columns other than the two named are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 from math import comb, log
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, map_rows
+from gleanery.llm.common import cut, map_rows, small_or_merged
 from gleanery.llm.components import components
 
 BITS = 64
@@ -198,6 +199,12 @@ def classes(prints: DataFrame, radius: int, pivots: int = 2) -> DataFrame:
     probes = flipped[0]
     for more in flipped[1:]:
         probes = probes.unionByName(more)
+    # A bucket of one label only has nothing for a probe of that label: members of a dense
+    # cloud, which share a label by now, don't meet each other again.
+    held = cut(index.groupBy("part", "sig").agg(F.min("label").alias("_low"), F.max("label").alias("_high")))
+    held = held.select(F.col("part").alias("_part"), F.col("sig").alias("_sig"), "_low", "_high")
+    asked = (F.col("part2") == F.col("_part")) & (F.col("sig2") == F.col("_sig")) & ((F.col("label2") != F.col("_low")) | (F.col("label2") != F.col("_high")))
+    probes = probes.join(held.hint("merge"), asked).select("fp2", "label2", "part2", "sig2")
     meet = (F.col("part") == F.col("part2")) & (F.col("sig") == F.col("sig2")) & (F.col("fp") < F.col("fp2")) & (F.col("label") != F.col("label2")) & (_far("fp", "fp2") <= radius)
     # What links components of stars links all of them; only their labels go on.
     pairs = probes.join(index.hint("merge"), meet).select(F.col("label").alias("a"), F.col("label2").alias("b"))
@@ -216,28 +223,76 @@ def near_duplicates(df: DataFrame, radius: int = 4, width: int = 4, distinct: bo
     return rows.join(named, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(df: DataFrame, width: int, id_col: str, text_col: str, carry: str) -> DataFrame:
-    """Per row: id, the column to carry, and the distinct hashes of the text's word shingles."""
-    kinds = [df.schema[name].dataType.simpleString() for name in (id_col, carry)]
+#: Fingerprints of sampled shingles that each text has besides that of all its shingles, and shingles in each.
+VIEWS, VIEW_SHINGLES = 16, 4
+#: Members of a bucket that are compared with all of it.
+PIVOTS = 3
+#: 64-bit words of the sketches that bound how much two sets share.
+WORDS = 16
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order; fewer words than a shingle make one."""
+    words = (text or "").encode().lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(word) + 1 for word in words]) - 1
+    starts = np.concatenate(([0], ends[:-width] + 1)).tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of some hashes, as a signed long."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def view_factors(views: int = VIEWS, seed: int = SEED) -> np.ndarray:
+    """Odd numbers; multiplication by one orders hashes anew."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, views, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def view_prints(hashes: np.ndarray, factors: np.ndarray, shingles: int = VIEW_SHINGLES) -> list[int]:
+    """For each factor the SimHash of the shingles that it puts first; texts that share those share the fingerprint."""
+    out = []
+    for factor in factors:
+        order = hashes * factor
+        if len(order) > shingles:
+            order = np.partition(order, shingles - 1)[:shingles]
+        out.append(majority(order))
+    return out
+
+
+def text_prints(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, node (MD5 of its text), fp (SimHash of its shingles), size (its shingles) and views."""
+    kind = df.schema[id_col].dataType.simpleString()
 
     def start():
-        digest = xxhash.xxh64_intdigest
+        factors = view_factors()
 
-        def one(key, text, carried):
-            words = (text or "").encode().lower().split()
-            found = {digest(b" ".join(words[k : k + width]), SEED) for k in range(max(1, len(words) - width + 1))}
-            return [(key, carried, np.array(sorted(found), "<u8").view("<i8"))]
+        def one(key, text):
+            hashes = shingle_hashes(text, width)
+            return [(key, hashlib.md5((text or "").encode()).digest(), majority(hashes), len(hashes), view_prints(hashes, factors))]
 
         return one
 
-    return map_rows(df.select(F.col(id_col), F.col(text_col), F.col(carry)), f"id {kinds[0]}, {carry} {kinds[1]}, shingles array<long>", start)
+    return map_rows(df.select(F.col(id_col), F.col(text_col)), f"id {kind}, node binary, fp long, size int, views array<long>", start)
+
+
+def text_node(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def _links(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a member and a leader (column leader) of its class that are alike, each leader with itself as well."""
-    lead = cut(members.join(leaders, F.col("id") == F.col("leader")).select("leader", F.col("_class").alias("_of"), F.col("shingles").alias("_theirs")))
-    alike = _alike("shingles", "_theirs", similarity)
-    return cut(members.join(lead.hint("merge"), (F.col("_class") == F.col("_of")) & alike).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """Per row of node and text: node and the distinct hashes of the text's word shingles."""
+
+    def start():
+        return lambda node, text: [(node, shingle_hashes(text, width).view(np.int64))]
+
+    return map_rows(texts.select("node", "text"), "node binary, shingles array<long>", start, output_rows=500)
 
 
 def _alike(left: str, right: str, similarity: float):
@@ -248,57 +303,95 @@ def _alike(left: str, right: str, similarity: float):
     return near & (common >= F.lit(similarity) * (ours + theirs - common))
 
 
-def _links_between(members: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of a class that are alike and differ in their label, by a prefix filter on rare shingles.
-
-    Sets of which one has n shingles share at least similarity * n if they are alike. So
-    they meet in the first n - similarity * n + 1 of each, in any order that all sets
-    follow: shingles of one label come first, as no such pair shares them, then rare ones.
-    """
-    spread = cut(members.select("id", "_class", "label", F.size("shingles").alias("_size"), F.explode("shingles").alias("shingle")))
-    shared = spread.groupBy("_class", "shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high")
-    shared = cut(shared.select(F.col("_class").alias("_of"), F.col("shingle").alias("_shared"), "_n"))
-    met = spread.join(shared.hint("merge"), (F.col("_class") == F.col("_of")) & (F.col("shingle") == F.col("_shared")))
-    own = Window.partitionBy("id")
-    met = met.withColumn("_nth", F.row_number().over(own.orderBy("_n", "shingle"))).withColumn("_met", F.count(F.lit(1)).over(own))
-    first = F.col("_size") - F.ceil(F.lit(similarity) * F.col("_size") - F.lit(1e-9)) + 1
-    prefix = cut(met.where(F.col("_size") - F.col("_met") + F.col("_nth") <= first).select("id", "_class", "label", "_size", "shingle"))
-    other = prefix.select(F.col("id").alias("_id2"), F.col("_class").alias("_class2"), F.col("label").alias("_label2"), F.col("_size").alias("_size2"), F.col("shingle").alias("_shingle2"))
-    sizes = (F.col("_size") >= F.lit(similarity) * F.col("_size2")) & (F.col("_size2") >= F.lit(similarity) * F.col("_size"))
-    meet = (F.col("_class") == F.col("_class2")) & (F.col("shingle") == F.col("_shingle2")) & (F.col("label") < F.col("_label2")) & sizes
-    pairs = cut(prefix.join(other.hint("merge"), meet).select(F.col("id").alias("a"), F.col("_id2").alias("b")).distinct())
-    sets = members.select("id", "shingles")
-    left = pairs.join(sets.withColumnsRenamed({"id": "_a", "shingles": "_ours"}).hint("merge"), F.col("a") == F.col("_a"))
-    both = left.join(sets.withColumnsRenamed({"id": "_b", "shingles": "_theirs"}).hint("merge"), F.col("b") == F.col("_b"))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are alike."""
+    left = pairs.join(sets.select(F.col("node").alias("_a"), F.col("shingles").alias("_ours")).hint("merge"), F.col("a") == F.col("_a"))
+    both = left.join(sets.select(F.col("node").alias("_b"), F.col("shingles").alias("_theirs")).hint("merge"), F.col("b") == F.col("_b"))
     return cut(both.where(_alike("_ours", "_theirs", similarity)).select("a", "b"))
 
 
-def verified_groups(df: DataFrame, radius: int = 6, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", leaders: int = 8) -> DataFrame:
-    """Per row that has near copies: its id and group_id, the group's smallest id.
+def _pairs_between(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels that can be alike, by a prefix filter on rare shingles.
 
-    Candidates are components of fingerprints over each text's distinct words; few
-    edits move such a fingerprint by few bits. All links of a component, pairs whose
-    word shingles have a Jaccard similarity of at least ``similarity``, make the
-    groups. Up to ``leaders`` members are compared with all; in larger components
-    those that most leaders are like lead next, and what links different groups of
-    these is found by a join, so that a dense cloud isn't expanded into pairs.
+    ``sets`` has node, label and shingles. Only shingles that two labels have are
+    shared by any pair asked for. If a set of n shingles is alike to a larger one they
+    share at least 2s / (1 + s) * n, and at least s * n if to a smaller one, so that
+    they meet in the first of each in any order that all sets follow: rare ones come
+    first. Sketches of those shingles, a bit for each, tell how many of one set's the
+    other lacks at least; they turn nearly all other pairs away before these leave
+    the join. Neither bound loses a pair.
+    """
+    s = F.lit(similarity)
+    # Labels are told apart by hashes here, so that they take little room.
+    spread = sets.select("node", F.xxhash64("label").alias("label"), F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    shared = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high")
+    shared = cut(shared.select(F.col("shingle").alias("_shared"), "_n"))
+    met = spread.join(shared.hint("merge"), F.col("shingle") == F.col("_shared"))
+    own = Window.partitionBy("node")
+    place = F.pmod("shingle", F.lit(64 * WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = [F.bit_or(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))).over(own).alias(f"w{k}") for k in range(WORDS)]
+    met = met.select("node", "label", "size", "shingle", F.row_number().over(own.orderBy("_n", "shingle")).alias("_nth"), F.count(F.lit(1)).over(own).alias("met"), *words)
+    # What isn't shared with another label comes first in the order.
+    place = F.col("size") - F.col("met") + F.col("_nth")
+    smaller = F.col("size") - F.ceil(2 * s / (1 + s) * F.col("size") - F.lit(1e-9)) + 1
+    larger = F.col("size") - F.ceil(s * F.col("size") - F.lit(1e-9)) + 1
+    prefix = cut(met.where((F.col("met") >= s * F.col("size") - F.lit(1e-9)) & (place <= larger)).withColumn("lead", place <= smaller).drop("_nth"))
+    small = prefix.where("lead").drop("lead")
+    large = prefix.drop("lead").select(*(F.col(name).alias(f"{name}_2") for name in prefix.columns if name != "lead"))
+    least = s / (1 + s) * (F.col("size") + F.col("size_2")) - F.lit(1e-9)
+
+    def shares(one: str, other: str):
+        lacking = sum((F.bit_count(F.col(f"w{k}{one}").bitwiseAND(F.bitwise_not(F.col(f"w{k}{other}")))) for k in range(1, WORDS)), F.bit_count(F.col(f"w0{one}").bitwiseAND(F.bitwise_not(F.col(f"w0{other}")))))
+        return F.col(f"met{one}") - lacking
+
+    order = (F.col("size") < F.col("size_2")) | ((F.col("size") == F.col("size_2")) & (F.col("node") != F.col("node_2")))
+    meet = (F.col("shingle") == F.col("shingle_2")) & (F.col("label") != F.col("label_2")) & order & (F.col("size") >= s * F.col("size_2") - F.lit(1e-9)) & (shares("", "_2") >= least) & (shares("_2", "") >= least)
+    pairs = small.join(large.hint("merge"), meet)
+    return cut(pairs.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct())
+
+
+def verified_groups(df: DataFrame, radius: int = 4, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of a near copy that doesn't stay: its id, node (``text_node`` of its text) and group_id, the id of the row that stays.
+
+    Groups are connected by pairs of texts whose distinct word shingles have a Jaccard
+    similarity of at least ``similarity``. Candidates meet in buckets: the class of their
+    SimHash over all shingles (generalised pigeonhole, ``radius`` bits), and equal
+    SimHashes over each of ``VIEWS`` small samples of shingles, which find what differs in
+    more bits (at 0.8, all but 0.02 % of pairs share one). A few pivots are compared with
+    all of their bucket. Texts of larger buckets that are still in different groups meet
+    by rare shingles, so that no pair of candidates is left out and yet a cloud of copies
+    isn't expanded into pairs. Of a group the smallest id stays, null ids last.
     """
-    candidates = cut(near_duplicates(df, radius, 1, True, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_class")))
-    several = cut(candidates.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_class").alias("_several"), (F.col("n") > leaders).alias("_large")))
-    members = cut(candidates.join(several.hint("merge"), F.col("_class") == F.col("_several")).select("_id", "_class", "_large"))
-    texts = df.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(members, F.col("_key") == F.col("_id"))
-    texts = texts.withColumn("_of", F.struct("_class", "_large"))
-    sets = cut(shingle_sets(texts, width, "_key", "_text", "_of").select("id", "_of._class", "_of._large", "shingles"))
-    order = Window.partitionBy("_class").orderBy(F.xxhash64("id"), "id")
-    chosen = sets.select("id", "_class").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= leaders).select(F.col("id").alias("leader"))
-    edges = _links(sets, chosen, similarity)
-    large = sets.where("_large").select("id", "_class", "shingles")
-    if not large.isEmpty():
-        degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("_links")).join(large.select("id", "_class"), F.col("a") == F.col("id")).join(chosen, F.col("a") == F.col("leader"), "left_anti")
-        order = Window.partitionBy("_class").orderBy(F.desc("_links"), F.xxhash64("id"), "id")
-        hubs = degree.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= leaders).select(F.col("id").alias("leader"))
-        edges = edges.unionByName(_links(large, hubs, similarity))
-        roots = components(edges.join(large.select("id"), F.col("a") == F.col("id"), "left_semi"))
-        labelled = large.join(roots, F.col("id") == F.col("node"), "left").select("id", "_class", "shingles", F.coalesce("root", "id").alias("label"))
-        edges = edges.unionByName(_links_between(labelled, similarity))
-    return components(edges).select(F.col("node").alias(id_col), F.col("root").alias("group_id"))
+    prints = cut(text_prints(df, width, id_col, text_col))
+    best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))
+    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("views").alias("views"), F.min(best).alias("best")))
+    roots = classes(nodes.select("fp").distinct(), radius)
+    classed = nodes.select("node", "fp").join(roots.withColumnRenamed("fp", "_fp").hint("merge"), F.col("fp") == F.col("_fp")).select("node", F.lit(-1).alias("view"), F.col("root").alias("key"))
+    rows = classed.unionByName(nodes.select("node", F.posexplode("views").alias("view", "key")))
+
+    picks = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
+    several = rows.groupBy("view", "key").agg(F.count(F.lit(1)).alias("n"), *picks).where("n > 1")
+    several = cut(several.select(F.col("view").alias("_view"), F.col("key").alias("_key"), F.col("n"), F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivots")))
+    buckets = cut(rows.join(several.hint("merge"), (F.col("view") == F.col("_view")) & (F.col("key") == F.col("_key"))).select("node", "view", "key", "n", "pivots"))
+    edges = buckets.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    members = cut(buckets.select("node").distinct())
+    texts = df.select(text_node(text_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(small_or_merged(members), "node", "left_semi")
+    sets = cut(shingle_sets(texts.groupBy("node").agg(F.first("text").alias("text")), width))
+    links = _verified(edges, sets, similarity)
+
+    first = components(links)
+    named = cut(buckets.where(F.col("n") > PIVOTS + 1).select("node", "view", "key").join(first.withColumnsRenamed({"node": "_node", "root": "_root"}).hint("merge"), F.col("node") == F.col("_node"), "left").select("node", "view", "key", F.coalesce("_root", "node").alias("label")))
+    mixed = named.groupBy("view", "key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high")
+    mixed = cut(mixed.select(F.col("view").alias("_view"), F.col("key").alias("_key")))
+    open_nodes = cut(named.join(mixed.hint("merge"), (F.col("view") == F.col("_view")) & (F.col("key") == F.col("_key")), "left_semi").select("node", "label").distinct())
+    asked = sets.withColumnRenamed("node", "_node").join(open_nodes.hint("merge"), F.col("_node") == F.col("node")).select("node", "label", "shingles")
+    more = _verified(_pairs_between(asked, similarity), sets, similarity)
+    groups = cut(components(links.unionByName(more)))
+
+    grouped = nodes.select("node", "best").join(groups.withColumnRenamed("node", "_node").hint("merge"), F.col("node") == F.col("_node"), "left")
+    grouped = cut(grouped.select("node", "best", F.coalesce("root", "node").alias("root")))
+    stays = grouped.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct("best", "node")).alias("_stays"))
+    told = prints.select("id", F.col("node").alias("_node")).join(grouped.hint("merge"), F.col("_node") == F.col("node")).join(cut(stays).hint("merge"), F.col("root") == F.col("_root"))
+    dropped = told.where((F.col("node") != F.col("_stays.node")) | ~F.col("id").eqNullSafe(F.col("_stays.best.id")))
+    return cut(dropped.select(F.col("id").alias(id_col), "node", F.col("_stays.best.id").alias("group_id")))
