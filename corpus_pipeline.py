@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import exact_dedup, packing, quality_rules, simhash, substring_dedup
-from gleanery.llm.common import read_table
+from gleanery.llm.common import cut, read_table, small_or_merged
 from gleanery.llm.queries import WORD_MODEL, vocabulary
 
 
@@ -29,17 +29,17 @@ def _with_text(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id stays."""
-    dropped = exact_dedup.dedup_exact(docs).where("not kept").select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha")).distinct()
-    # By text as well: rows without an id, or with a repeated one, may differ in it.
-    same = F.col("doc_id").eqNullSafe(F.col("_dropped")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_sha"))
-    return docs.join(dropped, same, "left_anti")
+    """Of equal texts, the document with the smallest id stays; of several without an id, one."""
+    others = [name for name in docs.columns if name != "doc_id"]
+    return exact_dedup.dedup_exact(docs, carry=others).where("stays").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id stays."""
-    dropped = simhash.verified_groups(docs).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    dropped = simhash.verified_groups(docs).select(F.col("doc_id").alias("_dropped"), F.col("node").alias("_node"))
+    # By text as well: rows without an id, or with a repeated one, may differ in it.
+    same = F.col("doc_id").eqNullSafe(F.col("_dropped")) & (simhash.text_node("text") == F.col("_node"))
+    return docs.join(small_or_merged(dropped), same, "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,10 @@ STAGES = [("quality rules", quality), ("exact dedup", exact), ("SimHash near-ded
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        # Written, as stages read their input more than once.
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The packing plan and the line rules are beyond SQL; tests/llm hold the stages against brute force.
