@@ -5,13 +5,15 @@ zero, within a least and a most size, so that boundaries follow the content and
 find each other again after an insertion. Chunks are compared by 128-bit digest.
 The first of equal chunks, by document id and place, stays; a later one is a
 repeat. A run of neighbouring repeats of at least ``min_run`` bytes is a repeated
-passage and is removed, but for the words at its ends that chunks cut through.
+passage and is removed, but for the words at its ends that chunks cut through; in
+text without white space, but for the characters cut through.
 
 Edge cases: a null text counts as empty and stays empty; a text shorter than a
 chunk is one chunk; whole texts are chunked, in numpy, in blocks of bounded size;
 of equal texts under several ids the smallest id keeps its text; rows of equal ids
-are one document and keep or lose the same; a row with a null id loses nothing but
-what it repeats itself, and is nobody's source; an empty table gives an empty
+don't take passages from each other, but each loses what it has twice or what a
+smaller id has; a row with a null id comes after all others, loses what they have
+and what it has twice, and is nobody's source; an empty table gives an empty
 result; columns other than those named are ignored, whatever their names.
 """
 
@@ -31,6 +33,8 @@ from gleanery.llm.common import cut, map_rows
 MEMORY = 32
 #: Bytes that are hashed at a time.
 BLOCK = 1 << 20
+#: Bytes in which a word's end is looked for; texts without any there have no words to keep whole.
+LONGEST_WORD = 64
 
 
 def gear_table(seed: int = 42) -> np.ndarray:
@@ -91,38 +95,44 @@ def chunk_ends(data: bytes, chunking: Chunking, table: np.ndarray) -> list[int]:
     return ends
 
 
+def _text_key(text_col: str):
+    """Tells apart rows that share an id."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _chunks(df: DataFrame, chunking: Chunking, id_col: str, text_col: str) -> DataFrame:
-    """One row a chunk: id, high, low, begin, end, local (whether an earlier chunk of the document equals it)."""
+    """One row a document that isn't empty: id, key (of its text), and for each chunk high, low, end, local (whether an earlier chunk of the document equals it)."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def start():
         table, digest = gear_table(chunking.seed), xxhash.xxh3_128_digest
 
-        def one(key, text):
+        def one(key, of_text, text):
             data = (text or "").encode()
             ends = chunk_ends(data, chunking, table)
             digests = [digest(data[a:b]) for a, b in zip([0, *ends], ends)]
             longs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             known = set()
             local = [x in known or known.add(x) is not None for x in digests]
-            return [(key, longs[:, 0], longs[:, 1], [0, *ends[:-1]], ends, local)] if ends else []
+            return [(key, of_text, longs[:, 0], longs[:, 1], ends, local)] if ends else []
 
         return one
 
-    rows = map_rows(df.select(F.col(id_col), F.col(text_col)), f"id {kind}, high array<long>, low array<long>, begin array<int>, end array<int>, local array<boolean>", start)
-    return rows.select("id", F.inline(F.arrays_zip("high", "low", "begin", "end", "local")))
+    return map_rows(df.select(F.col(id_col), _text_key(text_col), F.col(text_col)), f"id {kind}, key long, high array<long>, low array<long>, end array<int>, local array<boolean>", start)
 
 
 def repeated_chunks(df: DataFrame, chunking: Chunking = Chunking(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with any: id and repeats, its chunks that a smaller id or an earlier place has, as (begin, end, source)."""
-    chunks = _chunks(df, chunking, id_col, text_col)
+    """Per document with any: id, key and repeats, its chunks that a smaller id or an earlier place has, as (begin, end, source)."""
+    # Written, so that texts are chunked once.
+    found = cut(_chunks(df, chunking, id_col, text_col))
+    chunks = found.withColumn("begin", F.concat(F.array(F.lit(0)), F.slice("end", F.lit(1), F.size("end") - 1))).select("id", "key", F.inline(F.arrays_zip("high", "low", "begin", "end", "local")))
     # A digest's rows are summed up before they move. What repeats is written before it is
     # joined, so that the chunks of a passage shared by very many documents can be split.
     first = chunks.groupBy("high", "low").agg(F.min("id").alias("source"), F.count(F.lit(1)).alias("n"))
     first = cut(first.where("n > 1").select(F.col("high").alias("h"), F.col("low").alias("l"), "source"))
-    same = (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("local") | (F.col("id") != F.col("source")))
+    same = (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("local") | ~F.col("id").eqNullSafe(F.col("source")))
     again = chunks.join(first.hint("merge"), same)
-    return again.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "source"))).alias("repeats"))
+    return again.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "source"))).alias("repeats"))
 
 
 def passages(repeats: Sequence, min_run: int) -> list[tuple]:
@@ -137,13 +147,21 @@ def passages(repeats: Sequence, min_run: int) -> list[tuple]:
 
 
 def whole_words(data: bytes, begin: int, end: int) -> tuple[int, int]:
-    """The span without the words that it cuts, so that what stays are whole characters and words."""
+    """The span without the words that it cuts, or where no white space is near, the characters."""
     if begin and not data[begin - 1 : begin].isspace():
-        while begin < end and not data[begin : begin + 1].isspace():
-            begin += 1
+        space = next((k for k in range(begin, min(begin + LONGEST_WORD, end)) if data[k : k + 1].isspace()), None)
+        if space is not None:
+            begin = space
+        else:
+            while begin < end and data[begin] & 0xC0 == 0x80:
+                begin += 1
     if end < len(data) and not data[end : end + 1].isspace():
-        while end > begin and not data[end - 1 : end].isspace():
-            end -= 1
+        space = next((k for k in range(end, max(end - LONGEST_WORD, begin), -1) if data[k - 1 : k].isspace()), None)
+        if space is not None:
+            end = space
+        else:
+            while end > begin and data[end] & 0xC0 == 0x80:
+                end -= 1
     return begin, end
 
 
@@ -151,9 +169,9 @@ def dedup_substrings(df: DataFrame, chunking: Chunking = Chunking(), min_run: in
     """Per row: its id, the columns to ``carry`` along, clean_text, removed_bytes and runs (begin, end, source_id)."""
     kinds = [df.schema[name].dataType.simpleString() for name in (id_col, *carry)]
     names = ["id", *(f"_carried_{k}" for k in range(len(carry)))]
-    repeats = repeated_chunks(df, chunking, id_col, text_col).withColumnRenamed("id", "_key")
+    repeats = repeated_chunks(df, chunking, id_col, text_col).withColumnsRenamed({"id": "_of", "key": "_key"})
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(name).alias(f"_carried_{k}") for k, name in enumerate(carry)))
-    rows = rows.join(repeats, F.col("_id") == F.col("_key"), "left").drop("_key")
+    rows = rows.join(repeats, F.col("_id").eqNullSafe(F.col("_of")) & (_text_key("_text") == F.col("_key")), "left").drop("_of", "_key")
 
     def start():
         def one(key, text, *others):
