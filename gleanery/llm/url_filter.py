@@ -9,13 +9,15 @@ URL is judged by expressions over constants, without a join.
 
 Level 0 has about 1.44 log2(unlisted / listed) bits a listed key and the others a
 constant number, so a cascade grows with the list, and with the corpus only as its
-logarithm. Its size is checked against ``MAX_BITS`` before any of it reaches the
-driver; a longer list is answered by a join with the labelled universe.
+logarithm. Keys are dealt over shards by their hash, so that a shard has at most
+about ``SHARD_BITS``, whatever the list's size. A single shard is a constant; several
+are a table of one row a shard, which keys meet by their shard's number.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and fits
-no rule; a URL without a path fits no rule, as every rule has one; equal URLs get
-equal rows; an empty table gives an empty result; an empty list fits nothing;
-columns other than the two named are ignored, whatever their names.
+no rule; a URL without a path fits no rule, as every rule has one; of rules of equal
+length that fit, the last in alphabetical order counts; equal URLs get equal rows; an
+empty table gives an empty result; an empty list fits nothing; columns other than the
+two named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut
+from gleanery.llm.common import cut, small_or_merged
 
-#: Bits that all levels of a cascade may have together (1 MB).
-MAX_BITS = 1 << 23
+#: Bits that all levels of a shard have together, about (1 MB).
+SHARD_BITS = 1 << 23
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,6 +65,20 @@ def candidate_keys(host: Column, path: Column, shapes: Sequence[tuple[int, int]]
     return F.transform(ordered, lambda x: x["key"])
 
 
+def positions(key: Column, number: Column | int, bits: Column, hashes: Column) -> Column:
+    """Where a level's bitmap has a key."""
+    number = F.lit(number) if isinstance(number, int) else number
+    first = F.pmod(F.xxhash64(key, 2 * number), bits)
+    step = F.pmod(F.xxhash64(key, 2 * number + 1), bits)
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda j: F.pmod(first + step * j, bits))
+
+
+def contains(key: Column, level: Column) -> Column:
+    """Whether a level, struct(number, bits, hashes, words), takes a key for one of its own."""
+    spots = positions(key, level["number"], level["bits"], level["hashes"])
+    return F.forall(spots, lambda p: F.getbit(F.get(level["words"], F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+
+
 @dataclass
 class Level:
     number: int
@@ -70,59 +86,96 @@ class Level:
     hashes: int
     words: list[int] = field(default_factory=list)
 
-    def positions(self, key: Column) -> Column:
-        first = F.pmod(F.xxhash64(key, F.lit(2 * self.number)), F.lit(self.bits))
-        step = F.pmod(F.xxhash64(key, F.lit(2 * self.number + 1)), F.lit(self.bits))
-        return F.transform(F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda j: F.pmod(first + step * j, F.lit(self.bits)))
-
     def has(self, key: Column) -> Column:
         words = F.from_json(F.lit(str(self.words)), "array<bigint>")  # folded to a constant
-        return F.forall(self.positions(key), lambda p: F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+        spots = positions(key, self.number, F.lit(self.bits).cast("long"), F.lit(self.hashes))
+        return F.forall(spots, lambda p: F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
 
 
-def encode(keys: DataFrame, level: Level) -> Level:
-    """``level`` with the words of its bitmap set for ``keys``."""
-    spots = keys.select(F.explode(level.positions(F.col("key"))).alias("p"))
-    word = spots.groupBy(F.floor(F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits"))
-    level.words = [0] * math.ceil(level.bits / 64)
-    for row in word.collect():
-        level.words[row["word"]] = row["bits"]
-    return level
+def _words(spots: DataFrame, *by: str) -> DataFrame:
+    """The 64-bit words of a bitmap from the places (p) that are set."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))
+    return spots.groupBy(*by, F.floor(F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits64"))
 
 
 class Cascade:
     """Exact membership of the keys of a universe."""
 
-    def __init__(self, labelled: DataFrame, max_bits: int = MAX_BITS):
+    def __init__(self, labelled: DataFrame, shard_bits: int = SHARD_BITS):
         """``labelled``: distinct keys of universe and list, and whether each is listed."""
-        self.levels: list[Level] = []
         counts = {row["listed"]: row["count"] for row in labelled.groupBy("listed").count().collect()}
-        ask = [counts.get(True, 0), counts.get(False, 0)]
+        listed, others = counts.get(True, 0), counts.get(False, 0)
+        self.miss = min(0.5, math.sqrt(0.5) * listed / max(1, others))
+        # The levels after the first have about 2.4 keys, of one hash each, to a listed one.
+        self.shards = max(1, math.ceil(1.4427 * listed * (self.hashes(0) + 2.4) / shard_bits))
+        self.levels: list[Level] = []
+        self.table: DataFrame | None = None
+        if self.shards == 1:
+            self._constant(labelled, [listed, others])
+        else:
+            self._sharded(labelled)
+
+    def hashes(self, number: int) -> int:
+        return max(1, round(math.log2(1 / self.miss))) if number == 0 else 1
+
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards)).cast("int")
+
+    def _constant(self, labelled: DataFrame, ask: list[int]) -> None:
         sides = [labelled.where("listed"), labelled.where("not listed")]
-        budget = max_bits
         while ask[len(self.levels) % 2]:
             number = len(self.levels)
             own, other = number % 2, (number + 1) % 2
-            miss = min(0.5, math.sqrt(0.5) * ask[0] / max(1, ask[1])) if number == 0 else 0.5
-            hashes = max(1, round(math.log2(1 / miss)))
-            bits = max(64, math.ceil(1.4427 * ask[own] * hashes))
-            budget -= bits
-            if budget < 0:
-                raise OverflowError(f"the cascade would have over {max_bits} bits")
-            level = encode(sides[own], Level(number, bits, hashes))
+            level = Level(number, max(64, math.ceil(1.4427 * ask[own] * self.hashes(number))), self.hashes(number))
+            spots = sides[own].select(F.explode(positions(F.col("key"), number, F.lit(level.bits).cast("long"), F.lit(level.hashes))).alias("p"))
+            level.words = [0] * math.ceil(level.bits / 64)  # of a single shard, so of bounded size
+            for row in _words(spots).collect():
+                level.words[row["word"]] = row["bits64"]
             self.levels.append(level)
             # Those of the other side that this level takes for its own are what the next encodes.
             sides[other] = sides[other].where(level.has(F.col("key")))
             ask[other] = sides[other].count()
 
+    def _sharded(self, labelled: DataFrame) -> None:
+        """The same in all shards at once; a shard's bitmap is one row."""
+        keyed = cut(labelled.select("key", "listed", self.shard(F.col("key")).alias("shard")))
+        sides = [keyed.where("listed").select("shard", "key"), keyed.where("not listed").select("shard", "key")]
+        made: list[DataFrame] = []
+        while not sides[len(made) % 2].isEmpty():
+            number = len(made)
+            own, other = number % 2, (number + 1) % 2
+            hashes = F.lit(self.hashes(number))
+            sizes = cut(sides[own].groupBy("shard").agg(F.greatest(F.lit(64), F.ceil(F.lit(1.4427) * F.count(F.lit(1)) * hashes)).cast("long").alias("bits")))
+            spots = sides[own].join(small_or_merged(sizes), "shard").select("shard", F.explode(positions(F.col("key"), number, F.col("bits"), hashes)).alias("p"))
+            empty = sizes.select("shard", F.explode(F.sequence(F.lit(0), F.ceil(F.col("bits") / 64).cast("int") - 1)).alias("word"), F.lit(0).cast("long").alias("bits64"))
+            words = _words(spots, "shard").unionByName(empty).groupBy("shard", "word").agg(F.bit_or("bits64").alias("bits64"))
+            words = words.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits64"))), lambda x: x["bits64"]).alias("words"))
+            level = cut(words.join(sizes, "shard").select(F.col("shard").alias("_shard"), F.struct(F.lit(number).alias("number"), "bits", hashes.alias("hashes"), "words").alias("level")))
+            made.append(level)
+            sides[other] = cut(sides[other].join(level.hint("merge"), F.col("shard") == F.col("_shard")).where(contains(F.col("key"), F.col("level"))).select("shard", "key"))
+        union = made[0]
+        for level in made[1:]:
+            union = union.unionByName(level)
+        self.table = cut(union.groupBy("_shard").agg(F.sort_array(F.collect_list("level")).alias("_levels")))
+
     def __call__(self, key: Column) -> Column:
+        """Whether a key is listed, from constants."""
         answer = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(self.levels):
             answer = F.when(level.has(key), answer).otherwise(F.lit(level.number % 2 == 1))
         return answer
 
+    def mark(self, keys: DataFrame, name: str) -> DataFrame:
+        """``keys`` (a column key) with the column ``name``: whether each is listed."""
+        if self.table is None:
+            return keys.withColumn(name, self(F.col("key")))
+        missed = F.array_position(F.transform("_levels", lambda level: contains(F.col("key"), level)), F.lit(False)) - 1
+        last = F.when(missed >= 0, missed).otherwise(F.size("_levels"))
+        shards = self.table.hint("merge")
+        return keys.join(shards, self.shard(F.col("key")) == F.col("_shard"), "left").withColumn(name, F.coalesce(last % 2 == 1, F.lit(False))).drop("_shard", "_levels")
+
 
-def filter_urls(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_bits: int = MAX_BITS) -> DataFrame:
+def filter_urls(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", shard_bits: int = SHARD_BITS) -> DataFrame:
     """Per row: its id, host, path, rule (the longest that fits, else null) and verdict."""
     verdicts = {rule.key: rule.verdict for rule in rules}
     if len(verdicts) < len({(rule.key, rule.verdict) for rule in rules}):
@@ -140,18 +193,16 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", u
     listed = spark.createDataFrame(sorted(verdicts.items()), "key string, verdict string")
     labelled = cut(universe.withColumn("verdict", F.lit(None).cast("string")).unionByName(listed).groupBy("key").agg(F.max("verdict").alias("verdict")))
     kinds = sorted(set(verdicts.values()))
-    try:
-        cascades = {kind: Cascade(labelled.select("key", F.coalesce(F.col("verdict") == kind, F.lit(False)).alias("listed")), max_bits) for kind in kinds}
-    except OverflowError:
-        return _by_join(urls, labelled, id_col, default)
-    found = F.filter(F.transform("_keys", lambda key: F.struct(key.alias("rule"), F.coalesce(*(F.when(cascades[kind](key), F.lit(kind)) for kind in kinds)).alias("verdict"))), lambda x: x["verdict"].isNotNull())
-    return urls.withColumn("_rule", F.get(found, F.lit(0))).select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.lit(default)).alias("verdict"))
-
-
-def _by_join(urls: DataFrame, labelled: DataFrame, id_col: str, default: str) -> DataFrame:
-    """The same answers for lists beyond the size of a cascade."""
-    rows = urls.withColumn("_row", F.monotonically_increasing_id())
-    rows = cut(rows)
-    asked = rows.select("_row", F.posexplode("_keys").alias("_at", "key"))
-    fits = asked.join(labelled.where("verdict is not null"), "key").groupBy("_row").agg(F.min(F.struct("_at", "key", "verdict")).alias("_rule"))
-    return rows.join(fits, "_row", "left").select(id_col, "host", "path", F.col("_rule.key").alias("rule"), F.coalesce("_rule.verdict", F.lit(default)).alias("verdict"))
+    cascades = {kind: Cascade(labelled.select("key", F.coalesce(F.col("verdict") == kind, F.lit(False)).alias("listed")), shard_bits) for kind in kinds}
+    if all(cascade.table is None for cascade in cascades.values()):
+        fits = F.filter(F.transform("_keys", lambda key: F.struct(key.alias("rule"), F.coalesce(*(F.when(cascades[kind](key), F.lit(kind)) for kind in kinds)).alias("verdict"))), lambda x: x["verdict"].isNotNull())
+        found = urls.withColumn("_rule", F.get(fits, F.lit(0)))
+    else:
+        # Each different host and path asks its keys' shards once.
+        asked = urls.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "_keys").distinct().select("_host", "_path", F.posexplode("_keys").alias("_at", "key"))
+        for kind in kinds:
+            asked = cascades[kind].mark(asked, f"_is_{kind}")
+        verdict = F.coalesce(*(F.when(F.col(f"_is_{kind}"), F.lit(kind)) for kind in kinds))
+        best = asked.withColumn("verdict", verdict).where("verdict is not null").groupBy("_host", "_path").agg(F.min(F.struct("_at", F.col("key").alias("rule"), "verdict")).alias("_rule"))
+        found = urls.join(cut(best).hint("merge"), (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+    return found.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.lit(default)).alias("verdict"))
