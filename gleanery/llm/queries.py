@@ -89,10 +89,9 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` has no paths: a row's file is its id, in a folder of a thousand ids, under its source."""
+    """``documents`` has no paths: a row's file lies alone in a folder of its id under its source, so that unrelated rows inherit nothing from each other."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = F.floor(F.col("doc_id") / 1000).cast("string")
-    files = docs.select("doc_id", F.concat_ws("/", F.col("source"), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    files = docs.select("doc_id", F.concat_ws("/", F.col("source"), F.col("doc_id").cast("string"), F.lit("text.txt")).alias("path"), "text")
     return licenses.scan_licenses(files, id_col="doc_id")
 
 
