@@ -173,7 +173,7 @@ class Codec:
         self.surface = [b" \xe2\x81\x87 " if kind == 2 else b"" if kind == 3 else bytes([int(piece[3:5], 16)]) if kind == 6 else piece.replace(space, b" ") for piece, kind in pieces]
         self.widths = np.array([1 if kind == 6 else len(piece) for piece, kind in pieces], np.int64)
         self.unknown = np.array([kind == 2 for _, kind in pieces])
-        # No piece runs over the start of a word, so words are encoded apart.
+        # No piece runs over the start of a word that one space precedes, so such words are encoded apart.
         inside = any(space in piece.lstrip(b"\xe2\x96\x81") for piece, _ in pieces)
         self.by_word = self.normalizer.plain and not inside
         self.cache_units = cache_units
@@ -183,7 +183,8 @@ class Codec:
         """Ids of the text's pieces."""
         if not text:
             return np.zeros(0, np.int32)
-        if not self.by_word or "  " in text or text[0] == " " or text[-1] == " ":
+        # A literal U+2581 is a space to the model, and pieces join neighbouring spaces.
+        if not self.by_word or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
             return np.array(self.engine.encode(text), np.int32)
         words, cache = text.split(" "), self.cache
         if len(cache) > self.cache_units:
@@ -267,10 +268,15 @@ def encode_documents(df: DataFrame, model: bytes, id_col: str = "doc_id", text_c
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and SHA-256 digests of encoded rows."""
+    """Counts and digests of encoded rows; spans_hash is of all spans, spans_cover tells whether they begin at 0 and end at span_bytes without a gap."""
+    gapless = F.slice("begins", F.lit(2), F.size("begins")) == F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0)))
+    whole = (F.size("ids") == 0) | ((F.get("begins", F.lit(0)) == 0) & gapless)
     return encoded.select(
         F.col(id_col),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
+        whole.alias("spans_cover"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("span_bytes"),
     )
