@@ -219,7 +219,9 @@ def training_rows(df: DataFrame, trains: Column, documents: int, id_col: str, te
     limits = F.create_map(*(F.lit(x) for item in highest.items() for x in item))
     order = Window.partitionBy("lang").orderBy("_hash", "_id")
     few = usable.select("_id", "lang", "_hash").where(F.col("_hash") <= F.try_element_at(limits, F.col("lang")))
-    chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= documents).select(F.col("_id").alias("_chosen"), F.col("lang").alias("_lang"), "rank").distinct()
+    ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= documents)
+    # One rank an id, so that rows that share an id are joined once.
+    chosen = ranked.groupBy(F.col("_id").alias("_chosen"), F.col("lang").alias("_lang")).agg(F.min("rank").alias("rank"))
     # At most ``documents`` ids a language: few enough to send to every task, unless languages abound.
     chosen = F.broadcast(chosen) if documents * len(counts) <= BROADCAST_ROWS else chosen
     return usable.join(chosen, (F.col("_id") == F.col("_chosen")) & (F.col("lang") == F.col("_lang"))).select("lang", "rank", "text")
@@ -229,11 +231,13 @@ def train(df: DataFrame, trains: Column, documents: int = SAMPLE_DOCUMENTS, char
     """A calibrated model from the rows where ``trains`` holds.
 
     ``documents`` and ``characters_at_most`` bound, per language, the labelled
-    sample that is gathered to learn from, whatever the table's size.
+    sample that is gathered to learn from, whatever the table's size: rows are taken
+    while those before them have fewer characters, and those with over a tenth of the
+    bound come last. So a language is learned even if all its rows are longer than that.
     """
     sample = training_rows(df, trains, documents, id_col, text_col, lang_col)
-    before = Window.partitionBy("lang").orderBy("rank", "text").rowsBetween(Window.unboundedPreceding, -1)
-    bounded = sample.withColumn("_before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where((F.col("_before") + F.length("text")) <= characters_at_most)
+    before = Window.partitionBy("lang").orderBy(F.length("text") * 10 > characters_at_most, "rank", "text").rowsBetween(Window.unboundedPreceding, -1)
+    bounded = sample.withColumn("_before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where(F.col("_before") < characters_at_most)
     learned: dict[str, list[str]] = {}
     left_out: dict[str, list[str]] = {}
     for row in bounded.orderBy("lang", "rank", "text").collect():
