@@ -1,7 +1,7 @@
 """Line-first quality rules.
 
 Each line is judged on its own: does it hold sentences, is it a row of navigation, is it boilerplate (symbols for words, shouting, one word over and
-over, a line that the document has repeated). Lines that fail are removed; a
+over, a site's standing phrase, a line that the document has repeated). Lines that fail are removed; a
 document that loses too much of its text that way is rejected. Base counts, which
 do not depend on lines, reject short and repetitive documents first.
 
@@ -25,9 +25,16 @@ from gleanery.llm.common import map_rows
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = b"[#*$%&|<>]"
-ENDINGS = (".", "!", "?", "…", ":", ";", "。", "！", "？")
-CLOSERS = "\"'”’»)]"
-INNER_END = re.compile(r"[.!?…][\"'”’»)\]]*\s|[。！？]")
+#: What sentences end with, in Latin, Greek, Cyrillic, Armenian, Arabic, Urdu, Indic, Burmese, Khmer, Ethiopic, Tibetan and CJK writing.
+STOPS = ".!?…։؟۔।॥။៕።།。！？｡"
+ENDINGS = (*STOPS, ":", ";", "؛", "：", "；")
+CLOSERS = "\"'”’»)]」』）"
+INNER_END = re.compile(rf"[{re.escape(STOPS)}][{re.escape(CLOSERS)}]*\s|[。！？]")
+#: Phrases of short lines that sites repeat on every page.
+PHRASES = re.compile(
+    r"(?i)\b(?:accept (?:all )?cookies|we use cookies|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|all rights reserved|subscribe to our|sign up for our"
+    r"|click here to|enable javascript|share on (?:facebook|twitter)|leave a comment|log in to|skip to (?:main )?content|back to top|lorem ipsum)\b"
+)
 NAVIGATION = {"|", "»", "›", "•", "·", ">", "/", "→"}
 WINDOW = 8
 
@@ -44,6 +51,7 @@ class Rules:
     min_shouted_words: int = 4
     max_stuttered: float = 0.3
     max_copies: int = 2
+    max_phrase_words: int = 12
     words_a_sentence: int = 100
     max_lost: float = 0.5
 
@@ -92,6 +100,8 @@ def line_fails(line: str, rules: Rules) -> str | None:
         return "boilerplate"
     if n >= rules.min_shouted_words and sum(map(str.isupper, words)) > rules.max_shouted * n:
         return "boilerplate"
+    if n <= rules.max_phrase_words and PHRASES.search(line):
+        return "boilerplate"
     if n > 3 and sum(map(str.__eq__, words, words[1:])) > rules.max_stuttered * n:
         return "boilerplate"
     if not line.rstrip().rstrip(CLOSERS).endswith(ENDINGS) and len(INNER_END.findall(line)) * rules.words_a_sentence < n:
