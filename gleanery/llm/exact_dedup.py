@@ -101,4 +101,4 @@ def dedup_exact(
     )
     met = (F.col("_hash") == F.col("_hash2")) & (F.col("_salt") == F.col("_salt2")) & (F.col("_bytes") == F.col("_bytes2"))
     heavy = salted.join(cut(firsts).hint("merge"), met).withColumns({"keep_id": F.col("_keep2"), "group_size": F.col("_size2")})
-    return light.unionByName(result(heavy, (F.col("_nth") == 1) & (F.col("_nth2") == 1)))
+    return light.union(result(heavy, (F.col("_nth") == 1) & (F.col("_nth2") == 1)))

@@ -387,7 +387,8 @@ def verified_groups(df: DataFrame, radius: int = 4, similarity: float = 0.8, wid
     open_nodes = cut(named.join(mixed.hint("merge"), (F.col("view") == F.col("_view")) & (F.col("key") == F.col("_key")), "left_semi").select("node", "label").distinct())
     asked = sets.withColumnRenamed("node", "_node").join(open_nodes.hint("merge"), F.col("_node") == F.col("node")).select("node", "label", "shingles")
     more = _verified(_pairs_between(asked, similarity), sets, similarity)
-    groups = cut(components(links.unionByName(more)))
+    stars = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    groups = cut(components(stars.unionByName(more)))
 
     grouped = nodes.select("node", "best").join(groups.withColumnRenamed("node", "_node").hint("merge"), F.col("node") == F.col("_node"), "left")
     grouped = cut(grouped.select("node", "best", F.coalesce("root", "node").alias("root")))

@@ -83,6 +83,21 @@ def test_stages_by_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == len(made[4])
 
 
+def test_stages_take_odd_rows(spark):
+    """Null and repeated ids, equal rows, clashing columns and no rows."""
+    rng = random.Random(15)
+    one, two = sentence_text(rng, 60), sentence_text(rng, 60)
+    rows = [(1, one), (1, one), (1, two), (None, one), (None, two + " More of it."), (2, None), (None, None), (3, ""), (4, two.replace(two.split()[30], "other"))]
+    docs = spark.createDataFrame([(*r, 1, "x", True, 2.0, "y", "z") for r in rows], "doc_id long, text string, n_chars long, kept string, stays boolean, keep_id double, clean_text string, node string")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), "").count() == 0
+        docs = stage(spark, docs, "")
+        if "text" in docs.columns:
+            assert docs.columns == ["doc_id", "text", "n_chars", "kept", "stays", "keep_id", "clean_text", "node"]
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert {r["doc_id"] for r in docs.collect()} == {1}
+
+
 def test_exact_stage_keeps_unique_texts_without_an_id(spark):
     rows = [(1, "a"), (2, "a"), (None, "a"), (None, "only here"), (None, None), (3, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,9 +1,11 @@
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gleanery.llm import components, exact_dedup, html_extraction, language_id, licenses, packing, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
@@ -36,6 +38,144 @@ def test_exact_dedup(spark):
         exact_dedup.dedup_exact(rows, keep="any")
 
 
+def test_exact_dedup_of_large_texts_and_heads(spark):
+    """Texts that fill ranges are dealt over several, and texts with one long beginning are told apart."""
+    rng = random.Random(20)
+    head = "The same beginning of sixty-four bytes, or a little more than that, stands here. "
+    texts = ["hot"] * 400 + ["warm" * 30] * 150 + [head + str(rng.randint(0, 80)) for _ in range(400)] + [head] * 60
+    rng.shuffle(texts)
+    rows = docs(spark, *texts).withColumn("doc_id", F.when(F.col("doc_id") % 50 != 7, F.col("doc_id"))).withColumnRenamed("kept", "_salt")
+    kept_width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert exact_dedup.large_texts(rows.select(F.xxhash64(F.col("text").cast("binary")).alias("_hash")), 16).count() >= 2
+        found = exact_dedup.dedup_exact(rows, keep="largest", carry=["text", "_salt"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept_width)
+    groups = defaultdict(list)
+    for k, text in enumerate(texts):
+        groups[text].append(None if k % 50 == 7 else k)
+    got = Counter((r["text"], r["doc_id"], r["keep_id"], r["group_size"]) for r in found)
+    want = Counter((text, k, max((x for x in ids if x is not None), default=None), len(ids)) for text, ids in groups.items() for k in ids)
+    assert got == want
+    assert Counter(r["text"] for r in found if r["stays"]) == dict.fromkeys(groups, 1)
+
+
+def test_substrings_without_white_space_and_with_odd_ids(spark):
+    rng = random.Random(21)
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(500))
+    own = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(80)) for _ in range(3)]
+    one, two = passage(rng, 120), passage(rng, 120)
+    rows = [(1, own[0] + chinese), (2, own[1] + chinese), (3, chinese + own[2]), (5, one), (5, two), (6, passage(rng, 40)), (None, one), (None, "only " + two[:20]), (7, two + " " + two)]
+    found = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {(r["doc_id"], r["removed_bytes"] > 0): r for r in found}
+    size = len(chinese.encode())
+    assert found and by[2, True]["removed_bytes"] > 0.9 * size and by[3, True]["removed_bytes"] > 0.9 * size and (1, False) in by
+    assert sorted(r["clean_text"] for r in found if r["doc_id"] == 5) == sorted([one, two])
+    assert [r["removed_bytes"] > 0.8 * len(one) for r in found if r["doc_id"] is None] in ([True, False], [False, True])
+    assert by[7, True]["removed_bytes"] > 1.5 * len(two)
+
+
+def edited(rng, words, share, blocks=1):
+    """The words with blocks of others in place of ``share`` of them."""
+    words, size = list(words), max(1, round(len(words) * share / blocks))
+    for b in range(blocks):
+        at = rng.randrange(len(words) * b // blocks, max(len(words) * b // blocks + 1, len(words) * (b + 1) // blocks - size))
+        words[at : at + size] = [f"new{rng.randrange(10**9)}" for _ in range(size)]
+    return words
+
+
+@pytest.mark.parametrize("length", [100, 400, 2000])
+def test_near_copies_with_edited_blocks_are_found(spark, length):
+    rng = random.Random(length)
+    texts, pairs = [], []
+    for k in range(60):
+        base = [f"{k}x{j}" for j in range(length)]
+        while True:
+            copy = edited(rng, base, rng.uniform(0.02, 0.11), rng.choice([1, 1, 2, 4]))
+            one, two = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (base, copy))
+            if len(one & two) >= 0.8 * len(one | two):
+                break
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(copy)]
+    found = {r["doc_id"]: r["group_id"] for r in simhash.verified_groups(docs(spark, *texts)).collect()}
+    assert sum(found.get(b) == a for a, b in pairs) >= 0.98 * len(pairs) and set(found) <= {b for _, b in pairs}
+
+
+def test_odd_rows_and_empty_tables(spark):
+    """Null ids, repeated ids, null and very long texts, equal rows; and no rows at all."""
+    rng = random.Random(22)
+    long = " ".join(f"{passage(rng, 9).capitalize()}." for _ in range(4000))
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other words here"), (None, "a b c"), (None, None), (2, None), (3, ""), (4, long), (5, long + " tail"), (None, long)]
+    odd = spark.createDataFrame([(*r, "en", "s", "x", 1, "y", 2, 3.0) for r in rows], "doc_id long, text string, lang string, source string, id string, node int, fp string, root int, shingles double")
+    empty = odd.where("false")
+    word, piece = vocabulary(WORD_MODEL), vocabulary(PIECE_MODEL)
+    pages = lambda df: df.withColumnsRenamed({"doc_id": "page_id", "text": "html"})
+    urls = lambda df: df.withColumnsRenamed({"doc_id": "page_id", "text": "url"})
+    files = lambda df: df.withColumn("path", F.concat_ws("/", "source", "doc_id"))
+    made = {
+        "html": lambda df: html_extraction.extract_pages(pages(df), carry=["source", "id"]),
+        "exact": lambda df: exact_dedup.dedup_exact(df, carry=["text", "id"]),
+        "substrings": lambda df: substring_dedup.dedup_substrings(df, carry=["id", "node"]),
+        "rules": lambda df: quality_rules.quality_rules(df, carry=["id"]),
+        "urls": lambda df: url_filter.filter_urls(urls(df), [url_filter.Rule("block", "net", "/")]),
+        "licenses": lambda df: licenses.scan_licenses(files(df), id_col="doc_id"),
+        "pieces": lambda df: sentencepiece_codec.digests(sentencepiece_codec.encode_documents(df, piece)),
+        "languages": lambda df: language_id.identify(df, language_id.train(df, F.lit(True)), carry=["id"]),
+        "simhash": simhash.near_duplicates,
+    }
+    for name, run in made.items():
+        assert run(odd).count() == len(rows), name
+        assert run(empty).count() == 0, name
+    packed = packing.pack(packing.cut_pieces(odd, word)).collect()
+    assert {(r["doc_id"], r["doc_tokens"]) for r in packed} >= {(None, 1), (2, 1), (3, 1)} and packing.pack(packing.cut_pieces(empty, word)).count() == 0
+    near = Counter((r["doc_id"], r["group_id"]) for r in simhash.verified_groups(odd).collect())
+    assert near == Counter({(None, 1): 1, (None, 2): 1, (3, 2): 1, (5, 4): 1, (None, 4): 1}) and simhash.verified_groups(empty).count() == 0
+
+
+def test_a_language_of_overlong_documents_is_learned(spark):
+    rows = [(k, "schön und gut " * 30, "de") for k in range(6)] + [(10 + k, "the quick fox " * 40, "en") for k in range(6)] + [(30, "ça va bien " * 300, "fr"), (30, "ça va bien " * 300, "fr")]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.training_rows(docs_, F.lit(True), 400, "doc_id", "text", "lang")
+    assert sample.count() == len(rows)
+    model = language_id.train(docs_, F.lit(True), characters_at_most=2000)
+    assert model.languages == ["de", "en", "fr"] and model.predict("ça va")[0] == "fr"
+
+
+def test_whole_licence_texts(spark):
+    texts = dict(licenses.WHOLE_TEXTS)
+    lines = lambda text: "\n".join(text[k : k + 70] for k in range(0, len(text), 70))
+    rows = [(k, f"p{k}/LICENSE", text.replace("Copyright (c)", "\n\nCopyright (c) 2020 A. Person\n\n")) for k, text in enumerate(texts.values())]
+    rows += [(100, "q/x.py", "def f():\n    return 1\n" * 40 + "\n\n" + lines("no licence words at all " * 9))]
+    found = {r["file_id"]: r["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert found == {**dict(enumerate(texts)), 100: None}
+
+
+def test_license_matches_by_brute_force(spark):
+    """Every passage of every text against every template, with plain counters and no filter before."""
+    rng = random.Random(23)
+    notices = [text for _, text in licenses.TEMPLATES]
+    texts = []
+    for k in range(60):
+        words_ = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 3)):
+            words_[rng.randrange(len(words_))] = rng.choice(["word", "the", "of"])
+        texts.append(passage(rng, 30) + ("\n" + " ".join(words_) + "\n" if k % 3 else "\n") + passage(rng, 20))
+    found = {r["file_id"]: (r["license"], r["similarity"]) for r in licenses.scan_licenses(spark.createDataFrame([(k, f"d{k}/f", x) for k, x in enumerate(texts)], "file_id long, path string, text string")).collect()}
+    vocabulary_ = {t for _, text in licenses.TEMPLATES + licenses.WHOLE_TEXTS for t in licenses.terms(text)}
+    vectors = licenses.Vectors(len(texts), Counter(t for x in texts for t in set(licenses.terms(x)) & vocabulary_))
+    for k, text in enumerate(texts):
+        best = (0.0, "")
+        for line in [*text.split("\n"), text]:
+            own = {t: n * vectors.idf.get(t, vectors.rare) for t, n in Counter(licenses.terms(line)).items()}
+            length = sum(x * x for x in own.values()) ** 0.5
+            for name, weights in zip(vectors.names, vectors.weights):
+                if length:
+                    best = max(best, (round(sum(x * weights.get(t, 0.0) for t, x in own.items()) / length, 6), name))
+        want = (best[1], best[0]) if best[0] >= 0.8 else (None, None)
+        assert found[k][0] == want[0] and (want[1] is None or abs(found[k][1] - want[1]) < 2e-6), text
+
+
 def test_substring_dedup_by_brute_force(spark):
     rng = random.Random(6)
     shared = passage(rng, 70)
@@ -74,6 +214,15 @@ def test_chunks_resist_insertions():
         sizes = [b - a for a, b in zip([0, *ends], ends)]
         assert sum(sizes) == len(text) and all(chunking.least <= n <= chunking.most for n in sizes[:-1])
 
+    for text in (data[:4000], "的一是不了人我在有他这".encode() * 30, b"ab" * 700):
+        ends, last = [], 0
+        for k in range(1, len(text) + 1):
+            rolling = sum(int(table[text[k - 1 - age]]) << age for age in range(min(k, 32))) & 0xFFFFFFFF
+            if k - last == chunking.most or (k - last >= chunking.least and rolling >> (32 - chunking.bits) == 0) or k == len(text):
+                ends.append(k)
+                last = k
+        assert substring_dedup.chunk_ends(text, chunking, table) == ends
+
     def cut(d):
         ends = substring_dedup.chunk_ends(d, chunking, table)
         return {d[a:b] for a, b in zip([0, *ends], ends)}
@@ -123,8 +272,7 @@ def test_map_operators_take_any_rows(spark):
     assert pages.count() == 4
     model = language_id.train(rows.withColumn("lang", F.lit("en")), F.lit(True))
     assert [r["lang_pred"] for r in language_id.identify(rows, model).orderBy("doc_id").collect()] == ["en", "und", "und", "en"]
-    for made in (rules, encoded, pages):
-        assert made.limit(0).count() == 0
+    assert encoded.where("not spans_cover").count() == 0 and {r["doc_id"]: r["span_bytes"] for r in encoded.collect()}[3] == 200_000
 
 
 def test_url_filter_by_brute_force(spark):
@@ -133,8 +281,8 @@ def test_url_filter_by_brute_force(spark):
     hosts, paths = ["net", "example.net", "a.example.net", "xexample.net", "EXAMPLE.com", "b.example.com:80", "w.org", "org", ""], ["", "/", "/en/", "/en", "/english/x", "/de/1?a=/en/", "/fr/#/de/", "?q", "#/en/"]
     urls = [f"{s}{rng.choice(hosts)}{rng.choice(paths)}" for s in ("http://", "https://", "", "x://") for _ in range(60)] + [None, "", "no scheme", "a://b://c/en/"]
     rows = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
-    for bits in (url_filter.MAX_BITS, 10):  # the second goes by a join
-        found = {r["page_id"]: r for r in url_filter.filter_urls(rows, rules, max_bits=bits).collect()}
+    for bits in (url_filter.SHARD_BITS, 3):  # the second has several shards
+        found = {r["page_id"]: r for r in url_filter.filter_urls(rows, rules, shard_bits=bits).collect()}
         for k, url in enumerate(urls):
             rest = url.split("://", 1)[1] if url and "://" in url else ""
             whole = min((rest.find(c) for c in "?#" if c in rest), default=len(rest))
@@ -150,9 +298,11 @@ def test_url_filter_by_brute_force(spark):
 
 def test_a_cascade_is_exact(spark):
     keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 13 == 0).alias("listed"))
-    cascade = url_filter.Cascade(keys)
-    assert len(cascade.levels) > 1
-    assert keys.where(cascade(F.col("key")) != F.col("listed")).count() == 0
+    whole, sharded = url_filter.Cascade(keys), url_filter.Cascade(keys, shard_bits=500)
+    assert len(whole.levels) > 1 and whole.table is None and sharded.shards > 3 and sharded.table is not None
+    for cascade in (whole, sharded):
+        marked = cascade.mark(keys, "found")
+        assert marked.count() == 4000 and marked.where(F.col("found") != F.col("listed")).count() == 0
 
 
 def test_licenses(spark):
@@ -167,7 +317,7 @@ def test_licenses(spark):
     assert licenses.scan_licenses(rows.limit(0)).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(10)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
     root = {x: x for e in edges for x in e}
@@ -180,8 +330,21 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: find(x) for x in root if find(x) != x}
+    rng.shuffle(edges)
+    for size in (components.TASK_EDGES, 25):  # the second needs rounds over several tasks
+        monkeypatch.setattr(components, "TASK_EDGES", size)
+        found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+        assert found == {x: find(x) for x in root if find(x) != x}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_fingerprint(text):
+    """The contract's fingerprint, bit by bit."""
+    lowered = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    shingles = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def test_simhash_by_brute_force(spark):
@@ -194,7 +357,7 @@ def test_simhash_by_brute_force(spark):
             copy[rng.randrange(len(copy))] = "zz"
         texts.append(" ".join(copy))
     rows = docs(spark, *texts)
-    prints = [simhash.fingerprint(text) for text in texts]
+    prints = [plain_fingerprint(text) for text in texts]
     root = list(range(len(texts)))
 
     def find(x):
