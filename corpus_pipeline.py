@@ -15,23 +15,28 @@ from gleanery.llm.common import cut, read_table, small_or_merged
 from gleanery.llm.queries import WORD_MODEL, vocabulary
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass, without their failing lines."""
-    others = [name for name in docs.columns if name not in ("doc_id", "text", "n_chars")]
-    kept = quality_rules.quality_rules(docs, carry=others).where("kept")
-    return _with_text(kept, docs, F.col("clean_text"))
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names that clash with no operator's, but for id and text, and what they were."""
+    names = {name: f"_column_{k}" for k, name in enumerate(docs.columns) if name not in ("doc_id", "text", "n_chars")}
+    return docs.select("doc_id", "text", *(F.col(name).alias(own) for name, own in names.items())), names
 
 
-def _with_text(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+def _columns(df: DataFrame, docs: DataFrame, names: dict[str, str], text: Column) -> DataFrame:
     """The columns of ``docs`` from ``df``, with another text and its length."""
-    replaced = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return df.select(*(replaced.get(name, F.col(name)) for name in docs.columns))
+    found = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")} | {name: F.col(own) for name, own in names.items()}
+    return df.select(*(found[name].alias(name) for name in docs.columns))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that pass, without their failing lines."""
+    plain, names = _renamed(docs)
+    return _columns(quality_rules.quality_rules(plain, carry=list(names.values())).where("kept"), docs, names, F.col("clean_text"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id stays; of several without an id, one."""
-    others = [name for name in docs.columns if name != "doc_id"]
-    return exact_dedup.dedup_exact(docs, carry=others).where("stays").select(*docs.columns)
+    plain, names = _renamed(docs)
+    return _columns(exact_dedup.dedup_exact(plain, carry=["text", *names.values()]).where("stays"), docs, names, F.col("text"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +49,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; so do documents of which no word is left."""
-    others = [name for name in docs.columns if name not in ("doc_id", "text", "n_chars")]
-    found = substring_dedup.dedup_substrings(docs, carry=others)
-    return _with_text(found.where((F.col("removed_bytes") == 0) | F.col("clean_text").rlike(r"[^\x20\x09-\x0D]")), docs, F.col("clean_text"))
+    plain, names = _renamed(docs)
+    found = substring_dedup.dedup_substrings(plain, carry=list(names.values()))
+    return _columns(found.where((F.col("removed_bytes") == 0) | F.col("clean_text").rlike(r"[^\x20\x09-\x0D]")), docs, names, F.col("clean_text"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
