@@ -1,8 +1,8 @@
 """Chunks of documents: section groups, text atoms, greedy packing with overlap, links.
 
-Groups, atoms, overlap-free packing and links are DataFrame expressions. Packing
-with overlap backtracks, depending on the data, so ``chunk_documents`` runs it in
-Arrow batches with one row a document; its nodes are all it needs at a time.
+Packing with overlap backtracks, depending on the data, so ``chunk_documents`` runs
+in Arrow batches with one row a document; its nodes are all it needs at a time. A
+document that can't be chunked fails alone.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import schemas
@@ -52,69 +52,6 @@ def content_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("level") == "content") & (t.trim(F.coalesce("text", F.lit(""))) != ""))
 
 
-def section_groups(nodes: DataFrame) -> DataFrame:
-    """Content nodes with group_id, from 0: neighbours of one parent and section path."""
-    by = Window.partitionBy("document_id").orderBy("sequence", "page_start", "node_id")
-    same = F.col("parent_id").eqNullSafe(F.lag("parent_id").over(by)) & F.col("section_path").eqNullSafe(F.lag("section_path").over(by))
-    return content_nodes(nodes).withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("group_id", F.sum("_new").over(by) - 1).drop("_new")
-
-
-def split_words(text: Column, size: int) -> Column:
-    """Text of more than ``size`` characters in pieces: words packed greedily, a longer word in slices."""
-    words = F.split(t.squeeze(text), " ")
-    slices = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(w) - 1) / size), F.lit(0)).cast("int")), lambda k: F.struct(F.substring(w, k * size + 1, F.lit(size)).alias("x"), (F.length(w) > size).alias("alone")))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(False).alias("alone"))
-
-    def add(state: Column, piece: Column) -> Column:
-        longer = F.concat_ws(" ", F.nullif(state["now"], F.lit("")), piece["x"])
-        full = (state["now"] != "") & (piece["alone"] | state["alone"] | (F.length(longer) > size))
-        return F.struct(F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"), F.when(full, piece["x"]).otherwise(longer).alias("now"), piece["alone"].alias("alone"))
-
-    pieces = F.aggregate(slices, start, add, lambda state: F.concat(state["done"], F.array(state["now"])))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(pieces)
-
-
-def atoms(grouped: DataFrame, size: int) -> DataFrame:
-    """One row an atom: document_id, group_id, place (sequence, sentence, piece), separator and text, for sizes in characters."""
-    by = Window.partitionBy("document_id", "group_id").orderBy("sequence")
-    sentences = grouped.withColumn("_nth", F.row_number().over(by)).select("document_id", "group_id", "sequence", "page_start", "_nth", F.posexplode(t.sentences(F.col("text"))).alias("sentence", "_sentence"))
-    pieces = sentences.select("*", F.posexplode(split_words(F.col("_sentence"), size)).alias("piece", "text"))
-    contiguous = ~F.col("_sentence").rlike(rf"(?U){t.SPACE}")
-    separator = F.when(F.col("piece") > 0, F.when(contiguous, "").otherwise(" ")).when(F.col("sentence") > 0, " ").when(F.col("_nth") > 1, "\n\n").otherwise("")
-    return pieces.select("document_id", "group_id", "sequence", "page_start", "sentence", "piece", separator.alias("separator"), "text")
-
-
-def pack_atoms(found: DataFrame, size: int) -> DataFrame:
-    """Greedy packing without overlap: one row a chunk with document_id, group_id, nth, page_start, page_end and text."""
-    ordered = F.array_sort(F.collect_list(F.struct("sequence", "sentence", "piece", "page_start", "separator", "text")))
-    rows = found.groupBy("document_id", "group_id").agg(ordered.alias("a"))
-    chunk = "struct<text:string,first:int,last:int>"
-    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("now"))
-
-    def add(state: Column, atom: Column) -> Column:
-        alone = F.struct(atom["text"].alias("text"), atom["page_start"].alias("first"), atom["page_start"].alias("last"))
-        joined = F.concat(state["now"]["text"], atom["separator"], atom["text"])
-        longer = F.struct(joined.alias("text"), F.least(state["now"]["first"], atom["page_start"]).alias("first"), F.greatest(state["now"]["last"], atom["page_start"]).alias("last"))
-        fits = F.length(joined) <= size
-        return F.when(state["now"].isNull(), F.struct(state["done"].alias("done"), alone.alias("now"))).when(fits, F.struct(state["done"].alias("done"), longer.alias("now"))).otherwise(F.struct(F.concat(state["done"], F.array(state["now"])).alias("done"), alone.alias("now")))
-
-    chunks = F.aggregate("a", start, add, lambda state: F.concat(state["done"], F.array(state["now"])))
-    return rows.select("document_id", "group_id", F.posexplode(chunks).alias("nth", "c")).select("document_id", "group_id", "nth", F.col("c.first").alias("page_start"), F.col("c.last").alias("page_end"), "c.text")
-
-
-def link_neighbors(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with the ids of the chunks before and after in the same section path."""
-    by = Window.partitionBy("document_id").orderBy("sequence")
-
-    def near(of) -> Column:
-        return F.when(of("section_path").over(by).eqNullSafe(F.col("section_path")), of("chunk_id").over(by))
-
-    return chunks.withColumn("previous_chunk_id", near(F.lag)).withColumn("next_chunk_id", near(F.lead))
-
-
-# What follows runs in Python workers, a document at a time.
-
-
 def _split(text: str, size: int, measure: Callable[[str], int], characters: bool) -> list[str]:
     """Pieces of at most ``size``: words are packed; one word too long is sliced, or grown a character at a time."""
     if measure(text) <= size:
@@ -217,14 +154,14 @@ def chunk_nodes(document_id: str, nodes: list, size: int = 1000, overlap: int =
     return chunks
 
 
-def chunk_documents(nodes: DataFrame, size: int = 1000, overlap: int = 150, unit: str = "characters", tokenizer: Callable[[str], int] | None = None) -> DataFrame:
-    """Chunks of all documents from their hierarchy nodes."""
+def chunk_rows(nodes: DataFrame, size: int = 1000, overlap: int = 150, unit: str = "characters", tokenizer: Callable[[str], int] | None = None) -> DataFrame:
+    """Chunks of all documents from their hierarchy nodes, with a column error; a document that fails has one row with its id and error alone."""
     check_sizes(size, overlap, unit)
     spark = nodes.sparkSession
     ship_package(spark)
     fields = ("node_id", "parent_id", "level", "section_title", "section_path", "page_start", "sequence", "text")
     rows = content_nodes(nodes).groupBy("document_id").agg(F.collect_list(F.struct(*fields)).alias("nodes"))
-    schema = schemas.struct(schemas.CHUNK)
+    schema = schemas.struct(schemas.CHUNK + ", error string")
     names = schema.names
 
     def run(batches):
@@ -234,12 +171,20 @@ def chunk_documents(nodes: DataFrame, size: int = 1000, overlap: int = 150, unit
         arrow = to_arrow_schema(schema)
         for batch in batches:
             for document_id, content in zip(*(column.to_pylist() for column in batch.columns)):
-                found = chunk_nodes(document_id, content, size, overlap, unit, tokenizer)
-                yield pa.RecordBatch.from_pylist([{name: row[name] for name in names} for row in found], schema=arrow)
+                try:
+                    found = chunk_nodes(document_id, content, size, overlap, unit, tokenizer)
+                except Exception as failure:  # noqa: BLE001  a tokenizer may raise anything; only the class is told
+                    found = [{"document_id": document_id, "error": type(failure).__name__}]
+                yield pa.RecordBatch.from_pylist([{name: row.get(name) for name in names} for row in found], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
 
+def chunk_documents(nodes: DataFrame, size: int = 1000, overlap: int = 150, unit: str = "characters", tokenizer: Callable[[str], int] | None = None) -> DataFrame:
+    """Chunks of the documents that can be chunked; ``chunk_rows`` tells of the others."""
+    return chunk_rows(nodes, size, overlap, unit, tokenizer).where("error is null").drop("error")
+
+
 def check_pages(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """Content nodes whose page range is empty or has a page the document lacks."""
     pages = documents.select("document_id", F.col("pages.page_number").alias("_pages"))

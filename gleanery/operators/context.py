@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as t
+from gleanery.shipping import ship_package
 
 #: Levels that a closure follows; a deeper tree is an error.
 DEEPEST = 64
@@ -36,7 +37,11 @@ def relations(hits: DataFrame, chunks: DataFrame, nodes: DataFrame) -> DataFrame
     equality join, so that no hit is tried against a whole document.
     """
     linked = ("chunk_id", "document_id", "parent_id", "sequence", "previous_chunk_id", "next_chunk_id")
-    own = chunks.select(*linked)
+    # Only the hits' documents have related chunks.
+    found = hits.select(F.col("chunk_id").alias("_hit")).distinct()
+    touched = chunks.select("chunk_id", "document_id").join(found, F.col("chunk_id") == F.col("_hit")).select("document_id").distinct()
+    own = chunks.select(*linked).join(touched, "document_id", "left_semi").select(*linked)
+    nodes = nodes.join(touched, "document_id", "left_semi")
     hit = hits.select("query_id", F.col("chunk_id").alias("hit_id")).distinct().join(own.withColumnsRenamed({name: f"hit_{name}" for name in linked if name != "chunk_id"}), F.col("hit_id") == F.col("chunk_id")).drop("chunk_id")
     above = closure(nodes).select(F.col("document_id").alias("_document"), "node_id", "ancestor_id", "distance")
     gap = F.abs(F.col("sequence") - F.col("hit_sequence"))
@@ -68,10 +73,14 @@ def expand(hits: DataFrame, chunks: DataFrame, nodes: DataFrame, max_chunks: int
     """
     if max_chunks < 0 or max_characters < 0:
         raise ValueError("bounds must not be negative")
+    ship_package(hits.sparkSession)
     firsts = hits.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
-    texts = chunks.select("chunk_id", "text", identity(F.col("text")).alias("identity"))
+    near = relations(hits, chunks, nodes)
+    # The text's normal form is made for hits and their related chunks alone.
+    wanted = firsts.select("chunk_id").unionByName(near.select("chunk_id")).distinct()
+    texts = chunks.select("chunk_id", "text").join(wanted, "chunk_id", "left_semi").select("chunk_id", "text", identity(F.col("text")).alias("identity"))
     taken = firsts.join(texts, "chunk_id").groupBy("query_id").agg(F.collect_set("chunk_id").alias("ids"), F.collect_set("identity").alias("identities"))
-    found = relations(hits, chunks, nodes).join(firsts.withColumnRenamed("chunk_id", "hit_id"), ["query_id", "hit_id"]).join(texts, "chunk_id")
+    found = near.join(firsts.withColumnRenamed("chunk_id", "hit_id"), ["query_id", "hit_id"]).join(texts, "chunk_id")
     option = F.struct("rank", "hit_id", "priority", "first", "second", "chunk_id", "relation", "identity", F.length("text").alias("size"))
     queued = found.groupBy("query_id").agg(F.array_sort(F.collect_list(option)).alias("options")).join(taken, "query_id")
     got = "struct<hit_id:string,chunk_id:string,relation:string>"

@@ -166,10 +166,21 @@ def one_dimension(embeddings: DataFrame, model: ModelIdentity) -> int | None:
     return row["low"]
 
 
-def embed_chunks(chunks: DataFrame, embeddings: DataFrame, provider: EmbeddingProvider, settings: Settings | None = None, batch_size: int = 32, max_retries: int = 1) -> tuple[DataFrame, DataFrame]:
-    """New records for the chunks without a cached vector, and failures (chunk_id, error)."""
+def embed_chunks(chunks: DataFrame, embeddings: DataFrame, provider: EmbeddingProvider, settings: Settings | None = None, batch_size: int = 32, max_retries: int = 1, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> tuple[DataFrame, DataFrame]:
+    """New records for the chunks without a cached vector, and failures (chunk_id, error).
+
+    ``keep`` holds what the provider made, so that each text is embedded once. All vectors
+    of a run have the stored ones' dimension, or without any the one most of them have;
+    others fail.
+    """
     model = identity(provider, settings)
-    made = generate(missing(chunks, embeddings, model), provider, batch_size, max_retries, one_dimension(embeddings, model))
+    known = one_dimension(embeddings, model)
+    made = keep(generate(missing(chunks, embeddings, model), provider, batch_size, max_retries, known))
+    if known is None:
+        sizes = made.where("error is null").groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(2).collect()
+        if len(sizes) > 1:
+            other = F.col("error").isNull() & (F.size("vector") != sizes[0]["size"])
+            made = made.withColumn("error", F.when(other, EmbeddingError.__name__).otherwise(F.col("error")))
     return as_records(made, model), made.where("error is not null").select("chunk_id", "error")
 
 

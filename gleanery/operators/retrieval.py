@@ -12,15 +12,25 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as t
+from gleanery.shipping import ship_package
 
 #: Rank of a hit that a channel lacks.
 NO_RANK = 2**31
 #: Queries whose terms are one expression; more are taken in turns.
 MOST_QUERIES = 200
+#: Different terms that are sent to every task; more meet texts by a shuffle.
+MOST_TERMS = 100_000
+#: A run of the characters that bound no term.
+RUN = "[A-Za-z0-9_]+"
+#: Query vectors that are multiplied at a time.
+QUERY_BLOCK = 512
+#: Values of query vectors that are sent to every task at a time (64 MB).
+QUERY_VALUES = 8_000_000
 
 
 class RetrievalError(ValueError):
@@ -43,12 +53,17 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def keyword_score(terms: Sequence[str]) -> Column:
-    """1 for each term in the text, 2 for each in the title and 2 for each in the path."""
-    path = t.json_path(F.col("section_path"))
+def keyword_fields() -> dict[str, tuple[Column, float]]:
+    """What keyword search reads of a chunk, in lower case, and the points of a term in it."""
+    fields = {"text": (F.col("text"), 1.0), "title": (F.col("section_title"), 2.0), "path": (t.json_path(F.col("section_path")), 2.0)}
+    return {name: (F.lower(F.coalesce(column, F.lit(""))), points) for name, (column, points) in fields.items()}
+
+
+def keyword_score(terms: Sequence[str], fields: Mapping[str, tuple[Column, float]]) -> Column:
+    """1 for each term in the text, 2 for each in the title and 2 for each in the path; ``fields`` are in lower case."""
     score = F.lit(0.0)
     for term in terms:
-        for column, points in ((F.col("text"), 1.0), (F.col("section_title"), 2.0), (path, 2.0)):
+        for column, points in fields.values():
             score = score + F.when(t.bounded_term(column, term), points).otherwise(0.0)
     return score
 
@@ -65,33 +80,46 @@ def keyword_search(chunks: DataFrame, queries: Mapping[str, str], k: int = 20) -
     columns = ("chunk_id", "document_id", "source_path", "sequence")
     if not terms:
         return chunks.where("false").select(F.lit("").alias("query_id"), *columns, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    scores = F.array(*(F.struct(F.lit(name).alias("query_id"), keyword_score(found).alias("score")) for name, found in terms.items()))
-    scored = chunks.select(*columns, F.inline(F.filter(scores, lambda x: x["score"] > 0)))
+    # Lower case is made once for all terms, and scores are compiled columns.
+    lowered = chunks.select(*columns, *(column.alias(f"_{name}") for name, (column, _) in keyword_fields().items()))
+    fields = {name: (F.col(f"_{name}"), points) for name, (_, points) in keyword_fields().items()}
+    each = lowered.select(*columns, *(keyword_score(found, fields).alias(f"_s{k}") for k, found in enumerate(terms.values())))
+    scores = F.array(*(F.struct(F.lit(name).alias("query_id"), F.col(f"_s{k}").alias("score")) for k, name in enumerate(terms)))
+    scored = each.select(*columns, F.inline(F.filter(scores, lambda x: x["score"] > 0)))
     return top(scored, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
 
 
 def keyword_search_table(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Keyword search for a table of queries (query_id, query) of any size.
 
-    Terms meet by equality: a text's bounded terms are its runs of term characters
-    and their parts at every boundary, so no query is tried against every chunk.
-    Terms that hold white space don't occur.
+    Terms meet texts by equality of a piece: a run of ASCII letters, digits and _, or
+    for a term without any its first character. Where a term stands between
+    boundaries, its runs are whole runs of the text. Pieces that no term asks for
+    leave before anything is shuffled, if the terms are few enough to send to every
+    task. A term of several pieces is then looked for in full. Terms that hold white
+    space don't occur.
     """
     _above_zero("k", k)
-    wanted = queries.select("query_id", F.explode(t.terms(t.text_identity(F.col("query")))).alias("term"))
-    piece = r"[A-Za-z0-9_]+|[^A-Za-z0-9_]"
-    longest = wanted.agg(F.max(F.size(F.regexp_extract_all("term", F.lit(piece), F.lit(0))))).first()[0] or 1
-    fields = F.array(*(F.struct(F.lower(F.coalesce(column, F.lit(""))).alias("text"), F.lit(points).alias("points")) for column, points in ((F.col("text"), 1.0), (F.col("section_title"), 2.0), (t.json_path(F.col("section_path")), 2.0))))
-    parts = chunks.select("chunk_id", "document_id", "source_path", "sequence", F.posexplode(fields).alias("field", "f"))
-    tokens = parts.select("chunk_id", "document_id", "source_path", "sequence", "field", "f.points", F.regexp_extract_all("f.text", F.lit(piece), F.lit(0)).alias("w"))
-    # Pieces are words and single characters between them; a term is a run of pieces that
-    # doesn't part a word from the character that it begins or ends with.
-    word = lambda at: F.coalesce(F.get("w", at).rlike("^[A-Za-z0-9_]"), F.lit(False))
-    whole = lambda i, n: (word(i) | ~word(i - 1)) & (word(i + n - 1) | ~word(i + n))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform("w", lambda x, i: F.when((i + n <= F.size("w")) & whole(i, n), F.array_join(F.slice("w", i + 1, n), "")))))
-    grams = tokens.where(F.size("w") > 0).select("chunk_id", "document_id", "source_path", "sequence", "field", "points", F.explode(F.array_distinct(F.filter(runs, lambda x: x.isNotNull()))).alias("term"))
-    met = grams.join(wanted, "term").groupBy("query_id", "chunk_id", "document_id", "source_path", "sequence").agg(F.sum("points").alias("score"))
-    return top(met, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
+    ship_package(chunks.sparkSession)
+    asked = queries.select("query_id", F.explode(t.terms(t.text_identity(F.col("query")))).alias("term"))
+    runs = F.regexp_extract_all("term", F.lit(RUN), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    terms = asked.select("term").distinct().select("term", F.coalesce(longest, F.substring("term", 1, 1)).alias("_piece")).persist()
+    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    columns = ("chunk_id", "document_id", "source_path", "sequence")
+    fields = F.array(*(F.struct(F.lit(name).alias("field"), column.alias("text"), F.lit(points).alias("points")) for name, (column, points) in keyword_fields().items()))
+    parts = chunks.select(*columns, F.inline(fields))
+    pieces = parts.select(*columns, "field", "points", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"{RUN}|[^A-Za-z0-9_\s]"), F.lit(0)))).alias("piece"))
+    met = pieces.join(F.broadcast(terms) if few else terms.hint("merge"), F.col("piece") == F.col("_piece")).drop("piece", "_piece", "_pieces")
+    whole = met.where(F.col("term").rlike(f"^(?:{RUN}|.)$"))
+    longer = met.where(~F.col("term").rlike(f"^(?:{RUN}|.)$"))
+    texts = parts.select(F.col("chunk_id").alias("_chunk"), F.col("field").alias("_field"), "text")
+    bounded = F.regexp_like("text", F.concat(F.lit("(?:^|[^A-Za-z0-9_])"), F.regexp_replace("term", r"([^\w\s])", r"\\$1"), F.lit("(?:[^A-Za-z0-9_]|$)")))
+    found = longer.join(texts, (F.col("chunk_id") == F.col("_chunk")) & (F.col("field") == F.col("_field")) & F.col("text").contains(F.col("term")) & bounded).select(*whole.columns)
+    points = whole.unionByName(found).groupBy(*columns, "term").agg(F.sum("points").alias("points"))
+    wanted = asked.withColumnRenamed("term", "_term")
+    scored = points.join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("term") == F.col("_term")).groupBy("query_id", *columns).agg(F.sum("points").alias("score"))
+    return top(scored, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
 
 
 def valid_vector(vector: Column) -> Column:
@@ -135,25 +163,77 @@ def dot(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 20, digits: int | None = None, most_queries: int = 10_000) -> DataFrame:
+def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 20, digits: int | None = None, query_values: int = QUERY_VALUES) -> DataFrame:
     """The ``k`` chunks nearest to each query vector by cosine: an exact scan.
 
-    ``queries`` (query_id, vector) is a stated set, its size is checked, and it is
-    sent to every task; chunks are read once. Stored vectors that are invalid, of
+    ``queries`` (query_id, vector) is a stated set. It is sent to every task in parts
+    of ``query_values`` numbers, and chunks are read once a part. A task multiplies
+    blocks of both and keeps the top of each query. Stored vectors that are invalid, of
     length zero or of another dimension are left out; a query vector mustn't be.
     """
     _above_zero("k", k)
-    asked = queries.select("query_id", F.col("vector").alias("_query"), F.size("vector").alias("_dimension"), norm(F.col("vector")).alias("_length"))
-    state = asked.agg(F.count(F.lit(1)).alias("n"), F.count_if(~valid_vector(F.col("_query")) | (F.col("_length") == 0)).alias("bad")).first()
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    state = asked.agg(F.count(F.lit(1)).alias("n"), F.count_if(~valid_vector(F.col("vector")) | (norm(F.col("vector")) == 0)).alias("bad"), F.sum(F.size("vector")).alias("values")).first()
     if state["bad"]:
         raise RetrievalError("a query vector has no direction")
-    if state["n"] > most_queries:
-        raise RetrievalError(f"at most {most_queries} queries at a time")
-    usable = vectors.where(valid_vector(F.col("vector"))).withColumn("_norm", norm(F.col("vector"))).where(F.col("_norm") > 0)
-    pairs = usable.join(F.broadcast(asked), F.size("vector") == F.col("_dimension"))
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("vector"), F.col("_query")) / (F.col("_norm") * F.col("_length"))))
-    scored = pairs.select("query_id", "chunk_id", "document_id", "source_path", "sequence", (cosine if digits is None else F.round(cosine, digits)).alias("score"))
-    return top(scored, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
+    keys = vectors.select("chunk_id", "document_id", "source_path", "sequence", F.col("vector").cast("array<double>").alias("vector"))
+    parts = max(1, math.ceil((state["values"] or 0) / query_values))
+    dealt = asked.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    found = None
+    for part in range(parts):
+        own = _nearest(keys, dealt.where(F.col("_part") == part).drop("_part"), k, digits)
+        found = own if found is None else found.unionByName(own)
+    return top(found, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
+
+
+def _nearest(keys: DataFrame, queries: DataFrame, k: int, digits: int | None) -> DataFrame:
+    """At least the ``k`` best rows of each task for each query, with all that tie with the last of them."""
+    spark = keys.sparkSession
+    ship_package(spark)
+    groups: dict[int, tuple[list, list]] = {}
+    for row in queries.collect():  # a part of the stated set, of checked size
+        ids, rows = groups.setdefault(len(row["vector"]), ([], []))
+        ids.append(row["query_id"])
+        rows.append(row["vector"])
+    scaled = {}
+    for size, (ids, rows) in groups.items():
+        block = np.array(rows)
+        scaled[size] = (ids, block / np.sqrt((block * block).sum(1, keepdims=True)))
+    shared = spark.sparkContext.broadcast(scaled)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    fields = {field.name: field.dataType.simpleString() for field in keys.schema if field.name != "vector"}
+    schema = f"query_id {kind}, " + ", ".join(f"{name} {of}" for name, of in fields.items()) + ", score double"
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = shared.value
+        for batch in batches:
+            column = batch.column(batch.schema.names.index("vector"))
+            lengths = np.diff(column.offsets.to_numpy())
+            valid = ~column.is_null().to_numpy(zero_copy_only=False)
+            values = column.values.to_numpy(zero_copy_only=False)
+            offsets = column.offsets.to_numpy()
+            for size, (ids, block) in known.items():
+                at = np.flatnonzero(valid & (lengths == size))
+                if not len(at) or not size:
+                    continue
+                own = values[offsets[at][:, None] + np.arange(size)]
+                with np.errstate(all="ignore"):
+                    length = np.sqrt((own * own).sum(1))
+                good = np.isfinite(own).all(1) & (length > 0) & np.isfinite(length)
+                at, own, length = at[good], own[good], length[good]
+                for first in range(0, len(ids), QUERY_BLOCK):
+                    scores = np.clip(block[first : first + QUERY_BLOCK] @ (own / length[:, None]).T, -1.0, 1.0)
+                    scores = scores if digits is None else np.round(scores, digits)
+                    least = np.full(len(scores), -2.0) if len(at) <= k else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                    which, chunk = np.nonzero(scores >= least[:, None])
+                    if len(which):
+                        rows = batch.take(pa.array(at[chunk]))
+                        columns = [pa.array([ids[first + q] for q in which.tolist()]), *(rows.column(rows.schema.names.index(name)) for name in fields), pa.array(scores[which, chunk])]
+                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", *fields, "score"])
+
+    return keys.mapInArrow(run, schema)
 
 
 def deduplicate(hits: DataFrame) -> DataFrame:

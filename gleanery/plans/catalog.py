@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as t
 from gleanery.operators import chunking, context, embedding, evaluation, hierarchy, rerank, retrieval
 from gleanery.plans.ingestion import run_status
+from gleanery.shipping import ship_package
 from gleanery.sources import files, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,13 +107,9 @@ def src_status(spark, sf_dir):
     return documents(spark, sf_dir).select("source_path", "document_id", "status", "content_sha256")
 
 
-@query("""
-SELECT row_number() OVER (ORDER BY lower(source || '/' || doc_id || '.txt'), sha256(source || '/' || doc_id || '.txt')) AS nth, source || '/' || doc_id || '.txt' AS source_path
-FROM documents ORDER BY nth LIMIT 100""")
+@query("SELECT source || '/' || doc_id || '.txt' AS source_path, sha256(source || '/' || doc_id || '.txt') AS document_id FROM documents ORDER BY lower(source_path), document_id")
 def src_listing(spark, sf_dir):
-    ordered = documents(spark, sf_dir).select("source_path", "document_id").orderBy(F.lower("source_path"), "document_id").limit(100)
-    rows = ordered.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.lower("source_path"), "document_id", "source_path"))).alias("a"))
-    return rows.select(F.posexplode("a").alias("at", "x")).select((F.col("at") + 1).cast("long").alias("nth"), F.col("x.source_path").alias("source_path"))
+    return store.in_order(documents(spark, sf_dir)).select("source_path", "document_id")
 
 
 @query("SELECT sha256(text) AS content_sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
@@ -120,9 +117,11 @@ def src_dedup_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
-def table_preview_ordered(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").orderBy("o_orderkey").limit(100)
+@query("SELECT least(count(*), 100) AS rows, 6::BIGINT AS columns FROM orders")
+def table_preview(spark, sf_dir):
+    """Which rows a preview shows isn't defined; how many is."""
+    rows = store.previewed(table(spark, sf_dir, "orders"), 100)
+    return rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(rows.columns)).cast("long"))
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations) AS chunks, (SELECT count(*) FROM documents WHERE length(text) < 0) AS failures")
@@ -163,6 +162,7 @@ def txt_lines(spark, sf_dir):
 
 @query()
 def txt_normalize(spark, sf_dir):
+    ship_package(spark)
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t.text_identity("text"), 256).alias("identity"))
 
 
@@ -209,10 +209,32 @@ def kw_weighted_fields(spark, sf_dir):
     return hits(retrieval.keyword_search(doc_chunks(spark, sf_dir), {"q5": "fr src3 de src7"}, 50), "query_id", "chunk_id", "score")
 
 
-@query(keyword_oracle(SEARCHES, 20))
+# Queries from a table: the source and language of every document whose id is divisible by 100.
+
+
+def table_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").cast("string").alias("query_id"), F.concat_ws(" ", "source", "lang").alias("query"))
+
+
+TABLE_WORDS = """
+asked AS (
+  SELECT DISTINCT query_id, lower(term) AS term FROM (SELECT doc_id::VARCHAR AS query_id, unnest([source, lang]) AS term FROM documents WHERE doc_id % 100 = 0) WHERE term IS NOT NULL
+), patterns AS (
+  SELECT DISTINCT term, '(^|[^[:alnum:]_])' || term || '([^[:alnum:]_]|$)' AS pattern FROM asked
+), points AS (
+  SELECT term, doc_id, source || '/' || doc_id || '.txt' AS source_path, CASE WHEN regexp_matches(lower(text), pattern) THEN 1.0 ELSE 0.0 END
+         + CASE WHEN regexp_matches(lower(coalesce(lang, '')), pattern) THEN 2.0 ELSE 0.0 END + CASE WHEN regexp_matches(lower('["' || source || '","' || lang || '"]'), pattern) THEN 2.0 ELSE 0.0 END AS points
+  FROM patterns, documents
+), words AS (
+  SELECT query_id, chunk_id, score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(source_path), chunk_id::BIGINT) AS rank FROM (
+      SELECT query_id, doc_id::VARCHAR AS chunk_id, source_path, sum(points)::DOUBLE AS score FROM asked JOIN points USING (term) GROUP BY ALL HAVING sum(points) > 0)) WHERE rank <= 20
+)"""
+
+
+@query(f"WITH {TABLE_WORDS} SELECT query_id, chunk_id, score, rank FROM words")
 def kw_search_table(spark, sf_dir):
-    asked = spark.createDataFrame(list(SEARCHES.items()), "query_id string, query string")
-    return hits(retrieval.keyword_search_table(doc_chunks(spark, sf_dir), asked), "query_id", "chunk_id", "score")
+    return hits(retrieval.keyword_search_table(doc_chunks(spark, sf_dir), table_queries(spark, sf_dir)), "query_id", "chunk_id", "score")
 
 
 # Vector search: every vector whose id is divisible by 100 is a query, against all vectors.
@@ -271,28 +293,26 @@ def sem_compatible(spark, sf_dir):
     return found.select("chunk_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-# Fusion: the keyword hits of q1 to q4 with the vectors nearest to those of id 0, 100, 200 and 300.
+# Fusion: the keyword hits of every document whose id is divisible by 100 with the vectors nearest to its own.
 
 
 def channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = doc_chunks(spark, sf_dir)
-    words = retrieval.keyword_search(chunks, SEARCHES)
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    near = chunks.join(rows, F.col("doc_id").cast("string") == F.col("chunk_id"))
-    names = F.create_map(*(F.lit(x) for k, name in enumerate(SEARCHES) for x in (k * 100, name)))
-    asked = rows.where(F.col("doc_id").isin(*(k * 100 for k in range(len(SEARCHES))))).select(F.element_at(names, F.col("doc_id").cast("int")).alias("query_id"), "vector")
-    return words, retrieval.semantic_search(near, asked, 20, digits=6)
+    words = retrieval.keyword_search_table(chunks, table_queries(spark, sf_dir))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    near = chunks.join(rows, F.col("vec_id") == F.col("chunk_id"))
+    return words, retrieval.semantic_search(near, vector_queries(spark, sf_dir), 20, digits=6)
 
 
 def fusion_oracle(score: str, scaled: str = "") -> str:
     """SQL of a fusion with the given score, over keyword hits k and semantic hits s."""
     return f"""
-WITH words AS ({keyword_oracle(SEARCHES, 20)}), near AS (
+WITH {TABLE_WORDS}, near AS (
   SELECT query_id, chunk_id, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(source_path), chunk_id::BIGINT) AS rank FROM (
-      SELECT 'q' || (q.vec_id // 100 + 1) AS query_id, d.doc_id::VARCHAR AS chunk_id, d.source || '/' || d.doc_id || '.txt' AS source_path,
+      SELECT q.vec_id::VARCHAR AS query_id, d.doc_id::VARCHAR AS chunk_id, d.source || '/' || d.doc_id || '.txt' AS source_path,
              round(greatest(-1, least(1, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
-      FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id, (SELECT * FROM embeddings WHERE vec_id IN (0, 100, 200, 300)) q)) WHERE rank <= 20
+      FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 20
 ), w AS (SELECT *, {scaled or '0.0'} AS scaled FROM words), n AS (SELECT *, {scaled or '0.0'} AS scaled FROM near), fused AS (
   SELECT coalesce(w.query_id, n.query_id) AS query_id, coalesce(w.chunk_id, n.chunk_id) AS chunk_id, w.rank AS keyword_rank, n.rank AS semantic_rank, {score} AS score
   FROM w FULL OUTER JOIN n ON w.query_id = n.query_id AND w.chunk_id = n.chunk_id
@@ -381,20 +401,69 @@ def hier_paragraphs(spark, sf_dir):
     return found.select("document_id", F.col("place").cast("long").alias("line"), "text")
 
 
+PAGE_LINES = 7
+
+
+def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headed documents with a page for every seven lines."""
+    docs = headed_documents(spark, sf_dir)
+    lines = F.split(F.col("pages")[0]["text"], "\n")
+    count = F.ceil(F.size(lines) / PAGE_LINES).cast("int")
+    page = lambda k: F.struct((k + 1).alias("page_number"), F.array_join(F.slice(lines, k * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n").alias("text"), F.array().cast("array<string>").alias("warnings"))
+    return docs.withColumn("page_count", count).withColumn("pages", F.transform(F.sequence(F.lit(0), count - 1), page))
+
+
+PAGED = f"""
+paged AS (
+  SELECT *, line // {PAGE_LINES} + 1 AS page, sum(CASE WHEN d IS NOT NULL OR text = '' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, line // {PAGE_LINES} ORDER BY line) AS island FROM known
+), page_paragraphs AS (
+  SELECT document_id, page, min(line) AS line, string_agg(text, ' ' ORDER BY line) AS text FROM paged WHERE d IS NULL AND text <> '' GROUP BY document_id, page, island
+)"""
+
+
 @query(f"""
-WITH {HEADED}, {ISLANDS}, events AS (
-  SELECT document_id, line, title, position, nth FROM stacked UNION ALL SELECT document_id, line, NULL, NULL, NULL FROM paragraphs
-), numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line) AS sequence FROM events)
-SELECT e.document_id, e.sequence, CASE WHEN e.title IS NULL THEN 'content' ELSE e.title END AS what,
-       coalesce(CASE WHEN e.title IS NULL THEN max(s.nth) ELSE max(CASE WHEN s.position = e.position - 1 THEN s.nth END) END, 0)::BIGINT AS parent_heading, 1::BIGINT AS page_end
-FROM numbered e LEFT JOIN numbered s ON s.document_id = e.document_id AND s.sequence < e.sequence AND s.title IS NOT NULL
-GROUP BY e.document_id, e.sequence, e.title, e.position""")
+WITH {HEADED}, {PAGED}, events AS (
+  SELECT document_id, line // {PAGE_LINES} + 1 AS page, line, title, position, nth FROM stacked UNION ALL SELECT document_id, page, line, NULL, NULL, NULL FROM page_paragraphs
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line) AS sequence FROM events
+), parents AS (
+  SELECT e.document_id, e.sequence, e.title, e.position, e.page,
+         coalesce(CASE WHEN e.title IS NULL THEN max(s.nth) ELSE max(CASE WHEN s.position = e.position - 1 THEN s.nth END) END, 0)::BIGINT AS parent_heading
+  FROM numbered e LEFT JOIN numbered s ON s.document_id = e.document_id AND s.sequence < e.sequence AND s.title IS NOT NULL GROUP BY e.document_id, e.sequence, e.title, e.position, e.page
+), ends AS (
+  SELECT e.document_id, e.sequence, min(s.sequence) AS past FROM numbered e JOIN numbered s ON s.document_id = e.document_id AND s.sequence > e.sequence AND s.position <= e.position GROUP BY e.document_id, e.sequence
+), spans AS (
+  SELECT e.document_id, e.sequence, max(s.page) AS page_end FROM numbered e LEFT JOIN ends x ON x.document_id = e.document_id AND x.sequence = e.sequence
+  JOIN numbered s ON s.document_id = e.document_id AND s.sequence >= e.sequence AND (s.sequence = e.sequence OR (e.title IS NOT NULL AND s.sequence < coalesce(x.past, 1000000000))) GROUP BY e.document_id, e.sequence
+)
+SELECT p.document_id, p.sequence, coalesce(p.title, 'content') AS what, p.parent_heading, p.page AS page_start, s.page_end FROM parents p JOIN spans s ON s.document_id = p.document_id AND s.sequence = p.sequence""")
 def hier_page_span(spark, sf_dir):
-    nodes = hierarchy.detect_hierarchy(headed_documents(spark, sf_dir))
+    nodes = hierarchy.detect_hierarchy(paged_documents(spark, sf_dir))
     below = nodes.where("parent_id is not null")
     numbered = below.where("section_title is not null").select(F.col("document_id").alias("_document"), F.col("node_id").alias("_id"), F.row_number().over(Window.partitionBy("document_id").orderBy("sequence")).alias("_nth"))
     joined = below.join(numbered, (F.col("document_id") == F.col("_document")) & (F.col("parent_id") == F.col("_id")), "left")
-    return joined.select("document_id", F.col("sequence").cast("long").alias("sequence"), F.coalesce("section_title", "level").alias("what"), F.coalesce("_nth", F.lit(0)).cast("long").alias("parent_heading"), F.col("page_end").cast("long").alias("page_end"))
+    return joined.select("document_id", F.col("sequence").cast("long").alias("sequence"), F.coalesce("section_title", "level").alias("what"), F.coalesce("_nth", F.lit(0)).cast("long").alias("parent_heading"), F.col("page_start").cast("long").alias("page_start"), F.col("page_end").cast("long").alias("page_end"))
+
+
+def outlined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paged documents with an outline entry for every page, and one for a page that isn't there."""
+    docs = paged_documents(spark, sf_dir)
+    entry = lambda k: F.struct(F.concat(F.lit(" Entry "), k.cast("string")).alias("title"), (k % 3).cast("int").alias("level"), k.cast("int").alias("page_number"), k.cast("int").alias("order"))
+    made = F.transform(F.sequence(F.lit(1), F.col("page_count") + 1), entry)
+    kinds = docs.schema["outlines"].dataType.elementType.names
+    return docs.withColumn("outlines", F.transform(made, lambda x: F.struct(*(x[name].alias(name) for name in kinds))))
+
+
+@query(f"""
+WITH {HEADED}, pages AS (
+  SELECT *, line // {PAGE_LINES} + 1 AS page, sum(CASE WHEN text = '' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, line // {PAGE_LINES} ORDER BY line) AS island FROM lines
+), events AS (
+  SELECT document_id, page, 2 AS kind, min(line) AS place, 'content' AS what, 'content' AS level FROM pages WHERE text <> '' GROUP BY document_id, page, island
+  UNION ALL SELECT DISTINCT document_id, page, 1, 0, 'Entry ' || page, CASE WHEN page % 3 = 0 THEN 'section' ELSE 'subsection' END FROM pages
+)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY page, kind, place) AS sequence, page, what, level FROM events""")
+def hier_outline(spark, sf_dir):
+    nodes = hierarchy.detect_hierarchy(outlined_documents(spark, sf_dir)).where("parent_id is not null")
+    return nodes.select("document_id", F.col("sequence").cast("long").alias("sequence"), F.col("page_start").cast("long").alias("page"), F.coalesce("section_title", F.lit("content")).alias("what"), "level")
 
 
 @query("""
@@ -409,77 +478,104 @@ def hier_fallback(spark, sf_dir):
 # Chunking.
 
 
+def normal_text(column: str) -> str:
+    """SQL of a paragraph's sentences, joined by one space."""
+    return f"trim(regexp_replace({column}, '([.!?;:])\\s+', '\\1 ', 'g'))"
+
+
 @query(f"""
 WITH {HEADED}, {ISLANDS}, placed AS (
-  SELECT p.document_id, p.line, max(s.nth) AS section FROM paragraphs p LEFT JOIN stacked s ON s.document_id = p.document_id AND s.line < p.line GROUP BY ALL
+  SELECT p.document_id, p.line, p.text, coalesce(max(s.nth), 0) AS section FROM paragraphs p LEFT JOIN stacked s ON s.document_id = p.document_id AND s.line < p.line GROUP BY ALL
 )
-SELECT document_id, section, count(*) AS paragraphs FROM placed GROUP BY ALL""")
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY section) - 1 AS nth, sha256(string_agg({normal_text('text')}, chr(10) || chr(10) ORDER BY line)) AS content_hash FROM placed GROUP BY document_id, section""")
 def chunk_groups(spark, sf_dir):
-    grouped = chunking.section_groups(hierarchy.detect_hierarchy(headed_documents(spark, sf_dir)))
-    nodes = hierarchy.events(headed_documents(spark, sf_dir)).where("title is not null")
-    heads = nodes.select(F.col("document_id").alias("d"), F.col("sequence").alias("s"), F.row_number().over(Window.partitionBy("document_id").orderBy("sequence")).cast("long").alias("nth"))
-    first = grouped.groupBy("document_id", "group_id").agg(F.min("sequence").alias("first"), F.count(F.lit(1)).alias("paragraphs"))
-    return first.join(heads, (F.col("document_id") == F.col("d")) & (F.col("s") < F.col("first")), "left").groupBy("document_id", "group_id", "paragraphs").agg(F.max("nth").alias("section")).select("document_id", "section", "paragraphs")
+    found = chunking.chunk_documents(hierarchy.detect_hierarchy(headed_documents(spark, sf_dir)), 10_000_000, 0)
+    return found.select("document_id", F.col("sequence").cast("long").alias("nth"), "content_hash")
 
 
-ATOMS = """
+def plain_nodes(spark: SparkSession, sf_dir: str, text=None) -> DataFrame:
+    """Each document as one paragraph."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").cast("string").alias("document_id"), F.lit("n").alias("node_id"), F.lit("p").alias("parent_id"), F.lit("content").alias("level"), F.lit(None).cast("string").alias("section_title"),
+        F.array("source").alias("section_path"), F.lit(1).alias("page_start"), F.lit(1).alias("sequence"), (F.translate("text", "\n", " ") if text is None else text).alias("text"),
+    )
+
+
+def atoms_sql(size: int) -> str:
+    """SQL of the lengths of each document's atoms: sentences, and words packed greedily where a sentence is longer."""
+    return f"""
 sentences AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\n', ' ', 'g'), '([.!?;:])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents
+), each AS (
+  SELECT doc_id, i AS sentence, s[i] AS x FROM sentences, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) AS n
+), cut(doc_id, sentence, i, piece, length, w) AS (
+  SELECT doc_id, sentence, 1, 0, length(w[1]), w FROM (SELECT doc_id, sentence, list_filter(string_split_regex(x, '\\s+'), lambda y: y <> '') AS w FROM each WHERE length(x) > {size})
+  UNION ALL
+  SELECT doc_id, sentence, i + 1, CASE WHEN length + 1 + length(w[i + 1]) <= {size} THEN piece ELSE piece + 1 END,
+         CASE WHEN length + 1 + length(w[i + 1]) <= {size} THEN length + 1 + length(w[i + 1]) ELSE length(w[i + 1]) END, w FROM cut WHERE i < len(w)
+), atoms AS (
+  SELECT doc_id, list(length ORDER BY sentence, piece) AS s FROM (
+    SELECT doc_id, sentence, 0 AS piece, length(x) AS length FROM each WHERE length(x) <= {size}
+    UNION ALL SELECT doc_id, sentence, piece, max(length) FROM cut GROUP BY doc_id, sentence, piece) GROUP BY doc_id
 )"""
 
 
-def plain_atoms(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """Atoms of each document taken as one paragraph."""
-    docs = table(spark, sf_dir, "documents")
-    nodes = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("group_id"), F.lit(1).alias("sequence"), F.lit(1).alias("page_start"), F.translate("text", "\n", " ").alias("text"))
-    return chunking.atoms(nodes, size)
+def chunks_sql(size: int, overlap: int) -> str:
+    """SQL of the lengths of chunks: each the longest that fits, the next one beginning within the overlap."""
+    span = lambda a, b: f"(p[{b} + 1] - p[{a} + 1] + {b} - {a} - 1)"
+    end = lambda start: f"list_max(list_filter(range({start} + 1, n + 1), lambda e: {span(start, 'e')} <= {size}))"
+    return f"""
+WITH RECURSIVE {atoms_sql(size)}, sums AS (
+  SELECT doc_id, len(s) AS n, list_prepend(0, list_transform(s, lambda x, i: list_sum(s[1:i]))) AS p FROM atoms
+), packed(doc_id, n, p, nth, first, past) AS (
+  SELECT doc_id, n, p, 0, 0, {end('0')} FROM sums
+  UNION ALL
+  SELECT doc_id, n, p, nth + 1, f, {end('f')} FROM (
+    SELECT doc_id, n, p, nth, coalesce(list_min(list_filter(range(first + 1, past), lambda f: {span('f', 'past')} <= {overlap})), past) AS f FROM packed WHERE past < n)
+)
+SELECT doc_id::VARCHAR AS document_id, nth::BIGINT AS nth, {span('first', 'past')}::BIGINT AS characters FROM packed"""
 
 
-@query(f"WITH {ATOMS} SELECT doc_id::VARCHAR AS document_id, len(s)::BIGINT AS atoms, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS characters FROM sentences WHERE len(s) > 0")
-def chunk_atoms(spark, sf_dir):
-    found = plain_atoms(spark, sf_dir, 1_000_000)
-    return found.groupBy("document_id").agg(F.count(F.lit(1)).alias("atoms"), F.sum(F.length("text")).alias("characters"))
+@query(chunks_sql(3000, 0))
+def chunk_pack(spark, sf_dir):
+    found = chunking.chunk_documents(plain_nodes(spark, sf_dir), 3000, 0)
+    return found.select("document_id", F.col("sequence").cast("long").alias("nth"), F.length("text").cast("long").alias("characters"))
+
+
+@query(chunks_sql(CHUNK_SIZE, 100))
+def chunk_overlap(spark, sf_dir):
+    found = chunking.chunk_documents(plain_nodes(spark, sf_dir), CHUNK_SIZE, 100)
+    return found.select("document_id", F.col("sequence").cast("long").alias("nth"), F.col("chunk_size").cast("long").alias("characters"))
 
 
 @query(f"""
-WITH RECURSIVE {ATOMS}, atoms AS (SELECT doc_id, s, len(s) AS n FROM sentences WHERE len(s) > 0), packed(doc_id, i, chunk, length, n, s) AS (
-  SELECT doc_id, 1, 0, length(s[1]), n, s FROM atoms
-  UNION ALL
-  SELECT doc_id, i + 1, CASE WHEN length + 1 + length(s[i + 1]) <= 3000 THEN chunk ELSE chunk + 1 END,
-         CASE WHEN length + 1 + length(s[i + 1]) <= 3000 THEN length + 1 + length(s[i + 1]) ELSE length(s[i + 1]) END, n, s FROM packed WHERE i < n
-)
-SELECT doc_id::VARCHAR AS document_id, chunk::BIGINT AS nth, max(length)::BIGINT AS characters FROM packed
-WHERE doc_id NOT IN (SELECT doc_id FROM sentences WHERE list_max(list_transform(s, lambda x: length(x))) > 3000) GROUP BY ALL""")
-def chunk_pack(spark, sf_dir):
-    found = plain_atoms(spark, sf_dir, 3000)
-    whole = found.groupBy("document_id").agg(F.max("piece").alias("most")).where("most = 0").select("document_id")
-    return chunking.pack_atoms(found.join(whole, "document_id"), 3000).select("document_id", F.col("nth").cast("long").alias("nth"), F.length("text").cast("long").alias("characters"))
+SELECT doc_id::VARCHAR AS document_id, sha256(concat_ws(chr(31), doc_id::VARCHAR, '{chunking.fingerprint(10_000_000, 0, "characters")}', 'p', source, '0', '1', '1', text)) AS chunk_id, sha256(text) AS content_hash,
+       len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))::BIGINT AS tokens
+FROM (SELECT doc_id, source, {normal_text("replace(text, chr(10), ' ')")} AS text FROM documents) WHERE text <> ''""")
+def chunk_ids(spark, sf_dir):
+    found = chunking.chunk_documents(plain_nodes(spark, sf_dir), 10_000_000, 0)
+    return found.select("document_id", "chunk_id", "content_hash", F.col("token_count").cast("long").alias("tokens"))
 
 
 @query("""
-SELECT conv_id, turn, CASE WHEN lag(role) OVER w = role THEN lag(turn) OVER w ELSE -1 END AS previous, CASE WHEN lead(role) OVER w = role THEN lead(turn) OVER w ELSE -1 END AS next
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+SELECT conv_id::VARCHAR AS document_id, row_number() OVER w - 1 AS nth, coalesce(lag(role) OVER w = role, false) AS has_previous, coalesce(lead(role) OVER w = role, false) AS has_next
+FROM conversations WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def chunk_neighbors(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("conv_id").alias("document_id"), "turn", F.col("turn").alias("sequence"), F.col("turn").alias("chunk_id"), F.array("role").alias("section_path"))
-    return chunking.link_neighbors(rows).select("conv_id", "turn", *(F.coalesce(f"{x}_chunk_id", F.lit(-1).cast("long")).alias(x) for x in ("previous", "next")))
+    """Turns are sections of their own, whose path is the role."""
+    turns = table(spark, sf_dir, "conversations")
+    nodes = turns.select(
+        F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("string").alias("node_id"), F.col("turn").cast("string").alias("parent_id"), F.lit("content").alias("level"),
+        F.lit(None).cast("string").alias("section_title"), F.array("role").alias("section_path"), F.lit(1).alias("page_start"), F.col("turn").cast("int").alias("sequence"), "text",
+    )
+    found = chunking.chunk_documents(nodes, 10_000_000, 0)
+    return found.select("document_id", F.col("sequence").cast("long").alias("nth"), F.col("previous_chunk_id").isNotNull().alias("has_previous"), F.col("next_chunk_id").isNotNull().alias("has_next"))
 
 
 @query("SELECT doc_id, ((length(w) + 79) // 80)::BIGINT AS pieces FROM (SELECT doc_id, replace(replace(text, ' ', '_'), chr(10), '_') AS w FROM documents) WHERE length(w) > 0")
 def chunk_oversize(spark, sf_dir):
-    word = F.translate("text", " \n", "__")
-    return table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.size(chunking.split_words(word, 80)).cast("long").alias("pieces"))
-
-
-@query()
-def chunk_overlap(spark, sf_dir):
-    found = chunking.chunk_documents(hierarchy.detect_hierarchy(headed_documents(spark, sf_dir)), CHUNK_SIZE, 100)
-    return found.select("chunk_id", "document_id", "sequence", "chunk_size", "token_count", "previous_chunk_id", "next_chunk_id", F.sha2("text", 256).alias("text_hash"))
-
-
-@query("SELECT doc_id::VARCHAR AS chunk_id, sha256(concat_ws(chr(31), source, lang, doc_id::VARCHAR, '1', '1', text)) AS id FROM documents")
-def ids_chunk(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), t.sha256(F.col("source"), F.col("lang"), F.col("doc_id"), F.lit(1), F.lit(1), F.col("text")).alias("id"))
+    found = chunking.chunk_documents(plain_nodes(spark, sf_dir, F.translate("text", " \n", "__")), 80, 0)
+    return found.groupBy(F.col("document_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("pieces"))
 
 
 # Embeddings.
@@ -585,13 +681,13 @@ WITH RECURSIVE {CLOSURE}, found AS (
   UNION ALL SELECT t.conv_id, t.turn, o.turn, 'neighbor', 2, 1 FROM turns t JOIN turns o ON o.conv_id = t.conv_id AND abs(o.turn - t.turn) = 1
 )
 SELECT 'q' AS query_id, 'c' || conv_id || '/' || hit AS hit_id, 'c' || conv_id || '/' || other AS chunk_id, arg_min(relation, kind) AS relation, arg_min(first, kind)::BIGINT AS distance
-FROM found WHERE hit % 3 = 1 GROUP BY conv_id, hit, other"""
+FROM found GROUP BY conv_id, hit, other"""
 
 
 @query(RELATED)
 def ctx_relations(spark, sf_dir):
     chunks = conversation_chunks(spark, sf_dir)
-    found = chunks.where("sequence % 3 = 1").select(F.lit("q").alias("query_id"), "chunk_id")
+    found = chunks.select(F.lit("q").alias("query_id"), "chunk_id")
     return context.relations(found, chunks, conversation_nodes(spark, sf_dir)).select("query_id", "hit_id", "chunk_id", "relation", F.col("first").cast("long").alias("distance"))
 
 

@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import schemas
-from gleanery.operators.chunking import chunk_documents, fingerprint
+from gleanery.operators.chunking import chunk_rows, fingerprint
 from gleanery.operators.embedding import EmbeddingProvider, embed_chunks
 from gleanery.operators.hierarchy import detect_hierarchy, hierarchy_warnings
 from gleanery.settings import Settings
 from gleanery.sources.files import read_corpus
-from gleanery.sources.store import IndexStore
+from gleanery.sources.store import IndexStore, broken_documents
+
+
+#: Failures that a summary shows; the store has all of them.
+SHOWN_FAILURES = 100
 
 
 @dataclass(frozen=True)
@@ -26,14 +30,12 @@ class Summary:
     unchanged: int
     chunks: int
     failures: tuple[tuple[str, str], ...]
-
-    @property
-    def failure_count(self) -> int:
-        return len(self.failures)
+    failure_count: int = 0
+    unusable: int = 0
 
     @property
     def discovered(self) -> int:
-        return self.indexed + sum(1 for _, reason in self.failures if reason in schemas.STATUSES)
+        return self.indexed + self.unusable
 
 
 def run_status(indexed: Column, failures: Column) -> Column:
@@ -54,41 +56,56 @@ def changed_documents(documents: DataFrame, store: IndexStore, settings: Setting
 
 
 def ingest(documents: DataFrame, store: IndexStore, settings: Settings, provider: EmbeddingProvider | None = None) -> Summary:
-    """Indexes documents and records the run. Failures stay with their document or chunk."""
+    """Indexes documents and records the run. Failures stay with their document or chunk, as rows of the store."""
     spark = documents.sparkSession
     started, run_id = datetime.now(UTC).replace(tzinfo=None), uuid.uuid4().hex
     usable = ~F.col("status").isin("unreadable", "encrypted") & (F.size("pages") > 0)
-    failures = [(row["source_path"], row["status"]) for row in documents.where(~usable).select("source_path", "status").collect()]
-    good = documents.where(usable).persist()
-    total = good.count()
-    if not total and not failures:
+    counts = documents.agg(F.count(F.lit(1)).alias("all"), F.count_if(usable).alias("usable")).first()
+    if not counts["all"]:
         return Summary(run_id, "empty", 0, 0, 0, ())
     store.initialize()
+    nothing = F.lit(None).cast("string").alias("chunk_id")
+    failures = [documents.where(~usable).select("source_path", F.col("status").alias("reason"), nothing)]
+    good = documents.where(usable)
     fresh = changed_documents(good, store, settings).persist()
-    changed = fresh.count()
-    if changed:
+    unchanged = counts["usable"] - fresh.count()
+    if unchanged < counts["usable"]:
+        # Written once: a second run of the chunker or a model could end otherwise.
         nodes = detect_hierarchy(fresh).persist()
-        chunks = chunk_documents(nodes, settings.chunk_size, settings.chunk_overlap, settings.chunk_size_unit).persist()
-        store.replace_documents(fresh, nodes, chunks, warnings=hierarchy_warnings(fresh, nodes))
+        made = store.staged(chunk_rows(nodes, settings.chunk_size, settings.chunk_overlap, settings.chunk_size_unit))
+        chunks = made.where("error is null").drop("error")
+        broken = broken_documents(fresh, nodes, chunks).withColumnRenamed("problem", "reason")
+        bad = store.staged(made.where("error is not null").select("document_id", F.col("error").alias("reason")).unionByName(broken).groupBy("document_id").agg(F.min("reason").alias("reason")))
+        failures.append(fresh.join(bad, "document_id").select("source_path", "reason", nothing))
+        whole = [rows.join(bad.select("document_id"), "document_id", "left_anti") for rows in (fresh, nodes, chunks)]
+        if not whole[0].isEmpty():
+            store.replace_documents(*whole, warnings=hierarchy_warnings(whole[0], whole[1]))
+        good = good.join(bad.select("document_id"), "document_id", "left_anti")
         nodes.unpersist()
-        chunks.unpersist()
-    count = store.table("chunks").join(good, "document_id", "left_semi").count()
+    total = good.count()
+    own = store.table("chunks").join(good.select("document_id", "source_path"), "document_id")
+    count = own.count()
     if provider is not None:
-        own = store.table("chunks").join(good.select("document_id"), "document_id", "left_semi")
         try:
-            records, failed = embed_chunks(own, store.table("embeddings"), provider, settings)
-            records = records.persist()
-            failures += [(row["chunk_id"], row["error"]) for row in failed.collect()]
+            records, failed = embed_chunks(own.drop("source_path"), store.table("embeddings"), provider, settings, keep=store.staged)
+            failures.append(failed.join(own.select("chunk_id", "source_path"), "chunk_id").select("source_path", F.col("error").alias("reason"), "chunk_id"))
             if not records.isEmpty():
                 store.save_embeddings(records)
         except Exception as error:  # noqa: BLE001  without its vectors the index still serves keywords
-            failures.append(("embeddings", type(error).__name__))
-    status = "completed" if not failures else "partial" if total else "failed"
-    run = [(run_id, status, total, count, len(failures), started, datetime.now(UTC).replace(tzinfo=None), "; ".join(sorted({reason for _, reason in failures})) or None)]
+            failures.append(own.select("source_path", F.lit(f"embeddings: {type(error).__name__}").alias("reason"), "chunk_id"))
+    everything = failures[0]
+    for more in failures[1:]:
+        everything = everything.unionByName(more)
+    failure_count = store.save_failures(run_id, everything)
+    kept = store.failures(run_id)
+    reasons = [row["reason"] for row in kept.select("reason").distinct().orderBy("reason").limit(SHOWN_FAILURES).collect()]
+    shown = tuple((row["chunk_id"] or row["source_path"], row["reason"]) for row in kept.orderBy("source_path", "chunk_id").limit(SHOWN_FAILURES).collect())
+    status = "completed" if not failure_count else "partial" if total else "failed"
+    run = [(run_id, status, total, count, failure_count, started, datetime.now(UTC).replace(tzinfo=None), "; ".join(reasons) or None)]
     store.save_index_runs(spark.createDataFrame(run, schemas.struct(schemas.INDEX_RUN)))
-    good.unpersist()
     fresh.unpersist()
-    return Summary(run_id, status, total, total - changed, count, tuple(failures))
+    store.clear_staged()
+    return Summary(run_id, status, total, unchanged, count, shown, failure_count, counts["all"] - counts["usable"])
 
 
 def ingest_corpus(spark: SparkSession, settings: Settings, provider: EmbeddingProvider | None = None, pdf_reader=None) -> Summary:

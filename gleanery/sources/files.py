@@ -25,24 +25,31 @@ class CorpusError(ValueError):
     """A corpus or data set can't be read as one."""
 
 
-def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pdf", "txt")) -> DataFrame:
-    """Files under ``root`` with their relative path and name, in the order of their case-folded path.
+def corpus_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pdf", "txt")) -> DataFrame:
+    """Files under ``root`` with their path, relative path, name, length and content, in no order.
 
-    Links that lead out of the root aren't followed by Spark's recursive listing.
+    Other suffixes are left out when files are listed, and content that isn't selected
+    isn't read. Links that lead out of the root aren't followed by Spark's listing.
     """
+    either = ",".join("".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else x for x in suffix) for suffix in suffixes)
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(root)
     except AnalysisException as error:
         raise CorpusError(f"no corpus folder: {root}") from error
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base)
-    if not whole.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(whole).isDirectory():
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = system.makeQualified(base)
+    if not system.getFileStatus(whole).isDirectory():
         raise CorpusError(f"not a folder: {root}")
     prefix = whole.toUri().getPath().rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), r"^[a-z0-9+.\-]+:(//[^/]*)?(?=/)", "")
-    known = files.where(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$"))
     relative = F.substring(path, F.lit(len(prefix) + 1), F.length(path))
-    return known.select("path", relative.alias("source_path"), F.element_at(F.split(relative, "/"), -1).alias("source_filename"), "content", "length").orderBy(F.lower("source_path"))
+    return files.select("path", relative.alias("source_path"), F.element_at(F.split(relative, "/"), -1).alias("source_filename"), "length", "content")
+
+
+def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pdf", "txt")) -> DataFrame:
+    """The listing of a corpus, without contents: path, relative path, name and length, by case-folded path."""
+    return corpus_files(spark, root, suffixes).drop("content").orderBy(F.lower("source_path"), "source_path")
 
 
 def no_metadata() -> Column:
@@ -170,7 +177,7 @@ def _outlines(pdf, warnings: list):
 
 def read_corpus(spark: SparkSession, root: str, pdf_reader=None) -> DataFrame:
     """All documents of a corpus folder."""
-    files = discover(spark, root)
+    files = corpus_files(spark, root)
     is_pdf = F.lower("source_path").endswith(".pdf")
     return text_documents(files.where(~is_pdf)).unionByName(pdf_documents(files.where(is_pdf), pdf_reader))
 

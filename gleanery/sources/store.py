@@ -21,6 +21,7 @@ from gleanery.operators.embedding import invalid_records
 
 FAILED_STATUSES = ("unreadable", "failed", "encrypted")
 OF_DOCUMENT = ("documents", "pages", "hierarchy_nodes", "chunks", "embeddings")
+FAILURE = "source_path string, reason string, chunk_id string"
 RUN_STATUSES = ("completed", "partial", "failed", "empty")
 
 
@@ -208,13 +209,31 @@ class IndexStore:
         held = self._read("index_runs")
         self._commit({"index_runs": upsert(held, runs.withColumn("bucket", F.lit(0)), ["run_id"])}, [0])
 
+    def save_failures(self, run_id: str, failures: DataFrame) -> int:
+        """Writes a run's failures (source_path, reason, chunk_id) beside the tables, however many; tells how many there are."""
+        path = f"{self.root}/failures/{run_id}"
+        failures.write.parquet(path)
+        return self.failures(run_id).count()
+
+    def failures(self, run_id: str) -> DataFrame:
+        return self.spark.read.schema(FAILURE).parquet(f"{self.root}/failures/{run_id}")
+
+    def staged(self, rows: DataFrame) -> DataFrame:
+        """Rows written to the store's own folder for the time of a run; ``clear_staged`` deletes them."""
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clear_staged(self) -> None:
+        self._files.delete(self._path(f"{self.root}/staged"), True)
+
     # Scans.
 
     def document(self, document_id: str) -> DataFrame:
         return self._of_document("documents", document_id).limit(1)
 
     def documents(self) -> DataFrame:
-        return self.table("documents").orderBy(F.lower("source_path"), "document_id")
+        return in_order(self.table("documents"))
 
     def pages(self, document_id: str) -> DataFrame:
         return self._of_document("pages", document_id).orderBy("page_number")
@@ -244,14 +263,24 @@ class IndexStore:
         return sorted(self._manifest()["tables"])
 
     def preview(self, name: str, limit: int = 100) -> DataFrame:
-        if limit <= 0:
-            raise StoreError("the limit must be above zero")
-        return self.table(name).limit(limit)
+        return previewed(self.table(name), limit)
 
     def statistics(self) -> DataFrame:
         return index_statistics(self.table("documents"), self.table("chunks"))
 
 
+def in_order(documents: DataFrame) -> DataFrame:
+    """All documents by path without regard to case, then by id."""
+    return documents.orderBy(F.lower("source_path"), "document_id")
+
+
+def previewed(rows: DataFrame, limit: int) -> DataFrame:
+    """Some rows of a table."""
+    if limit <= 0:
+        raise StoreError("the limit must be above zero")
+    return rows.limit(limit)
+
+
 def index_statistics(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: documents, chunks and failures."""
     left = documents.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status").isin(*FAILED_STATUSES)).alias("failures"))
@@ -295,6 +324,15 @@ def without(held: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return held.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def broken_documents(documents: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """document_id and problem of each document of which a record breaks a rule."""
+    none = documents.sparkSession.createDataFrame([], schemas.struct(schemas.EMBEDDING))
+    problems = integrity_problems(documents, nodes, chunks, none)
+    keys = documents.select("document_id", F.explode(F.array("document_id", "source_path")).alias("_key"))
+    keys = keys.unionByName(nodes.select("document_id", F.col("node_id").alias("_key"))).unionByName(chunks.select("document_id", F.col("chunk_id").alias("_key")))
+    return problems.join(keys, F.col("key") == F.col("_key")).groupBy("document_id").agg(F.min("problem").alias("problem"))
+
+
 def replace_rows(held: DataFrame, gone: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """``held`` with ``fresh`` rows in place of all rows whose key ``gone`` has."""
     return without(held, gone, key).unionByName(fresh, allowMissingColumns=True)

@@ -7,7 +7,8 @@ changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleanery import schemas
@@ -23,11 +24,12 @@ def document_stream(spark: SparkSession, folder: str, files_a_batch: int = 100)
 
 
 def start_ingestion(documents: DataFrame, store: IndexStore, settings: Settings, checkpoint: str, provider: EmbeddingProvider | None = None, once: bool = False) -> StreamingQuery:
-    """Starts the stream; of a document that comes several times in a batch the last path order stays one."""
+    """Starts the stream; of a document that comes several times in a batch the one with the greatest digest counts, so that a replay takes the same."""
     store.initialize()
 
     def batch(rows: DataFrame, _: int) -> None:
-        ingest(rows.dropDuplicates(["document_id"]), store, settings, provider)
+        by = Window.partitionBy("document_id").orderBy(F.desc_nulls_last("content_sha256"), F.desc("status"))
+        ingest(rows.withColumn("_nth", F.row_number().over(by)).where("_nth = 1").drop("_nth"), store, settings, provider)
 
     writer = documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -100,16 +100,15 @@ def test_long_words_and_tokens():
             chunking.check_sizes(*bad)
 
 
-def test_native_atoms_and_packing_equal_the_general_ones(spark):
-    rng = random.Random(2)
-    texts = {f"d{k}": " ".join("w" * rng.randint(1, 30) + rng.choice(["", "", ".", "!", ";"]) for _ in range(rng.randint(1, 40))) for k in range(40)}
-    rows = spark.createDataFrame([(d, 0, 1, 1, text) for d, text in texts.items()], "document_id string, group_id int, sequence int, page_start int, text string")
-    packed = chunking.pack_atoms(chunking.atoms(rows, 25), 25)
-    found = {}
-    for r in packed.orderBy("document_id", "nth").collect():
-        found.setdefault(r["document_id"], []).append(r["text"])
-    for name, text in texts.items():
-        assert found[name] == [c["text"] for c in chunking.chunk_nodes(name, [content(text)], 25, 0)]
+def test_a_document_that_fails_fails_alone(spark):
+    def odd(text):
+        if "bad" in text:
+            raise OSError
+        return len(text)
+
+    rows = frame(spark, document("a", "One two."), document("b", "A bad one."))
+    found = {r["document_id"]: (r["text"], r["error"]) for r in chunking.chunk_rows(hierarchy.detect_hierarchy(rows), 50, 0, "tokens", odd).collect()}
+    assert sorted(found.values(), key=str) == [("One two.", None), (None, "OSError")]
 
 
 def test_documents_are_chunked_in_spark(spark):

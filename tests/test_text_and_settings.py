@@ -30,8 +30,8 @@ def test_columns_cut_text_as_python_does(spark):
 
 def test_bounded_terms(spark):
     rows = spark.createDataFrame([("uses C++ well",), ("uses C++17",), ("mvcc",), ("xmvcc",), (None,), ("a_mvcc",), ("(mvcc)",)], "text string")
-    assert [r[0] for r in rows.select(t.bounded_term(F.col("text"), "c++")).collect()] == [True, False, False, False, False, False, False]
-    assert [r[0] for r in rows.select(t.bounded_term(F.col("text"), "mvcc")).collect()] == [False, False, True, False, False, False, True]
+    assert [r[0] for r in rows.select(t.bounded_term(F.lower(F.coalesce("text", F.lit(""))), "c++")).collect()] == [True, False, False, False, False, False, False]
+    assert [r[0] for r in rows.select(t.bounded_term(F.lower(F.coalesce("text", F.lit(""))), "mvcc")).collect()] == [False, False, True, False, False, False, True]
 
 
 def test_hashes_keep_nulls_as_empty(spark):
@@ -52,7 +52,7 @@ def test_settings():
     assert found.corpus_dir == Path("/tmp/data/corpus").resolve()
     other = Settings.from_environment({"GLEANERY_CHUNK_SIZE": "20", "GLEANERY_CHUNK_OVERLAP": "5", "GLEANERY_CHUNK_SIZE_UNIT": " Tokens ", "GLEANERY_RERANKER_PROVIDER": "", "GLEANERY_RERANKER_MODEL": ""}, "/tmp")
     assert (other.chunk_size, other.chunk_size_unit, other.reranker_model) == (20, "tokens", None)
-    for bad in ({"CHUNK_OVERLAP": "1000"}, {"HOST": "0.0.0.0"}, {"PORT": "0"}, {"RRF_K": "x"}, {"HYBRID_FUSION_METHOD": "other"}, {"EMBEDDING_MODEL": ""}, {"HYBRID_SEMANTIC_WEIGHT": "nan"}, {"CORPUS_DIR": " "}):
+    for bad in ({"CHUNK_OVERLAP": "1000"}, {"CHUNK_SIZE": "0"}, {"KEYWORD_TOP_K": "1.5"}, {"RRF_K": "x"}, {"HYBRID_FUSION_METHOD": "other"}, {"EMBEDDING_MODEL": ""}, {"HYBRID_SEMANTIC_WEIGHT": "nan"}, {"CORPUS_DIR": " "}):
         with pytest.raises(SettingsError):
             Settings.from_environment({f"GLEANERY_{k}": v for k, v in bad.items()}, "/tmp")
     with pytest.raises(SettingsError):
