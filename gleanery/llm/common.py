@@ -14,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleanery.shipping import ship_package
 
-#: Most bytes of input that one Arrow batch hands to a Python worker.
-BATCH_BYTES = 16 << 20
+#: Most bytes of input that one Arrow batch hands to a Python worker, unless the session sets another bound.
+BATCH_BYTES = 4 << 20
 #: Rows, at most, of a table of keys that is sent to every task; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Rows an operator gathers before it hands an Arrow batch back.
