@@ -31,7 +31,7 @@ from gleanery.llm.common import cut, map_rows, shuffle_width
 WINDOW = 4096
 END_ID = 2
 #: Words, and parts of words, whose ids a worker remembers.
-CACHE_WORDS = 80_000
+CACHE_WORDS = 120_000
 PUNCTUATION = string.punctuation
 #: Letters before this are lower-cased alike by Python and the library.
 LATIN_END = "\u0250"
