@@ -70,11 +70,11 @@ def dedup_exact(
     rows = rows.withColumns({"_hash": F.xxhash64("_bytes"), "_head": F.substring("_bytes", 1, SPLITTER_BYTES)})
     first = F.col("_id").asc_nulls_last() if keep == "smallest" else F.col("_id").desc_nulls_last()
 
-    def runs(some: DataFrame) -> DataFrame:
+    def runs(some: DataFrame, *salt: str) -> DataFrame:
         # The range partitioning serves the window, so texts move once. It sorts by whole
         # texts within a range; rows belong together where neighbours' bytes are equal.
-        ranged = some.withColumn("_deal", F.pmod("_hash", F.lit(2 * parts)).cast("int")).repartitionByRange(parts, "_head", "_deal", "_salt")
-        run = Window.partitionBy("_head", "_deal", "_salt", "_bytes").orderBy(first)
+        ranged = some.withColumn("_deal", F.pmod("_hash", F.lit(2 * parts)).cast("int")).repartitionByRange(parts, "_head", "_deal", *salt)
+        run = Window.partitionBy("_head", "_deal", *salt, "_bytes").orderBy(first)
         all_of_it = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return ranged.withColumns({"_nth": F.row_number().over(run), "keep_id": F.first("_id").over(all_of_it), "group_size": F.count(F.lit(1)).over(all_of_it)})
 
@@ -87,11 +87,11 @@ def dedup_exact(
 
     large = large_texts(rows, parts)
     if large.isEmpty():
-        return result(runs(rows.withColumn("_salt", F.lit(0))), F.col("_nth") == 1)
+        return result(runs(rows), F.col("_nth") == 1)
     # Of bounded size: see large_texts.
     dealt = rows.join(F.broadcast(large), F.col("_hash") == F.col("_large"), "left").drop("_large")
-    light = result(runs(dealt.where("_slots is null").withColumn("_salt", F.lit(0)).drop("_slots")), F.col("_nth") == 1)
-    salted = cut(runs(dealt.where("_slots is not null").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_slots")).cast("int")).drop("_slots")))
+    light = result(runs(dealt.where("_slots is null").drop("_slots")), F.col("_nth") == 1)
+    salted = cut(runs(dealt.where("_slots is not null").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_slots")).cast("int")).drop("_slots"), "_salt"))
     # One row for each text and slot, compared in full; each has its slot's best id.
     same = Window.partitionBy("_hash", "_bytes").orderBy(first, "_salt")
     all_of_them = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
