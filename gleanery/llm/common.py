@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import compress, count, repeat
+from operator import is_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ BATCH_BYTES = 4 << 20
 BROADCAST_ROWS = 500_000
 #: Rows an operator gathers before it hands an Arrow batch back.
 OUTPUT_ROWS = 2000
+#: Characters, at most, of a word that a worker remembers.
+LONGEST_REMEMBERED = 64
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,3 +94,40 @@ def map_rows(
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(list(values), field.type) for values, field in zip(columns, schema)], schema=schema)
+
+
+class Remembered:
+    """What ``learn`` gives for words, kept for the next texts in two generations.
+
+    Once ``limit`` words are kept, they become the older generation, and those
+    asked for again move on; the others go at the next turn. So frequent words are
+    learned once, and memory stays below three times the limit. Long words, and
+    those of a text with more than the limit by itself, aren't kept.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int):
+        self.learn, self.limit = learn, limit
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        if len(self.recent) > self.limit:
+            self.older, self.recent = self.recent, {}
+        found = list(map(self.recent.get, words))
+        missing = list(compress(count(), map(is_, found, repeat(None))))
+        if missing:
+            older = self.older
+            asked = {words[k]: None for k in missing}
+            new = []
+            for word in asked:
+                known = asked[word] = older.get(word)
+                if known is None:
+                    new.append(word)
+            if new:
+                asked.update(zip(new, self.learn(new)))
+            for k in missing:
+                found[k] = asked[words[k]]
+            if len(asked) <= self.limit:
+                long = max(map(len, asked)) > LONGEST_REMEMBERED
+                self.recent.update({word: value for word, value in asked.items() if len(word) <= LONGEST_REMEMBERED} if long else asked)
+        return found

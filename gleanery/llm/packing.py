@@ -19,18 +19,16 @@ from __future__ import annotations
 import string
 import zlib
 from array import array
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, map_rows, shuffle_width
+from gleanery.llm.common import Remembered, cut, map_rows, shuffle_width
 
 WINDOW = 4096
 END_ID = 2
-#: Words, and parts of words, whose ids a worker remembers.
+#: Words, and their letters, whose ids a worker remembers, in each of two generations.
 CACHE_WORDS = 120_000
 PUNCTUATION = string.punctuation
 #: Letters before this are lower-cased alike by Python and the library.
@@ -58,40 +56,30 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.engine = Tokenizer.from_buffer(spec)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.cache_words = cache_words
+        self.words = Remembered(self._words, cache_words)
+        self.cores = Remembered(lambda cores: list(map(self._letters, cores)), cache_words)
+        self.tails = Remembered(lambda tails: list(map(self._any, tails)), cache_words)
         self.letters = byte_letters()
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if len(self.words) > self.cache_words:
-            self.words.clear()
-        found = list(map(self.words.get, words))
-        try:
-            return b"".join(found)
-        except TypeError:  # a word isn't known yet
-            self._learn(set(compress(words, map(is_, found, repeat(None)))))
-            return b"".join(map(self.words.__getitem__, words))
-
-    def _learn(self, words: set[str]) -> None:
-        known, parts = self.words, self.parts
-        if len(parts) > self.cache_words:
-            parts.clear()
-            parts[""] = b""
+        return b"".join(self.words(text.replace("\n", " ").split(" ")))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Letters, and the ASCII punctuation behind them, are tokenised apart and in lower case."""
+        out, cores, tails, places = [], [], [], []
         for word in words:
-            # Letters, and the ASCII punctuation behind them, are tokenised apart and in lower case.
             low = word.lower()
             core = low.rstrip(PUNCTUATION)
-            if core.isalpha() and max(core) < LATIN_END:
-                tail = low[len(core) :]
-                if core not in parts:
-                    parts[core] = self._letters(core)
-                if tail not in parts:
-                    parts[tail] = self._any(tail)
-                known[word] = parts[core] + parts[tail]
+            if core.isalpha() and (core.isascii() or max(core) < LATIN_END):
+                places.append(len(out))
+                cores.append(core)
+                tails.append(low[len(core) :])
+                out.append(b"")
             else:
-                known[word] = self._any(word)
+                out.append(self._any(word))
+        for place, core, tail in zip(places, self.cores(cores), self.tails(tails)):
+            out[place] = core + tail
+        return out
 
     def _letters(self, word: str) -> bytes:
         """Ids of lower-case letters, straight from the model."""
