@@ -14,20 +14,17 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import struct
-from array import array
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import map_rows
+from gleanery.llm.common import Remembered, map_rows
 
 SPACE = "▁"
-#: Units of text whose pieces a worker remembers.
-CACHE_UNITS = 200_000
+#: Words whose pieces a worker remembers, in each of two generations.
+CACHE_UNITS = 120_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -176,8 +173,8 @@ class Codec:
         # No piece runs over the start of a word that one space precedes, so such words are encoded apart.
         inside = any(space in piece.lstrip(b"\xe2\x96\x81") for piece, _ in pieces)
         self.by_word = self.normalizer.plain and not inside
-        self.cache_units = cache_units
-        self.cache: dict[str, bytes] = {}
+        self.begins_word = np.array([piece.startswith(space) for piece, _ in pieces])
+        self.words = Remembered(self._learn, cache_units)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the text's pieces."""
@@ -186,17 +183,16 @@ class Codec:
         # A literal U+2581 is a space to the model, and pieces join neighbouring spaces.
         if not self.by_word or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
             return np.array(self.engine.encode(text), np.int32)
-        words, cache = text.split(" "), self.cache
-        if len(cache) > self.cache_units:
-            cache.clear()
-        found = list(map(cache.get, words))
-        try:
-            return np.frombuffer(b"".join(found), np.int32)
-        except TypeError:  # a word isn't known yet
-            new = list(set(compress(words, map(is_, found, repeat(None)))))
-            for word, ids in zip(new, self.engine.encode(new, num_threads=1)):
-                cache[word] = array("i", ids).tobytes()
-            return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32)
+        return np.frombuffer(b"".join(self.words(text.split(" "))), np.int32)
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, from one text of them all: a word's first piece, and no other, begins with a space."""
+        ids = np.array(self.engine.encode(" ".join(words)), np.int32)
+        starts = (4 * np.flatnonzero(self.begins_word[ids])).tolist()
+        if len(starts) != len(words):
+            raise ValueError("words do not begin with a space's piece")
+        data = ids.tobytes()
+        return [data[begin:end] for begin, end in zip(starts, [*starts[1:], len(data)])]
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte, and byte after the last, of each piece in the text's UTF-8 bytes."""
