@@ -101,7 +101,7 @@ class Remembered:
 
     Once ``limit`` words are kept, they become the older generation, and those
     asked for again move on; the others go at the next turn. So frequent words are
-    learned once, and memory stays below three times the limit. Long words, and
+    learned once, and at most four times the limit are kept. Long words, and
     those of a text with more than the limit by itself, aren't kept.
     """
 

@@ -292,3 +292,20 @@ def test_kneser_ney_by_hand():
 
 def test_digest_form():
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(",".join(map(str, [])).encode()).hexdigest()
+
+
+def test_remembered_words():
+    from gleanery.llm.common import LONGEST_REMEMBERED, Remembered
+
+    learned = []
+    words = Remembered(lambda new: learned.extend(new) or [word.upper().encode() for word in new], 3)
+    long = "x" * (LONGEST_REMEMBERED + 1)
+    for k in range(200):
+        asked = ["often", f"w{k}", "often", long]
+        assert words(asked) == [word.upper().encode() for word in asked]
+        assert len(words.recent) + len(words.older) <= 12
+    assert learned.count("often") == 1 and learned.count(long) == 200
+    assert words([]) == []
+    many = [f"m{k}" for k in range(50)]
+    assert words(many) == [word.upper().encode() for word in many]
+    assert len(words.recent) + len(words.older) <= 12
