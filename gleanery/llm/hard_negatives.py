@@ -35,11 +35,11 @@ from gleanery.shipping import ship_package
 #: Components become the floor of so many times their value.
 SCALE = 256
 #: Components of a subspace.
-WIDTH = 4
+WIDTH = 2
 #: Centroids of a subspace, at most.
-CENTROIDS = 128
+CENTROIDS = 256
 #: Numbers, at most, that centroids are made from: so many rows of a dimension as have them.
-SAMPLE_VALUES = 1_000_000
+SAMPLE_VALUES = 500_000
 #: The most frequent dimensions that get centroids; vectors of others have bounds from their length alone.
 DIMENSIONS = 16
 ROUNDS = 8
