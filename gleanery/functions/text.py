@@ -1,4 +1,4 @@
-"""Text functions as columns, and their counterparts for literal queries.
+"""Text functions as columns.
 
 Java's classes are narrower than Unicode's: words are spelled as ``[\\p{L}\\p{N}_]``
 and white space carries the flag (?U) and the four separators U+001C to U+001F.
@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 UNIT = "\u001f"
 SPACE = r"[\s\x1c-\x1f]"
+#: The characters of SPACE with the flag (?U).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD = r"[\p{L}\p{N}_]"
 #: Words that keyword queries leave out.
 STOP_WORDS = (
@@ -23,37 +25,20 @@ STOP_WORDS = (
 )
 TERM_CHARACTERS = r"[\p{L}\p{N}_+#]+"
 TERM = rf"{TERM_CHARACTERS}(?:[./:\-]{TERM_CHARACTERS})*"
-LITERAL_TERM = re.compile(r"[\w+#]+(?:[./:-][\w+#]+)*")
 TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 #: Parts a sentence split can be told from in both engines: a mark, then white space.
 SENTENCE_BREAK = rf"(?U)(?<=[.!?;:]){SPACE}+"
 
 
-def _normal_form(text: str) -> str:
-    """NFKC, case folding, and runs of white space as one space."""
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).casefold()).strip()
-
-
-def normalize_query(query: str) -> str:
-    """The normal form of one literal query; columns have ``text_identity``."""
-    if not isinstance(query, str):
-        raise TypeError("a query is a string")
-    return _normal_form(query)
-
-
-def query_terms(normalized: str) -> list[str]:
-    """Distinct terms in their order, without stop words; columns have ``terms``."""
-    seen: dict[str, None] = {}
-    for match in LITERAL_TERM.finditer(normalized):
-        if match[0] not in STOP_WORDS:
-            seen[match[0]] = None
-    return list(seen)
+def normal_form(text: str) -> str:
+    """NFKC, case folding, and runs of white space as one space, of one text; columns have ``text_identity``."""
+    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
 def trim(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
@@ -64,7 +49,7 @@ def squeeze(text: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def text_identity(texts):
     """The query normal form of a column, exactly; NFKC has no built-in."""
-    return texts.map(_normal_form, na_action="ignore")
+    return texts.map(normal_form, na_action="ignore")
 
 
 def terms(normalized: Column) -> Column:

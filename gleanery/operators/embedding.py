@@ -192,7 +192,7 @@ def invalid_records(embeddings: DataFrame) -> DataFrame:
     return embeddings.where(blank | F.col("content_hash").isNull() | ~valid_vector(F.col("vector")) | (F.size("vector") != F.col("dimension")))
 
 
-def embed_query(provider: EmbeddingProvider, queries: dict[str, str], spark, normalize: Callable[[str], str] = t.normalize_query) -> DataFrame:
+def embed_query(provider: EmbeddingProvider, queries: dict[str, str], spark, normalize: Callable[[str], str] = t.normal_form) -> DataFrame:
     """Query vectors (query_id, vector) of a driver-side set of queries."""
     names = list(queries)
     vectors = checked_vectors(provider.embed([normalize(queries[name]) for name in names]), len(names), None) if names else []

@@ -34,9 +34,13 @@ def gain(rank: Column) -> Column:
 def metrics(rankings: DataFrame, relevant: DataFrame, cases: DataFrame) -> DataFrame:
     """All metrics of each case of ``cases`` (case_id); zeros for a case without relevant items."""
     hits = first_ranks(rankings).join(relevant, ["case_id", "item_id"], "left_semi").where(F.col("rank").isNotNull())
+    return scores(hits, relevant.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")), cases)
+
+
+def scores(hits: DataFrame, wanted: DataFrame, cases: DataFrame) -> DataFrame:
+    """All metrics of each case from its relevant hits (case_id, rank) and the number of what is relevant (case_id, n)."""
     sums = [F.count_if(F.col("rank") <= k).alias(f"hits_{k}") for k in CUTOFFS] + [F.sum(F.when(F.col("rank") <= k, gain(F.col("rank")))).alias(f"dcg_{k}") for k in CUTOFFS]
     found = hits.groupBy("case_id").agg(F.min("rank").alias("first"), *sums)
-    wanted = relevant.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
     rows = cases.select("case_id").distinct().join(wanted, "case_id", "left").join(found, "case_id", "left")
 
     def ideal(k: int) -> Column:

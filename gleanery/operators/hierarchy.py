@@ -1,6 +1,6 @@
 """Section structure of documents: headings, their stack, paragraphs and a node tree.
 
-Everything is windows and folds within a document: lines are numbered once, the
+Texts are dealt by document once. Everything else is sorts, windows and folds within that: the
 heading stack has a closed form, paragraphs are islands between breaks, and the
 ids, which hash their parents' ids, come from one fold over a document's headings.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as t
 
+#: What headings look like, by the first pattern that holds.
 CHAPTER = r"(?i)^\s*((?:chapter|part)\s+\d+[A-Za-z]?)\s*[:.\-]?\s*(.*?)\s*$"
 NUMBERED = r"^\s*(\d+(?:\.\d+){0,5})[.)]?\s+(.{2,120}?)\s*$"
 UPPERCASE = r"^[A-Z][A-Z0-9 &/,:()'\-]{2,80}$"
@@ -77,85 +78,124 @@ def level_of(method: Column, depth: Column) -> Column:
     return F.when(method == "chapter_pattern", "chapter").when(depth <= 1, "section").otherwise("subsection")
 
 
-def events(documents: DataFrame) -> DataFrame:
-    """What becomes nodes below the root, in order: document_id, page, kind, place, sequence and details.
+def node_id(document_id, parent_id, level, title, path, page, sequence, text) -> Column:
+    return t.sha256(document_id, parent_id, level, title, F.array_join(path, "/"), page, sequence, text)
+
 
-    kind 0: the page of a document without headings; 1: an outline heading; 2: a
-    heading or a paragraph of the text.
+def _entries() -> Column:
+    """A document's root, outline, pages and lines as one array of (page, kind, place, text, o), by kind.
+
+    kind -1: the root; 0: a page; 1: a usable outline entry; 2: a line. With an outline, text has no headings.
     """
-    lines = document_lines(documents)
-    outlines = outline_headings(documents)
-    outlined = outlines.select("document_id").distinct().withColumn("_outlined", F.lit(True))
-    known = lines.join(outlined, "document_id", "left").withColumn("h", F.when((F.col("text") != "") & F.col("_outlined").isNull(), heading_of(F.col("text"))))
-    known = known.withColumn("h", F.when(F.col("h.title") != "", F.col("h")))
-    broken = F.col("h").isNotNull() | (F.col("text") == "")
-    by = Window.partitionBy("document_id", "page").orderBy("line")
-    marked = known.withColumn("_island", F.sum(F.when(broken, 1).otherwise(0)).over(by)).withColumn("_broken", broken)
-    paragraphs = marked.where("not _broken").groupBy("document_id", "page", "_island").agg(F.min("line").alias("place"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"))
-    nothing = {"title": "string", "depth": "int", "method": "string", "confidence": "double", "text": "string"}
-
-    def row(frame: DataFrame, kind: int, **columns: Column) -> DataFrame:
-        return frame.select("document_id", "page", F.lit(kind).alias("kind"), "place", *((columns.get(name, F.lit(None)).cast(of)).alias(name) for name, of in nothing.items()))
-
-    heading = {name: F.col(name) for name in ("title", "depth", "method", "confidence")}
-    of_text = marked.where("h is not null").select("document_id", "page", F.col("line").alias("place"), "h.*")
-    both = row(outlines, 1, **heading).unionByName(row(of_text, 2, **heading))
-    headed = both.select("document_id").distinct().withColumn("_headed", F.lit(True))
-    pages = documents.select("document_id", F.explode("pages.page_number").alias("page")).join(headed, "document_id", "left_anti").withColumn("place", F.lit(0))
-    everything = both.unionByName(row(pages, 0, title=F.concat(F.lit("Page "), F.col("page")), method=F.lit("page_fallback"))).unionByName(row(paragraphs, 2, text=F.col("text"), method=F.lit("paragraph_content")))
-    return everything.withColumn("sequence", F.row_number().over(Window.partitionBy("document_id").orderBy("page", "kind", "place")))
+    nothing = F.lit(None).cast("struct<title:string,level:int>")
+    row = lambda page, kind, place, text, o=nothing: F.struct(page.cast("int").alias("page"), F.lit(kind).alias("kind"), place.cast("int").alias("place"), text.cast("string").alias("text"), o.alias("o"))
+    root = F.array(row(F.lit(0), -1, F.lit(0), F.lit(None)))
+    outline = F.transform("_outline", lambda o: row(o["page_number"], 1, o["order"], F.lit(None), F.struct(t.trim(o["title"]).alias("title"), o["level"].alias("level"))))
+    pages = F.transform("pages", lambda p: row(p["page_number"], 0, F.lit(0), F.lit(None)))
+    of_page = lambda p: F.transform(t.lines(p["text"]), lambda line, k: row(p["page_number"], 2, k, t.trim(line)))
+    return F.concat(root, outline, pages, F.flatten(F.transform("pages", of_page)))
 
 
-def node_id(document_id, parent_id, level, title, path, page, sequence, text) -> Column:
-    return t.sha256(document_id, parent_id, level, title, F.array_join(path, "/"), page, sequence, text)
+def events(documents: DataFrame) -> DataFrame:
+    """What becomes nodes, in order: document_id, page, kind, place, sequence (0: the root) and details.
 
+    kind -1: the root; 0: the page of a document without headings; 1: an outline heading; 2: a
+    heading or a paragraph of the text. Texts are dealt by document once, and all that follows
+    is sorted within that.
+    """
+    usable = lambda o: (t.trim(o["title"]) != "") & o["page_number"].between(1, F.col("page_count"))
+    whole = documents.repartition("document_id").select("document_id", "page_count", "pages", F.filter("outlines", usable).alias("_outline"))
+    rows = whole.select("document_id", (F.size("_outline") > 0).alias("_outlined"), F.inline(_entries()))
+    of_text = F.when((F.col("kind") == 2) & ~F.col("_outlined") & (F.col("text") != ""), heading_of(F.col("text")))
+    of_outline = F.struct(F.col("o.title").alias("title"), F.greatest(F.lit(1), F.col("o.level") + 1).cast("int").alias("depth"), F.lit("pdf_outline").alias("method"), F.lit(1.0).alias("confidence"))
+    known = rows.withColumn("h", F.when(F.col("kind") == 1, of_outline).otherwise(of_text)).withColumn("h", F.when(F.col("h.title") != "", F.col("h")))
+    known = known.withColumn("_broken", (F.col("kind") < 2) | F.col("h").isNotNull() | (F.col("text") == ""))
+    in_order = Window.partitionBy("document_id").orderBy("page", "kind", "place")
+    marked = known.withColumn("_island", F.sum(F.col("_broken").cast("int")).over(in_order)).where((F.col("kind") < 2) | (F.col("text") != ""))
+    # A heading stands alone; the lines between two breaks of a page are a paragraph.
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ")
+    found = marked.groupBy("document_id", "page", "kind", "_island", "_broken").agg(F.min("place").alias("place"), F.first("h").alias("h"), lines.alias("text"))
+    headed = F.max(F.col("h").isNotNull()).over(Window.partitionBy("document_id"))
+    kept = found.withColumn("_headed", headed).where((F.col("kind") != 0) | ~F.col("_headed"))
+    page = F.struct(F.concat(F.lit("Page "), F.col("page")).alias("title"), F.lit(1).alias("depth"), F.lit("page_fallback").alias("method"), F.lit(None).cast("double").alias("confidence"))
+    numbered = kept.withColumn("sequence", F.row_number().over(in_order) - 1).withColumn("h", F.when(F.col("kind") == 0, page).otherwise(F.col("h")))
+    is_text = (F.col("kind") == 2) & F.col("h").isNull()
+    return numbered.select(
+        "document_id", "page", "kind", "place", "sequence", "h.title", "h.depth", F.when(is_text, "paragraph_content").otherwise(F.col("h.method")).alias("method"), "h.confidence", F.when(is_text, F.col("text")).alias("text"),
+    )
 
-def detect_hierarchy(documents: DataFrame) -> DataFrame:
-    """The node tree of each document, one row a node."""
-    root_title = F.coalesce(F.nullif(F.try_element_at("metadata", F.lit("title")), F.lit("")), "source_filename")
-    last_page = F.greatest(F.lit(1), F.col("page_count"))
-    nothing = F.lit(None).cast("string")
-    roots = documents.select("document_id", last_page.alias("page_end"), root_title.alias("title"), F.array(root_title).alias("path"))
-    roots = roots.withColumn("node_id", node_id(F.col("document_id"), nothing, F.lit("document"), F.col("title"), F.col("path"), F.lit(1), F.lit(0), nothing))
 
-    found = events(documents)
-    # Sections are the headings, or else the pages, which never nest.
-    sections = stack_positions(found.where("title is not null").withColumn("depth", F.coalesce("depth", F.lit(1))), ["sequence"])
-    sections = sections.withColumn("level", F.when(F.col("method") == "page_fallback", "page").otherwise(level_of(F.col("method"), F.col("depth"))))
-    stacked = sections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "position", "title", "level", "page"))).alias("s")).join(roots.select("document_id", F.col("node_id").alias("root_id"), F.col("path").alias("root_path")), "document_id")
-    empty = F.array().cast("array<struct<sequence:int,id:string,parent_id:string,path:array<string>,above:array<int>>>")
-    start = F.struct(empty.alias("stack"), empty.alias("out"))
+def _sections(e: Column, root_id: Column, root_path: Column) -> Column:
+    """(id, parent_id, path) of each heading, in order; ids hash their parents' ids."""
+    empty = F.array().cast("array<struct<id:string,parent_id:string,path:array<string>>>")
 
     def push(state: Column, s: Column) -> Column:
         under = F.slice(state["stack"], F.lit(1), s["position"] - 1)
         parent = F.try_element_at(under, F.lit(-1))
-        parent_id, path = F.coalesce(parent["id"], F.col("root_id")), F.concat(F.coalesce(parent["path"], F.col("root_path")), F.array(s["title"]))
-        above = F.concat(F.coalesce(parent["above"], F.array().cast("array<int>")), F.array(s["sequence"]))
+        parent_id, path = F.coalesce(parent["id"], root_id), F.concat(F.coalesce(parent["path"], root_path), F.array(s["title"]))
         own = node_id(F.col("document_id"), parent_id, s["level"], s["title"], path, s["page"], s["sequence"], F.lit(None))
-        node = F.struct(s["sequence"].alias("sequence"), own.alias("id"), parent_id.alias("parent_id"), path.alias("path"), above.alias("above"))
-        return F.struct(F.concat(under, F.array(node)).alias("stack"), F.concat(state["out"], F.array(node)).alias("out"))
-
-    tree = stacked.select("document_id", F.inline(F.aggregate("s", start, push)["out"]))
-    # A paragraph belongs to the last section before it, or to the root.
-    last = F.last(F.when(F.col("title").isNotNull(), F.col("sequence")), ignorenulls=True).over(Window.partitionBy("document_id").orderBy("sequence"))
-    placed = found.withColumn("section", last).alias("e")
-    joined = placed.join(tree.alias("x"), (F.col("e.document_id") == F.col("x.document_id")) & (F.col("e.section") == F.col("x.sequence")), "left").join(roots.alias("r"), F.col("e.document_id") == F.col("r.document_id"))
-    is_section = F.col("e.title").isNotNull()
-    path = F.coalesce("x.path", "r.path")
-    parent_id = F.when(is_section, F.col("x.parent_id")).otherwise(F.coalesce("x.id", "r.node_id"))
-    level = F.when(~is_section, "content").when(F.col("e.method") == "page_fallback", "page").otherwise(level_of(F.col("e.method"), F.col("e.depth")))
-    own = F.when(is_section, F.col("x.id")).otherwise(node_id(F.col("e.document_id"), parent_id, level, F.lit(None), path, F.col("e.page"), F.col("e.sequence"), F.col("e.text")))
-    # A section ends on the last page of anything below it.
-    below = joined.select(F.col("e.document_id").alias("document_id"), F.col("e.page").alias("page"), F.explode("x.above").alias("sequence"))
-    ends = below.groupBy("document_id", "sequence").agg(F.max("page").alias("page_end"))
-    nodes = joined.select(
-        own.alias("node_id"), "e.document_id", parent_id.alias("parent_id"), level.alias("level"), F.col("e.title").alias("section_title"), path.alias("section_path"),
-        F.col("e.page").alias("page_start"), "e.sequence", F.col("e.method").alias("detection_method"), "e.confidence", "e.text",
-    ).join(ends, ["document_id", "sequence"], "left")
+        node = F.array(F.struct(own.alias("id"), parent_id.alias("parent_id"), path.alias("path")))
+        return F.struct(F.concat(under, node).alias("stack"), F.concat(state["out"], node).alias("out"))
+
+    return F.aggregate(e, F.struct(empty.alias("stack"), empty.alias("out")), push, lambda s: s["out"])
+
+
+def _ends(e: Column, last_page: Column) -> Column:
+    """The last page of each heading's section, in order: that before the next heading at its position or above.
+
+    One fold from the end; ``near`` has that page for each position.
+    """
+    none = F.array().cast("array<int>")
+
+    def back(state: Column, s: Column) -> Column:
+        near, above = state["near"], s["position"] - 1
+        deepest = F.coalesce(F.try_element_at(near, F.lit(-1)), last_page)
+        own = F.coalesce(F.try_element_at(near, s["position"]), deepest)
+        padded = F.concat(F.slice(near, F.lit(1), above), F.array_repeat(deepest, F.greatest(F.lit(0), above - F.size(near))), F.array(s["before"]))
+        return F.struct(padded.alias("near"), F.concat(F.array(F.greatest(own, s["page"])), state["out"]).alias("out"))
+
+    return F.aggregate(F.reverse(e), F.struct(none.alias("near"), none.alias("out")), back, lambda s: s["out"])
+
+
+def detect_hierarchy(documents: DataFrame) -> DataFrame:
+    """The node tree of each document, one row a node.
+
+    One exchange deals the texts by document and a second the few columns of the roots; the rest are sorts,
+    windows and folds within a document.
+    """
+    nothing = F.lit(None).cast("string")
+    root_title = F.coalesce(F.nullif(F.try_element_at("metadata", F.lit("title")), F.lit("")), "source_filename")
+    roots = documents.select("document_id", F.greatest(F.lit(1), F.col("page_count")).alias("_root_end"), root_title.alias("_root_title"))
+    # Sections are the headings, or else the pages, which never nest; nth counts them.
+    by = Window.partitionBy("document_id").orderBy("sequence")
+    level = F.when(F.col("title").isNull(), "content").when(F.col("method") == "page_fallback", "page").otherwise(level_of(F.col("method"), F.col("depth")))
+    numbered = events(documents).withColumns({"level": level, "nth": F.count("title").over(by), "before": F.lag("page").over(by)})
+    placed = numbered.withColumn("position", F.col("nth") + F.least(F.lit(0), F.min(F.col("depth") - F.col("nth")).over(by)))
+    event = F.struct("sequence", "page", F.col("nth").cast("int").alias("nth"), F.col("position").cast("int").alias("position"), "before", "level", "title", "method", "confidence", "text")
+    gathered = placed.groupBy("document_id").agg(F.array_sort(F.collect_list(F.when(F.col("sequence") > 0, event))).alias("e"), F.max("page").alias("_last_page")).join(roots.hint("merge"), "document_id")
+    root_path = F.array("_root_title")
+    gathered = gathered.withColumn("_root_id", node_id(F.col("document_id"), nothing, F.lit("document"), F.col("_root_title"), root_path, F.lit(1), F.lit(0), nothing))
+
+    def row(id, parent_id, level, title, path, start, end, sequence, method, confidence, text) -> Column:
+        of = {"node_id": id, "parent_id": parent_id, "level": level, "section_title": title, "section_path": path, "page_start": start, "page_end": end, "sequence": sequence, "detection_method": method, "confidence": confidence, "text": text}
+        kinds = {"page_start": "int", "page_end": "int", "sequence": "int", "confidence": "double", "section_path": "array<string>"}
+        return F.struct(*(value.cast(kinds.get(name, "string")).alias(name) for name, value in of.items()))
+
+    def node(x: Column, e: Column) -> Column:
+        section, is_section = F.get(x["tree"], e["nth"] - 1), e["title"].isNotNull()
+        path = F.coalesce(section["path"], root_path)
+        above = F.coalesce(section["id"], F.col("_root_id"))
+        as_section = row(section["id"], section["parent_id"], e["level"], e["title"], path, e["page"], F.get(x["ends"], e["nth"] - 1), e["sequence"], e["method"], e["confidence"], nothing)
+        own = node_id(F.col("document_id"), above, e["level"], nothing, path, e["page"], e["sequence"], e["text"])
+        return F.when(is_section, as_section).otherwise(row(own, above, e["level"], nothing, path, e["page"], e["page"], e["sequence"], e["method"], e["confidence"], e["text"]))
+
+    heads = F.filter("e", lambda x: x["title"].isNotNull())
+    # Bound by a lambda, so that the folds run once a document, not once a node.
+    folded = F.struct(_sections(heads, F.col("_root_id"), root_path).alias("tree"), _ends(heads, F.col("_last_page")).alias("ends"), F.col("e").alias("e"))
+    below = F.get(F.transform(F.array(folded), lambda x: F.transform(x["e"], lambda e: node(x, e))), F.lit(0))
+    top = row(F.col("_root_id"), nothing, F.lit("document"), F.col("_root_title"), root_path, F.lit(1), F.col("_root_end"), F.lit(0), F.lit("document_root"), F.lit(None), nothing)
     columns = ("node_id", "document_id", "parent_id", "level", "section_title", "section_path", "page_start", "page_end", "sequence", "detection_method", "confidence", "text")
-    below_root = nodes.withColumn("page_end", F.greatest("page_start", F.when(F.col("section_title").isNotNull(), F.col("page_end")).otherwise(F.col("page_start"))))
-    top = roots.select("node_id", "document_id", nothing.alias("parent_id"), F.lit("document").alias("level"), F.col("title").alias("section_title"), F.col("path").alias("section_path"), F.lit(1).alias("page_start"), "page_end", F.lit(0).alias("sequence"), F.lit("document_root").alias("detection_method"), F.lit(None).cast("double").alias("confidence"), nothing.alias("text"))
-    return top.select(*columns).unionByName(below_root.select(*columns))
+    return gathered.select("document_id", F.inline(F.concat(F.array(top), below))).select(*columns)
 
 
 def hierarchy_warnings(documents: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ class LexicalReranker:
 
     def score(self, query: str, texts: Sequence[str]) -> list[float]:
         words = set(query.split())
-        return [len(words & set(t.normalize_query(text).split())) / max(1, len(words)) for text in texts]
+        return [len(words & set(t.normal_form(text).split())) / max(1, len(words)) for text in texts]
 
 
 class CrossEncoderReranker:
@@ -104,7 +104,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, reranker: RerankerProvider
         import pandas as pd
 
         group = group.sort_values(["rank", "chunk_id"])
-        query, reason, scores = t.normalize_query(group["query"].iloc[0] or ""), None, [None] * len(group)
+        query, reason, scores = t.normal_form(group["query"].iloc[0] or ""), None, [None] * len(group)
         if not query:
             reason = "the query is empty"
         else:

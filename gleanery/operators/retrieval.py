@@ -17,16 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as t
+from gleanery.operators.postings import POINTS, KeywordIndex, index_of, searched_fields
+from gleanery.operators.postings import search as search_postings
 from gleanery.shipping import ship_package
 
 #: Rank of a hit that a channel lacks.
 NO_RANK = 2**31
-#: Queries whose terms are one expression; more are taken in turns.
+#: Literal queries whose terms are one expression; more go through an index.
 MOST_QUERIES = 200
-#: Different terms that are sent to every task; more meet texts by a shuffle.
-MOST_TERMS = 100_000
-#: A run of the characters that bound no term.
-RUN = "[A-Za-z0-9_]+"
 #: Query vectors that are multiplied at a time.
 QUERY_BLOCK = 512
 #: Values of query vectors that are sent to every task at a time (64 MB).
@@ -53,12 +51,6 @@ def top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def keyword_fields() -> dict[str, tuple[Column, float]]:
-    """What keyword search reads of a chunk, in lower case, and the points of a term in it."""
-    fields = {"text": (F.col("text"), 1.0), "title": (F.col("section_title"), 2.0), "path": (t.json_path(F.col("section_path")), 2.0)}
-    return {name: (F.lower(F.coalesce(column, F.lit(""))), points) for name, (column, points) in fields.items()}
-
-
 def keyword_score(terms: Sequence[str], fields: Mapping[str, tuple[Column, float]]) -> Column:
     """1 for each term in the text, 2 for each in the title and 2 for each in the path; ``fields`` are in lower case."""
     score = F.lit(0.0)
@@ -71,55 +63,37 @@ def keyword_score(terms: Sequence[str], fields: Mapping[str, tuple[Column, float
 def keyword_search(chunks: DataFrame, queries: Mapping[str, str], k: int = 20) -> DataFrame:
     """The ``k`` best chunks of each query by its distinct terms: query_id, chunk_id, document_id, source_path, sequence, score, rank.
 
-    The queries are few and their terms become constants of one pass over the chunks.
+    The terms of a few queries become constants of one pass over the chunks; more queries go through an index.
     """
     _above_zero("k", k)
-    terms = {name: found for name, query in queries.items() if (found := t.query_terms(t.normalize_query(query)))}
-    if len(terms) > MOST_QUERIES:
-        raise RetrievalError(f"at most {MOST_QUERIES} queries at a time; use keyword_search_table")
+    spark = chunks.sparkSession
+    asked = spark.createDataFrame(list(queries.items()), "query_id string, query string")
+    if len(queries) > MOST_QUERIES:
+        return keyword_search_table(chunks, asked, k)
+    ship_package(spark)
+    found = asked.select("query_id", t.terms(t.text_identity(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
+    terms = {row["query_id"]: row["terms"] for row in found.collect()}
     columns = ("chunk_id", "document_id", "source_path", "sequence")
     if not terms:
         return chunks.where("false").select(F.lit("").alias("query_id"), *columns, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     # Lower case is made once for all terms, and scores are compiled columns.
-    lowered = chunks.select(*columns, *(column.alias(f"_{name}") for name, (column, _) in keyword_fields().items()))
-    fields = {name: (F.col(f"_{name}"), points) for name, (_, points) in keyword_fields().items()}
+    lowered = chunks.select(*columns, *(column.alias(f"_{name}") for name, column in searched_fields().items()))
+    fields = {name: (F.col(f"_{name}"), float(POINTS[name])) for name in POINTS}
     each = lowered.select(*columns, *(keyword_score(found, fields).alias(f"_s{k}") for k, found in enumerate(terms.values())))
     scores = F.array(*(F.struct(F.lit(name).alias("query_id"), F.col(f"_s{k}").alias("score")) for k, name in enumerate(terms)))
     scored = each.select(*columns, F.inline(F.filter(scores, lambda x: x["score"] > 0)))
     return top(scored, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
 
 
-def keyword_search_table(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """Keyword search for a table of queries (query_id, query) of any size.
+def keyword_search_table(chunks: DataFrame | KeywordIndex, queries: DataFrame, k: int = 20) -> DataFrame:
+    """Keyword search for a table of queries (query_id, query) of any size: see ``postings``.
 
-    Terms meet texts by equality of a piece: a run of ASCII letters, digits and _, or
-    for a term without any its first character. Where a term stands between
-    boundaries, its runs are whole runs of the text. Pieces that no term asks for
-    leave before anything is shuffled, if the terms are few enough to send to every
-    task. A term of several pieces is then looked for in full. Terms that hold white
-    space don't occur.
+    Chunks that aren't indexed yet are, in a folder of their own.
     """
     _above_zero("k", k)
-    ship_package(chunks.sparkSession)
-    asked = queries.select("query_id", F.explode(t.terms(t.text_identity(F.col("query")))).alias("term"))
-    runs = F.regexp_extract_all("term", F.lit(RUN), F.lit(0))
-    longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    terms = asked.select("term").distinct().select("term", F.coalesce(longest, F.substring("term", 1, 1)).alias("_piece")).persist()
-    few = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    columns = ("chunk_id", "document_id", "source_path", "sequence")
-    fields = F.array(*(F.struct(F.lit(name).alias("field"), column.alias("text"), F.lit(points).alias("points")) for name, (column, points) in keyword_fields().items()))
-    parts = chunks.select(*columns, F.inline(fields))
-    pieces = parts.select(*columns, "field", "points", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"{RUN}|[^A-Za-z0-9_\s]"), F.lit(0)))).alias("piece"))
-    met = pieces.join(F.broadcast(terms) if few else terms.hint("merge"), F.col("piece") == F.col("_piece")).drop("piece", "_piece", "_pieces")
-    whole = met.where(F.col("term").rlike(f"^(?:{RUN}|.)$"))
-    longer = met.where(~F.col("term").rlike(f"^(?:{RUN}|.)$"))
-    texts = parts.select(F.col("chunk_id").alias("_chunk"), F.col("field").alias("_field"), "text")
-    bounded = F.regexp_like("text", F.concat(F.lit("(?:^|[^A-Za-z0-9_])"), F.regexp_replace("term", r"([^\w\s])", r"\\$1"), F.lit("(?:[^A-Za-z0-9_]|$)")))
-    found = longer.join(texts, (F.col("chunk_id") == F.col("_chunk")) & (F.col("field") == F.col("_field")) & F.col("text").contains(F.col("term")) & bounded).select(*whole.columns)
-    points = whole.unionByName(found).groupBy(*columns, "term").agg(F.sum("points").alias("points"))
-    wanted = asked.withColumnRenamed("term", "_term")
-    scored = points.join(F.broadcast(wanted) if few else wanted.hint("merge"), F.col("term") == F.col("_term")).groupBy("query_id", *columns).agg(F.sum("points").alias("score"))
-    return top(scored, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
+    index = chunks if isinstance(chunks, KeywordIndex) else index_of(chunks)
+    ship_package(queries.sparkSession)
+    return search_postings(index, queries.select("query_id", t.terms(t.text_identity(F.col("query"))).alias("terms")), k)
 
 
 def valid_vector(vector: Column) -> Column:

@@ -16,6 +16,11 @@ from gleanery.sources import files, store
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SEARCHES = {"q1": "The MIT License", "q2": "GNU General Public License, version 3", "q3": "worthless loser by src0", "q4": "CC BY-NC 4.0"}
+#: The terms of these and other literal queries, for SQL.
+SEARCH_TERMS = {
+    "The MIT License": ("mit", "license"), "GNU General Public License, version 3": ("gnu", "general", "public", "license", "version", "3"),
+    "worthless loser by src0": ("worthless", "loser", "by", "src0"), "CC BY-NC 4.0": ("cc", "by-nc", "4.0"), "fr src3 de src7": ("fr", "src3", "de", "src7"),
+}
 CHUNK_SIZE = 400
 
 
@@ -180,7 +185,7 @@ def keyword_oracle(searches: dict[str, str], k: int, alone: bool = False) -> str
     parts = []
     for name, text in searches.items():
         score = []
-        for term in t.query_terms(t.normalize_query(text)):
+        for term in SEARCH_TERMS[text]:
             pattern = "(^|[^[:alnum:]_])" + "".join(x if x.isalnum() else "\\" + x for x in term) + "([^[:alnum:]_]|$)"
             for column, points in (("lower(text)", 1), ("lower(lang)", 2), ("lower('[\"' || source || '\",\"' || lang || '\"]')", 2)):
                 score.append(f"CASE WHEN regexp_matches({column}, '{pattern}') THEN {points}.0 ELSE 0.0 END")

@@ -69,7 +69,7 @@ def search(
         hits = r.fuse(r.keyword_search(chunks, asked, pool), r.no_hits(spark) if near is None else near, pool, settings.hybrid_fusion_method, settings.rrf_k, **weights)
     found = r.evidence(hits, chunks)
     if mode == "hybrid":
-        rows = spark.createDataFrame([(name, t.normalize_query(query)) for name, query in asked.items()], "query_id string, query string")
+        rows = spark.createDataFrame([(name, t.normal_form(query)) for name, query in asked.items()], "query_id string, query string")
         found = rerank(found, rows, reranker, top_k if reranker is not None else None)
     found = found.where(F.col("rank") <= top_k)
     if expand_hierarchy:

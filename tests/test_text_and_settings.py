@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as t
 from gleanery.settings import Settings, SettingsError
+from gleanery.shipping import ship_package
 
 
-def test_queries_are_normalized_and_split():
-    normal = t.normalize_query("  ＰｏｓｔｇｒｅＳＱＬ\tMVCC  HTTP/2 C++ pg_catalog ")
-    assert normal == "postgresql mvcc http/2 c++ pg_catalog"
-    assert t.query_terms(normal) == ["postgresql", "mvcc", "http/2", "c++", "pg_catalog"]
-    assert t.query_terms("what is the cost of a vacuum and the vacuum") == ["cost", "vacuum"]
-    with pytest.raises(TypeError):
-        t.normalize_query(None)
+def test_queries_are_normalized_and_split(spark):
+    raw = "  ＰｏｓｔｇｒｅＳＱＬ\tMVCC  HTTP/2 C++ pg_catalog "
+    assert t.normal_form(raw) == "postgresql mvcc http/2 c++ pg_catalog"
+    ship_package(spark)
+    rows = spark.createDataFrame([(0, raw), (1, "what is the cost of a vacuum and the vacuum"), (2, ""), (3, None)], "k int, q string")
+    found = {r["k"]: r["terms"] for r in rows.select("k", t.terms(t.text_identity(F.col("q"))).alias("terms")).collect()}
+    assert found == {0: ["postgresql", "mvcc", "http/2", "c++", "pg_catalog"], 1: ["cost", "vacuum"], 2: [], 3: None}
 
 
 def test_columns_cut_text_as_python_does(spark):
