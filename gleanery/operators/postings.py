@@ -2,8 +2,8 @@
 
 Chunks are numbered in the order that breaks ties, and ``BLOCK`` numbers make a block. A
 row of the postings is a piece of text in a block: the numbers of its chunks with their
-points, the most points and the first number. Rows are range-partitioned by piece and
-block, so that files hold few pieces and a frequent piece lies in many partitions.
+points, the most points and the first number. Rows are dealt by piece and block, so that a
+frequent piece lies in many partitions, and files are sorted by piece, so that a reader skips most of a file.
 
 A piece is a run of ASCII letters, digits and _, or one of the other characters that a term can begin with. A query
 term that is one run reads its postings; another is looked up by its longest run, or its first
@@ -87,17 +87,15 @@ class KeywordIndex:
 
         Chunks have chunk_id, document_id, source_path, sequence, text, section_title and section_path.
         """
-        keys = ("chunk_id", "document_id", "source_path", F.col("sequence").cast("int").alias("sequence"))
-        rows = chunks.select(*keys, *(column.alias(name) for name, column in searched_fields().items()))
         order = (F.lower("source_path"), F.col("sequence"), F.col("chunk_id"))
+        keys = ("chunk_id", "document_id", "source_path", F.col("sequence").cast("int").alias("sequence"))
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        numbered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("at"), "*")
-        self._write(numbered, "chunks")
+        sorted_ = chunks.select(*keys, "text", "section_title", "section_path").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        self._write(sorted_.select(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("at"), *keys[:3], "sequence", *(column.alias(name) for name, column in searched_fields().items())), "chunks")
         written = self._read("chunks", CHUNK).where(F.col("batch") == batch)
         points = piece_points(written).select("piece", F.shiftright("at", BLOCK.bit_length() - 1).alias("block"), "at", "points")
-        dealt = points.repartitionByRange(parts, "piece", "block").groupBy("piece", "block")
-        entries = F.array_sort(F.collect_list(F.struct("at", "points")))
-        self._write(dealt.agg(entries.alias("entries"), F.max("points").alias("most"), F.min("at").alias("first")).select(F.lit(batch).alias("batch"), "*"), "postings")
+        gathered = points.groupBy("piece", "block").agg(F.array_sort(F.collect_list(F.struct("at", "points"))).alias("entries"), F.max("points").alias("most"), F.min("at").alias("first"))
+        self._write(gathered.select(F.lit(batch).alias("batch"), "*").sortWithinPartitions("batch", "piece", "block"), "postings")
 
     def all_chunks(self) -> DataFrame:
         return self._read("chunks", CHUNK)
@@ -162,7 +160,7 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20) -> DataFrame:
     wanted = kept(asked.select("set_id", F.explode("_terms").alias("term")).distinct(), "terms")
     blocks = kept(term_blocks(index, wanted.select("term").distinct(), several), "blocks")
     few = wanted.limit(FEW + 1).count() <= FEW
-    bounds = kept(_joined(blocks.select("term", "batch", "block", "most", "first"), wanted, ["term"], few).groupBy("set_id", "batch", "block").agg(F.sum("most").alias("bound"), F.max("first").alias("first")), "bounds")
+    bounds = _joined(blocks.select("term", "batch", "block", "most", "first"), wanted, ["term"], few).groupBy("set_id", "batch", "block").agg(F.sum("most").alias("bound"), F.max("first").alias("first"))
 
     def scored(pairs: DataFrame) -> DataFrame:
         """The first ``k`` chunks of each set in the given blocks; the order of numbers is that of ties within a batch."""
@@ -172,12 +170,12 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20) -> DataFrame:
         return sums.withColumn("_nth", F.row_number().over(Window.partitionBy("set_id", "batch").orderBy(F.desc("score"), "at"))).where(F.col("_nth") <= k).drop("_nth")
 
     ranked = bounds.withColumn("_nth", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("bound"), "batch", "first", "block")))
-    firsts = kept(ranked.where(F.col("_nth") <= FIRST_BLOCKS).drop("_nth"), "first-blocks")
+    firsts = ranked.where(F.col("_nth") <= FIRST_BLOCKS).drop("_nth")
     found = kept(scored(firsts), "first-hits")
     last = found.withColumn("_nth", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("score"), "batch", "at"))).where(F.col("_nth") == k).select("set_id", F.col("score").alias("_score"), F.col("at").alias("_at"))
     # Numbers of two batches can't be compared, so that ties count there.
     beats = F.col("_score").isNull() | (F.col("bound") > F.col("_score")) | ((F.col("bound") == F.col("_score")) & (F.lit(several) | (F.col("first") < F.col("_at"))))
-    more = bounds.join(firsts.select("set_id", "batch", "block"), ["set_id", "batch", "block"], "left_anti").join(last, "set_id", "left").where(beats)
+    more = ranked.where(F.col("_nth") > FIRST_BLOCKS).drop("_nth").join(last, "set_id", "left").where(beats)
     every = found.unionByName(scored(more))
     keys = index.all_chunks().select("batch", "at", "chunk_id", "document_id", "source_path", "sequence")
     by = Window.partitionBy("set_id").orderBy(F.desc("score"), F.lower("source_path"), "sequence", "chunk_id")
