@@ -112,11 +112,11 @@ class LineRuns:
         return rows.where(F.col("n") >= self.min_documents).select(*KEY, "keep_id")
 
 
-def in_batches(lines: DataFrame, folder: str, batches: int) -> list[DataFrame]:
-    """``lines`` written once, dealt by descending id; rows without an id come last."""
+def in_batches(lines: DataFrame, ids: DataFrame, folder: str, batches: int) -> list[DataFrame]:
+    """``lines`` written once, dealt by descending id, as many of ``ids`` (_id) each; rows without an id come last."""
     spark = lines.sparkSession
     ranks = [k / batches for k in range(1, batches)]
-    bounds = lines.select(F.percentile_approx("_id", ranks, 10_000).alias("b")).first()["b"] if ranks else None
+    bounds = ids.select(F.percentile_approx("_id", ranks, 10_000).alias("b")).first()["b"] if ranks else None
     batch = sum((F.coalesce((F.col("_id") <= bound).cast("int"), F.lit(1)) for bound in bounds or []), F.lit(0))
     lines.withColumn("_batch", batch).write.partitionBy("_batch").parquet(folder)
     kept = spark.read.schema(T.StructType([*lines.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(folder)
@@ -147,7 +147,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """
     spark = df.sparkSession
     folder = new_folder(spark, "line-dedup")
-    dealt = in_batches(line_rows(df, id_col, text_col, min_chars), f"{folder}/lines", batches)
+    dealt = in_batches(line_rows(df, id_col, text_col, min_chars), df.select(F.col(id_col).alias("_id")), f"{folder}/lines", batches)
     runs = LineRuns(spark, f"{folder}/runs", min_documents)
     for batch in dealt:
         runs.add(batch)
