@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.numbers import compensated_sum
+
 CUTOFFS = (5, 10, 20)
 METRICS = tuple(f"{name}_at_{k}" for name in ("recall", "ndcg") for k in CUTOFFS) + ("mrr",)
 
@@ -39,12 +41,16 @@ def metrics(rankings: DataFrame, relevant: DataFrame, cases: DataFrame) -> DataF
 
 def scores(hits: DataFrame, wanted: DataFrame, cases: DataFrame) -> DataFrame:
     """All metrics of each case from its relevant hits (case_id, rank) and the number of what is relevant (case_id, n)."""
-    sums = [F.count_if(F.col("rank") <= k).alias(f"hits_{k}") for k in CUTOFFS] + [F.sum(F.when(F.col("rank") <= k, gain(F.col("rank")))).alias(f"dcg_{k}") for k in CUTOFFS]
-    found = hits.groupBy("case_id").agg(F.min("rank").alias("first"), *sums)
+    # In order of rank and with compensation, so that no sum depends on how rows come.
+    within = lambda k: compensated_sum(F.transform(F.filter("ranks", lambda r: r <= k), gain)).alias(f"dcg_{k}")
+    counts = [F.count_if(F.col("rank") <= k).alias(f"hits_{k}") for k in CUTOFFS]
+    ranks = F.array_sort(F.collect_list(F.when(F.col("rank") <= max(CUTOFFS), F.col("rank")))).alias("ranks")
+    gathered = hits.groupBy("case_id").agg(F.min("rank").alias("first"), ranks, *counts)
+    found = gathered.select("*", *map(within, CUTOFFS)).drop("ranks")
     rows = cases.select("case_id").distinct().join(wanted, "case_id", "left").join(found, "case_id", "left")
 
     def ideal(k: int) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda total, rank: total + gain(rank))
+        return compensated_sum(F.transform(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), gain))
 
     zero = F.lit(0.0)
     recall = [F.coalesce(F.col(f"hits_{k}") / F.col("n"), zero).alias(f"recall_at_{k}") for k in CUTOFFS]

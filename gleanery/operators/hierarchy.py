@@ -17,6 +17,8 @@ CHAPTER = r"(?i)^\s*((?:chapter|part)\s+\d+[A-Za-z]?)\s*[:.\-]?\s*(.*?)\s*$"
 NUMBERED = r"^\s*(\d+(?:\.\d+){0,5})[.)]?\s+(.{2,120}?)\s*$"
 UPPERCASE = r"^[A-Z][A-Z0-9 &/,:()'\-]{2,80}$"
 SENTENCE_END = r"[.!?;:]$"
+#: Goes up when documents get other nodes than before.
+HIERARCHY_VERSION = "1"
 #: Headings nest this deep when they are told from text.
 DEEPEST = 6
 NO_HEADINGS = "no_headings_detected_page_paragraph_fallback_used"

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as t
+from gleanery.functions.numbers import compensated_rows, compensated_sum
 from gleanery.operators.postings import POINTS, KeywordIndex, index_of, searched_fields
 from gleanery.operators.postings import search as search_postings
 from gleanery.shipping import ship_package
@@ -27,6 +28,10 @@ NO_RANK = 2**31
 MOST_QUERIES = 200
 #: Query vectors that are multiplied at a time.
 QUERY_BLOCK = 512
+#: How far a product of blocks can be from its compensated sum, at unit length.
+ROUGH = 1e-12
+#: Pairs that get compensated sums at a time.
+SCORED = 50_000
 #: Values of query vectors that are sent to every task at a time (64 MB).
 QUERY_VALUES = 8_000_000
 
@@ -130,19 +135,20 @@ def compatible_dimensions(chunks: DataFrame, embeddings: DataFrame, model: Model
 
 
 def norm(vector: Column) -> Column:
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
+    return F.sqrt(compensated_sum(F.transform(vector, lambda x: x * x)))
 
 
 def dot(left: Column, right: Column) -> Column:
-    return F.aggregate(F.zip_with(left, right, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    return compensated_sum(F.zip_with(left, right, lambda x, y: x * y))
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 20, digits: int | None = None, query_values: int = QUERY_VALUES) -> DataFrame:
+def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 20, query_values: int = QUERY_VALUES) -> DataFrame:
     """The ``k`` chunks nearest to each query vector by cosine: an exact scan.
 
     ``queries`` (query_id, vector) is a stated set. It is sent to every task in parts
     of ``query_values`` numbers, and chunks are read once a part. A task multiplies
-    blocks of both and keeps the top of each query. Stored vectors that are invalid, of
+    blocks of both and hands on the ``k`` best of each query. What comes near these gets a compensated sum, so that
+    scores and ranks don't depend on blocks or tasks. Stored vectors that are invalid, of
     length zero or of another dimension are left out; a query vector mustn't be.
     """
     _above_zero("k", k)
@@ -155,13 +161,69 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 20, digits:
     dealt = asked.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     found = None
     for part in range(parts):
-        own = _nearest(keys, dealt.where(F.col("_part") == part).drop("_part"), k, digits)
+        own = _nearest(keys, dealt.where(F.col("_part") == part).drop("_part"), k)
         found = own if found is None else found.unionByName(own)
     return top(found, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
 
 
-def _nearest(keys: DataFrame, queries: DataFrame, k: int, digits: int | None) -> DataFrame:
-    """At least the ``k`` best rows of each task for each query, with all that tie with the last of them."""
+class NearestRows:
+    """The ``k`` best rows of each query among those that pass by, with the ties that order decides."""
+
+    ORDER = [("query", "ascending"), ("score", "descending"), ("_order", "ascending"), ("sequence", "ascending"), ("chunk_id", "ascending")]
+
+    def __init__(self, vectors: np.ndarray, k: int):
+        self.units, self.k = vectors / np.sqrt(compensated_rows(vectors * vectors))[:, None], k
+        self.least = np.full(len(vectors), -np.inf)
+        self.held: list = []
+        self.count = 0
+
+    def pass_by(self, rows, vectors: np.ndarray) -> None:
+        """``rows`` are a record batch with the vectors' keys."""
+        with np.errstate(all="ignore"):
+            length = np.sqrt(compensated_rows(vectors * vectors))
+        good = np.flatnonzero(np.isfinite(vectors).all(1) & (length > 0) & np.isfinite(length))
+        units = vectors[good] / length[good, None]
+        for first in range(0, len(self.units), QUERY_BLOCK):
+            block = self.units[first : first + QUERY_BLOCK]
+            rough = block @ units.T
+            least = self.least[first : first + QUERY_BLOCK].copy()
+            if len(good) > self.k:
+                least = np.maximum(least, -np.partition(-rough, self.k - 1, axis=1)[:, self.k - 1])
+            which, row = np.nonzero(rough >= least[:, None] - ROUGH)
+            if len(which):
+                self._keep(rows, good[row], first + which, units[row])
+
+    def _keep(self, rows, at: np.ndarray, queries: np.ndarray, units: np.ndarray) -> None:
+        import pyarrow as pa
+
+        for first in range(0, len(at), SCORED):
+            part = slice(first, first + SCORED)
+            scores = np.clip(compensated_rows(self.units[queries[part]] * units[part]), -1.0, 1.0)
+            table = pa.Table.from_batches([rows.take(pa.array(at[part]))]).append_column("query", pa.array(queries[part])).append_column("score", pa.array(scores))
+            self.held.append(table)
+            self.count += len(table)
+            if self.count > 2 * self.k * len(self.units) + SCORED:
+                self.best()
+
+    def best(self):
+        """Cuts what is held down to the best, as a table."""
+        import pyarrow as pa
+
+        if not self.held:
+            return None
+        table = pa.concat_tables(self.held).sort_by(self.ORDER)
+        queries = table.column("query").to_numpy()
+        starts = np.searchsorted(queries, queries)
+        table = table.filter(pa.array(np.arange(len(queries)) - starts < self.k)).combine_chunks()
+        queries, scores = table.column("query").to_numpy(), table.column("score").to_numpy()
+        last = np.arange(len(queries)) - np.searchsorted(queries, queries) == self.k - 1
+        self.least[queries[last]] = scores[last]
+        self.held, self.count = [table], len(table)
+        return table
+
+
+def _nearest(keys: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of each task for each query."""
     spark = keys.sparkSession
     ship_package(spark)
     groups: dict[int, tuple[list, list]] = {}
@@ -169,11 +231,7 @@ def _nearest(keys: DataFrame, queries: DataFrame, k: int, digits: int | None) ->
         ids, rows = groups.setdefault(len(row["vector"]), ([], []))
         ids.append(row["query_id"])
         rows.append(row["vector"])
-    scaled = {}
-    for size, (ids, rows) in groups.items():
-        block = np.array(rows)
-        scaled[size] = (ids, block / np.sqrt((block * block).sum(1, keepdims=True)))
-    shared = spark.sparkContext.broadcast(scaled)
+    shared = spark.sparkContext.broadcast({size: (ids, np.array(rows)) for size, (ids, rows) in groups.items()})
     kind = queries.schema["query_id"].dataType.simpleString()
     fields = {field.name: field.dataType.simpleString() for field in keys.schema if field.name != "vector"}
     schema = f"query_id {kind}, " + ", ".join(f"{name} {of}" for name, of in fields.items()) + ", score double"
@@ -181,33 +239,25 @@ def _nearest(keys: DataFrame, queries: DataFrame, k: int, digits: int | None) ->
     def run(batches):
         import pyarrow as pa
 
-        known = shared.value
+        state = {size: NearestRows(vectors, k) for size, (_, vectors) in shared.value.items()}
         for batch in batches:
             column = batch.column(batch.schema.names.index("vector"))
-            lengths = np.diff(column.offsets.to_numpy())
-            valid = ~column.is_null().to_numpy(zero_copy_only=False)
-            values = column.values.to_numpy(zero_copy_only=False)
-            offsets = column.offsets.to_numpy()
-            for size, (ids, block) in known.items():
-                at = np.flatnonzero(valid & (lengths == size))
-                if not len(at) or not size:
-                    continue
-                own = values[offsets[at][:, None] + np.arange(size)]
-                with np.errstate(all="ignore"):
-                    length = np.sqrt((own * own).sum(1))
-                good = np.isfinite(own).all(1) & (length > 0) & np.isfinite(length)
-                at, own, length = at[good], own[good], length[good]
-                for first in range(0, len(ids), QUERY_BLOCK):
-                    scores = np.clip(block[first : first + QUERY_BLOCK] @ (own / length[:, None]).T, -1.0, 1.0)
-                    scores = scores if digits is None else np.round(scores, digits)
-                    least = np.full(len(scores), -2.0) if len(at) <= k else -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                    which, chunk = np.nonzero(scores >= least[:, None])
-                    if len(which):
-                        rows = batch.take(pa.array(at[chunk]))
-                        columns = [pa.array([ids[first + q] for q in which.tolist()]), *(rows.column(rows.schema.names.index(name)) for name in fields), pa.array(scores[which, chunk])]
-                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", *fields, "score"])
-
-    return keys.mapInArrow(run, schema)
+            lengths = np.where(column.is_null().to_numpy(zero_copy_only=False), -1, np.diff(column.offsets.to_numpy()))
+            values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            rows = batch.drop_columns(["vector"])
+            for size, nearest in state.items():
+                at = np.flatnonzero(lengths == size)
+                if len(at) and size:
+                    nearest.pass_by(rows.take(pa.array(at)), values[offsets[at][:, None] + np.arange(size)])
+        for size, nearest in state.items():
+            table = nearest.best()
+            if table is not None:
+                ids = shared.value[size][0]
+                for part in table.to_batches(max_chunksize=10_000):
+                    asked = pa.array([ids[q] for q in part.column("query").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([asked, *(part.column(name) for name in fields), part.column("score")], names=["query_id", *fields, "score"])
+
+    return keys.withColumn("_order", F.lower("source_path")).mapInArrow(run, schema)
 
 
 def deduplicate(hits: DataFrame) -> DataFrame:

@@ -258,20 +258,20 @@ SEMANTIC = """
 nearest AS (
   SELECT query_id, chunk_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'v/' || chunk_id, chunk_id::BIGINT) AS rank
   FROM (SELECT q.vec_id::VARCHAR AS query_id, v.vec_id::VARCHAR AS chunk_id, v.label,
-               round(greatest(-1, least(1, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
+               greatest(-1, least(1, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS score
         FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)
 )"""
 
 
-@query(f"WITH {SEMANTIC} SELECT query_id, chunk_id, score + 0.0 AS score, rank FROM nearest WHERE rank <= 20")
+@query(f"WITH {SEMANTIC} SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score, rank FROM nearest WHERE rank <= 20")
 def sem_topk_batch(spark, sf_dir):
-    return hits(retrieval.semantic_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 20, digits=6).withColumn("score", F.col("score") + 0.0), "query_id", "chunk_id", "score")
+    return hits(retrieval.semantic_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 20).withColumn("score", F.round("score", 6) + 0.0), "query_id", "chunk_id", "score")
 
 
-@query(f"WITH {SEMANTIC} SELECT chunk_id, score + 0.0 AS score, rank FROM nearest WHERE query_id = '0' AND rank <= 50")
+@query(f"WITH {SEMANTIC} SELECT chunk_id, round(score, 6) + 0.0 AS score, rank FROM nearest WHERE query_id = '0' AND rank <= 50")
 def sem_topk_single(spark, sf_dir):
     one = vector_queries(spark, sf_dir).where("query_id = '0'")
-    return hits(retrieval.semantic_search(vectors(spark, sf_dir), one, 50, digits=6).withColumn("score", F.col("score") + 0.0), "chunk_id", "score")
+    return hits(retrieval.semantic_search(vectors(spark, sf_dir), one, 50).withColumn("score", F.round("score", 6) + 0.0), "chunk_id", "score")
 
 
 def embedding_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +306,7 @@ def channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     words = retrieval.keyword_search_table(chunks, table_queries(spark, sf_dir))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     near = chunks.join(rows, F.col("vec_id") == F.col("chunk_id"))
-    return words, retrieval.semantic_search(near, vector_queries(spark, sf_dir), 20, digits=6)
+    return words, retrieval.semantic_search(near, vector_queries(spark, sf_dir), 20)
 
 
 def fusion_oracle(score: str, scaled: str = "") -> str:
@@ -316,7 +316,7 @@ WITH {TABLE_WORDS}, near AS (
   SELECT query_id, chunk_id, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(source_path), chunk_id::BIGINT) AS rank FROM (
       SELECT q.vec_id::VARCHAR AS query_id, d.doc_id::VARCHAR AS chunk_id, d.source || '/' || d.doc_id || '.txt' AS source_path,
-             round(greatest(-1, least(1, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score
+             greatest(-1, least(1, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS score
       FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 20
 ), w AS (SELECT *, {scaled or '0.0'} AS scaled FROM words), n AS (SELECT *, {scaled or '0.0'} AS scaled FROM near), fused AS (
   SELECT coalesce(w.query_id, n.query_id) AS query_id, coalesce(w.chunk_id, n.chunk_id) AS chunk_id, w.rank AS keyword_rank, n.rank AS semantic_rank, {score} AS score
@@ -696,7 +696,28 @@ def ctx_relations(spark, sf_dir):
     return context.relations(found, chunks, conversation_nodes(spark, sf_dir)).select("query_id", "hit_id", "chunk_id", "relation", F.col("first").cast("long").alias("distance"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CLOSURE}, found AS (
+  SELECT t.conv_id, t.turn AS hit, tree.above AS other, 'parent' AS relation, 0 AS kind, 0 AS priority, tree.distance AS first, abs(tree.above - t.turn) AS second FROM turns t JOIN tree USING (conv_id, turn)
+  UNION ALL SELECT t.conv_id, t.turn, tree.turn, 'child', 1, 2, tree.distance, abs(tree.turn - t.turn) FROM turns t JOIN tree ON tree.conv_id = t.conv_id AND tree.above = t.turn
+  UNION ALL SELECT t.conv_id, t.turn, o.turn, 'neighbor', 2, 1, 1, o.turn FROM turns t JOIN turns o ON o.conv_id = t.conv_id AND abs(o.turn - t.turn) = 1
+), best AS (
+  SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY conv_id, hit, other ORDER BY kind) = 1
+), texts AS (
+  SELECT conv_id, turn, length(text) AS size, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS identity FROM turns
+), ordered AS (
+  SELECT b.conv_id, b.hit, b.other, b.relation, o.size, o.identity, row_number() OVER (PARTITION BY b.conv_id, b.hit ORDER BY priority, first, second, 'c' || b.conv_id || '/' || b.other) AS nth
+  FROM best b JOIN texts o ON o.conv_id = b.conv_id AND o.turn = b.other JOIN texts h ON h.conv_id = b.conv_id AND h.turn = b.hit
+  WHERE o.identity <> '' AND o.identity <> h.identity AND o.size <= 4000
+), one AS (SELECT * FROM ordered QUALIFY row_number() OVER (PARTITION BY conv_id, hit ORDER BY nth) = 1
+), two AS (
+  SELECT o.* FROM ordered o JOIN one ON one.conv_id = o.conv_id AND one.hit = o.hit WHERE o.nth > one.nth AND o.identity <> one.identity AND o.size + one.size <= 4000
+  QUALIFY row_number() OVER (PARTITION BY o.conv_id, o.hit ORDER BY o.nth) = 1
+), admitted AS (
+  SELECT conv_id, hit, string_agg('c' || conv_id || '/' || other, ',' ORDER BY nth) AS admitted, string_agg(relation, ',' ORDER BY nth) AS relations FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL
+)
+SELECT 'c' || t.conv_id || '/' || t.turn AS query_id, 'c' || t.conv_id || '/' || t.turn AS chunk_id, coalesce(admitted, '') AS admitted, coalesce(relations, '') AS relations
+FROM turns t LEFT JOIN admitted a ON a.conv_id = t.conv_id AND a.hit = t.turn""")
 def ctx_expand(spark, sf_dir):
     chunks = conversation_chunks(spark, sf_dir)
     found = chunks.select(F.col("chunk_id").alias("query_id"), "chunk_id", F.lit(1).alias("rank"))  # one query a hit
@@ -707,7 +728,7 @@ def ctx_expand(spark, sf_dir):
 
 
 def ranked_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found = retrieval.semantic_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 50, digits=6)
+    found = retrieval.semantic_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 50)
     rankings = found.select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("item_id"), "rank")
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "label")
     asked = labels.where("cast(id as long) % 100 = 0").select(F.col("id").alias("case_id"), "label")

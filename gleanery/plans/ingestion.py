@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleanery import schemas
 from gleanery.operators.chunking import chunk_rows, fingerprint
 from gleanery.operators.embedding import EmbeddingProvider, embed_chunks
-from gleanery.operators.hierarchy import detect_hierarchy, hierarchy_warnings
+from gleanery.operators.hierarchy import HIERARCHY_VERSION, detect_hierarchy, hierarchy_warnings
 from gleanery.settings import Settings
 from gleanery.sources.files import read_corpus
 from gleanery.sources.store import IndexStore, broken_documents
@@ -42,21 +42,29 @@ def run_status(indexed: Column, failures: Column) -> Column:
     return F.when(failures == 0, "completed").when(indexed > 0, "partial").otherwise("failed")
 
 
-def digest(prints: Column) -> Column:
-    """What makes a document's index stale: its content, its path, and how it is chunked."""
-    return F.sha2(F.concat_ws("|", F.coalesce("content_sha256", F.lit("")), "source_path", "status", prints), 256)
+def digest(prints: str) -> Column:
+    """What makes a document's index stale: all that is known of it, each page by a digest of its own, and how it is split and chunked."""
+    pages = F.transform("pages", lambda page: F.sha2(F.to_json(page), 256))
+    known = F.struct("source_filename", "source_path", "content_sha256", "page_count", F.array_sort(F.map_entries("metadata")).alias("metadata"), "status", "warnings", "outlines", pages.alias("pages"))
+    return F.sha2(F.concat_ws("|", F.lit(prints), F.lit(HIERARCHY_VERSION), F.to_json(known)), 256)
 
 
 def changed_documents(documents: DataFrame, store: IndexStore, settings: Settings) -> DataFrame:
-    """Documents that the store lacks or has from other content or another chunking."""
-    prints = F.lit(fingerprint(settings.chunk_size, settings.chunk_overlap, settings.chunk_size_unit))
-    held = store.table("documents").join(store.table("chunks").groupBy("document_id").agg(F.min("configuration_fingerprint").alias("_prints")), "document_id", "left")
-    same = held.select("document_id", digest(F.coalesce("_prints", prints)).alias("_digest"))
-    return documents.withColumn("_digest", digest(prints)).join(same, ["document_id", "_digest"], "left_anti").drop("_digest")
+    """Documents, with their digest, that the store lacks or has with another one."""
+    prints = fingerprint(settings.chunk_size, settings.chunk_overlap, settings.chunk_size_unit)
+    same = store.table("documents").select("document_id", "digest")
+    return documents.withColumn("digest", digest(prints)).join(same, ["document_id", "digest"], "left_anti")
 
 
 def ingest(documents: DataFrame, store: IndexStore, settings: Settings, provider: EmbeddingProvider | None = None) -> Summary:
     """Indexes documents and records the run. Failures stay with their document or chunk, as rows of the store."""
+    try:
+        return _ingest(documents, store, settings, provider)
+    finally:
+        store.clear_staged()
+
+
+def _ingest(documents: DataFrame, store: IndexStore, settings: Settings, provider: EmbeddingProvider | None) -> Summary:
     spark = documents.sparkSession
     started, run_id = datetime.now(UTC).replace(tzinfo=None), uuid.uuid4().hex
     usable = ~F.col("status").isin("unreadable", "encrypted") & (F.size("pages") > 0)
@@ -104,7 +112,6 @@ def ingest(documents: DataFrame, store: IndexStore, settings: Settings, provider
     run = [(run_id, status, total, count, failure_count, started, datetime.now(UTC).replace(tzinfo=None), "; ".join(reasons) or None)]
     store.save_index_runs(spark.createDataFrame(run, schemas.struct(schemas.INDEX_RUN)))
     fresh.unpersist()
-    store.clear_staged()
     return Summary(run_id, status, total, unchanged, count, shown, failure_count, counts["all"] - counts["usable"])
 
 

@@ -31,7 +31,7 @@ def search(
     store: IndexStore,
     queries: Mapping[str, str] | str,
     mode: str = "hybrid",
-    top_k: int = 10,
+    top_k: int | None = None,
     provider: EmbeddingProvider | None = None,
     reranker: RerankerProvider | None = None,
     expand_hierarchy: bool = False,
@@ -39,23 +39,28 @@ def search(
 ) -> SearchResult:
     """Ranked evidence of each query, with its chunk, source and scores.
 
-    If vectors can't be had, hybrid search goes on with keywords, and a note says so.
+    ``top_k`` is the setting of the mode unless given. If vectors can't be had, hybrid search goes on with
+    keywords, and a note says so.
     """
     asked = {name: " ".join(query.split()) for name, query in ({"query": queries} if isinstance(queries, str) else queries).items()}
     if mode not in MODES:
         raise r.RetrievalError(f"the mode is one of {', '.join(MODES)}")
+    given, limits = top_k, {"keyword": settings.keyword_top_k, "semantic": settings.semantic_top_k, "hybrid": settings.hybrid_top_k}
+    top_k = limits[mode] if top_k is None else top_k
     if top_k <= 0 or not asked or not all(asked.values()):
         raise r.RetrievalError("a search has queries and a top_k above zero")
     spark, note = store.spark, None
     chunks = r.with_sources(store.table("chunks"), store.table("documents"))
     pool = max(top_k, RERANK_POOL) if reranker is not None and mode == "hybrid" else top_k
+    # Without a limit of the call, each channel of a hybrid search has its own.
+    own = {name: max(pool, limits[name]) if given is None and mode == "hybrid" else pool for name in ("keyword", "semantic")}
     near = None
     if mode != "keyword":
         try:
             if provider is None:
                 raise r.RetrievalError("no embedding provider")
             vectors = r.compatible_vectors(chunks, store.table("embeddings"), identity(provider))
-            near = r.no_hits(spark) if vectors.isEmpty() else r.semantic_search(vectors, embed_query(provider, asked, spark), pool)
+            near = r.no_hits(spark) if vectors.isEmpty() else r.semantic_search(vectors, embed_query(provider, asked, spark), own["semantic"])
         except Exception as error:
             if mode == "semantic":
                 raise
@@ -63,13 +68,15 @@ def search(
     if mode == "semantic":
         hits = near
     elif mode == "keyword":
-        hits = r.keyword_search(chunks, asked, pool)
+        hits = r.keyword_search(chunks, asked, own["keyword"])
     else:
         weights = {"semantic_weight": settings.hybrid_semantic_weight, "keyword_weight": settings.hybrid_keyword_weight}
-        hits = r.fuse(r.keyword_search(chunks, asked, pool), r.no_hits(spark) if near is None else near, pool, settings.hybrid_fusion_method, settings.rrf_k, **weights)
+        hits = r.fuse(r.keyword_search(chunks, asked, own["keyword"]), r.no_hits(spark) if near is None else near, pool, settings.hybrid_fusion_method, settings.rrf_k, **weights)
     found = r.evidence(hits, chunks)
     if mode == "hybrid":
         rows = spark.createDataFrame([(name, t.normal_form(query)) for name, query in asked.items()], "query_id string, query string")
+        if reranker is not None and given is None:
+            top_k = settings.reranker_top_k
         found = rerank(found, rows, reranker, top_k if reranker is not None else None)
     found = found.where(F.col("rank") <= top_k)
     if expand_hierarchy:

@@ -10,7 +10,7 @@ DOCUMENT = (
     "document_id string, source_filename string, source_path string, content_sha256 string, page_count int, "
     f"metadata map<string,string>, pages array<{PAGE}>, status string, warnings array<string>, outlines array<{OUTLINE}>"
 )
-STORED_DOCUMENT = "document_id string, source_filename string, source_path string, content_sha256 string, page_count int, metadata map<string,string>, status string, warnings array<string>, hierarchy_warnings array<string>"
+STORED_DOCUMENT = "document_id string, source_filename string, source_path string, content_sha256 string, page_count int, metadata map<string,string>, status string, warnings array<string>, hierarchy_warnings array<string>, digest string"
 STORED_PAGE = "document_id string, page_number int, text string, warnings array<string>"
 NODE = (
     "node_id string, document_id string, parent_id string, level string, section_title string, section_path array<string>, "

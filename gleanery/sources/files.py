@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery import schemas
 from gleanery.functions import text as t
@@ -29,7 +31,7 @@ def corpus_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("p
     """Files under ``root`` with their path, relative path, name, length and content, in no order.
 
     Other suffixes are left out when files are listed, and content that isn't selected
-    isn't read. Links that lead out of the root aren't followed by Spark's listing.
+    isn't read. Where the file system has links, a file whose real path is outside the root's is left out.
     """
     either = ",".join("".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else x for x in suffix) for suffix in suffixes)
     try:
@@ -44,9 +46,23 @@ def corpus_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("p
     prefix = whole.toUri().getPath().rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), r"^[a-z0-9+.\-]+:(//[^/]*)?(?=/)", "")
     relative = F.substring(path, F.lit(len(prefix) + 1), F.length(path))
+    if whole.toUri().getScheme() == "file":
+        ship_package(spark)
+        files = files.where(lies_within(prefix)(path))
     return files.select("path", relative.alias("source_path"), F.element_at(F.split(relative, "/"), -1).alias("source_filename"), "length", "content")
 
 
+def lies_within(root: str):
+    """A function of columns of local paths: whether they lie below ``root`` once links are resolved."""
+
+    @F.pandas_udf(T.BooleanType())
+    def within(paths):
+        real = os.path.realpath(root).rstrip("/") + "/"
+        return paths.map(lambda path: os.path.realpath(path).startswith(real))
+
+    return within
+
+
 def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pdf", "txt")) -> DataFrame:
     """The listing of a corpus, without contents: path, relative path, name and length, by case-folded path."""
     return corpus_files(spark, root, suffixes).drop("content").orderBy(F.lower("source_path"), "source_path")

@@ -154,8 +154,9 @@ class IndexStore:
         bucket = self._bucket(F.col("document_id")).alias("bucket")
         if warnings is None:
             warnings = documents.select("document_id", F.col("warnings").alias("hierarchy_warnings"))
+        digest = F.col("digest") if "digest" in documents.columns else F.lit(None).cast("string")
         new = {
-            "documents": documents.drop("pages", "outlines").join(warnings, "document_id"),
+            "documents": documents.withColumn("digest", digest).drop("pages", "outlines").join(warnings, "document_id"),
             "pages": documents.select("document_id", F.inline("pages")),
             "hierarchy_nodes": nodes,
             "chunks": chunks,

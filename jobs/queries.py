@@ -55,7 +55,7 @@ WITH {TABLE_WORDS}, known AS (
 ), near AS (
   SELECT query_id, chunk_id, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(source_path), chunk_id::BIGINT) AS rank FROM (
-      SELECT case_id AS query_id, vec_id::VARCHAR AS chunk_id, source_path, round(greatest(-1, least(1, list_cosine_similarity(known.embedding::DOUBLE[], cases.embedding::DOUBLE[]))), 6) AS score
+      SELECT case_id AS query_id, vec_id::VARCHAR AS chunk_id, source_path, greatest(-1, least(1, list_cosine_similarity(known.embedding::DOUBLE[], cases.embedding::DOUBLE[]))) AS score
       FROM known, cases)) WHERE rank <= 20
 ), lexical AS (
   SELECT query_id, chunk_id, rank FROM words JOIN cases ON query_id = case_id

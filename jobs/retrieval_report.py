@@ -64,7 +64,7 @@ def run(spark: SparkSession, documents: str, embeddings: str, output: str, confi
     near = index.chunks().join(usable.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector")), "chunk_id")
     found = {
         "keyword": retrieval.keyword_search_table(index, cases.select("query_id", "query"), config.keyword_k),
-        "semantic": retrieval.semantic_search(near, cases.select("query_id", "vector"), config.semantic_k, digits=6),
+        "semantic": retrieval.semantic_search(near, cases.select("query_id", "vector"), config.semantic_k),
     }
     # Written, as the fusion and the report both read them.
     hits = {name: _kept(rows, scratch(spark, f"report-{name}")) for name, rows in found.items()}

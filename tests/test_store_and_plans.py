@@ -95,11 +95,26 @@ def test_ingestion_is_incremental_and_search_finds(spark, corpus, tmp_path):
     assert third.unchanged == 2
     assert held.table("embeddings").count() == held.table("chunks").count()
     assert held.table("index_runs").count() == 3
+    # A warning or a page that changes is found though the content's hash is the same; what is the same writes nothing.
+    now = files.read_corpus(spark, str(corpus), lambda _: None).where("status <> 'unreadable'")
+    settings = Settings(**SETTINGS)
+    assert ingestion.changed_documents(now, held, settings).count() == 0
+    pages = F.transform("pages", lambda p: p.withField("text", F.concat(p["text"], F.lit(" more"))))
+    for changed in (now.withColumn("warnings", F.array(F.lit("new"))), now.withColumn("pages", pages), now.withColumn("metadata", F.create_map(F.lit("title"), F.lit("T")))):
+        assert ingestion.changed_documents(changed, held, settings).count() == 3
+    files_before = sorted(str(x) for x in (tmp_path / "store" / "data" / "chunks").rglob("*.parquet"))
+    assert ingestion.ingest(now, held, settings).unchanged == 3
+    assert sorted(str(x) for x in (tmp_path / "store" / "data" / "chunks").rglob("*.parquet")) == files_before
     found = search.search(held, "vacuum", "hybrid", 3, embedding.HashingProvider(), rerank.LexicalReranker(), expand_hierarchy=True, settings=Settings(**SETTINGS))
     assert found.note is None and "vacuum" in found.hits.first()["text"]
     only = search.search(held, {"a": "vacuum", "b": "indexes rows"}, "hybrid", 2)
     assert "keyword results only" in only.note and {r["query_id"] for r in only.hits.collect()} == {"a", "b"}
     assert search.search(held, "indexes", "semantic", 1, embedding.HashingProvider()).hits.count() == 1
+    # The settings' limits hold where a call gives none, and many queries are no error.
+    assert search.search(held, "rows vacuum indexes", "keyword", settings=Settings(**SETTINGS, keyword_top_k=1)).hits.count() == 1
+    assert search.search(held, "rows vacuum indexes", "hybrid", settings=Settings(**SETTINGS, hybrid_top_k=1)).hits.count() == 1
+    many = search.search(held, {f"q{k}": "vacuum" for k in range(201)}, "keyword", 1).hits
+    assert many.count() == many.select("query_id").distinct().count() == 201
     for bad in (("x", "other", 1), ("", "keyword", 1), ("x", "keyword", 0)):
         with pytest.raises(ValueError):
             search.search(held, *bad)
