@@ -108,28 +108,65 @@ def _kind(tag: str, attributes: str, outer: Open) -> Open:
     return Open(tag, outer.furniture or furniture, inherits or hint, outer.article or article, outer.comments)
 
 
+class Stack:
+    """Open elements, with the places of each tag, so that no step looks through all of them."""
+
+    def __init__(self) -> None:
+        self.all: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.headings: list[int] = []
+        self.links = 0
+
+    def push(self, element: Open) -> None:
+        k, tag = len(self.all), element.tag
+        self.all.append(element)
+        self.places.setdefault(tag, []).append(k)
+        if tag in BLOCKS:
+            self.blocks.append(k)
+        if tag in HEADINGS:
+            self.headings.append(k)
+        self.links += tag == "a"
+
+    def close(self, k: int) -> None:
+        """Closes the element at ``k`` and all in it."""
+        while len(self.all) > k:
+            tag = self.all.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if tag in HEADINGS:
+                self.headings.pop()
+            self.links -= tag == "a"
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element of a tag, or -1."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+
 def text_blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     blocks: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[Open] = []
-    page_open = Open("")
-    links = 0
+    stack, page_open = Stack(), Open("")
 
     def flush() -> None:
         if parts:
             words = "".join(parts).split()
             if words:
                 of_links = len("".join(linked).split())
-                own = stack[-1] if stack else page_open
-                heading = any(each.tag in HEADINGS for each in stack)
+                own = stack.all[-1] if stack.all else page_open
+                heading = bool(stack.headings)
                 text = " ".join(words)
                 if heading and COMMENT_HEADING.match(text) and len(words) <= 6:
-                    # What follows it in the element that holds it is comments.
-                    k = max(k for k, each in enumerate(stack) if each.tag in HEADINGS)
-                    for each in [page_open, *stack][k:]:
-                        each.comments = True
+                    # What follows it in the element that holds it is comments; elements inherit that.
+                    k = stack.headings[-1]
+                    holder = stack.all[k - 1] if k else page_open
+                    if not holder.comments:
+                        for each in (holder, *stack.all[k:]):
+                            each.comments = True
                 blocks.append(Block(text, len(words), min(1.0, of_links / len(words)), own.furniture, own.hint or own.comments, own.article, heading))
             parts.clear()
             linked.clear()
@@ -138,10 +175,10 @@ def text_blocks(page: str) -> list[Block]:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if stack.links:
                 linked.append(text)
 
-    at, size = 0, len(page)
+    at, size, head_ends = 0, len(page), True
     while at < size:
         match = TOKEN.search(page, at)
         if not match:
@@ -153,9 +190,10 @@ def text_blocks(page: str) -> list[Block]:
             continue
         tag, closing = match[2].lower(), bool(match[1])
         if tag in RAW and not closing:
-            if not match[3].rstrip().endswith("/"):
+            if not match[3].rstrip().endswith("/") and (tag != "head" or head_ends):
                 end = re.compile(rf"</{tag}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
                 at = end.end() if end else at if tag == "head" else size
+                head_ends = head_ends and (tag != "head" or end is not None)  # none from here on
             continue
         if tag == "br":
             add(" ")
@@ -163,23 +201,16 @@ def text_blocks(page: str) -> list[Block]:
         if tag in BLOCKS:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    links -= sum(each.tag == "a" for each in stack[k:])
-                    del stack[k:]
-                    break
+            if (k := stack.last(tag)) >= 0:
+                stack.close(k)
             continue
         if tag in VOID or match[3].rstrip().endswith("/"):
             continue
-        if tag in BLOCKS and any(each.tag == "p" for each in stack):  # a block ends an open paragraph
-            k = max(k for k, each in enumerate(stack) if each.tag == "p")
-            if all(each.tag not in BLOCKS for each in stack[k + 1 :]):
-                links -= sum(each.tag == "a" for each in stack[k:])
-                del stack[k:]
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1].tag == tag:
-            stack.pop()
-        stack.append(_kind(tag, match[3], stack[-1] if stack else page_open))
-        links += tag == "a"
+        if tag in BLOCKS and (k := stack.last("p")) >= 0 and stack.blocks[-1] == k:  # a block ends an open paragraph
+            stack.close(k)
+        if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack.all and stack.all[-1].tag == tag:
+            stack.close(len(stack.all) - 1)
+        stack.push(_kind(tag, match[3], stack.all[-1] if stack.all else page_open))
     flush()
     return blocks
 

@@ -309,3 +309,14 @@ def test_remembered_words():
     many = [f"m{k}" for k in range(50)]
     assert words(many) == [word.upper().encode() for word in many]
     assert len(words.recent) + len(words.older) <= 12
+
+
+def test_pages_of_many_open_elements_take_linear_time():
+    import time
+
+    from gleanery.llm import html_extraction
+
+    for page in ("<div>" * 100_000, "<b>" * 50_000 + "<p>x" * 50_000, "<svg/><head>" * 50_000, "<a>x" * 100_000, "<h1>Comments<div>x" * 50_000):
+        began = time.process_time()
+        html_extraction.text_blocks(page)
+        assert time.process_time() - began < 5  # by squares it would be minutes
