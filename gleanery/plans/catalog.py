@@ -633,14 +633,49 @@ def store_replace(spark, sf_dir):
     return store.replace_rows(held, held.where("conv_id % 4 = 0"), fresh, "conv_id")
 
 
-@query("SELECT 'a repeated document' AS problem, sha256(source || '/' || doc_id || '.txt') AS key FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT 'a repeated source path', source || '/' || doc_id || '.txt' FROM documents WHERE doc_id % 50 = 0")
+#: Faults that the remainder of a document's number by 16 puts in, and the key that each is told by.
+FAULTS = (
+    (0, "a repeated document", "document_id"), (0, "a repeated source path", "source_path"), (1, "a repeated node", "'n' || doc_id"), (2, "a repeated chunk", "'c' || doc_id"),
+    (3, "a node of an unknown document", "'u' || doc_id"), (4, "a chunk of an unknown document", "'u' || doc_id"), (4, "a chunk without its node", "'u' || doc_id"),
+    (5, "a node without its parent", "'n' || doc_id"), (6, "a node before its parent", "'n' || doc_id"), (7, "a chunk without its node", "'c' || doc_id"),
+    (8, "a node of a missing page", "'n' || doc_id"), (9, "a chunk of a missing page", "'c' || doc_id"), (10, "a chunk with another text''s hash", "'c' || doc_id"),
+    (11, "an invalid embedding", "'c' || doc_id"), (12, "an embedding of an unknown chunk or other text", "'c' || doc_id"),
+)
+
+
+@query(
+    "WITH named AS (SELECT doc_id, sha256(source || '/' || doc_id || '.txt') AS document_id, source || '/' || doc_id || '.txt' AS source_path FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '') "
+    + " UNION ALL ".join(f"SELECT '{what}' AS problem, {key} AS key FROM named WHERE doc_id % 16 = {fault}" for fault, what, key in FAULTS)
+)
 def store_integrity(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    again = files.table_documents(table(spark, sf_dir, "documents").where("doc_id % 50 = 0"))
-    from gleanery import schemas
-
-    none = {name: spark.createDataFrame([], schemas.struct(ddl)) for name, ddl in schemas.TABLES.items()}
-    return store.integrity_problems(docs.unionByName(again), none["hierarchy_nodes"], none["chunks"], none["embeddings"])
+    """All rules of the store, on documents of a root, a paragraph, a chunk and a vector each, with faults put in."""
+    rows = table(spark, sf_dir, "documents").where(t.trim(F.col("text")) != "")
+    docs, number, fault = files.table_documents(rows), F.col("doc_id").cast("string"), F.col("doc_id") % 16
+    name = F.sha2(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")), 256)
+    known = rows.select("doc_id", "text", "source", name.alias("document_id"))
+    id_of = lambda letter: F.concat(F.lit(letter), number)
+    twice = lambda frame, k: frame.unionByName(frame.where(fault == k))
+    other = F.concat(F.lit("x"), "document_id")
+    none = F.lit(None).cast("string")
+
+    def node(frame, id, document, parent, level, sequence, page_end, text):
+        return frame.select("doc_id", id.alias("node_id"), document.alias("document_id"), parent.alias("parent_id"), F.lit(level).alias("level"), sequence.cast("int").alias("sequence"), F.lit(1).alias("page_start"), page_end.cast("int").alias("page_end"), text.alias("text"))
+
+    roots = node(known, id_of("r"), F.col("document_id"), none, "document", F.lit(0), F.lit(1), none)
+    paragraphs = node(known, id_of("n"), F.col("document_id"), F.when(fault == 5, "none").otherwise(id_of("r")), "content", F.when(fault == 6, 0).otherwise(1), F.when(fault == 8, 2).otherwise(1), F.col("text"))
+    strays = node(known.where(fault == 3), id_of("u"), other, none, "document", F.lit(0), F.lit(1), none)
+    nodes = roots.unionByName(twice(paragraphs, 1)).unionByName(strays)
+
+    def chunk(frame, id, document):
+        return frame.select("doc_id", id.alias("chunk_id"), document.alias("document_id"), F.when(fault == 7, "none").otherwise(id_of("n")).alias("parent_id"), F.lit(1).alias("page_start"), F.when(fault == 9, 2).otherwise(1).alias("page_end"), "text", F.when(fault == 10, "other").otherwise(F.sha2("text", 256)).alias("content_hash"))
+
+    chunks = twice(chunk(known, id_of("c"), F.col("document_id")), 2).unionByName(chunk(known.where(fault == 4), id_of("u"), other))
+    vectors = chunks.where(F.col("chunk_id") == id_of("c")).select(
+        "chunk_id", F.lit("p").alias("provider_name"), F.lit("m").alias("model_name"), F.lit("1").alias("model_version"), F.when(fault == 12, "else").otherwise(F.col("content_hash")).alias("content_hash"),
+        F.lit(1).alias("dimension"), F.array(F.when(fault == 11, float("nan")).otherwise(1.0)).alias("vector"), F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    again = files.table_documents(rows.where(fault == 0))
+    return store.integrity_problems(docs.unionByName(again), nodes.drop("doc_id"), chunks.drop("doc_id"), vectors.distinct())
 
 
 @query("SELECT vec_id::VARCHAR AS chunk_id, 'legacy' AS provider_name, '' AS content_hash, len(embedding)::BIGINT AS dimension FROM embeddings")
