@@ -9,9 +9,10 @@ URL is judged by expressions over constants, without a join.
 
 Level 0 has about 1.44 log2(unlisted / listed) bits a listed key and the others a
 constant number, so a cascade grows with the list, and with the corpus only as its
-logarithm. Keys are dealt over shards by their hash, so that a shard has at most
-about ``SHARD_BITS``, whatever the list's size. A single shard is a constant; several
-are a table of one row a shard, which keys meet by their shard's number.
+logarithm. Cascades of up to ``CONSTANT_BITS`` are constants of an expression, so that URLs are judged without a join. A
+larger one lies in tables of 64-bit words, a level each: a key asks for the words that its
+places are in, by their number, so that no row carries a bitmap and no word is hot. Both give the
+same answers; lists may be tables of any size.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and fits
 no rule; a URL without a path fits no rule, as every rule has one; of rules of equal
@@ -29,10 +30,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import cut, small_or_merged
+from gleanery.llm.common import cut
 
-#: Bits that all levels of a shard have together, about (1 MB).
-SHARD_BITS = 1 << 23
+#: Bits that all levels of a constant cascade have together, about (1 MB: some 600,000 keys in a corpus of a hundred times as many).
+CONSTANT_BITS = 1 << 23
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,99 +66,78 @@ def candidate_keys(host: Column, path: Column, shapes: Sequence[tuple[int, int]]
     return F.transform(ordered, lambda x: x["key"])
 
 
-def positions(key: Column, number: Column | int, bits: Column, hashes: Column) -> Column:
+def positions(key: Column, number: int, bits: int, hashes: int) -> Column:
     """Where a level's bitmap has a key."""
-    number = F.lit(number) if isinstance(number, int) else number
-    first = F.pmod(F.xxhash64(key, 2 * number), bits)
-    step = F.pmod(F.xxhash64(key, 2 * number + 1), bits)
-    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda j: F.pmod(first + step * j, bits))
-
-
-def contains(key: Column, level: Column) -> Column:
-    """Whether a level, struct(number, bits, hashes, words), takes a key for one of its own."""
-    spots = positions(key, level["number"], level["bits"], level["hashes"])
-    return F.forall(spots, lambda p: F.getbit(F.get(level["words"], F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+    first = F.pmod(F.xxhash64(key, F.lit(2 * number)), F.lit(bits).cast("long"))
+    step = F.pmod(F.xxhash64(key, F.lit(2 * number + 1)), F.lit(bits).cast("long"))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda j: F.pmod(first + step * j, F.lit(bits).cast("long")))
 
 
 @dataclass
 class Level:
+    """A bitmap of one side's keys: its words as a constant, or in a table (word, bits64)."""
+
     number: int
     bits: int
     hashes: int
     words: list[int] = field(default_factory=list)
+    table: DataFrame | None = None
+
+    def places(self, key: Column) -> Column:
+        return positions(key, self.number, self.bits, self.hashes)
 
     def has(self, key: Column) -> Column:
+        """Whether the level takes a key for one of its own, by the constant."""
         words = F.from_json(F.lit(str(self.words)), "array<bigint>")  # folded to a constant
-        spots = positions(key, self.number, F.lit(self.bits).cast("long"), F.lit(self.hashes))
-        return F.forall(spots, lambda p: F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+        return F.forall(self.places(key), lambda p: F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
 
+    def takes(self, keys: DataFrame) -> DataFrame:
+        """Those of distinct ``keys`` (key) that the level takes for its own."""
+        if self.table is None:
+            return keys.where(self.has(F.col("key")))
+        places = keys.select("key", F.explode(self.places(F.col("key"))).alias("p"))
+        asked = places.select("key", F.floor(F.col("p") / 64).alias("word"), F.pmod("p", F.lit(64)).cast("int").alias("at"))
+        hits = asked.join(self.table.hint("merge"), "word").where(F.getbit("bits64", F.col("at")) == 1)
+        return hits.select("key") if self.hashes == 1 else hits.groupBy("key").count().where(F.col("count") == self.hashes).select("key")
 
-def _words(spots: DataFrame, *by: str) -> DataFrame:
+
+def _words(places: DataFrame) -> DataFrame:
     """The 64-bit words of a bitmap from the places (p) that are set."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))
-    return spots.groupBy(*by, F.floor(F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits64"))
+    return places.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(bit).alias("bits64"))
 
 
 class Cascade:
     """Exact membership of the keys of a universe."""
 
-    def __init__(self, labelled: DataFrame, shard_bits: int = SHARD_BITS):
+    def __init__(self, labelled: DataFrame, constant_bits: int = CONSTANT_BITS):
         """``labelled``: distinct keys of universe and list, and whether each is listed."""
         counts = {row["listed"]: row["count"] for row in labelled.groupBy("listed").count().collect()}
-        listed, others = counts.get(True, 0), counts.get(False, 0)
-        self.miss = min(0.5, math.sqrt(0.5) * listed / max(1, others))
+        ask = [counts.get(True, 0), counts.get(False, 0)]
+        miss = min(0.5, math.sqrt(0.5) * ask[0] / max(1, ask[1]))
+        first = max(1, round(math.log2(1 / miss)))
         # The levels after the first have about 2.4 keys, of one hash each, to a listed one.
-        self.shards = max(1, math.ceil(1.4427 * listed * (self.hashes(0) + 2.4) / shard_bits))
+        self.constant = 1.4427 * ask[0] * (first + 2.4) <= constant_bits
         self.levels: list[Level] = []
-        self.table: DataFrame | None = None
-        if self.shards == 1:
-            self._constant(labelled, [listed, others])
-        else:
-            self._sharded(labelled)
-
-    def hashes(self, number: int) -> int:
-        return max(1, round(math.log2(1 / self.miss))) if number == 0 else 1
-
-    def shard(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards)).cast("int")
-
-    def _constant(self, labelled: DataFrame, ask: list[int]) -> None:
-        sides = [labelled.where("listed"), labelled.where("not listed")]
+        sides = [labelled.where("listed").select("key"), labelled.where("not listed").select("key")]
         while ask[len(self.levels) % 2]:
             number = len(self.levels)
             own, other = number % 2, (number + 1) % 2
-            level = Level(number, max(64, math.ceil(1.4427 * ask[own] * self.hashes(number))), self.hashes(number))
-            spots = sides[own].select(F.explode(positions(F.col("key"), number, F.lit(level.bits).cast("long"), F.lit(level.hashes))).alias("p"))
-            level.words = [0] * math.ceil(level.bits / 64)  # of a single shard, so of bounded size
-            for row in _words(spots).collect():
-                level.words[row["word"]] = row["bits64"]
+            hashes = first if number == 0 else 1
+            level = Level(number, max(64, math.ceil(1.4427 * ask[own] * hashes)), hashes)
+            words = _words(sides[own].select(F.explode(level.places(F.col("key"))).alias("p")))
+            if self.constant:
+                level.words = [0] * math.ceil(level.bits / 64)
+                for row in words.collect():  # of bounded size
+                    level.words[row["word"]] = row["bits64"]
+            else:
+                level.table = cut(words)
             self.levels.append(level)
             # Those of the other side that this level takes for its own are what the next encodes.
-            sides[other] = sides[other].where(level.has(F.col("key")))
+            taken = level.takes(sides[other])
+            sides[other] = taken if self.constant else cut(taken)
             ask[other] = sides[other].count()
 
-    def _sharded(self, labelled: DataFrame) -> None:
-        """The same in all shards at once; a shard's bitmap is one row."""
-        keyed = cut(labelled.select("key", "listed", self.shard(F.col("key")).alias("shard")))
-        sides = [keyed.where("listed").select("shard", "key"), keyed.where("not listed").select("shard", "key")]
-        made: list[DataFrame] = []
-        while not sides[len(made) % 2].isEmpty():
-            number = len(made)
-            own, other = number % 2, (number + 1) % 2
-            hashes = F.lit(self.hashes(number))
-            sizes = cut(sides[own].groupBy("shard").agg(F.greatest(F.lit(64), F.ceil(F.lit(1.4427) * F.count(F.lit(1)) * hashes)).cast("long").alias("bits")))
-            spots = sides[own].join(small_or_merged(sizes), "shard").select("shard", F.explode(positions(F.col("key"), number, F.col("bits"), hashes)).alias("p"))
-            empty = sizes.select("shard", F.explode(F.sequence(F.lit(0), F.ceil(F.col("bits") / 64).cast("int") - 1)).alias("word"), F.lit(0).cast("long").alias("bits64"))
-            words = _words(spots, "shard").unionByName(empty).groupBy("shard", "word").agg(F.bit_or("bits64").alias("bits64"))
-            words = words.groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits64"))), lambda x: x["bits64"]).alias("words"))
-            level = cut(words.join(sizes, "shard").select(F.col("shard").alias("_shard"), F.struct(F.lit(number).alias("number"), "bits", hashes.alias("hashes"), "words").alias("level")))
-            made.append(level)
-            sides[other] = cut(sides[other].join(level.hint("merge"), F.col("shard") == F.col("_shard")).where(contains(F.col("key"), F.col("level"))).select("shard", "key"))
-        union = made[0]
-        for level in made[1:]:
-            union = union.unionByName(level)
-        self.table = cut(union.groupBy("_shard").agg(F.sort_array(F.collect_list("level")).alias("_levels")))
-
     def __call__(self, key: Column) -> Column:
         """Whether a key is listed, from constants."""
         answer = F.lit(len(self.levels) % 2 == 1)
@@ -165,40 +145,54 @@ class Cascade:
             answer = F.when(level.has(key), answer).otherwise(F.lit(level.number % 2 == 1))
         return answer
 
+    def listed(self, keys: DataFrame) -> DataFrame:
+        """Those of distinct ``keys`` (key) that are listed: of each odd level, the keys that come to it and that it doesn't take."""
+        left, found = keys.select("key"), keys.select("key").limit(0)
+        for level in self.levels:
+            taken = cut(level.takes(left))
+            if level.number % 2:
+                found = found.unionByName(left.join(taken.hint("merge"), "key", "left_anti"))
+            left = taken
+        return found.unionByName(left) if len(self.levels) % 2 else found
+
     def mark(self, keys: DataFrame, name: str) -> DataFrame:
         """``keys`` (a column key) with the column ``name``: whether each is listed."""
-        if self.table is None:
+        if self.constant:
             return keys.withColumn(name, self(F.col("key")))
-        missed = F.array_position(F.transform("_levels", lambda level: contains(F.col("key"), level)), F.lit(False)) - 1
-        last = F.when(missed >= 0, missed).otherwise(F.size("_levels"))
-        shards = self.table.hint("merge")
-        return keys.join(shards, self.shard(F.col("key")) == F.col("_shard"), "left").withColumn(name, F.coalesce(last % 2 == 1, F.lit(False))).drop("_shard", "_levels")
+        found = cut(self.listed(cut(keys.select("key").distinct()))).select(F.col("key").alias("_listed"))
+        return keys.join(found.hint("merge"), F.col("key") == F.col("_listed"), "left").withColumn(name, F.col("_listed").isNotNull()).drop("_listed")
 
 
-def filter_urls(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow", shard_bits: int = SHARD_BITS) -> DataFrame:
-    """Per row: its id, host, path, rule (the longest that fits, else null) and verdict."""
-    verdicts = {rule.key: rule.verdict for rule in rules}
-    if len(verdicts) < len({(rule.key, rule.verdict) for rule in rules}):
+def rule_rows(rules: Sequence[Rule] | DataFrame, like: DataFrame) -> DataFrame:
+    """Rules, or a table (verdict, host, path) of any size, as distinct rows with their key."""
+    rows = rules if isinstance(rules, DataFrame) else like.sparkSession.createDataFrame([(rule.verdict, rule.host, rule.path) for rule in rules], "verdict string, host string, path string")
+    rows = rows.select("verdict", "host", "path", F.concat("host", "path").alias("key")).distinct()
+    if not rows.where(F.coalesce(F.col("host").contains("/") | ~F.startswith("path", F.lit("/")) | F.col("verdict").isNull(), F.lit(True))).isEmpty():
+        raise ValueError("a rule is a verdict, a host and a path that starts with /")
+    if not rows.groupBy("key").agg(F.count_distinct("verdict").alias("n")).where("n > 1").isEmpty():
         raise ValueError("a rule has two verdicts")
-    if any("/" in rule.host or not rule.path.startswith("/") for rule in rules):
-        raise ValueError("a rule is a host and a path that starts with /")
-    shapes = sorted({(rule.host.count(".") + 1, len(rule.path)) for rule in rules})
+    return rows
+
+
+def filter_urls(df: DataFrame, rules: Sequence[Rule] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", constant_bits: int = CONSTANT_BITS) -> DataFrame:
+    """Per row: its id, host, path, rule (the longest that fits, else null) and verdict."""
+    table = rule_rows(rules, df)
+    # Of all rules, however many, the driver sees their shapes and verdicts alone.
+    shapes = sorted((row[0], row[1]) for row in table.select(F.size(F.split("host", r"\.")), F.length("path")).distinct().collect())
+    kinds = sorted(row[0] for row in table.select("verdict").distinct().collect())
     host, path = url_parts(F.col(url_col))
     urls = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
     if not shapes:
         return urls.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     urls = urls.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), shapes))
-    spark = df.sparkSession
     universe = urls.select(F.explode("_keys").alias("key")).distinct()
-    listed = spark.createDataFrame(sorted(verdicts.items()), "key string, verdict string")
-    labelled = cut(universe.withColumn("verdict", F.lit(None).cast("string")).unionByName(listed).groupBy("key").agg(F.max("verdict").alias("verdict")))
-    kinds = sorted(set(verdicts.values()))
-    cascades = {kind: Cascade(labelled.select("key", F.coalesce(F.col("verdict") == kind, F.lit(False)).alias("listed")), shard_bits) for kind in kinds}
-    if all(cascade.table is None for cascade in cascades.values()):
+    labelled = cut(universe.withColumn("verdict", F.lit(None).cast("string")).unionByName(table.select("key", "verdict")).groupBy("key").agg(F.max("verdict").alias("verdict")))
+    cascades = {kind: Cascade(labelled.select("key", F.coalesce(F.col("verdict") == kind, F.lit(False)).alias("listed")), constant_bits) for kind in kinds}
+    if all(cascade.constant for cascade in cascades.values()):
         fits = F.filter(F.transform("_keys", lambda key: F.struct(key.alias("rule"), F.coalesce(*(F.when(cascades[kind](key), F.lit(kind)) for kind in kinds)).alias("verdict"))), lambda x: x["verdict"].isNotNull())
         found = urls.withColumn("_rule", F.get(fits, F.lit(0)))
     else:
-        # Each different host and path asks its keys' shards once.
+        # Each different host and path asks once.
         asked = urls.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "_keys").distinct().select("_host", "_path", F.posexplode("_keys").alias("_at", "key"))
         for kind in kinds:
             asked = cascades[kind].mark(asked, f"_is_{kind}")

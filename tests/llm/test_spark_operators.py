@@ -281,8 +281,9 @@ def test_url_filter_by_brute_force(spark):
     hosts, paths = ["net", "example.net", "a.example.net", "xexample.net", "EXAMPLE.com", "b.example.com:80", "w.org", "org", ""], ["", "/", "/en/", "/en", "/english/x", "/de/1?a=/en/", "/fr/#/de/", "?q", "#/en/"]
     urls = [f"{s}{rng.choice(hosts)}{rng.choice(paths)}" for s in ("http://", "https://", "", "x://") for _ in range(60)] + [None, "", "no scheme", "a://b://c/en/"]
     rows = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
-    for bits in (url_filter.SHARD_BITS, 3):  # the second has several shards
-        found = {r["page_id"]: r for r in url_filter.filter_urls(rows, rules, shard_bits=bits).collect()}
+    as_table = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules] * 2, "verdict string, host string, path string")
+    for bits, given in ((url_filter.CONSTANT_BITS, rules), (3, as_table)):  # the second lies in tables
+        found = {r["page_id"]: r for r in url_filter.filter_urls(rows, given, constant_bits=bits).collect()}
         for k, url in enumerate(urls):
             rest = url.split("://", 1)[1] if url and "://" in url else ""
             whole = min((rest.find(c) for c in "?#" if c in rest), default=len(rest))
@@ -298,13 +299,20 @@ def test_url_filter_by_brute_force(spark):
 
 def test_a_cascade_is_exact(spark):
     keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 13 == 0).alias("listed"))
-    whole, sharded = url_filter.Cascade(keys), url_filter.Cascade(keys, shard_bits=500)
-    assert len(whole.levels) > 1 and whole.table is None and sharded.shards > 3 and sharded.table is not None
-    for cascade in (whole, sharded):
+    whole, tables = url_filter.Cascade(keys), url_filter.Cascade(keys, constant_bits=500)
+    assert len(whole.levels) > 1 and whole.constant and not tables.constant and all(level.table is not None for level in tables.levels)
+    for cascade in (whole, tables):
         marked = cascade.mark(keys, "found")
         assert marked.count() == 4000 and marked.where(F.col("found") != F.col("listed")).count() == 0
 
 
+def test_rules_are_checked(spark):
+    rows = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    for bad in ([url_filter.Rule("block", "a/b", "/")], [url_filter.Rule("block", "a", "b")], [url_filter.Rule("block", "a", "/"), url_filter.Rule("allow", "a", "/")]):
+        with pytest.raises(ValueError):
+            url_filter.filter_urls(rows, bad)
+
+
 def test_licenses(spark):
     files = [
         (0, "src/LICENSE", "Released under the MIT License."), (1, "src/a/b.py", "# plain code\nx = 1"), (2, "src/a/COPYING", "Licensed under the Apache License, Version 2.0."), (3, "src/a/deep/c.py", "y = 2"),
