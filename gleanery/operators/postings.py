@@ -87,7 +87,7 @@ class KeywordIndex:
 
         Chunks have chunk_id, document_id, source_path, sequence, text, section_title and section_path.
         """
-        order = (F.lower("source_path"), F.col("sequence"), F.col("chunk_id"))
+        order = (t.fold(F.col("source_path")), F.col("sequence"), F.col("chunk_id"))
         keys = ("chunk_id", "document_id", "source_path", F.col("sequence").cast("int").alias("sequence"))
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         sorted_ = chunks.select(*keys, "text", "section_title", "section_path").repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -178,7 +178,7 @@ def search(index: KeywordIndex, queries: DataFrame, k: int = 20) -> DataFrame:
     more = ranked.where(F.col("_nth") > FIRST_BLOCKS).drop("_nth").join(last, "set_id", "left").where(beats)
     every = found.unionByName(scored(more))
     keys = index.all_chunks().select("batch", "at", "chunk_id", "document_id", "source_path", "sequence")
-    by = Window.partitionBy("set_id").orderBy(F.desc("score"), F.lower("source_path"), "sequence", "chunk_id")
+    by = Window.partitionBy("set_id").orderBy(F.desc("score"), t.fold(F.col("source_path")), "sequence", "chunk_id")
     best = every.join(keys, ["batch", "at"]).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     columns = ("chunk_id", "document_id", "source_path", "sequence", F.col("score").cast("double").alias("score"), "rank")
     return asked.select("query_id", "set_id").join(best, "set_id").select("query_id", *columns)

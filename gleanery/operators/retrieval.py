@@ -87,7 +87,7 @@ def keyword_search(chunks: DataFrame, queries: Mapping[str, str], k: int = 20) -
     each = lowered.select(*columns, *(keyword_score(found, fields).alias(f"_s{k}") for k, found in enumerate(terms.values())))
     scores = F.array(*(F.struct(F.lit(name).alias("query_id"), F.col(f"_s{k}").alias("score")) for k, name in enumerate(terms)))
     scored = each.select(*columns, F.inline(F.filter(scores, lambda x: x["score"] > 0)))
-    return top(scored, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
+    return top(scored, k, F.desc("score"), t.fold(F.col("source_path")), F.asc("sequence"), F.asc("chunk_id"))
 
 
 def keyword_search_table(chunks: DataFrame | KeywordIndex, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -163,7 +163,7 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 20, query_v
     for part in range(parts):
         own = _nearest(keys, dealt.where(F.col("_part") == part).drop("_part"), k)
         found = own if found is None else found.unionByName(own)
-    return top(found, k, F.desc("score"), F.lower("source_path"), F.asc("sequence"), F.asc("chunk_id"))
+    return top(found, k, F.desc("score"), t.fold(F.col("source_path")), F.asc("sequence"), F.asc("chunk_id"))
 
 
 class NearestRows:
@@ -257,12 +257,12 @@ def _nearest(keys: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     asked = pa.array([ids[q] for q in part.column("query").to_pylist()])
                     yield pa.RecordBatch.from_arrays([asked, *(part.column(name) for name in fields), part.column("score")], names=["query_id", *fields, "score"])
 
-    return keys.withColumn("_order", F.lower("source_path")).mapInArrow(run, schema)
+    return keys.withColumn("_order", t.fold(F.col("source_path"))).mapInArrow(run, schema)
 
 
 def deduplicate(hits: DataFrame) -> DataFrame:
     """Of each query's hits of one chunk the best: smallest rank, then largest score, path, sequence."""
-    by = Window.partitionBy("query_id", "chunk_id").orderBy("rank", F.desc("score"), F.lower("source_path"), "sequence")
+    by = Window.partitionBy("query_id", "chunk_id").orderBy("rank", F.desc("score"), t.fold(F.col("source_path")), "sequence")
     return hits.withColumn("_nth", F.row_number().over(by)).where("_nth = 1").drop("_nth")
 
 
@@ -292,7 +292,7 @@ def fuse(keyword: DataFrame, semantic: DataFrame, k: int = 10, method: str = "rr
     score = F.coalesce("keyword_scaled", F.lit(0.0)) + F.coalesce("semantic_scaled", F.lit(0.0))
     found = both.select("query_id", "chunk_id", *(F.coalesce(f"semantic_{c}", f"keyword_{c}").alias(c) for c in ("document_id", "source_path", "sequence")), score.alias("score"), "keyword_score", "semantic_score", "keyword_rank", "semantic_rank")
     ranks = [F.coalesce(name, F.lit(NO_RANK)) for name in ("semantic_rank", "keyword_rank")]
-    return top(found, k, F.desc("score"), F.least(*ranks), *ranks, F.lower("source_path"), F.asc("document_id"), F.asc("sequence"), F.asc("chunk_id")).withColumn("hybrid_score", F.col("score"))
+    return top(found, k, F.desc("score"), F.least(*ranks), *ranks, t.fold(F.col("source_path")), F.asc("document_id"), F.asc("sequence"), F.asc("chunk_id")).withColumn("hybrid_score", F.col("score"))
 
 
 def hybrid_search(chunks: DataFrame, queries: Mapping[str, str], vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, keyword_k: int = 20, semantic_k: int = 20, **fusion) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.folders import scratch
 from gleanery.functions import text as t
 from gleanery.operators import chunking, context, embedding, evaluation, hierarchy, rerank, retrieval
-from gleanery.plans.ingestion import run_status
+from gleanery.plans.ingestion import ingest, run_status
+from gleanery.settings import Settings
 from gleanery.shipping import ship_package
 from gleanery.sources import files, store
 
@@ -480,6 +482,36 @@ def hier_fallback(spark, sf_dir):
     return nodes.groupBy("document_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("level") == "page").alias("page_nodes")).where("page_nodes > 0")
 
 
+@query(f"""
+WITH {HEADED}, {ISLANDS}, found AS (
+  SELECT document_id, line, title, position, CASE WHEN method = 'chapter_pattern' THEN 'chapter' WHEN depth <= 1 THEN 'section' ELSE 'subsection' END AS level, '' AS text FROM stacked
+  UNION ALL SELECT document_id, line, NULL, NULL, 'content', text FROM paragraphs
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line) AS sequence FROM found
+), roots AS (
+  SELECT document_id, source_filename AS path, sha256(concat_ws(chr(31), document_id, '', 'document', source_filename, source_filename, '1', '0', '')) AS node_id FROM headed
+), s1 AS (
+  SELECT n.document_id, sequence, level, title, r.node_id AS parent_id, r.path || '/' || title AS path, sha256(concat_ws(chr(31), n.document_id, r.node_id, level, title, r.path || '/' || title, '1', sequence::VARCHAR, '')) AS node_id
+  FROM numbered n JOIN roots r USING (document_id) WHERE position = 1
+), s2 AS (
+  SELECT n.document_id, n.sequence, n.level, n.title, p.node_id AS parent_id, p.path || '/' || n.title AS path, sha256(concat_ws(chr(31), n.document_id, p.node_id, n.level, n.title, p.path || '/' || n.title, '1', n.sequence::VARCHAR, '')) AS node_id
+  FROM numbered n ASOF JOIN s1 p ON n.document_id = p.document_id AND n.sequence > p.sequence WHERE n.position = 2
+), s3 AS (
+  SELECT n.document_id, n.sequence, n.level, n.title, p.node_id AS parent_id, p.path || '/' || n.title AS path, sha256(concat_ws(chr(31), n.document_id, p.node_id, n.level, n.title, p.path || '/' || n.title, '1', n.sequence::VARCHAR, '')) AS node_id
+  FROM numbered n ASOF JOIN s2 p ON n.document_id = p.document_id AND n.sequence > p.sequence WHERE n.position = 3
+), sections AS (
+  SELECT document_id, sequence, parent_id, path, node_id FROM s1 UNION ALL SELECT document_id, sequence, parent_id, path, node_id FROM s2 UNION ALL SELECT document_id, sequence, parent_id, path, node_id FROM s3
+  UNION ALL SELECT document_id, 0, NULL, path, node_id FROM roots
+), contents AS (
+  SELECT n.document_id, n.sequence, p.node_id AS parent_id, p.path, sha256(concat_ws(chr(31), n.document_id, p.node_id, 'content', '', p.path, '1', n.sequence::VARCHAR, n.text)) AS node_id
+  FROM numbered n ASOF JOIN sections p ON n.document_id = p.document_id AND n.sequence > p.sequence WHERE n.title IS NULL
+)
+SELECT document_id, sequence, node_id, coalesce(parent_id, '') AS parent_id, path FROM (SELECT * FROM sections UNION ALL BY NAME SELECT * FROM contents)""")
+def hier_ids(spark, sf_dir):
+    nodes = hierarchy.detect_hierarchy(headed_documents(spark, sf_dir))
+    return nodes.select("document_id", F.col("sequence").cast("long").alias("sequence"), "node_id", F.coalesce("parent_id", F.lit("")).alias("parent_id"), F.array_join("section_path", "/").alias("path"))
+
+
 # Chunking.
 
 
@@ -684,6 +716,20 @@ def store_migrate(spark, sf_dir):
     return store.migrate_embeddings(old).select("chunk_id", "provider_name", "content_hash", F.col("dimension").cast("long").alias("dimension"))
 
 
+@query("""
+SELECT sha256(source || '/' || doc_id || '.txt') AS document_id, source || '/' || doc_id || '.txt' AS source_path, sha256(text) AS content_sha256, length(text)::BIGINT AS page_characters,
+       sha256(concat_ws(chr(31), sha256(source || '/' || doc_id || '.txt'), '', 'document', doc_id || '.txt', doc_id || '.txt', '1', '0', '')) AS root_id, true AS whole
+FROM documents""")
+def store_ingest(spark, sf_dir):
+    """Documents written to a new store by an ingestion run, and read back with their page, root and number of links."""
+    held = store.IndexStore(spark, scratch(spark, "store"), 8)
+    ingest(documents(spark, sf_dir), held, Settings())
+    roots = held.table("hierarchy_nodes").where("level = 'document'").select("document_id", F.col("node_id").alias("root_id"))
+    links = held.table("chunks").groupBy("document_id").agg((F.count("next_chunk_id") == F.count("previous_chunk_id")).alias("_paired"))
+    found = held.table("documents").join(held.table("pages").select("document_id", F.length("text").cast("long").alias("page_characters")), "document_id").join(roots, "document_id").join(links, "document_id", "left")
+    return found.select("document_id", "source_path", "content_sha256", "page_characters", "root_id", F.coalesce("_paired", F.lit(True)).alias("whole"))
+
+
 # Context. Conversations are documents here: a turn's node hangs below that of the half of its number.
 
 

@@ -65,7 +65,7 @@ def lies_within(root: str):
 
 def discover(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("pdf", "txt")) -> DataFrame:
     """The listing of a corpus, without contents: path, relative path, name and length, by case-folded path."""
-    return corpus_files(spark, root, suffixes).drop("content").orderBy(F.lower("source_path"), "source_path")
+    return corpus_files(spark, root, suffixes).drop("content").orderBy(t.fold(F.col("source_path")), "source_path")
 
 
 def no_metadata() -> Column:

@@ -272,7 +272,7 @@ class IndexStore:
 
 def in_order(documents: DataFrame) -> DataFrame:
     """All documents by path without regard to case, then by id."""
-    return documents.orderBy(F.lower("source_path"), "document_id")
+    return documents.orderBy(t.fold(F.col("source_path")), "document_id")
 
 
 def previewed(rows: DataFrame, limit: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import unicodedata
 from pathlib import Path
 
 import pytest
@@ -18,6 +19,12 @@ def test_queries_are_normalized_and_split(spark):
     assert found == {0: ["postgresql", "mvcc", "http/2", "c++", "pg_catalog"], 1: ["cost", "vacuum"], 2: [], 3: None}
 
 
+def test_folding(spark):
+    rows = [(chr(k),) for k in range(0x20, 0x10000) if not 0xD800 <= k < 0xE000] + [("Straße",), ("ΣΊΣΥΦΟΣ",)]
+    other = {r["c"] for r in spark.createDataFrame(rows, "c string").select("c", t.fold(F.col("c")).alias("f")).collect() if r["f"] != r["c"].casefold()}
+    assert all(c in "ıẞ" or unicodedata.category(c) == "Cn" or len(c) == 1 and ord(c) in (0x1C89, 0xA7CB, 0xA7CC, 0xA7DA, 0xA7DC) or 0x13A0 <= ord(c) < 0x1400 or 0xAB70 <= ord(c) < 0xABC0 for c in other)
+
+
 def test_columns_cut_text_as_python_does(spark):
     texts = ["", "a", "a\n", "a\r\nb\n\nc", "x\x0by\x1cz", "\n", "tab\tend. Next one! ok", "no end", " a  b "]
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string")
