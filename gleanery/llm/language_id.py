@@ -205,26 +205,29 @@ def calibrate(model: Model, texts: dict[str, list[str]], deviations: float = 4.0
 
 
 def training_rows(df: DataFrame, trains: Column, documents: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Of each language, ``documents`` rows at most (lang, rank, text): those with the lowest hash of the id.
+    """Of each language, ``documents`` rows at most (lang, rank, text): those with the lowest hash of id and text.
 
-    A language's count tells below which hash about four times as many rows lie; only
-    their ids are ranked, and the rows themselves come by a join with the chosen ids.
+    A language's count of different rows tells below which hash about four times as many lie; only
+    their ids and hashes are ranked, and the texts come by a join with the chosen ones. Rows that are equal in id and text
+    are ranked as one with its number of copies, other rows of one id each for itself.
     """
     named = df.where(trains).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    usable = named.where("_id is not null and lang is not null and text is not null").withColumn("_hash", F.xxhash64("_id"))
-    counts = {row["lang"]: row["count"] for row in usable.groupBy("lang").count().collect()}
+    usable = named.where("_id is not null and lang is not null and text is not null").withColumn("_hash", F.xxhash64("_id", "text"))
+    counts = {row["lang"]: row["n"] for row in usable.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("n")).collect()}
     if not counts:
         return usable.select("lang", F.lit(0).alias("rank"), "text")
     highest = {lang: (int(min(1.0, 4 * documents / n) * (1 << 53)) << 11) - (1 << 63) - 1 for lang, n in counts.items()}
     limits = F.create_map(*(F.lit(x) for item in highest.items() for x in item))
     order = Window.partitionBy("lang").orderBy("_hash", "_id")
-    few = usable.select("_id", "lang", "_hash").where(F.col("_hash") <= F.try_element_at(limits, F.col("lang")))
-    ranked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= documents)
-    # One rank an id, so that rows that share an id are joined once.
-    chosen = ranked.groupBy(F.col("_id").alias("_chosen"), F.col("lang").alias("_lang")).agg(F.min("rank").alias("rank"))
-    # At most ``documents`` ids a language: few enough to send to every task, unless languages abound.
+    few = usable.where(F.col("_hash") <= F.try_element_at(limits, F.col("lang"))).groupBy("_id", "lang", "_hash").agg(F.count(F.lit(1)).alias("_copies"))
+    before = F.coalesce(F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = few.withColumns({"rank": F.row_number().over(order), "_copies": F.least(F.col("_copies"), documents - before)}).where(F.col("_copies") > 0)
+    chosen = ranked.select(F.col("_id").alias("_chosen"), F.col("lang").alias("_lang"), F.col("_hash").alias("_found"), "rank", "_copies")
+    # At most ``documents`` rows a language: few enough to send to every task, unless languages abound.
     chosen = F.broadcast(chosen) if documents * len(counts) <= BROADCAST_ROWS else chosen
-    return usable.join(chosen, (F.col("_id") == F.col("_chosen")) & (F.col("lang") == F.col("_lang"))).select("lang", "rank", "text")
+    met = usable.join(chosen, (F.col("_id") == F.col("_chosen")) & (F.col("lang") == F.col("_lang")) & (F.col("_hash") == F.col("_found")))
+    texts = met.groupBy("lang", "rank", "_copies").agg(F.min("text").alias("text"))
+    return texts.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("lang", "rank", "text")
 
 
 def train(df: DataFrame, trains: Column, documents: int = SAMPLE_DOCUMENTS, characters_at_most: int = SAMPLE_CHARACTERS, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -325,6 +325,14 @@ def test_licenses(spark):
     assert licenses.scan_licenses(rows.limit(0)).count() == 0
 
 
+def test_a_language_sample_is_bounded_by_rows(spark):
+    """Many texts of one id are ranked each; copies count up to the bound."""
+    rows = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("words of text number "), F.col("id") % 1500).alias("text"), F.lit("en").alias("lang"))
+    sample = lambda df: language_id.training_rows(df, F.lit(True), 100, "doc_id", "text", "lang")
+    assert sample(rows).count() == 100 and sample(rows).select("text").distinct().count() >= 50
+    assert sample(rows.withColumn("text", F.lit("the same"))).count() == 100
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(10)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
