@@ -93,7 +93,10 @@ class IndexStore:
             folder = f"data/{name}/{stamp}"
             columns = [field.name for field in schemas.struct(schemas.TABLES[name])]
             kept = rows.select(*columns, "bucket").withColumn("_bucket", F.col("bucket"))
-            kept.repartition(max(1, len(buckets)), "bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+            writer = kept.repartition(max(1, len(buckets)), "bucket").write.partitionBy("_bucket")
+            if "chunk_id" in columns:  # looked up by itself: a reader skips what can't have it
+                writer = writer.option("parquet.bloom.filter.enabled#chunk_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+            writer.parquet(f"{self.root}/{folder}")
             held = {bucket: path for bucket, path in manifest["tables"][name].items() if int(bucket) not in buckets}
             for status in self._files.listStatus(self._path(f"{self.root}/{folder}")):
                 part = status.getPath().getName()

@@ -128,6 +128,12 @@ def test_store_reads_removes_and_backs_up(spark, corpus, tmp_path):
     chunk = held.chunks(one["document_id"]).first()
     assert held.embedding(chunk["chunk_id"], "hashing", "words", "1", chunk["content_hash"]).count() == 1
     assert held.embedding(chunk["chunk_id"], "hashing", "words", "1", "other").count() == 0
+    lookup = held.table("embeddings").where(F.col("chunk_id") == chunk["chunk_id"])
+    assert lookup.count() == 1
+    plan = lookup._jdf.queryExecution().executedPlan()
+    lookup.collect()
+    read = plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+    assert read < held.table("embeddings").count()  # files without the chunk aren't read
     assert held.table_names() == sorted(schemas.TABLES) and held.preview("chunks", 1).count() == 1
     for bad in (lambda: held.preview("nothing"), lambda: held.preview("chunks", 0), lambda: held.table("x; drop")):
         with pytest.raises(s.StoreError):
