@@ -89,8 +89,7 @@ class KeywordIndex:
         """
         order = (t.fold(F.col("source_path")), F.col("sequence"), F.col("chunk_id"))
         keys = ("chunk_id", "document_id", "source_path", F.col("sequence").cast("int").alias("sequence"))
-        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        sorted_ = chunks.select(*keys, "text", "section_title", "section_path").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        sorted_ = chunks.select(*keys, "text", "section_title", "section_path").repartitionByRange(*order).sortWithinPartitions(*order)
         self._write(sorted_.select(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("at"), *keys[:3], "sequence", *(column.alias(name) for name, column in searched_fields().items())), "chunks")
         written = self._read("chunks", CHUNK).where(F.col("batch") == batch)
         points = piece_points(written).select("piece", F.shiftright("at", BLOCK.bit_length() - 1).alias("block"), "at", "points")
