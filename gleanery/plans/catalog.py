@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery import schemas
 from gleanery.folders import scratch
 from gleanery.functions import text as t
 from gleanery.operators import chunking, context, embedding, evaluation, hierarchy, rerank, retrieval
+from gleanery.plans.evaluate import run_evaluation
 from gleanery.plans.ingestion import ingest, run_status
+from gleanery.plans.search import search
 from gleanery.settings import Settings
 from gleanery.shipping import ship_package
 from gleanery.sources import files, store
@@ -730,6 +733,137 @@ def store_ingest(spark, sf_dir):
     return found.select("document_id", "source_path", "content_sha256", "page_characters", "root_id", F.coalesce("_paired", F.lit(True)).alias("whole"))
 
 
+# A store of plain documents: a root (r and the number), a paragraph (n) and a chunk (c) each, titled by language.
+
+
+def filled(rows: DataFrame, ddl: str) -> DataFrame:
+    """Rows with all columns of a schema, null where they have none."""
+    return rows.select(*((F.col(field.name) if field.name in rows.columns else F.lit(None)).cast(field.dataType).alias(field.name) for field in schemas.struct(ddl)))
+
+
+def plain_records(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, nodes and chunks of rows (doc_id, text, source, lang)."""
+    number, text = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    path = F.concat("source", F.lit("/"), number, F.lit(".txt"))
+    known = rows.select("doc_id", "lang", "source", F.sha2(path, 256).alias("document_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), text.alias("text"))
+    root = known.withColumns({"node_id": F.concat(F.lit("r"), number), "level": F.lit("document"), "sequence": F.lit(0), "text": F.lit(None)})
+    paragraph = known.withColumns({"node_id": F.concat(F.lit("n"), number), "parent_id": F.concat(F.lit("r"), number), "level": F.lit("content"), "sequence": F.lit(1)})
+    chunk = known.withColumns({
+        "chunk_id": F.concat(F.lit("c"), number), "parent_id": F.concat(F.lit("n"), number), "level": F.lit("content"), "sequence": F.col("doc_id"), "section_title": F.col("lang"),
+        "section_path": F.array("source", "lang"), "chunk_size": F.length("text"), "size_unit": F.lit("characters"), "content_hash": F.sha2("text", 256),
+    })
+    return files.table_documents(rows), filled(root, schemas.NODE).unionByName(filled(paragraph, schemas.NODE)), filled(chunk, schemas.CHUNK)
+
+
+def plain_store(spark: SparkSession, sf_dir: str) -> store.IndexStore:
+    held = store.IndexStore(spark, scratch(spark, "store"), 8).initialize()
+    held.replace_documents(*plain_records(table(spark, sf_dir, "documents")))
+    return held
+
+
+@query("""
+WITH named AS (SELECT doc_id, sha256(source || '/' || doc_id || '.txt') AS document_id, sha256(text) AS text_sha256 FROM documents)
+SELECT 'documents' AS scan, document_id, doc_id || '.txt' AS key, 1 AS place, text_sha256 FROM named
+UNION ALL SELECT 'pages', document_id, '', 1, text_sha256 FROM named
+UNION ALL SELECT 'hierarchy_nodes', document_id, 'r' || doc_id, 0, NULL FROM named
+UNION ALL SELECT 'hierarchy_nodes', document_id, 'n' || doc_id, 1, text_sha256 FROM named
+UNION ALL SELECT 'chunks', document_id, 'c' || doc_id, doc_id, text_sha256 FROM named""")
+def store_scans(spark, sf_dir):
+    """All that a store holds of its documents, as written and read back; tables by their listed names."""
+    held = plain_store(spark, sf_dir)
+    keys = {"documents": ("source_filename", "page_count", "content_sha256"), "pages": ("''", "page_number", "sha2(text, 256)"), "hierarchy_nodes": ("node_id", "sequence", "sha2(text, 256)"), "chunks": ("chunk_id", "sequence", "sha2(text, 256)")}
+    found = None
+    for name in held.table_names():
+        if name in keys:
+            key, place, digest = keys[name]
+            rows = held.table(name).selectExpr(f"'{name}' AS scan", "document_id", f"{key} AS key", f"cast({place} AS bigint) AS place", f"{digest} AS text_sha256")
+            found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query("""
+WITH last AS (SELECT doc_id, source, lang, text FROM documents QUALIFY row_number() OVER (ORDER BY doc_id DESC) = 1)
+SELECT 'document' AS scan, doc_id || '.txt' AS key, source || '/' || doc_id || '.txt' AS parent, sha256(text) AS text_sha256 FROM last
+UNION ALL SELECT 'page', '1', NULL, sha256(text) FROM last
+UNION ALL SELECT 'node', 'r' || doc_id, NULL, NULL FROM last UNION ALL SELECT 'node', 'n' || doc_id, 'r' || doc_id, sha256(text) FROM last
+UNION ALL SELECT 'chunk', 'c' || doc_id, 'n' || doc_id, sha256(text) FROM last""")
+def store_document(spark, sf_dir):
+    """One document of the store, the last of the table, by its id: itself, its pages, nodes and chunks."""
+    held = plain_store(spark, sf_dir)
+    last = table(spark, sf_dir, "documents").agg(F.max_by("source", "doc_id").alias("source"), F.max("doc_id").alias("doc_id")).select(F.sha2(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")), 256)).first()[0]
+    parts = (
+        (held.document(last), "document", "source_filename", "source_path", "content_sha256"), (held.pages(last), "page", "cast(page_number AS string)", "cast(NULL AS string)", "sha2(text, 256)"),
+        (held.hierarchy(last), "node", "node_id", "parent_id", "sha2(text, 256)"), (held.chunks(last), "chunk", "chunk_id", "parent_id", "sha2(text, 256)"),
+    )
+    found = [rows.selectExpr(f"'{scan}' AS scan", f"{key} AS key", f"{parent} AS parent", f"{digest} AS text_sha256") for rows, scan, key, parent, digest in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+def plain_vectors(chunks: DataFrame, sign: int = 1) -> DataFrame:
+    """A record of each chunk: its size and a sign."""
+    rows = chunks.select("chunk_id", "content_hash", F.lit("p").alias("provider_name"), F.lit("m").alias("model_name"), F.lit("1").alias("model_version"), F.lit(2).alias("dimension"), F.array(F.col("chunk_size").cast("double"), F.lit(float(sign))).alias("vector"))
+    return filled(rows, schemas.EMBEDDING)
+
+
+@query("""
+SELECT 'c' || doc_id AS chunk_id, sha256(text) AS content_hash, length(text)::DOUBLE AS size, CASE WHEN doc_id % 3 = 0 THEN -1.0 ELSE 1.0 END AS sign, 'completed' AS last_run
+FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
+def store_embeddings(spark, sf_dir):
+    """Records that are saved, replaced, left behind by a changed text, and removed with their document."""
+    held, rows = plain_store(spark, sf_dir), table(spark, sf_dir, "documents")
+    chunks = held.table("chunks")
+    held.save_embeddings(plain_vectors(chunks))
+    held.save_embeddings(plain_vectors(chunks.where("sequence % 3 = 0"), -1))
+    held.replace_documents(*plain_records(rows.where("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" changed")))))
+    held.remove_documents(files.table_documents(rows.where("doc_id % 7 = 0")))
+    run = spark.createDataFrame([("run", "completed", 1, 1, 0)], "run_id string, status string, document_count int, chunk_count int, failure_count int")
+    held.save_index_runs(filled(run.withColumn("status", F.lit("partial")), schemas.INDEX_RUN))
+    held.save_index_runs(filled(run, schemas.INDEX_RUN))
+    last = F.broadcast(held.index_run("run").select(F.col("status").alias("last_run")))
+    return held.table("embeddings").select("chunk_id", "content_hash", F.get("vector", F.lit(0)).alias("size"), F.get("vector", F.lit(1)).alias("sign")).join(last, F.lit(True))
+
+
+@query("SELECT 'c' || max(doc_id) AS chunk_id, arg_max(length(text), doc_id)::DOUBLE AS size FROM documents")
+def store_embedding(spark, sf_dir):
+    """One record by its key, with the content's hash."""
+    held = plain_store(spark, sf_dir)
+    chunks = held.table("chunks")
+    held.save_embeddings(plain_vectors(chunks))
+    last = chunks.agg(F.max_by("chunk_id", "sequence"), F.max_by("content_hash", "sequence")).first()
+    return held.embedding(last[0], "p", "m", "1", last[1]).select("chunk_id", F.get("vector", F.lit(0)).alias("size"))
+
+
+@query("SELECT source || '/' || doc_id || '.txt' AS source_path, sha256(text) AS content_sha256, count(*) OVER () AS chunks FROM documents")
+def store_backup(spark, sf_dir):
+    """A backup, opened as a store, holds the version that was copied, whatever is removed later."""
+    held = plain_store(spark, sf_dir)
+    copy = held.prepare_backup(scratch(spark, "backup"))
+    held.remove_documents(held.table("documents"))
+    opened = store.IndexStore(spark, copy, 8).initialize()
+    return opened.documents().select("source_path", "content_sha256").join(F.broadcast(opened.statistics().select("chunks")), F.lit(True))
+
+
+@query(f"SELECT query_id, 'c' || chunk_id AS chunk_id, score, rank, length(text)::BIGINT AS characters FROM ({keyword_oracle(SEARCHES, 10)}) JOIN documents ON doc_id::VARCHAR = chunk_id")
+def search_store(spark, sf_dir):
+    """The search entry over a store: keyword hits with their chunks' texts."""
+    found = search(plain_store(spark, sf_dir), SEARCHES, "keyword", 10).hits
+    return hits(found, "query_id", "chunk_id", "score", F.length("text").cast("long").alias("characters"))
+
+
+@query("""
+WITH texts AS (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn, text) AS text FROM (SELECT DISTINCT conv_id, turn, text FROM conversations) GROUP BY conv_id)
+SELECT 'conv_id=' || conv_id AS folder, sha256(text) AS content_sha256, 1::BIGINT AS page_count, length(text)::BIGINT AS characters,
+       CASE WHEN length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) = 0 THEN 'empty'
+            WHEN length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 20 THEN 'partial' ELSE 'extracted' END AS status
+FROM texts""")
+def src_corpus(spark, sf_dir):
+    """A folder of text files, one a conversation, read back as a corpus."""
+    root, rows = scratch(spark, "corpus"), table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").distinct()
+    rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text").select("conv_id", "text").write.partitionBy("conv_id").text(root)
+    found = files.read_corpus(spark, root)
+    return found.select(F.split_part("source_path", F.lit("/"), F.lit(1)).alias("folder"), "content_sha256", F.col("page_count").cast("long").alias("page_count"), F.length(F.col("pages")[0]["text"]).cast("long").alias("characters"), "status")
+
+
 # Context. Conversations are documents here: a turn's node hangs below that of the half of its number.
 
 
@@ -849,6 +983,22 @@ def eval_ndcg(spark, sf_dir):
     return measured(spark, sf_dir).select("case_id", "ndcg_at_5", "ndcg_at_10", "ndcg_at_20")
 
 
+@query(f"{METRICS} SELECT case_id, recall_at_10, ndcg_at_10, mrr, (SELECT count(*) FROM scores) AS case_count FROM scores")
+def eval_run(spark, sf_dir):
+    """An evaluation run: cases from a file, judged by chunks or, for every other case, by documents; its scores from the JSON that it writes."""
+    rankings, relevant, _ = ranked_vectors(spark, sf_dir)
+    even = F.col("case_id").cast("long") % 200 == 0
+    cases = relevant.groupBy("case_id").agg(F.collect_set("item_id").alias("_items")).select("case_id", F.lit("a vector").alias("query"), F.when(even, F.col("_items")).alias("relevant_chunk_ids"), F.when(~even, F.col("_items")).alias("relevant_document_ids"))
+    path = scratch(spark, "cases") + ".jsonl"
+    cases.write.json(path)
+    # Items stand for chunks and documents alike.
+    answers = rankings.select(F.col("case_id").alias("query_id"), F.col("item_id").alias("chunk_id"), F.col("item_id").alias("document_id"), "rank")
+    output = scratch(spark, "run") + ".json"
+    run_evaluation(spark, path, lambda session, queries: answers.where(F.col("query_id").isin(*queries)), output=output)
+    run = spark.read.json(output, multiLine=True)
+    return run.select(F.inline("cases"), F.col("averages.case_count").alias("case_count")).select("case_id", *(F.round(name, 6).alias(name) for name in ("recall_at_10", "ndcg_at_10", "mrr")), "case_count")
+
+
 @query(f"{METRICS} SELECT count(*) AS case_count, round(avg(recall_at_10), 4) AS recall_at_10, round(avg(ndcg_at_10), 4) AS ndcg_at_10, round(avg(mrr), 4) AS mrr FROM scores")
 def eval_macro(spark, sf_dir):
     means = evaluation.averages(measured(spark, sf_dir))
