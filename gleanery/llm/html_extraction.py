@@ -4,12 +4,13 @@ A page is cut into blocks of text at block-level tags. A block is described by i
 words and link density and those of the blocks before and after it, by whether it
 stands in the article or in an element for menus, footers, forms and the like, by a
 weak hint from class names, and by whether it is a heading. A decision tree tells
-which blocks are main text. It is grown from the small labelled pages below, whose
+which blocks are main text. A list of links counts as a menu, also in the article. It is grown from the small labelled pages below, whose
 blocks are cut and described just as any other page's.
 
 Edge cases: null and empty pages have an empty text; unclosed and stray tags,
-unended comments and unquoted attributes are read as far as they go; long pages
-are read whole; repeated rows are extracted one by one; an empty table gives an
+unended comments and unquoted attributes are read as far as they go; a page that
+would have no text but for class names like "search-results" keeps its long blocks
+of such names; long pages are read whole; repeated rows are extracted one by one; an empty table gives an
 empty result; columns other than those named are ignored, whatever their names.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,13 @@ HINT_NAMES = {
     "paywall", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "responses", "reviews", "search", "share", "sharing",
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "teaser", "toc", "toolbar", "topbar", "trending", "widget",
 }
+#: Those that tell in any compound, also where a page would have no text without it.
+SURE_NAMES = {
+    "ad", "ads", "adsense", "advert", "advertisement", "adverts", "banner", "captcha", "comment", "commentlist", "comments", "consent", "cookie", "cookies", "disqus",
+    "gdpr", "login", "newsletter", "paywall", "promo", "promoted", "promotion", "signup", "sponsor", "sponsored", "subscribe",
+}
+#: Words of a block that class names alone don't take from a page without other text.
+LONG_BLOCK = 20
 #: Beginnings of names that tell about a whole page's layout.
 LAYOUT = {"has", "with", "without", "no", "is", "not", "wrap", "wrapper", "page", "layout", "site", "body"}
 ARTICLE_TAGS = {"article", "main"}
@@ -66,6 +74,7 @@ class Block:
     hint: bool
     article: bool
     heading: bool
+    sure: bool = False
 
 
 @dataclass
@@ -77,6 +86,7 @@ class Open:
     hint: bool = False
     article: bool = False
     comments: bool = False
+    sure: bool = False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -85,11 +95,12 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _kind(tag: str, attributes: str, outer: Open) -> Open:
     """What an element is in the one around it."""
-    furniture, hint, article = tag in FURNITURE_TAGS, False, tag in ARTICLE_TAGS
+    furniture, hint, sure, article = tag in FURNITURE_TAGS, False, False, tag in ARTICLE_TAGS
     if attributes and tag not in ("a", "html", "body"):
         values = _attributes(attributes)
         names = [[part.lower() for part in NAME_PARTS.split(name) if part] for name in f"{values.get('class', '')} {values.get('id', '')}".split()]
-        names = [parts for parts in names if parts and parts[0] not in LAYOUT]
+        # "post-header" is the head of an article, neither the site's nor the article.
+        names = [parts for parts in names if parts and parts[0] not in LAYOUT and not (parts[0] in ARTICLE_NAMES and parts[-1] == "header")]
         holds = any(parts[0] in ARTICLE_NAMES or parts[-1] in ARTICLE_NAMES for parts in names)
         found = {part for parts in names for part in (parts[0], parts[-1]) if part in HINT_NAMES}
         if outer.article:
@@ -97,6 +108,8 @@ def _kind(tag: str, attributes: str, outer: Open) -> Open:
         named = bool(found) or "comment" in values.get("itemprop", "").lower()
         # "post-comments" is about comments; "main sidebar-right" is about the main column.
         hint = named and not article and not (holds and any(len(parts) == 1 and parts[0] in ARTICLE_NAMES for parts in names))
+        one_sided = [parts for parts in names if len(parts) > 1 and (parts[0] in HINT_NAMES) != (parts[-1] in HINT_NAMES) and not SURE_NAMES.intersection(parts)]
+        sure = hint and not all(parts in one_sided for parts in names if found.intersection((parts[0], parts[-1])))
         role = values.get("role", "").lower()
         article = article or role in ("main", "article") or (holds and not hint)
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
@@ -104,8 +117,8 @@ def _kind(tag: str, attributes: str, outer: Open) -> Open:
     if tag == "header" and outer.article:
         furniture = False
     # A name around an article tells of the page's layout, not of the article.
-    inherits = outer.hint and not (tag in ARTICLE_TAGS and not outer.article)
-    return Open(tag, outer.furniture or furniture, inherits or hint, outer.article or article, outer.comments)
+    inherits = not (tag in ARTICLE_TAGS and not outer.article)
+    return Open(tag, outer.furniture or furniture, (inherits and outer.hint) or hint, outer.article or article, outer.comments, (inherits and outer.sure) or sure)
 
 
 class Stack:
@@ -167,7 +180,7 @@ def text_blocks(page: str) -> list[Block]:
                     if not holder.comments:
                         for each in (holder, *stack.all[k:]):
                             each.comments = True
-                blocks.append(Block(text, len(words), min(1.0, of_links / len(words)), own.furniture, own.hint or own.comments, own.article, heading))
+                blocks.append(Block(text, len(words), min(1.0, of_links / len(words)), own.furniture, own.hint or own.comments, own.article, heading, own.sure or own.comments))
             parts.clear()
             linked.clear()
 
@@ -315,6 +328,9 @@ def main_text(page: str | None, tree: Leaf | Split) -> tuple[str, int, int]:
     """Main text, its number of blocks and the page's."""
     blocks = text_blocks(page or "")
     kept = [block.text for block, found in zip(blocks, features(blocks)) if is_main(tree, found)]
+    if not kept and any(block.hint and not block.sure and block.words >= LONG_BLOCK for block in blocks):
+        told = [replace(block, hint=block.sure) for block in blocks]
+        kept = [block.text for block, found in zip(told, features(told)) if is_main(tree, found)]
     return "\n".join(kept), len(kept), len(blocks)
 
 

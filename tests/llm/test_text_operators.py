@@ -212,6 +212,13 @@ SHAPES = {
     "references": (f"<article>{BODY}<p>&lt;b&gt; &amp; &#8212; &eacute;</p></article>", f"{WANT}\n<b> & — é"),
     "nested blocks": (f"<article><div><section>{BODY}</section></div><blockquote><p>{words(9, 700)}</p></blockquote></article>", f"{WANT}\n{words(9, 700)}"),
     "role": (f"<div role=navigation><a>Home</a></div><div role=main>{BODY}</div><div role=contentinfo>{words(20, 700)}</div>", WANT),
+    "related content": (f"<body>{NAV}<div class='related-content'>{BODY}</div><footer>(c) us</footer></body>", WANT),
+    "history form": (f"<body>{NAV}<div class='history-form'>{BODY}</div></body>", WANT),
+    "search results": (f"<body>{NAV}<div class='search-results'>{BODY}</div><div class=sidebar>{words(30, 900)}</div></body>", WANT),
+    "post header": (f"<body>{NAV}<div class='post-header'><h1>A head</h1></div>{BODY.removeprefix('<h1>A head</h1>')}</body>", WANT),
+    "post header in an article": (f"<article><div class='entry-header'><h1>A head</h1></div>{BODY.removeprefix('<h1>A head</h1>')}</article>", WANT),
+    "nothing but a notice": (f"<body>{NAV}<div class='cookie-notice'><p>{words(40)}</p></div><div class='comment-list'><p>{words(50)}</p></div></body>", ""),
+    "related beside the article": (f"<article>{BODY}</article><div class='related-content'><p>{words(40, 800)}</p></div>", WANT),
     "scripts": (f"<article><script>var a='<p>{words(9)}</p>'</script><style>p{{}}</style>{BODY}<!-- <p>x</p> --></article>", WANT),
 }
 
