@@ -56,16 +56,17 @@ def test_stages_by_brute_force(spark, tmp_path):
     assert check(2) and len(want) == 25
 
     chunking, table, seen, clean = substring_dedup.Chunking(), substring_dedup.gear_table(), {}, {}
+    beside = lambda after, pos, source, place: want[source].encode()[place:][:160] if after else want[source].encode()[:place][-160:]
     for doc in sorted(want):
         data, repeats, at = want[doc].encode(), [], 0
         for end in substring_dedup.chunk_ends(data, chunking, table):
             if data[at:end] in seen:
-                repeats.append((at, end, seen[data[at:end]]))
+                repeats.append((at, end, *seen[data[at:end]]))
             else:
-                seen[data[at:end]] = doc
+                seen[data[at:end]] = doc, at
             at = end
         parts, last = [], 0
-        for begin, end, _ in substring_dedup.passages(repeats, 80):
+        for begin, end, _ in substring_dedup.passages(data, repeats, beside, 80):
             begin, end = substring_dedup.whole_words(data, begin, end)
             parts, last = [*parts, data[last:begin]], end
         clean[doc] = b"".join([*parts, data[last:]]).decode()

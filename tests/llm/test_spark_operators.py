@@ -186,16 +186,17 @@ def test_substring_dedup_by_brute_force(spark):
     rows = docs(spark, *texts)
     found = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(rows, carry=["source"]).collect()}
     chunking, table, seen = substring_dedup.Chunking(), substring_dedup.gear_table(), {}
+    beside = lambda after, pos, source, place: ((texts[source] or "").encode()[place:][:160] if after else (texts[source] or "").encode()[:place][-160:])
     for k, text in enumerate(texts):
         data, repeats, at = (text or "").encode(), [], 0
         for end in substring_dedup.chunk_ends(data, chunking, table):
             if data[at:end] in seen:
-                repeats.append((at, end, seen[data[at:end]]))
+                repeats.append((at, end, *seen[data[at:end]]))
             else:
-                seen[data[at:end]] = k
+                seen[data[at:end]] = k, at
             at = end
         kept, last = [], 0
-        for begin, end, _ in substring_dedup.passages(repeats, 80):
+        for begin, end, _ in substring_dedup.passages(data, repeats, beside, 80):
             begin, end = substring_dedup.whole_words(data, begin, end)
             if begin < end:
                 kept, last = [*kept, data[last:begin]], end
@@ -206,6 +207,45 @@ def test_substring_dedup_by_brute_force(spark):
     assert substring_dedup.dedup_substrings(rows.limit(0)).count() == 0
 
 
+def test_substrings_reach_the_ends_of_passages(spark):
+    """The share of a shared passage's bytes that goes, counted without the operator's code; all that goes stands in its source."""
+    rng, rows, shared, pairs = random.Random(11), [], {}, 60
+    for size in (25, 35, 50, 100, 200):
+        for _ in range(pairs):
+            text = passage(rng, size)
+            for _ in range(2):
+                shared[len(rows)] = size, text
+                rows.append((len(rows), f"{passage(rng, 40 + rng.randint(0, 30))} {text} {passage(rng, 40)}"))
+    found = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone, whole = Counter(), Counter()
+    for k, (size, text) in shared.items():
+        data = rows[k][1].encode()
+        for run in found[k]["runs"]:
+            assert run["source_id"] < k and data[run["begin"] : run["end"]] in rows[run["source_id"]][1].encode()
+        if k % 2:
+            gone[size] += found[k]["removed_bytes"]
+            whole[size] += len(text.encode())
+            assert found[k]["removed_bytes"] <= len(text.encode()) + 2
+        else:
+            assert found[k]["removed_bytes"] == 0
+    shares = {size: gone[size] / whole[size] for size in whole}
+    assert shares[25] > 0.5 and shares[35] > 0.8 and min(shares[size] for size in (50, 100, 200)) > 0.95, shares
+
+
+def test_substrings_of_periodic_texts_and_shared_ids(spark):
+    """Something of each repeated passage stays, whatever overlaps."""
+    rng = random.Random(12)
+    unit = passage(rng, 30)
+    rows = [(1, " ".join([unit] * 20)), (2, "x " + " ".join([unit] * 5)), (3, unit[7:] + " " + passage(rng, 60)), (4, "abc " * 900), (4, "abc " * 700 + unit), (None, unit + " " + unit), (None, None)]
+    found = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {r["doc_id"]: r["clean_text"] for r in found if r["doc_id"] in (1, 2, 3)}
+    assert len(found) == len(rows) and unit in kept[1] and unit not in kept[2] and len(kept[3]) < len(rows[2][1]) - len(unit) / 2
+    assert all("abc abc" in r["clean_text"] for r in found if r["doc_id"] == 4)
+    unit = passage(rng, 60)
+    alone = substring_dedup.dedup_substrings(spark.createDataFrame([(None, unit + " " + unit)], "doc_id long, text string")).collect()[0]
+    assert unit in alone["clean_text"] and 0 < alone["removed_bytes"] <= len(unit) + 1
+
+
 def test_chunks_resist_insertions():
     rng, table, chunking = random.Random(7), substring_dedup.gear_table(), substring_dedup.Chunking()
     data = passage(rng, 3000).encode()
