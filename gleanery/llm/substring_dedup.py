@@ -15,10 +15,10 @@ Edge cases: a null text counts as empty and stays empty; a text shorter than a
 chunk is one chunk; whole texts are chunked, in numpy, in blocks of bounded size;
 of equal texts under several ids the smallest id keeps its text; rows of equal ids
 don't take passages from each other, but each loses what it has twice or what a
-smaller id has, and runs aren't extended by
-the texts of repeated or null ids; a row with a null id comes after all others, loses what they have
-and what it has twice, and is nobody's source; an empty table gives an empty
-result; columns other than those named are ignored, whatever their names.
+smaller id has, and runs aren't extended by the texts of repeated or null ids; a
+row with a null id comes after all others, loses what they have and what it has
+twice, and is nobody's source; an empty table gives an empty result; columns other
+than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
