@@ -1,7 +1,7 @@
 """Trees of nodes: numbers that turn questions about ancestors into comparisons, and the closure.
 
-Nodes are dealt by document and sorted; a task walks each document's tree once, in linear
-time, and holds one document at a time. A parent that isn't among the nodes counts as a
+Nodes are grouped by document; a task walks each document's tree once, in linear
+time, and holds one document's nodes at a time, besides a batch. A parent that isn't among the nodes counts as a
 node without a parent; nodes on a cycle are left out.
 """
 
@@ -58,21 +58,19 @@ def ancestors(parents: dict[str, str | None]) -> Iterator[tuple[str, str, int]]:
 def _by_document(nodes: DataFrame, walk: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
     """``walk`` of each document's nodes, as {node: parent} in order of sequence; rows start with the document's id."""
     ship_package(nodes.sparkSession)
-    rows = nodes.select("document_id", "node_id", "parent_id", "sequence").repartition("document_id").sortWithinPartitions("document_id", "sequence", "node_id")
+    # Grouped, not dealt and sorted: Spark may drop a repartition by a join's key, and the join may then split documents.
+    rows = nodes.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "node_id", "parent_id"))).alias("nodes"))
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches):
         import pyarrow as pa
 
         def documents():
-            own, parents = None, {}
             for batch in batches:
-                for document, node, parent in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                    if document != own:
-                        yield own, parents
-                        own, parents = document, {}
-                    parents[node] = parent
-            yield own, parents
+                column = batch.column(1)
+                offsets, own = column.offsets.to_pylist(), [column.values.field(name) for name in ("node_id", "parent_id")]
+                for document, first, past in zip(batch.column(0).to_pylist(), offsets, offsets[1:]):
+                    yield document, dict(zip(*(values.slice(first, past - first).to_pylist() for values in own)))
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*rows)], names=names)

@@ -119,6 +119,30 @@ def test_intervals_and_closure():
                     assert deeper - depth == above[b, a]
 
 
+def test_a_join_before_does_not_split_documents(spark):
+    # A join that turns into a broadcast while it runs hands on its other side as it was read, not by document.
+    settings = {
+        "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    }
+    before = {name: spark.conf.get(name) for name in settings if name != "spark.sql.adaptive.autoBroadcastJoinThreshold"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(0, 700, numPartitions=7).selectExpr("cast(id % 100 AS string) AS document_id", "cast(id % 100 AS string) || '/' || (id div 100) AS node_id", "CASE WHEN id >= 100 THEN cast(id % 100 AS string) || '/' || ((id div 100 - 1) div 2) END AS parent_id", "cast(id div 100 AS int) AS sequence")
+        wanted = spark.range(0, 50, numPartitions=4).selectExpr("cast(id % 50 AS string) AS document_id").distinct()
+        nodes = rows.join(wanted, "document_id", "left_semi")
+        assert nodes.count() == 350
+        found = trees.tree_numbers(nodes).collect()
+        assert sorted(x["node_id"] for x in found) == sorted(f"{d}/{k}" for d in range(50) for k in range(7)) and all(x["known"] for x in found)
+        assert trees.closure(nodes).count() == 50 * (2 + 2 * 4)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_a_deep_tree_is_walked_in_linear_time():
     parents = {f"n{k}": f"n{k - 1}" if k else None for k in range(200_000)}
     assert sum(1 for _ in trees.intervals(parents)) == 200_000
