@@ -19,6 +19,8 @@ from gleanery.functions import text as t
 from gleanery.operators.chunking import check_pages
 from gleanery.operators.embedding import invalid_records
 
+#: Ids of documents, at most, that are sent to every task; more are joined by a shuffle.
+FEW_IDS = 1_000_000
 FAILED_STATUSES = ("unreadable", "failed", "encrypted")
 OF_DOCUMENT = ("documents", "pages", "hierarchy_nodes", "chunks", "embeddings")
 FAILURE = "source_path string, reason string, chunk_id string"
@@ -93,7 +95,8 @@ class IndexStore:
             folder = f"data/{name}/{stamp}"
             columns = [field.name for field in schemas.struct(schemas.TABLES[name])]
             kept = rows.select(*columns, "bucket").withColumn("_bucket", F.col("bucket"))
-            writer = kept.repartition(max(1, len(buckets)), "bucket").write.partitionBy("_bucket")
+            # Each task writes its rows of all buckets: nothing moves, and no task has a bucket whole.
+            writer = kept.write.option("compression", "zstd").partitionBy("_bucket")
             if "chunk_id" in columns:  # looked up by itself: a reader skips what can't have it
                 writer = writer.option("parquet.bloom.filter.enabled#chunk_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
             writer.parquet(f"{self.root}/{folder}")
@@ -139,9 +142,10 @@ class IndexStore:
 
     # Writes.
 
-    def _touched(self, ids: DataFrame) -> list[int]:
-        """Buckets of documents; at most as many as the store has."""
-        return [row[0] for row in ids.select(self._bucket(F.col("document_id")).alias("b")).distinct().collect()]
+    def _touched(self, ids: DataFrame) -> tuple[list[int], int]:
+        """Buckets of documents, at most as many as the store has, and the number of rows."""
+        rows = ids.groupBy(self._bucket(F.col("document_id")).alias("b")).count().collect()
+        return [row["b"] for row in rows], sum(row["count"] for row in rows)
 
     def replace_documents(self, documents: DataFrame, nodes: DataFrame, chunks: DataFrame, embeddings: DataFrame | None = None, warnings: DataFrame | None = None) -> None:
         """Puts documents with all that derives from them in place of what the store has of them.
@@ -153,7 +157,8 @@ class IndexStore:
         if problem:
             raise StoreError(f"{problem['problem']}: {problem['key']}")
         ids = documents.select("document_id").distinct()
-        buckets = self._touched(ids)
+        buckets, count = self._touched(ids)
+        gone = _sent(ids, count)
         bucket = self._bucket(F.col("document_id")).alias("bucket")
         if warnings is None:
             warnings = documents.select("document_id", F.col("warnings").alias("hierarchy_warnings"))
@@ -164,7 +169,7 @@ class IndexStore:
             "hierarchy_nodes": nodes,
             "chunks": chunks,
         }
-        changed = {name: replace_rows(self._read(name, buckets), ids, rows.withColumn("bucket", bucket), "document_id") for name, rows in new.items()}
+        changed = {name: replace_rows(self._read(name, buckets), gone, rows.withColumn("bucket", bucket), "document_id") for name, rows in new.items()}
         owners = chunks.select("chunk_id", "content_hash", bucket)
         held = self._read("embeddings", buckets)
         old_chunks = self._read("chunks", buckets).join(ids, "document_id").select("chunk_id")
@@ -180,7 +185,8 @@ class IndexStore:
         known = self.table("documents").join(ids, "document_id", "left_semi").select("document_id")
         count = known.count()
         if count:
-            buckets = self._touched(known)
+            buckets, _ = self._touched(known)
+            ids = _sent(known, count)
             gone = self._read("chunks", buckets).join(ids, "document_id", "left_semi").select("chunk_id")
             changed = {name: without(self._read(name, buckets), ids, "document_id") for name in OF_DOCUMENT if name != "embeddings"}
             changed["embeddings"] = without(self._read("embeddings", buckets), gone, "chunk_id")
@@ -200,7 +206,7 @@ class IndexStore:
         if problem:
             raise StoreError(f"{problem['problem']}: {problem['key']}")
         placed = records.join(owners, ["chunk_id", "content_hash"])
-        buckets = self._touched(placed)
+        buckets, _ = self._touched(placed)
         held = self._read("embeddings", buckets)
         fresh = placed.withColumn("bucket", self._bucket(F.col("document_id"))).select(*held.columns)
         self._commit({"embeddings": upsert(held, fresh, key)}, buckets)
@@ -323,9 +329,14 @@ def integrity_problems(documents: DataFrame, nodes: DataFrame, chunks: DataFrame
     return problems
 
 
+def _sent(ids: DataFrame, count: int) -> DataFrame:
+    """``ids``, sent to every task if they are few, so that the texts they are compared with stay where they are."""
+    return F.broadcast(ids) if count <= FEW_IDS else ids
+
+
 def without(held: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """``held`` without the rows whose key ``gone`` has."""
-    return held.join(gone.select(key).distinct(), key, "left_anti")
+    return held.join(gone.select(key), key, "left_anti")
 
 
 def broken_documents(documents: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery import schemas
 from gleanery.operators import chunking, embedding, hierarchy, rerank
-from gleanery.plans import evaluate, ingestion, search
+from gleanery.plans import catalog, evaluate, ingestion, search
 from gleanery.settings import Settings
 from gleanery.sources import files, store as s
 from gleanery.streaming import incremental
@@ -148,6 +148,19 @@ def test_store_reads_removes_and_backs_up(spark, corpus, tmp_path):
     assert s.IndexStore(spark, copy).initialize().table("documents").count() == 3
 
 
+def test_no_task_writes_a_bucket_whole_and_removals_move_no_text(spark, tmp_path):
+    rows = spark.range(0, 80, numPartitions=4).selectExpr("id AS doc_id", "'src' AS source", "'en' AS lang", "repeat(cast(id AS string), 30) AS text")
+    held = s.IndexStore(spark, str(tmp_path / "store"), 1).initialize()
+    held.replace_documents(*catalog.plain_records(rows))
+    for name in ("pages", "hierarchy_nodes", "chunks"):
+        assert len(list((tmp_path / "store" / "data" / name).glob("*/_bucket=0/*.parquet"))) >= 4
+    assert held.remove_documents(files.table_documents(rows.where("doc_id < 30"))) == 30
+    assert sorted(r["chunk_id"] for r in held.table("chunks").collect()) == sorted(f"c{k}" for k in range(30, 80))
+    gone = s._sent(files.table_documents(rows).select("document_id"), 80)
+    plan = s.without(held.table("pages"), gone, "document_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_nothing_is_written_if_a_rule_is_broken(spark, corpus, tmp_path):
     docs, held, _ = indexed(spark, corpus, tmp_path / "store")
     good = docs.where("status = 'extracted'")
