@@ -96,6 +96,21 @@ def test_blocks_are_skipped(spark, monkeypatch):
     assert [x["chunk_id"] for x in hits.orderBy("rank").collect()] == [f"c{k:04}" for k in range(5)]
 
 
+def test_chunks_are_searched_without_an_index_as_with_one(spark, monkeypatch):
+    """Only the terms that are asked for are gathered; an index of all pieces isn't built, unless terms are too many to be sent."""
+    rows = corpus(21, 150) + [("c7", "d7", "a/7.txt", 0, None, None, None), ("c8", "d8", "b/8.txt", 1, "Alpha", ["root"], "alpha")]
+    chunks = spark.createDataFrame(rows, CHUNK)  # c8 stands there twice
+    asked = spark.createDataFrame(list(QUERIES.items()), "query_id string, query string")
+    key = lambda found: sorted(tuple(row) for row in found.collect())
+    want = key(retrieval.keyword_search_table(postings.index_of(chunks), asked, 9))
+    built = []
+    original = postings.index_of
+    monkeypatch.setattr(postings, "index_of", lambda rows: built.append(1) or original(rows))
+    assert key(retrieval.keyword_search_table(chunks, asked, 9)) == want and not built
+    monkeypatch.setattr(postings, "FEW", 3)
+    assert key(retrieval.keyword_search_table(chunks, asked, 9)) == want and built
+
+
 def random_tree(rng, count):
     parents = {}
     for k in range(count):
