@@ -6,6 +6,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -111,6 +112,29 @@ def test_chunks_are_searched_without_an_index_as_with_one(spark, monkeypatch):
     assert key(retrieval.keyword_search_table(chunks, asked, 9)) == want and built
 
 
+def test_held_rows_take_little_memory(monkeypatch):
+    """What a task holds of its best rows: numbers of pairs, and each row's keys once; ties are decided by the keys."""
+    monkeypatch.setattr(retrieval, "SCORED", 100)
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-1, 2, (900, 4)).astype(float)  # many are equal
+    vectors[~vectors.any(axis=1)] = 1.0
+    asked = rng.normal(size=(40, 4))
+    names = [f"n{k % 7}" for k in range(900)]
+    nearest, most = retrieval.NearestRows(asked, 5), 0
+    for first in range(0, 900, 300):
+        part = slice(first, first + 300)
+        batch = pa.RecordBatch.from_pydict({"chunk_id": [f"c{k}" for k in range(900)][part], "_order": names[part], "sequence": [k % 3 for k in range(900)][part]})
+        nearest.pass_by(batch, vectors[part])
+        most = max(most, sum(table.nbytes for table in nearest.keys))
+    found = list(nearest.found(64))
+    units = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+    scores = np.round(units @ (asked / np.sqrt((asked * asked).sum(1))[:, None]).T, 12)
+    for query in range(40):
+        best = sorted(range(900), key=lambda k: (-scores[k, query], names[k], k % 3, f"c{k}"))[:5]
+        assert [name for queries, keys, _ in found for q, name in zip(queries.tolist(), keys.column("chunk_id").to_pylist()) if q == query] == [f"c{k}" for k in best]
+    assert most <= 900 * 40 and max(len(queries) for queries, _, _ in found) <= 64
+
+
 def random_tree(rng, count):
     parents = {}
     for k in range(count):

@@ -166,3 +166,14 @@ def test_every_turn_is_expanded(spark, tmp_path):
         "c1/0": ("c1/1,c1/2", "child,child"), "c1/1": ("c1/0,c1/2", "parent,neighbor"), "c1/2": ("c1/0,c1/1", "parent,neighbor"),
         "c1/3": ("c1/1,c1/0", "parent,parent"), "c1/4": ("c1/1,c1/0", "parent,parent"),
     }
+
+
+def test_metrics_by_label_equal_those_of_pairs(spark):
+    rows = [(f"i{k}", None if k == 7 else k % 3) for k in range(30)]
+    labels = spark.createDataFrame(rows, "item_id string, label int")
+    rankings = spark.createDataFrame([(f"i{c}", f"i{(c * 7 + k * k) % 30}", k + 1) for c in range(9) for k in range(25)], "case_id string, item_id string, rank int")
+    cases = labels.limit(9).select(F.col("item_id").alias("case_id"))
+    asked = cases.join(labels.withColumnRenamed("item_id", "case_id"), "case_id")
+    want = evaluation.metrics(rankings, asked.join(labels, "label").select("case_id", "item_id"), cases)
+    found = evaluation.label_metrics(rankings, labels, cases)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 9
