@@ -21,6 +21,8 @@ from gleanery.shipping import ship_package
 
 #: Characters below which a page has little text.
 LITTLE = 20
+#: Parts of a scan that a task reads, one after the other, where there are many.
+SCAN_PARTS = 32
 
 
 class CorpusError(ValueError):
@@ -33,11 +35,19 @@ def corpus_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("p
     Other suffixes are left out when files are listed, and content that isn't selected
     isn't read. Where the file system has links, a file whose real path is outside the root's is left out.
     """
+    return _located(spark, root, _listed(spark, root, suffixes))
+
+
+def _listed(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
     either = ",".join("".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else x for x in suffix) for suffix in suffixes)
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(root)
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(root)
     except AnalysisException as error:
         raise CorpusError(f"no corpus folder: {root}") from error
+
+
+def _located(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """Listed files, read in tasks of a fitting size, with their paths below ``root``."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = base.getFileSystem(spark._jsc.hadoopConfiguration())
     whole = system.makeQualified(base)
@@ -46,6 +56,9 @@ def corpus_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("p
     prefix = whole.toUri().getPath().rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), r"^[a-z0-9+.\-]+:(//[^/]*)?(?=/)", "")
     relative = F.substring(path, F.lit(len(prefix) + 1), F.length(path))
+    # A scan takes each file for one of 4 MB, so that small ones make tasks of a few files, which take longer to start than to read.
+    parts = files.rdd.getNumPartitions()
+    files = files.coalesce(max(1, min(parts, 4 * spark.sparkContext.defaultParallelism), parts // SCAN_PARTS))
     if whole.toUri().getScheme() == "file":
         ship_package(spark)
         files = files.where(lies_within(prefix)(path))
@@ -192,10 +205,10 @@ def _outlines(pdf, warnings: list):
 
 
 def read_corpus(spark: SparkSession, root: str, pdf_reader=None) -> DataFrame:
-    """All documents of a corpus folder."""
-    files = corpus_files(spark, root)
-    is_pdf = F.lower("source_path").endswith(".pdf")
-    return text_documents(files.where(~is_pdf)).unionByName(pdf_documents(files.where(is_pdf), pdf_reader))
+    """All documents of a corpus folder, which is listed once; a file of another kind isn't opened, as names are told before."""
+    listed = _listed(spark, root, ("pdf", "txt"))
+    of = lambda suffix: _located(spark, root, listed.where(F.lower(F.col("_metadata.file_name")).endswith(suffix)))
+    return text_documents(of(".txt")).unionByName(pdf_documents(of(".pdf"), pdf_reader))
 
 
 def table_documents(docs: DataFrame) -> DataFrame:

@@ -221,3 +221,17 @@ def test_a_stream_of_documents_equals_a_batch(spark, corpus, tmp_path):
     ingestion.ingest(docs, batch, Settings(**SETTINGS))
     ids = lambda store: sorted(r[0] for r in store.table("chunks").select("chunk_id").collect())
     assert ids(held) == ids(batch)
+
+
+def test_small_files_share_tasks_and_are_listed_once(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k}.txt").write_text(f"text {k}")
+    (tmp_path / "x.PDF").write_bytes(b"none")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a part for each file
+    try:
+        assert spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions() > 150
+        docs = files.read_corpus(spark, str(tmp_path), lambda _: None)
+        assert docs.rdd.getNumPartitions() <= 300 // files.SCAN_PARTS + 1 + 4 * spark.sparkContext.defaultParallelism
+        assert docs.count() == 301 and docs.where("status = 'unreadable'").select("source_path").collect()[0][0] == "x.PDF"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
