@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from gleanery.folders import scratch
 from gleanery.operators import evaluation, retrieval
-from gleanery.operators.postings import KeywordIndex
 from jobs.settings import from_toml
 
 LOG = logging.getLogger("jobs.retrieval_report")
@@ -59,11 +58,9 @@ def run(spark: SparkSession, documents: str, embeddings: str, output: str, confi
     labels = known.select(F.col("vec_id").cast("string").alias("item_id"), "label")
     LOG.info("read %d documents of %s and %d vectors of %s: %d cases", docs.count(), documents, vectors.count(), embeddings, cases.count())
 
-    index = KeywordIndex(spark, scratch(spark, "report-index"))
-    index.add(chunks)
-    near = index.chunks().join(usable.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector")), "chunk_id")
+    near = chunks.drop("text").join(usable.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector")), "chunk_id")
     found = {
-        "keyword": retrieval.keyword_search_table(index, cases.select("query_id", "query"), config.keyword_k),
+        "keyword": retrieval.keyword_search_table(chunks, cases.select("query_id", "query"), config.keyword_k),
         "semantic": retrieval.semantic_search(near, cases.select("query_id", "vector"), config.semantic_k),
     }
     # Written, as the fusion and the report both read them.

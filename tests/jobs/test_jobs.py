@@ -74,6 +74,14 @@ def test_a_report_is_written_again_as_it_was(spark, tmp_path):
     assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_a_report_builds_no_index(spark, tmp_path, monkeypatch):
+    """It asks for few terms: an index would move and write all texts and pieces for them."""
+    built = []
+    monkeypatch.setattr(KeywordIndex, "add", lambda *args: built.append(args))
+    retrieval_report.run(spark, f"{DATA}/documents.parquet", f"{DATA}/embeddings.parquet", f"{tmp_path}/report")
+    assert not built and spark.read.parquet(f"{tmp_path}/report/cases").count() > 0
+
+
 def test_settings_files(tmp_path):
     assert from_toml(keyword_index.Config, "jobs/keyword_index.toml") == keyword_index.Config()
     assert from_toml(retrieval_report.Config, "jobs/retrieval_report.toml") == retrieval_report.Config()
