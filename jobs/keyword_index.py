@@ -15,10 +15,11 @@ import argparse
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.operators.postings import KeywordIndex
+from gleanery.sizing import shuffles_for
 from jobs.settings import from_toml
 
 LOG = logging.getLogger("jobs.keyword_index")
@@ -35,26 +36,32 @@ class Config:
 
 
 def document_chunks(rows: DataFrame) -> DataFrame:
-    """Documents (with the file's time as _came) as one chunk each, the newest version of each path."""
+    """Documents (with the file's time as _came) as one chunk each, all versions of each path."""
     text = lambda name: F.coalesce(name, F.lit(""))
     path = F.concat_ws("/", text("source"), F.concat(F.col("doc_id"), F.lit(".txt")))
-    version = F.struct("_came", F.sha2(text("text"), 256).alias("_digest"), text("text").alias("text"), text("lang").alias("lang"), text("source").alias("source"))
-    newest = rows.where("doc_id is not null").groupBy(path.alias("source_path")).agg(F.max(version).alias("v"))
-    return newest.select(
+    named = rows.where("doc_id is not null").select(path.alias("source_path"), "_came", *(text(name).alias(name) for name in ("text", "lang", "source")))
+    return named.select(
         F.sha2("source_path", 256).alias("chunk_id"), F.sha2("source_path", 256).alias("document_id"), "source_path", F.lit(0).alias("sequence"),
-        "v.text", F.col("v.lang").alias("section_title"), F.array("v.source", "v.lang").alias("section_path"),
+        "text", F.col("lang").alias("section_title"), F.array("source", "lang").alias("section_path"), "_came",
     )
 
 
+def newest() -> tuple[Column, ...]:
+    """Of a document's versions in a batch the newest file's comes first; of one file's, one that doesn't depend on their order."""
+    return F.desc("_came"), F.desc(F.sha2("text", 256)), F.desc("section_title")
+
+
 def run(spark: SparkSession, documents: str, output: str, checkpoint: str, config: Config = Config()) -> int:
     """Indexes what is new and returns the number of batches taken; ends when nothing new is left."""
     index = KeywordIndex(spark, output)
     taken: list[int] = []
 
     def take(rows: DataFrame, number: int) -> None:
-        index.add(document_chunks(rows), number)
+        read = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("doc_id").isNull()).alias("without"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+        # A batch has a session of its own.
+        with shuffles_for(rows.sparkSession, read["bytes"]), shuffles_for(spark, read["bytes"]):
+            index.add(document_chunks(rows), number, newest())
         taken.append(number)
-        read = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("doc_id").isNull()).alias("without")).first()
         own = F.col("batch") == number
         LOG.info("batch %d: read %d rows of %s (%d without a doc_id); wrote %d documents and %d rows of postings to %s", number, read["all"], documents, read["without"], index.all_chunks().where(own).count(), index.postings().where(own).count(), output)
 

@@ -1,10 +1,13 @@
 """The jobs: growing input, new versions, reruns, and their queries against SQL."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery import sizing
+from gleanery.operators import postings
 from gleanery.operators.postings import KeywordIndex
 from jobs import keyword_index, queries, retrieval_report
 from jobs.settings import from_toml
@@ -49,6 +52,46 @@ def test_new_versions_replace_old_ones(spark, tmp_path):
     assert "new" in texts and "old" not in texts and "no" not in texts
 
 
+def test_versions_of_a_batch_and_shuffles_of_its_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sizing, "TASK_BYTES", 2000)
+    ddl = "doc_id long, text string, lang string, source string"
+    arrived, seen = f"{tmp_path}/arrived", []
+    rows = [(k % 40, f"word{k} " * 20, "en", "s") for k in range(120)]
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(arrived)
+    own = KeywordIndex.add
+
+    def add(index, chunks, *rest):
+        seen.extend(int(x.conf.get(sizing.PARTITIONS)) for x in (chunks.sparkSession, index.spark))
+        own(index, chunks, *rest)
+
+    monkeypatch.setattr(KeywordIndex, "add", add)
+    before = {name: spark.conf.get(name) for name in (sizing.PARTITIONS, sizing.ADVISORY)}
+    keyword_index.run(spark, arrived, f"{tmp_path}/index", f"{tmp_path}/mark")
+    assert {name: spark.conf.get(name) for name in before} == before
+    size = sum(len(row[1]) for row in rows)
+    assert seen == [-(-size // 2000)] * 2  # a task for each 2000 bytes, however large the input
+    # One version of a document, that of the greatest digest, however they come.
+    want = {k: max((row[1] for row in rows if row[0] == k), key=lambda text: hashlib.sha256(text.encode()).hexdigest()) for k in range(40)}
+    index = KeywordIndex(spark, f"{tmp_path}/index")
+    assert sorted(row["body"] for row in index.chunks().collect()) == sorted(want.values())
+    assert {(row["piece"], row["points"]) for row in index.entries().where("piece like 'word%'").collect()} == {(text.split()[0], 1) for text in want.values()}
+
+
+def test_no_entry_is_shuffled_by_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 4)
+    monkeypatch.setattr(postings, "BLOCKS_OF_TASK", 2)
+    index = KeywordIndex(spark, f"{tmp_path}/index")
+    made = spark.range(40).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("d"), "id").alias("document_id"), F.concat(F.lit("p"), "id").alias("source_path"), F.lit(0).alias("sequence"), F.concat(F.lit("all w"), "id").alias("text"), F.lit("en").alias("section_title"), F.array(F.lit("s")).alias("section_path"))
+    index.add(made, 0)
+    index.add(made.where("id < 10").withColumn("text", F.concat(F.lit("all new w"), F.col("sequence"))), 1)
+    found = index.entries()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("SortMergeJoin") and "block" in plan[plan.index("SortMergeJoin") :].splitlines()[0]
+    assert found.rdd.getNumPartitions() == 7  # 50 chunks of both batches in tasks of 8
+    got = {(row["piece"], row["chunk_id"]) for row in found.where("piece not in ('en', 's')").collect()}
+    assert got == {("all", f"c{k}") for k in range(40)} | {("new", f"c{k}") for k in range(10)} | {("w0", f"c{k}") for k in range(10)} | {(f"w{k}", f"c{k}") for k in range(10, 40)}
+
+
 def test_the_queries_equal_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
