@@ -6,7 +6,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import schemas
@@ -14,6 +14,7 @@ from gleanery.operators.chunking import chunk_rows, fingerprint
 from gleanery.operators.embedding import EmbeddingProvider, embed_chunks
 from gleanery.operators.hierarchy import HIERARCHY_VERSION, detect_hierarchy, hierarchy_warnings
 from gleanery.settings import Settings
+from gleanery.sizing import shuffles_for
 from gleanery.sources.files import read_corpus
 from gleanery.sources.store import IndexStore, broken_documents
 
@@ -68,9 +69,17 @@ def _ingest(documents: DataFrame, store: IndexStore, settings: Settings, provide
     spark = documents.sparkSession
     started, run_id = datetime.now(UTC).replace(tzinfo=None), uuid.uuid4().hex
     usable = ~F.col("status").isin("unreadable", "encrypted") & (F.size("pages") > 0)
-    counts = documents.agg(F.count(F.lit(1)).alias("all"), F.count_if(usable).alias("usable")).first()
+    size = F.aggregate("pages", F.lit(0).cast("long"), lambda sum_, page: sum_ + F.coalesce(F.octet_length(page["text"]), F.lit(0)))
+    counts = documents.agg(F.count(F.lit(1)).alias("all"), F.count_if(usable).alias("usable"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
     if not counts["all"]:
         return Summary(run_id, "empty", 0, 0, 0, ())
+    # Texts are dealt by document several times; a batch of a stream has a session of its own.
+    with shuffles_for(spark, counts["bytes"]), shuffles_for(store.spark, counts["bytes"]):
+        return _indexed(documents, store, settings, provider, usable, counts, run_id, started)
+
+
+def _indexed(documents: DataFrame, store: IndexStore, settings: Settings, provider: EmbeddingProvider | None, usable: Column, counts: Row, run_id: str, started: datetime) -> Summary:
+    spark = documents.sparkSession
     store.initialize()
     nothing = F.lit(None).cast("string").alias("chunk_id")
     failures = [documents.where(~usable).select("source_path", F.col("status").alias("reason"), nothing)]

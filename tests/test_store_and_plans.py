@@ -6,7 +6,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from gleanery import schemas
+from gleanery import schemas, sizing
 from gleanery.operators import chunking, embedding, hierarchy, rerank
 from gleanery.plans import catalog, evaluate, ingestion, search
 from gleanery.settings import Settings
@@ -161,6 +161,20 @@ def test_no_task_writes_a_bucket_whole_and_removals_move_no_text(spark, tmp_path
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
+def test_tasks_of_an_ingestion_do_not_grow_with_its_input(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sizing, "TASK_BYTES", 1000)
+    rows = [(k, f"Words of document {k}. " * 10, "s") for k in range(40)]
+    docs = files.table_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1))
+    seen, own = [], ingestion.detect_hierarchy
+    monkeypatch.setattr(ingestion, "detect_hierarchy", lambda fresh: seen.append(made := own(fresh)) or seen.append(fresh.rdd.getNumPartitions()) or seen.append(made.rdd.getNumPartitions()) or made)
+    before = {name: spark.conf.get(name) for name in (sizing.PARTITIONS, sizing.ADVISORY)}
+    summary = ingestion.ingest(docs, s.IndexStore(spark, f"{tmp_path}/store", 8), Settings())
+    assert (summary.indexed, summary.status) == (40, "completed")
+    parts = -(-sum(len(text) for _, text, _ in rows) // 1000)
+    assert seen[1:] == [parts, parts] and parts > int(before[sizing.PARTITIONS])
+    assert {name: spark.conf.get(name) for name in before} == before
+
+
 def test_nothing_is_written_if_a_rule_is_broken(spark, corpus, tmp_path):
     docs, held, _ = indexed(spark, corpus, tmp_path / "store")
     good = docs.where("status = 'extracted'")
