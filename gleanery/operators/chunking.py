@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import schemas
@@ -22,6 +22,8 @@ from gleanery.shipping import ship_package
 CHUNKER_VERSION = "1"
 DEFAULT_TOKENIZER = "lexical-token-estimate"
 TOKENS = re.compile(r"\w+|[^\w\s]")
+#: What the chunker reads of a node.
+CHUNKED = ("node_id", "parent_id", "level", "section_title", "section_path", "page_start", "sequence", "text")
 SENTENCES = re.compile(r"(?<=[.!?;:])\s+")
 
 
@@ -48,8 +50,12 @@ def fingerprint(size: int, overlap: int, unit: str, tokenizer: Callable[[str], i
     return hashlib.sha256("|".join((CHUNKER_VERSION, str(size), str(overlap), unit, tokenizer_name(tokenizer))).encode()).hexdigest()
 
 
+def _is_content(level: Column, text: Column) -> Column:
+    return (level == "content") & (t.trim(F.coalesce(text, F.lit(""))) != "")
+
+
 def content_nodes(nodes: DataFrame) -> DataFrame:
-    return nodes.where((F.col("level") == "content") & (t.trim(F.coalesce("text", F.lit(""))) != ""))
+    return nodes.where(_is_content(F.col("level"), F.col("text")))
 
 
 def _split(text: str, size: int, measure: Callable[[str], int], characters: bool) -> list[str]:
@@ -156,11 +162,20 @@ def chunk_nodes(document_id: str, nodes: list, size: int = 1000, overlap: int =
 
 def chunk_rows(nodes: DataFrame, size: int = 1000, overlap: int = 150, unit: str = "characters", tokenizer: Callable[[str], int] | None = None) -> DataFrame:
     """Chunks of all documents from their hierarchy nodes, with a column error; a document that fails has one row with its id and error alone."""
+    return chunk_trees(gathered(content_nodes(nodes), CHUNKED), size, overlap, unit, tokenizer)
+
+
+def gathered(nodes: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """One row a document: document_id and its nodes."""
+    return nodes.groupBy("document_id").agg(F.collect_list(F.struct(*fields)).alias("nodes"))
+
+
+def chunk_trees(trees: DataFrame, size: int = 1000, overlap: int = 150, unit: str = "characters", tokenizer: Callable[[str], int] | None = None) -> DataFrame:
+    """As ``chunk_rows``, from gathered nodes, which needn't move."""
     check_sizes(size, overlap, unit)
-    spark = nodes.sparkSession
-    ship_package(spark)
-    fields = ("node_id", "parent_id", "level", "section_title", "section_path", "page_start", "sequence", "text")
-    rows = content_nodes(nodes).groupBy("document_id").agg(F.collect_list(F.struct(*fields)).alias("nodes"))
+    ship_package(trees.sparkSession)
+    content = F.filter("nodes", lambda n: _is_content(n["level"], n["text"]))
+    rows = trees.select("document_id", F.transform(content, lambda n: F.struct(*(n[name].alias(name) for name in CHUNKED))).alias("nodes")).where(F.size("nodes") > 0)
     schema = schemas.struct(schemas.CHUNK + ", error string")
     names = schema.names
 

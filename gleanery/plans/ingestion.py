@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import schemas
-from gleanery.operators.chunking import chunk_rows, fingerprint
+from gleanery.operators.chunking import chunk_trees, fingerprint, gathered
 from gleanery.operators.embedding import EmbeddingProvider, embed_chunks
 from gleanery.operators.hierarchy import HIERARCHY_VERSION, detect_hierarchy, hierarchy_warnings
 from gleanery.settings import Settings
@@ -74,7 +74,7 @@ def _ingest(documents: DataFrame, store: IndexStore, settings: Settings, provide
     if not counts["all"]:
         return Summary(run_id, "empty", 0, 0, 0, ())
     # Texts are dealt by document several times; a batch of a stream has a session of its own.
-    with shuffles_for(spark, counts["bytes"]), shuffles_for(store.spark, counts["bytes"]):
+    with shuffles_for(spark, counts["bytes"], cleaned=True), shuffles_for(store.spark, counts["bytes"], cleaned=True):
         return _indexed(documents, store, settings, provider, usable, counts, run_id, started)
 
 
@@ -84,21 +84,23 @@ def _indexed(documents: DataFrame, store: IndexStore, settings: Settings, provid
     nothing = F.lit(None).cast("string").alias("chunk_id")
     failures = [documents.where(~usable).select("source_path", F.col("status").alias("reason"), nothing)]
     good = documents.where(usable)
-    fresh = changed_documents(good, store, settings).persist()
+    # Written once: a second reading, run of the chunker or a model could end otherwise. Nothing is cached, and a text moves once.
+    fresh = store.staged(changed_documents(good, store, settings))
     unchanged = counts["usable"] - fresh.count()
     if unchanged < counts["usable"]:
-        # Written once: a second run of the chunker or a model could end otherwise.
-        nodes = detect_hierarchy(fresh).persist()
-        made = store.staged(chunk_rows(nodes, settings.chunk_size, settings.chunk_overlap, settings.chunk_size_unit))
-        chunks = made.where("error is null").drop("error")
-        broken = broken_documents(fresh, nodes, chunks).withColumnRenamed("problem", "reason")
-        bad = store.staged(made.where("error is not null").select("document_id", F.col("error").alias("reason")).unionByName(broken).groupBy("document_id").agg(F.min("reason").alias("reason")))
+        nodes = detect_hierarchy(fresh.repartition("document_id"))
+        trees = store.staged(gathered(nodes, tuple(name for name in nodes.columns if name != "document_id")), f"trees-{run_id}")
+        made = {"hierarchy_nodes": store.prepare("hierarchy_nodes", trees.select("document_id", F.inline("nodes"))), "chunks": store.prepare("chunks", chunk_trees(trees, settings.chunk_size, settings.chunk_overlap, settings.chunk_size_unit))}
+        store.clear_staged(f"trees-{run_id}")
+        nodes, chunks = (store.prepared(name, paths) for name, paths in made.items())
+        broken = broken_documents(fresh, nodes, chunks, store.staged).withColumnRenamed("problem", "reason")
+        bad = store.staged(store.prepared_errors("chunks", made["chunks"]).withColumnRenamed("error", "reason").unionByName(broken).groupBy("document_id").agg(F.min("reason").alias("reason")))
         failures.append(fresh.join(bad, "document_id").select("source_path", "reason", nothing))
-        whole = [rows.join(bad.select("document_id"), "document_id", "left_anti") for rows in (fresh, nodes, chunks)]
-        if not whole[0].isEmpty():
-            store.replace_documents(*whole, warnings=hierarchy_warnings(whole[0], whole[1]))
+        whole = fresh.join(bad.select("document_id"), "document_id", "left_anti")
+        if not whole.isEmpty():
+            store.replace_prepared(whole, made, bad, hierarchy_warnings(whole, nodes))
+        store.discard(made)
         good = good.join(bad.select("document_id"), "document_id", "left_anti")
-        nodes.unpersist()
     total = good.count()
     own = store.table("chunks").join(good.select("document_id", "source_path"), "document_id")
     count = own.count()
@@ -120,7 +122,6 @@ def _indexed(documents: DataFrame, store: IndexStore, settings: Settings, provid
     status = "completed" if not failure_count else "partial" if total else "failed"
     run = [(run_id, status, total, count, failure_count, started, datetime.now(UTC).replace(tzinfo=None), "; ".join(reasons) or None)]
     store.save_index_runs(spark.createDataFrame(run, schemas.struct(schemas.INDEX_RUN)))
-    fresh.unpersist()
     return Summary(run_id, status, total, unchanged, count, shown, failure_count, counts["all"] - counts["usable"])
 
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery import schemas
@@ -21,6 +23,8 @@ from gleanery.operators.embedding import invalid_records
 
 #: Ids of documents, at most, that are sent to every task; more are joined by a shuffle.
 FEW_IDS = 1_000_000
+#: Where prepared rows go that have an error; no document has this bucket.
+ERRORS = -1
 FAILED_STATUSES = ("unreadable", "failed", "encrypted")
 OF_DOCUMENT = ("documents", "pages", "hierarchy_nodes", "chunks", "embeddings")
 FAILURE = "source_path string, reason string, chunk_id string"
@@ -77,10 +81,12 @@ class IndexStore:
     def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
         """Rows of a table, or of some of its buckets, with column bucket."""
         held = self._manifest()["tables"][name]
-        paths = [path for bucket, path in held.items() if buckets is None or int(bucket) in buckets]
-        schema = schemas.struct(schemas.TABLES[name] + ", bucket int")
+        return self._rows(name, [path for bucket, path in held.items() if buckets is None or int(bucket) in buckets])
+
+    def _rows(self, name: str, paths: list[str], more: str = "") -> DataFrame:
+        schema = schemas.struct(schemas.TABLES[name] + ", bucket int" + more)
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).limit(0)  # known to be empty: what is joined with it needn't move
         return self.spark.read.schema(schema).parquet(*sorted(f"{self.root}/{path}" for path in paths))
 
     def table(self, name: str) -> DataFrame:
@@ -88,24 +94,25 @@ class IndexStore:
             raise StoreError(f"no such table: {name}")
         return self._read(name).drop("bucket")
 
-    def _commit(self, changed: dict[str, DataFrame], buckets: list[int]) -> None:
-        """Puts new rows (with column bucket) in place of whole buckets."""
-        manifest, stamp = self._manifest(), uuid.uuid4().hex
-        for name, rows in changed.items():
-            folder = f"data/{name}/{stamp}"
-            columns = [field.name for field in schemas.struct(schemas.TABLES[name])]
-            kept = rows.select(*columns, "bucket").withColumn("_bucket", F.col("bucket"))
-            # Each task writes its rows of all buckets: nothing moves, and no task has a bucket whole.
-            writer = kept.write.option("compression", "zstd").partitionBy("_bucket")
-            if "chunk_id" in columns:  # looked up by itself: a reader skips what can't have it
-                writer = writer.option("parquet.bloom.filter.enabled#chunk_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-            writer.parquet(f"{self.root}/{folder}")
+    def _write(self, name: str, rows: DataFrame) -> dict[str, str]:
+        """Writes rows (with column bucket) to a new folder of a table; its paths by bucket."""
+        folder = f"data/{name}/{uuid.uuid4().hex}"
+        columns = [field.name for field in schemas.struct(schemas.TABLES[name])]
+        kept = rows.select(*columns, "bucket", *(["error"] if "error" in rows.columns else [])).withColumn("_bucket", F.col("bucket"))
+        # Each task writes its rows of all buckets: nothing moves, and no task has a bucket whole.
+        writer = kept.write.option("compression", "zstd").partitionBy("_bucket")
+        if "chunk_id" in columns:  # looked up by itself: a reader skips what can't have it
+            writer = writer.option("parquet.bloom.filter.enabled#chunk_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(f"{self.root}/{folder}")
+        parts = [status.getPath().getName() for status in self._files.listStatus(self._path(f"{self.root}/{folder}"))]
+        return {part.removeprefix("_bucket="): f"{folder}/{part}" for part in parts if part.startswith("_bucket=")}
+
+    def _commit(self, changed: dict[str, DataFrame], buckets: list[int], taken: dict[str, dict[str, str]] | None = None) -> None:
+        """Puts new rows (with column bucket), and what is written already (``taken``), in place of whole buckets."""
+        manifest, taken = self._manifest(), taken or {}
+        for name in changed | taken:
             held = {bucket: path for bucket, path in manifest["tables"][name].items() if int(bucket) not in buckets}
-            for status in self._files.listStatus(self._path(f"{self.root}/{folder}")):
-                part = status.getPath().getName()
-                if part.startswith("_bucket="):
-                    held[part.removeprefix("_bucket=")] = f"{folder}/{part}"
-            manifest["tables"][name] = held
+            manifest["tables"][name] = held | taken.get(name, {}) | (self._write(name, changed[name]) if name in changed else {})
         self._write_manifest(manifest, self._versions()[-1] + 1)
 
     def vacuum(self, keep: int = 1) -> None:
@@ -152,10 +159,47 @@ class IndexStore:
 
         Embeddings of chunks that stay the same stay. Nothing is written if a rule is broken.
         """
-        records = self.spark.createDataFrame([], schemas.struct(schemas.EMBEDDING)) if embeddings is None else embeddings
+        records = self._no_records() if embeddings is None else embeddings
         problem = integrity_problems(documents, nodes, chunks, records).first()
         if problem:
             raise StoreError(f"{problem['problem']}: {problem['key']}")
+        self._replace(documents, nodes, chunks, records, warnings)
+
+    def _no_records(self) -> DataFrame:
+        return self.spark.createDataFrame([], schemas.struct(schemas.EMBEDDING)).limit(0)
+
+    def prepare(self, name: str, rows: DataFrame) -> dict[str, str]:
+        """Writes rows of documents to where they are to stay, for ``replace_prepared``; rows with an error go to bucket ERRORS."""
+        bucket = self._bucket(F.col("document_id"))
+        if "error" in rows.columns:
+            bucket = F.when(F.col("error").isNull(), bucket).otherwise(ERRORS)
+        return self._write(name, rows.withColumn("bucket", bucket))
+
+    def prepared(self, name: str, paths: dict[str, str]) -> DataFrame:
+        """The rows that ``prepare`` has written."""
+        return self._rows(name, [path for bucket, path in paths.items() if int(bucket) != ERRORS]).drop("bucket")
+
+    def prepared_errors(self, name: str, paths: dict[str, str]) -> DataFrame:
+        """The rows that ``prepare`` has written for their errors: document_id, error."""
+        return self._rows(name, [path for bucket, path in paths.items() if int(bucket) == ERRORS], ", error string").select("document_id", "error")
+
+    def replace_prepared(self, documents: DataFrame, ready: dict[str, dict[str, str]], bad: DataFrame, warnings: DataFrame) -> None:
+        """As ``replace_documents``, for checked documents whose nodes and chunks are prepared; those of ``bad`` documents stay out.
+
+        A prepared bucket is taken as it is, unless the store holds rows of the bucket or it has a bad document's: those are written anew.
+        """
+        spoilt = {row["b"] for row in bad.select(self._bucket(F.col("document_id")).alias("b")).distinct().collect()}
+        whole = [without(self.prepared(name, ready[name]), bad, "document_id") for name in ("hierarchy_nodes", "chunks")]
+        self._replace(documents, *whole, self._no_records(), warnings, ready, spoilt, bad)
+
+    def discard(self, ready: dict[str, dict[str, str]]) -> None:
+        """Deletes what was prepared and not taken."""
+        tables = self._manifest()["tables"]
+        for name, paths in ready.items():
+            for path in set(paths.values()) - set(tables[name].values()):
+                self._files.delete(self._path(f"{self.root}/{path}"), True)
+
+    def _replace(self, documents: DataFrame, nodes: DataFrame, chunks: DataFrame, records: DataFrame, warnings: DataFrame | None, ready: dict[str, dict[str, str]] | None = None, spoilt: set[int] = frozenset(), bad: DataFrame | None = None) -> None:
         ids = documents.select("document_id").distinct()
         buckets, count = self._touched(ids)
         gone = _sent(ids, count)
@@ -169,7 +213,16 @@ class IndexStore:
             "hierarchy_nodes": nodes,
             "chunks": chunks,
         }
-        changed = {name: replace_rows(self._read(name, buckets), gone, rows.withColumn("bucket", bucket), "document_id") for name, rows in new.items()}
+        tables, taken, changed = self._manifest()["tables"], {}, {}
+        for name, rows in new.items():
+            if name not in (ready or {}):
+                changed[name] = replace_rows(self._read(name, buckets), gone, rows.withColumn("bucket", bucket), "document_id")
+                continue
+            anew = [b for b in buckets if b in spoilt or str(b) in tables[name]]
+            taken[name] = {b: path for b, path in ready[name].items() if int(b) in buckets and int(b) not in anew}
+            if anew:
+                rows = without(self._rows(name, [ready[name][str(b)] for b in anew if str(b) in ready[name]]), bad, "document_id")
+                changed[name] = replace_rows(self._read(name, anew), gone, rows, "document_id")
         owners = chunks.select("chunk_id", "content_hash", bucket)
         held = self._read("embeddings", buckets)
         old_chunks = self._read("chunks", buckets).join(ids, "document_id").select("chunk_id")
@@ -177,7 +230,7 @@ class IndexStore:
         fresh = records.join(owners, ["chunk_id", "content_hash"])
         key = ["chunk_id", "provider_name", "model_name", "model_version"]
         changed["embeddings"] = upsert(stay, fresh, key)
-        self._commit(changed, buckets)
+        self._commit(changed, buckets, taken)
 
     def remove_documents(self, ids: DataFrame) -> int:
         """Removes documents (document_id) and all that derives from them; tells how many there were."""
@@ -228,14 +281,14 @@ class IndexStore:
     def failures(self, run_id: str) -> DataFrame:
         return self.spark.read.schema(FAILURE).parquet(f"{self.root}/failures/{run_id}")
 
-    def staged(self, rows: DataFrame) -> DataFrame:
-        """Rows written to the store's own folder for the time of a run; ``clear_staged`` deletes them."""
-        path = f"{self.root}/staged/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
+    def staged(self, rows: DataFrame, name: str | None = None) -> DataFrame:
+        """Rows written to the store's own folder for the time of a run; ``clear_staged`` deletes them, or those of a name."""
+        path = f"{self.root}/staged/{name or uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def clear_staged(self) -> None:
-        self._files.delete(self._path(f"{self.root}/staged"), True)
+    def clear_staged(self, name: str | None = None) -> None:
+        self._files.delete(self._path(f"{self.root}/staged/{name}" if name else f"{self.root}/staged"), True)
 
     # Scans.
 
@@ -301,32 +354,49 @@ def _problem(rows: DataFrame, what: str, key: str) -> DataFrame:
     return rows.select(F.lit(what).alias("problem"), F.col(key).alias("key"))
 
 
+def _of_document(rows: DataFrame, what: str, key: str) -> DataFrame:
+    return rows.select(F.lit(what).alias("problem"), "document_id")
+
+
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that several rows have."""
+    return rows.groupBy(key).count().where("count > 1")
+
+
+def _repeating(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of such keys."""
+    return rows.select("document_id", F.col(key).alias("_key")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).where("_n > 1")
+
+
 def integrity_problems(documents: DataFrame, nodes: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """What breaks the store's rules, as (problem, key): repeated ids, missing parents, pages or owners, other texts."""
-    again = lambda rows, key, what: _problem(rows.groupBy(key).count().where("count > 1"), what, key)
+    found = _record_problems(documents, nodes, chunks, _problem, _repeated) + [
+        _problem(invalid_records(embeddings), "an invalid embedding", "chunk_id"),
+        _problem(embeddings.join(chunks, ["chunk_id", "content_hash"], "left_anti"), "an embedding of an unknown chunk or other text", "chunk_id"),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _record_problems(documents: DataFrame, nodes: DataFrame, chunks: DataFrame, problem: Callable, repeated: Callable) -> list[DataFrame]:
+    """Each rule's problems: the rows that break it, by ``problem(rows, what, key)``."""
+    again = lambda rows, key, what: problem(repeated(rows, key), what, key)
     ids = documents.select("document_id")
     parents = nodes.select(F.col("node_id").alias("parent_id"), "document_id")
     pages = documents.select("document_id", F.col("pages.page_number").alias("_pages"))
-    found = [
+    return [
         again(documents, "document_id", "a repeated document"),
         again(documents, "source_path", "a repeated source path"),
         again(nodes, "node_id", "a repeated node"),
         again(chunks, "chunk_id", "a repeated chunk"),
-        _problem(nodes.join(ids, "document_id", "left_anti"), "a node of an unknown document", "node_id"),
-        _problem(chunks.join(ids, "document_id", "left_anti"), "a chunk of an unknown document", "chunk_id"),
-        _problem(nodes.where("parent_id is not null").join(parents, ["parent_id", "document_id"], "left_anti"), "a node without its parent", "node_id"),
-        _problem(nodes.where("parent_id is not null").join(nodes.select(F.col("node_id").alias("parent_id"), F.col("sequence").alias("_above")), "parent_id").where("_above >= sequence"), "a node before its parent", "node_id"),
-        _problem(chunks.join(parents, ["parent_id", "document_id"], "left_anti"), "a chunk without its node", "chunk_id"),
-        _problem(check_pages(nodes, documents), "a node of a missing page", "node_id"),
-        _problem(chunks.join(pages, "document_id").where((F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start")) | ~F.array_contains("_pages", F.col("page_start")) | ~F.array_contains("_pages", F.col("page_end"))), "a chunk of a missing page", "chunk_id"),
-        _problem(chunks.where(F.sha2("text", 256) != F.col("content_hash")), "a chunk with another text's hash", "chunk_id"),
-        _problem(invalid_records(embeddings), "an invalid embedding", "chunk_id"),
-        _problem(embeddings.join(chunks, ["chunk_id", "content_hash"], "left_anti"), "an embedding of an unknown chunk or other text", "chunk_id"),
+        problem(nodes.join(ids, "document_id", "left_anti"), "a node of an unknown document", "node_id"),
+        problem(chunks.join(ids, "document_id", "left_anti"), "a chunk of an unknown document", "chunk_id"),
+        problem(nodes.where("parent_id is not null").join(parents, ["parent_id", "document_id"], "left_anti"), "a node without its parent", "node_id"),
+        problem(nodes.where("parent_id is not null").join(nodes.select(F.col("node_id").alias("parent_id"), F.col("sequence").alias("_above")), "parent_id").where("_above >= sequence"), "a node before its parent", "node_id"),
+        problem(chunks.join(parents, ["parent_id", "document_id"], "left_anti"), "a chunk without its node", "chunk_id"),
+        problem(check_pages(nodes, documents), "a node of a missing page", "node_id"),
+        problem(chunks.join(pages, "document_id").where((F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start")) | ~F.array_contains("_pages", F.col("page_start")) | ~F.array_contains("_pages", F.col("page_end"))), "a chunk of a missing page", "chunk_id"),
+        problem(chunks.where(F.sha2("text", 256) != F.col("content_hash")), "a chunk with another text's hash", "chunk_id"),
     ]
-    problems = found[0]
-    for more in found[1:]:
-        problems = problems.unionByName(more)
-    return problems
 
 
 def _sent(ids: DataFrame, count: int) -> DataFrame:
@@ -339,13 +409,13 @@ def without(held: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return held.join(gone.select(key), key, "left_anti")
 
 
-def broken_documents(documents: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """document_id and problem of each document of which a record breaks a rule."""
-    none = documents.sparkSession.createDataFrame([], schemas.struct(schemas.EMBEDDING))
-    problems = integrity_problems(documents, nodes, chunks, none)
-    keys = documents.select("document_id", F.explode(F.array("document_id", "source_path")).alias("_key"))
-    keys = keys.unionByName(nodes.select("document_id", F.col("node_id").alias("_key"))).unionByName(chunks.select("document_id", F.col("chunk_id").alias("_key")))
-    return problems.join(keys, F.col("key") == F.col("_key")).groupBy("document_id").agg(F.min("problem").alias("problem"))
+def broken_documents(documents: DataFrame, nodes: DataFrame, chunks: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """document_id and problem of each document of which a record breaks a rule.
+
+    ``keep`` writes what a rule finds, one after the other, so that what one moves is gone before the next.
+    """
+    found = [keep(rows.distinct()) for rows in _record_problems(documents, nodes, chunks, _of_document, _repeating)]
+    return reduce(DataFrame.unionByName, found).groupBy("document_id").agg(F.min("problem").alias("problem"))
 
 
 def replace_rows(held: DataFrame, gone: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

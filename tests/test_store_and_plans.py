@@ -175,6 +175,58 @@ def test_tasks_of_an_ingestion_do_not_grow_with_its_input(spark, tmp_path, monke
     assert {name: spark.conf.get(name) for name in before} == before
 
 
+def test_an_ingestion_leaves_no_shuffles_and_caches_and_moves_a_text_once(spark, tmp_path, monkeypatch):
+    rows = [(k, f"Words of document {k}. " * 10, "s") for k in range(40)]
+    docs = files.table_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    context, moved = spark.sparkContext._jsc.sc(), []
+    write = s.IndexStore._write
+
+    def held():
+        found = context.env().blockManager().diskBlockManager().getAllFiles()
+        return sum(found.apply(k).length() for k in range(found.size()) if found.apply(k).getName().endswith(".data")), spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def seen(self, name, frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        moved.append((name, plan.count("hashpartitioning(document_id")))
+        return write(self, name, frame)
+
+    monkeypatch.setattr(s.IndexStore, "_write", seen)
+    before, store = held(), s.IndexStore(spark, f"{tmp_path}/store", 8)
+    assert ingestion.ingest(docs, store, Settings()).indexed == 40
+    after = held()
+    assert after[0] - before[0] < 40 * 64 and after[1] == before[1]  # less than the ids of the documents; counts remain
+    assert {name: n for name, n in moved if name in ("pages", "hierarchy_nodes", "chunks")} == {"pages": 0, "hierarchy_nodes": 0, "chunks": 0}
+    assert not (tmp_path / "store" / "staged").exists()
+
+
+def test_prepared_rows_meet_bad_documents_and_rows_that_are_held(spark, tmp_path):
+    ddl = "doc_id long, text string, source string"
+    made = lambda ks, word: files.table_documents(spark.createDataFrame([(k, f"{word} {k}. " * 60, "s") for k in ks], ddl))
+    store = s.IndexStore(spark, f"{tmp_path}/store", 3)
+    twice = made((5, 6), "Bad").unionByName(made((5,), "Bad"))  # 5 comes twice
+    first = ingestion.ingest(made(range(5), "Old").unionByName(twice), store, Settings(chunk_size=100, chunk_overlap=10))
+    assert (first.status, first.indexed, set(first.failures)) == ("partial", 6, {("s/5.txt", "a repeated document")})
+    second = ingestion.ingest(made(range(3), "New").unionByName(made((7,), "New")), store, Settings(chunk_size=100, chunk_overlap=10))
+    assert (second.status, second.indexed, second.failures) == ("completed", 4, ())
+    names = {row["document_id"]: int(row["source_filename"].removesuffix(".txt")) for row in store.table("documents").collect()}
+    assert sorted(names.values()) == [0, 1, 2, 3, 4, 6, 7]
+    word = {3: "Old", 4: "Old", 6: "Bad"}
+    for name in ("pages", "hierarchy_nodes", "chunks"):
+        texts = {}
+        for row in store.table(name).where("text is not null").collect():
+            texts.setdefault(names[row["document_id"]], []).append(row["text"])
+        assert set(texts) == set(names.values()), name
+        assert all(text.split()[0] in (word.get(k, "New"), f"{k}.") for k, found in texts.items() for text in found), name
+    # What was prepared and not taken is gone, and each bucket has what one ingestion makes of it.
+    alone = s.IndexStore(spark, f"{tmp_path}/alone", 3)
+    ingestion.ingest(made((0, 1, 2, 7), "New").unionByName(made((3, 4), "Old")).unionByName(made((6,), "Bad")), alone, Settings(chunk_size=100, chunk_overlap=10))
+    for name in ("documents", "pages", "hierarchy_nodes", "chunks"):
+        assert sorted(map(str, store.table(name).collect())) == sorted(map(str, alone.table(name).collect())), name
+    store.vacuum()
+    named = {str(path) for paths in store._manifest()["tables"].values() for path in paths.values()}
+    assert all(any(str(file).startswith(f"{tmp_path}/store/{path}/") for path in named) for name in ("hierarchy_nodes", "chunks") for file in (tmp_path / "store/data" / name).rglob("*.parquet"))
+
+
 def test_nothing_is_written_if_a_rule_is_broken(spark, corpus, tmp_path):
     docs, held, _ = indexed(spark, corpus, tmp_path / "store")
     good = docs.where("status = 'extracted'")
