@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from functools import cache
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ from gleanery.shipping import ship_package
 CHUNKER_VERSION = "1"
 DEFAULT_TOKENIZER = "lexical-token-estimate"
 TOKENS = re.compile(r"\w+|[^\w\s]")
+#: Text, in characters, after which chunks are handed on.
+BATCH_CHARACTERS = 1_000_000
 #: What the chunker reads of a node.
 CHUNKED = ("node_id", "parent_id", "level", "section_title", "section_path", "page_start", "sequence", "text")
 SENTENCES = re.compile(r"(?<=[.!?;:])\s+")
@@ -54,6 +57,33 @@ def _is_content(level: Column, text: Column) -> Column:
     return (level == "content") & (t.trim(F.coalesce(text, F.lit(""))) != "")
 
 
+@cache
+def _kinds():
+    """Of each code point: 0 white space, 1 of a word, 2 any other."""
+    import numpy as np
+
+    kinds, every = np.full(0x110000, 2, np.uint8), "".join(map(chr, range(0x110000)))
+    for kind, pattern in ((0, r"\s+"), (1, r"\w+")):
+        for run in re.finditer(pattern, every):
+            kinds[run.start() : run.end()] = kind
+    return kinds
+
+
+def token_counts(texts: list[str]) -> list[int]:
+    """How many TOKENS each text has, of all texts at once."""
+    import numpy as np
+
+    if not texts:
+        return []
+    kinds = _kinds()[np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    begins = kinds > 0
+    begins[1:] &= (kinds[1:] == 2) | (kinds[:-1] != 1)
+    sums = np.concatenate(([0], np.cumsum(begins)))
+    ends = np.cumsum([len(text) + 1 for text in texts])
+    ends[-1] -= 1
+    return np.diff(sums[ends], prepend=0).tolist()
+
+
 def content_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where(_is_content(F.col("level"), F.col("text")))
 
@@ -152,8 +182,10 @@ def chunk_nodes(document_id: str, nodes: list, size: int = 1000, overlap: int =
                 "chunk_id": hashlib.sha256("\x1f".join(place).encode()).hexdigest(), "document_id": document_id, "parent_id": first["parent_id"] or first["node_id"],
                 "level": first["level"], "section_title": first["section_title"], "section_path": path, "previous_chunk_id": None, "next_chunk_id": None,
                 "page_start": min(pages), "page_end": max(pages), "sequence": len(chunks), "text": text, "chunk_size": measure(text), "size_unit": unit,
-                "token_count": count(text), "content_hash": hashlib.sha256(text.encode()).hexdigest(), "configuration_fingerprint": print_, "chunker_version": CHUNKER_VERSION,
+                "token_count": 0, "content_hash": hashlib.sha256(text.encode()).hexdigest(), "configuration_fingerprint": print_, "chunker_version": CHUNKER_VERSION,
             })
+    for chunk, tokens in zip(chunks, token_counts([chunk["text"] for chunk in chunks])):
+        chunk["token_count"] = tokens
     for one, two in zip(chunks, chunks[1:]):
         if one["section_path"] == two["section_path"]:
             one["next_chunk_id"], two["previous_chunk_id"] = two["chunk_id"], one["chunk_id"]
@@ -177,20 +209,25 @@ def chunk_trees(trees: DataFrame, size: int = 1000, overlap: int = 150, unit: st
     content = F.filter("nodes", lambda n: _is_content(n["level"], n["text"]))
     rows = trees.select("document_id", F.transform(content, lambda n: F.struct(*(n[name].alias(name) for name in CHUNKED))).alias("nodes")).where(F.size("nodes") > 0)
     schema = schemas.struct(schemas.CHUNK + ", error string")
-    names = schema.names
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
+        arrow, held, characters = to_arrow_schema(schema), [], 0
         for batch in batches:
             for document_id, content in zip(*(column.to_pylist() for column in batch.columns)):
                 try:
                     found = chunk_nodes(document_id, content, size, overlap, unit, tokenizer)
                 except Exception as failure:  # noqa: BLE001  a tokenizer may raise anything; only the class is told
                     found = [{"document_id": document_id, "error": type(failure).__name__}]
-                yield pa.RecordBatch.from_pylist([{name: row.get(name) for name in names} for row in found], schema=arrow)
+                held += found
+                characters += sum(len(row.get("text", "")) for row in found)
+                if characters > BATCH_CHARACTERS:
+                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    held, characters = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
     return rows.mapInArrow(run, schema)
 

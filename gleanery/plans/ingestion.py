@@ -83,9 +83,10 @@ def _indexed(documents: DataFrame, store: IndexStore, settings: Settings, provid
     store.initialize()
     nothing = F.lit(None).cast("string").alias("chunk_id")
     failures = [documents.where(~usable).select("source_path", F.col("status").alias("reason"), nothing)]
-    good = documents.where(usable)
+    usable_ones = documents.where(usable)
+    good = store.staged(usable_ones.select("document_id", "source_path"))
     # Written once: a second reading, run of the chunker or a model could end otherwise. Nothing is cached, and a text moves once.
-    fresh = store.staged(changed_documents(good, store, settings))
+    fresh = store.staged(changed_documents(usable_ones, store, settings))
     unchanged = counts["usable"] - fresh.count()
     if unchanged < counts["usable"]:
         nodes = detect_hierarchy(fresh.repartition("document_id"))
@@ -102,8 +103,9 @@ def _indexed(documents: DataFrame, store: IndexStore, settings: Settings, provid
         store.discard(made)
         good = good.join(bad.select("document_id"), "document_id", "left_anti")
     total = good.count()
-    own = store.table("chunks").join(good.select("document_id", "source_path"), "document_id")
-    count = own.count()
+    chunks = store.table("chunks")
+    count = chunks.groupBy("document_id").count().join(good, "document_id", "left_semi").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    own = chunks.join(good, "document_id")
     if provider is not None:
         try:
             records, failed = embed_chunks(own.drop("source_path"), store.table("embeddings"), provider, settings, keep=store.staged)

@@ -364,21 +364,25 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _repeating(rows: DataFrame, key: str) -> DataFrame:
-    """The rows of such keys."""
-    return rows.select("document_id", F.col(key).alias("_key")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).where("_n > 1")
+    """The rows of such keys; keys move only if two have the same hash."""
+    hashed = rows.select("document_id", F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"))
+    shared = hashed.groupBy("_hash").count().where("count > 1").select("_hash")
+    if shared.isEmpty():
+        return rows.select("document_id").limit(0)
+    return hashed.join(shared, "_hash", "left_semi").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).where("_n > 1")
 
 
 def integrity_problems(documents: DataFrame, nodes: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """What breaks the store's rules, as (problem, key): repeated ids, missing parents, pages or owners, other texts."""
-    found = _record_problems(documents, nodes, chunks, _problem, _repeated) + [
+    found = _record_problems(documents, nodes, chunks, _problem, _repeated, lambda rows, *_: rows) + [
         _problem(invalid_records(embeddings), "an invalid embedding", "chunk_id"),
         _problem(embeddings.join(chunks, ["chunk_id", "content_hash"], "left_anti"), "an embedding of an unknown chunk or other text", "chunk_id"),
     ]
     return reduce(DataFrame.unionByName, found)
 
 
-def _record_problems(documents: DataFrame, nodes: DataFrame, chunks: DataFrame, problem: Callable, repeated: Callable) -> list[DataFrame]:
-    """Each rule's problems: the rows that break it, by ``problem(rows, what, key)``."""
+def _record_problems(documents: DataFrame, nodes: DataFrame, chunks: DataFrame, problem: Callable, repeated: Callable, few: Callable) -> list[DataFrame]:
+    """Each rule's problems: the rows that break it, by ``problem(rows, what, key)``; ``few(rows, *columns)`` may take equal rows once."""
     again = lambda rows, key, what: problem(repeated(rows, key), what, key)
     ids = documents.select("document_id")
     parents = nodes.select(F.col("node_id").alias("parent_id"), "document_id")
@@ -388,13 +392,13 @@ def _record_problems(documents: DataFrame, nodes: DataFrame, chunks: DataFrame,
         again(documents, "source_path", "a repeated source path"),
         again(nodes, "node_id", "a repeated node"),
         again(chunks, "chunk_id", "a repeated chunk"),
-        problem(nodes.join(ids, "document_id", "left_anti"), "a node of an unknown document", "node_id"),
-        problem(chunks.join(ids, "document_id", "left_anti"), "a chunk of an unknown document", "chunk_id"),
-        problem(nodes.where("parent_id is not null").join(parents, ["parent_id", "document_id"], "left_anti"), "a node without its parent", "node_id"),
+        problem(few(nodes, "document_id").join(ids, "document_id", "left_anti"), "a node of an unknown document", "node_id"),
+        problem(few(chunks, "document_id").join(ids, "document_id", "left_anti"), "a chunk of an unknown document", "chunk_id"),
+        problem(few(nodes.where("parent_id is not null"), "document_id", "parent_id").join(parents, ["parent_id", "document_id"], "left_anti"), "a node without its parent", "node_id"),
         problem(nodes.where("parent_id is not null").join(nodes.select(F.col("node_id").alias("parent_id"), F.col("sequence").alias("_above")), "parent_id").where("_above >= sequence"), "a node before its parent", "node_id"),
-        problem(chunks.join(parents, ["parent_id", "document_id"], "left_anti"), "a chunk without its node", "chunk_id"),
+        problem(few(chunks, "document_id", "parent_id").join(parents, ["parent_id", "document_id"], "left_anti"), "a chunk without its node", "chunk_id"),
         problem(check_pages(nodes, documents), "a node of a missing page", "node_id"),
-        problem(chunks.join(pages, "document_id").where((F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start")) | ~F.array_contains("_pages", F.col("page_start")) | ~F.array_contains("_pages", F.col("page_end"))), "a chunk of a missing page", "chunk_id"),
+        problem(few(chunks, "document_id", "page_start", "page_end").join(pages, "document_id").where((F.col("page_start") < 1) | (F.col("page_end") < F.col("page_start")) | ~F.array_contains("_pages", F.col("page_start")) | ~F.array_contains("_pages", F.col("page_end"))), "a chunk of a missing page", "chunk_id"),
         problem(chunks.where(F.sha2("text", 256) != F.col("content_hash")), "a chunk with another text's hash", "chunk_id"),
     ]
 
@@ -414,7 +418,7 @@ def broken_documents(documents: DataFrame, nodes: DataFrame, chunks: DataFrame,
 
     ``keep`` writes what a rule finds, one after the other, so that what one moves is gone before the next.
     """
-    found = [keep(rows.distinct()) for rows in _record_problems(documents, nodes, chunks, _of_document, _repeating)]
+    found = [keep(rows.distinct()) for rows in _record_problems(documents, nodes, chunks, _of_document, _repeating, lambda rows, *columns: rows.select(*columns).distinct())]
     return reduce(DataFrame.unionByName, found).groupBy("document_id").agg(F.min("problem").alias("problem"))
 
 

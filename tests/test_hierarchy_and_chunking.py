@@ -119,3 +119,18 @@ def test_documents_are_chunked_in_spark(spark):
     assert found[0]["section_path"] == ["a.txt", "CHAPTER 1"]
     assert chunking.check_pages(nodes, rows).count() == 0
     assert chunking.check_pages(nodes.withColumn("page_end", F.lit(7)), rows).count() == 2
+
+
+def test_tokens_are_counted_as_by_the_pattern_and_batches_keep_all_chunks(spark, monkeypatch):
+    texts = ["", "a", "_é1 ß.", "x\x1cy\x85z\u3000\u200b", "\n\n", "日本 語!?", "a\U0001d7d8 😀😀b", "́ áb", "end-"]
+    assert chunking.token_counts([]) == [] and chunking.token_counts(texts) == [len(chunking.TOKENS.findall(text)) for text in texts]
+    every = ["".join(map(chr, (k for k in range(start, start + 64) if not 0xD800 <= k < 0xE000))) for start in range(0, 0x110000, 64)]
+    assert chunking.token_counts(every) == [len(chunking.TOKENS.findall(text)) for text in every]
+    monkeypatch.setattr(chunking, "BATCH_CHARACTERS", 50)
+    ddl = "document_id string, node_id string, parent_id string, level string, section_title string, section_path array<string>, page_start int, sequence int, text string"
+    rows = [(f"d{k}", f"n{k}", "p", "content", None, ["s"], 1, 1, f"w{k} " * k) for k in range(30)]
+    nodes = spark.createDataFrame(rows, ddl).coalesce(1)
+    found = {}
+    for row in chunking.chunk_rows(nodes, 20, 0).orderBy("document_id", "sequence").collect():
+        found.setdefault(row["document_id"], []).append(row["text"])
+    assert {k: " ".join(v) for k, v in found.items()} == {f"d{k}": " ".join([f"w{k}"] * k) for k in range(1, 30)}
