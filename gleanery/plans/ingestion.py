@@ -83,11 +83,11 @@ def _indexed(documents: DataFrame, store: IndexStore, settings: Settings, provid
     store.initialize()
     nothing = F.lit(None).cast("string").alias("chunk_id")
     failures = [documents.where(~usable).select("source_path", F.col("status").alias("reason"), nothing)]
-    usable_ones = documents.where(usable)
-    good = store.staged(usable_ones.select("document_id", "source_path"))
+    good = documents.where(usable)
     # Written once: a second reading, run of the chunker or a model could end otherwise. Nothing is cached, and a text moves once.
-    fresh = store.staged(changed_documents(usable_ones, store, settings))
+    fresh = store.staged(changed_documents(good, store, settings))
     unchanged = counts["usable"] - fresh.count()
+    good = store.staged(good.select("document_id", "source_path")) if unchanged else fresh.select("document_id", "source_path")
     if unchanged < counts["usable"]:
         nodes = detect_hierarchy(fresh.repartition("document_id"))
         trees = store.staged(gathered(nodes, tuple(name for name in nodes.columns if name != "document_id")), f"trees-{run_id}")
